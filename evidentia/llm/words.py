@@ -119,19 +119,22 @@ def parts(offsets: np.ndarray, block: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words_of(raw: np.ndarray, classes: np.ndarray = SPACE, table: np.ndarray = SAME, block: int = BLOCK) -> np.ndarray:
-    """Hashes of the words of one text of any length."""
-    if len(raw) <= block:
-        return hashes(raw, *bounds(raw, classes), table)
-    out, at = [], 0
+def cuts(raw: np.ndarray, classes: np.ndarray = SPACE, block: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Parts of one text, of about ``block`` bytes, cut behind separators only."""
+    at = 0
     while at < len(raw):
         to = min(at + block, len(raw))
         while to < len(raw) and classes[raw[to - 1]] and classes[raw[to]]:
-            cut = np.flatnonzero(~classes[raw[at:to]])
-            to = at + int(cut[-1]) + 1 if len(cut) else min(to + block, len(raw))
-        out.append(hashes(raw[at:to], *bounds(raw[at:to], classes), table))
+            gap = np.flatnonzero(~classes[raw[at:to]])
+            to = at + int(gap[-1]) + 1 if len(gap) else min(to + block, len(raw))
+        yield at, to
         at = to
-    return np.concatenate(out)
+
+
+def words_of(raw: np.ndarray, classes: np.ndarray = SPACE, table: np.ndarray = SAME, block: int = BLOCK) -> np.ndarray:
+    """Hashes of the words of one text of any length."""
+    out = [hashes(raw[i:j], *bounds(raw[i:j], classes), table) for i, j in cuts(raw, classes, block)]
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def hashed(col: pa.Array, classes: np.ndarray = SPACE, table: np.ndarray = SAME) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -39,3 +39,20 @@ def near_duplicates(rows, percent, k=5):
             if 100 * both >= percent * (len(s) + len(sets[e]) - both):
                 links.add((d, e))
     return sets, components(sets, links)
+
+
+def without_repeats(rows, least):
+    """[(id, words kept, words, removed)] where every window of ``least`` words that starts elsewhere too is cut."""
+    texts = [WORD.findall(t or "") for _, t in rows]
+    seen = defaultdict(int)
+    for w in texts:
+        for i in range(len(w) - least + 1):
+            seen[tuple(w[i : i + least])] += 1
+    out = []
+    for (d, _), w in zip(rows, texts, strict=True):
+        gone = set()
+        for i in range(len(w) - least + 1):
+            if seen[tuple(w[i : i + least])] > 1:
+                gone |= set(range(i, i + least))
+        out.append((d, " ".join(x for i, x in enumerate(w) if i not in gone), len(w), len(gone)))
+    return out
