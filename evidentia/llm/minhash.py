@@ -54,8 +54,8 @@ def shingle_sets(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray
     return g, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
-def signatures(g: np.ndarray, offsets: np.ndarray, bands: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes (documents x bands) and one bit of each value, packed in longs; rows without shingles are 0."""
+def signatures(g: np.ndarray, offsets: np.ndarray, bands: int, rows: int = ROWS) -> np.ndarray:
+    """Band hashes (documents x bands); rows without shingles are 0."""
     full = np.flatnonzero(np.diff(offsets))
     at = offsets[:-1][full]
     half = bands // 2 * rows
@@ -76,12 +76,7 @@ def signatures(g: np.ndarray, offsets: np.ndarray, bands: int, rows: int = ROWS)
             for r in range(rows):
                 key = key * _U(0x9FB21C651E98DF25) + values[side, b * rows + r]
             out[full, side * (bands // 2) + b] = words._mix(key)
-    flat = words._mix(values.reshape(2 * half, -1)) & _U(1)
-    longs = -(-2 * half // 64)
-    bits = np.zeros((len(offsets) - 1, longs), np.uint64)
-    for i in range(2 * half):
-        bits[full, i // 64] |= flat[i] << _U(i % 64)
-    return out, bits
+    return out
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -89,7 +84,7 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 
 def signed_documents(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """doc_id, n (set size), f1 and f2 (the set's fingerprint), bands, bits."""
+    """doc_id, n (set size), f1 and f2 (the set's fingerprint), bands."""
     bands = bands_for(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,13 +94,13 @@ def signed_documents(docs: DataFrame, percent: int, k: int) -> DataFrame:
                 g, at = shingle_sets(h, o, k)
                 total = np.concatenate(([0], np.cumsum(g, dtype=np.uint64)))
                 other = np.concatenate(([0], np.cumsum(words._mix(g ^ _U(0x5851F42D4C957F2D)), dtype=np.uint64)))
-                keys, bits = signatures(g, at, bands)
+                keys = signatures(g, at, bands)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(np.diff(at)), pa.array(words.signed(total[at[1:]] - total[at[:-1]])), pa.array(words.signed(other[at[1:]] - other[at[:-1]])), _lists(keys), _lists(bits)],
-                    names=["doc_id", "n", "f1", "f2", "bands", "bits"],
+                    [ids.slice(i, j - i), pa.array(np.diff(at)), pa.array(words.signed(total[at[1:]] - total[at[:-1]])), pa.array(words.signed(other[at[1:]] - other[at[:-1]])), _lists(keys)],
+                    names=["doc_id", "n", "f1", "f2", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, bands array<long>, bits array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -152,15 +147,48 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFr
     return full.mapInArrow(check, "a long, b long")
 
 
+def _rare_pairs(rows: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """(a, b): pairs of ``rows`` (rep, n, comp) of different components that may reach the threshold.
+
+    Lossless: in the order of rarest shingles first, a pair at the threshold shares
+    one among the first n - ceil(2tn / (1 + t)) + 1 of its smaller set and the first
+    n - ceil(tn) + 1 of its larger, with enough shingles behind it in both. So a
+    family of variants of one text meets only where its members' own changes allow
+    it, not in all its pairs.
+    """
+    sets = _sets(docs, rows.select(F.col("rep").alias("id")), k)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                g = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), batch.column(0)[i].as_py())), pa.array(g)], names=["id", "t"])
+
+    t = scratch.written(sets.mapInArrow(each, "id long, t long").join(rows.select(F.col("rep").alias("id")), "id", "left_semi"), "shingles")
+    often = t.groupBy("t").agg(F.count("*").alias("f"))
+    rank = t.join(often, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
+    q = percent / 100
+    rank = rank.join(rows, F.col("id") == F.col("rep")).withColumn("probe", F.col("n") - F.ceil(F.col("n") * q - 1e-9) + 1)
+    index = F.col("n") - F.ceil(F.col("n") * (2 * q / (1 + q)) - 1e-9) + 1
+    few = rank.select("id", "n", "comp", index.alias("index"), F.posexplode(F.slice("s", F.lit(1), F.col("probe").cast("int"))).alias("i", "e")).select("id", "n", "comp", "index", "i", F.col("e.t").alias("t"))
+    few = scratch.written(few, "rare")
+    x, y = few.where("i < index").alias("x"), few.alias("y")
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+    behind = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    enough = behind >= (F.col("x.n") + F.col("y.n")) * (q / (1 + q)) - 1e-9
+    met = x.join(y, (F.col("x.t") == F.col("y.t")) & smaller & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.n") * 100 >= F.col("y.n") * percent) & enough)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
     Documents are linked where 100 * |A & B| >= percent * |A | B| over their sets of
     distinct ``k``-word shingles (A-Z lower-cased; fewer words: all of them as one).
     Equal sets count once: a class of copies, however large, is one node. In each
-    bucket of a band all are held against the bucket's smallest id; then those that
-    are still in different components against each other, so no link of a bucket is
-    lost and a group of copies never becomes all its pairs.
+    bucket of a band all are held against the bucket's smallest id; then the documents
+    of buckets that still have several components meet by their rarest shingles, so
+    no link of a bucket is lost and a group of copies never becomes all its pairs.
 
     A null or empty text has 0 shingles and its own component. A null doc_id links
     with nothing (component_id null, kept). A repeated doc_id is judged row by row.
@@ -168,10 +196,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     """
     sig = scratch.written(signed_documents(docs, percent, k), "signatures")
     known = sig.where("doc_id is not null and n > 0")
-    classes = known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    classes = known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = scratch.written(classes, "classes")
 
-    rows = classes.select("rep", "n", "bits", F.posexplode("bands").alias("j", "h"))
+    rows = classes.select("rep", "n", F.posexplode("bands").alias("j", "h"))
     hubs = rows.groupBy("j", "h").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("j", "h", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     stars = rows.select("j", "h", "rep", "n").join(hubs, ["j", "h"]).where((F.col("rep") != F.col("hub")) & near(F.col("n"), F.col("hub_n")))
@@ -180,22 +208,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     labels = scratch.written(components(links), "labels")
 
     # what is still apart within a bucket
-    left = rows.join(labels, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep"))
-    left = left.select("j", "h", "rep", "n", "bits", "comp")
+    left = rows.select("rep", "n", "j", "h").join(labels, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep"))
     mixed = left.groupBy("j", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("j", "h")
-    left = scratch.written(left.join(mixed, ["j", "h"], "left_semi"), "apart")
-    # one bit of each signature value: at the threshold, agreement is 6 standard deviations above this
-    values = bands_for(percent) * ROWS
-    p = (1 + percent / 100) / 2
-    least = math.floor(values * p - 6 * math.sqrt(values * p * (1 - p)))
-    x, y = left.alias("x"), left.alias("y")
-    apart = F.lit(0)
-    for i in range(-(-values // 64)):
-        apart = apart + F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i]))
-    rest = x.join(
-        y, (F.col("x.j") == F.col("y.j")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") < F.col("y.comp")) & near(F.col("x.n"), F.col("y.n")) & (apart <= values - least)
-    ).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = scratch.written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    left = scratch.written(left.join(mixed, ["j", "h"], "left_semi").select("rep", "n", "comp").distinct(), "apart")
+    rest = scratch.written(_rare_pairs(left, docs, percent, k).join(stars, ["a", "b"], "left_anti"), "rest")
     more = confirmed(rest, docs, percent, k)
     labels = scratch.written(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "labels")
 
