@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15) | _U(1)
 _MASK = (1 << 64) - 1
