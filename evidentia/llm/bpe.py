@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import scratch, words
 from .lexicon import Lexicon
 
 #: Frequent words that the lexicon holds at most, and words that a worker remembers at most: neither changes a result.
@@ -204,7 +204,7 @@ class Encoder:
             self.name = self._compile(corpus, text, size)
 
     def _compile(self, corpus: DataFrame, text: str, size: int) -> str:
-        """Counts words over the corpus and sends the lexicon of the ``size`` most frequent to every machine, now or later."""
+        """Counts words over the corpus and sends the lexicon of the most frequent, ``size`` at most, to every machine, now or later."""
         shared = self.shared
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +230,16 @@ class Encoder:
             if seen:
                 yield out()
 
-        top = corpus.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        rows = top.orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+        counts = corpus.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counts = scratch.written(counts.withColumn("bin", F.floor(F.log2("n") * 64)), "words")
+        # the least count that leaves up to ``size`` words: from a histogram, so the driver never sees more than these
+        least, total = 0, 0
+        for r in counts.groupBy("bin").agg(F.count("*").alias("words")).orderBy(F.desc("bin")).collect():
+            total += r["words"]
+            if total > size:
+                least = r["bin"] + 1
+                break
+        rows = counts.where(F.col("bin") >= least).select("word").orderBy("word").collect()
         codec = Codec(json.loads(self.spec))
         built = Lexicon.build({bytes(r[0]): codec.merged(bytes(r[0])) for r in rows})
         with tempfile.TemporaryDirectory() as folder:  # the driver's own; executors fetch the file from the driver

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lengths, minhash, scratch, secrets, substrings, vectors, warc
+from . import bpe, lengths, minhash, scratch, secrets, substrings, toxicity, vectors, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -40,6 +41,7 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch.small_batches(spark)
     path = scratch.path(spark, "warc")
     warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path, min_bytes=0)
     records = warc.read(spark, path).where("kind = 'record'")
@@ -50,12 +52,16 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_bpe, op5_lengths, op6_substrings, op7_warc, op8_secrets, op10_vectors)}
+    return {f.__name__: f for f in (op1_minhash, op3_bpe, op5_lengths, op6_substrings, op7_warc, op8_secrets, op9_toxicity, op10_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
