@@ -23,9 +23,11 @@ from . import words
 #: Rows of a table, tables, numbers a table gives, filter widths, filters a width; bytes of a word that each table sees.
 TABLE, TABLES, DIM, WIDTHS, FILTERS = 1 << 16, 3, 8, (1, 2, 3), 8
 PREFIX = (None, 4, 5)
+#: Slope of the rectifier below zero: with none, words that no filter answers to yet would never be learnt.
+LEAK = np.float32(0.2)
 #: The bounded sample of labelled rows: rows at most, characters a row at most (longer ones are left out), and the share used to calibrate.
-SAMPLE, SAMPLE_CHARS, CALIBRATION = 8000, 50_000, 0.2
-EPOCHS, STEPS, BATCH, RATE, SEED = 8, 1500, 64, 0.02, 7
+SAMPLE, SAMPLE_CHARS, CALIBRATION = 12_000, 50_000, 0.2
+EPOCHS, STEPS, BATCH, RATE, SEED = 5, 800, 64, 0.02, 7
 #: Common words by language (fixed values); a text is in the language with the most of them.
 COMMON = {
     "en": ("the", "and", "of", "to", "in", "that", "is", "was", "for", "on", "with"),
@@ -51,6 +53,10 @@ def _one_hash(word: str) -> int:
     return int(of_text(np.frombuffer(word.encode(), np.uint8))[0, 0])
 
 
+def _rectified(x: np.ndarray) -> np.ndarray:
+    return np.maximum(x, LEAK * x)
+
+
 class Model:
     """Tables (TABLES, TABLE, DIM), filters by width (w * TABLES * DIM, FILTERS), their biases, the last layer, shifts by language."""
 
@@ -60,7 +66,7 @@ class Model:
         self.tables = rng.normal(0, 0.3, (TABLES, TABLE, DIM)).astype(np.float32)
         self.filters = [rng.normal(0, 1 / np.sqrt(w * d), (w, d, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = np.zeros(FILTERS * len(WIDTHS), np.float32)
-        self.last = rng.normal(0, 0.2, FILTERS * len(WIDTHS)).astype(np.float32)
+        self.last = rng.uniform(0.1, 0.4, FILTERS * len(WIDTHS)).astype(np.float32)
         self.base = np.float32(0)
         self.languages = list(COMMON)
         self.marks = np.array([_one_hash(w) for lang in COMMON for w in COMMON[lang]], np.uint64)
@@ -114,7 +120,7 @@ class Model:
         return out
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
-        return np.maximum(pooled + self.bias, 0) @ self.last + self.base
+        return _rectified(pooled + self.bias) @ self.last + self.base
 
     def score(self, h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         x = self.logits(self.pooled(h, offsets)).astype(np.float64) - self.shift[self.language(h[0], offsets)]
@@ -171,10 +177,10 @@ class Model:
                     tops.append(top)
                     spots.append(at)
                 pooled = np.concatenate(tops, axis=1)
-                act = np.maximum(pooled + self.bias, 0)
+                act = _rectified(pooled + self.bias)
                 p = 1 / (1 + np.exp(-np.clip(act @ self.last + self.base, -30, 30)))
                 g = ((p - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
-                da = (g[:, None] * self.last) * (pooled + self.bias > 0)
+                da = (g[:, None] * self.last) * np.where(pooled + self.bias > 0, 1, LEAK).astype(np.float32)
                 grads = [np.zeros_like(f) for f in self.filters] + [da.sum(axis=0), act.T @ g]
                 dx: dict = {"at": [], "g": []}
                 for k, w in enumerate(WIDTHS):
