@@ -1,8 +1,68 @@
-"""Corpus pipeline; the stages follow as their operators are done."""
+"""A corpus pipeline of five operators: each stage works on all that its predecessor kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidentia.llm import bpe, decontaminate, minhash, queries, scratch, secrets, toxicity
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents scored 0.5 or more; learns from the labels of ``docs``."""
+    scratch.small_batches(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    columns = docs.columns
+    scored = toxicity.scored(docs.withColumn("_row", F.col("text")), toxicity.train(docs, labels), (*[c for c in columns if c != "text"], "_row"))
+    return scored.where("score < 0.5").withColumnRenamed("_row", "text").select(*columns)
+
+
+def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group (five words, similarity 0.8), the one with the smallest id; of rows that share that id, one."""
+    scratch.small_batches(spark)
+    columns = docs.columns
+    groups = minhash.near_duplicates(docs, percent=80, k=5).where("kept").select("doc_id").distinct()
+    kept = docs.join(groups.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select(*columns)
+    some = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if some else kept
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a near copy of a benchmark item."""
+    scratch.small_batches(spark)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret by ``[secret]``; n_chars follows. No document is dropped."""
+    columns = docs.columns
+    out = secrets.redacted(docs)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document: doc_id, n_tokens, ids."""
+    scratch.small_batches(spark)
+    return bpe.Encoder(spark, queries.vocabulary(), corpus=docs).encode(docs)
+
+
+STAGES = [
+    ("toxicity", not_toxic),
+    ("near_duplicates", no_near_duplicates),
+    ("decontamination", decontaminated),
+    ("secrets", without_secrets),
+    ("encoding", encoded),
+]
+
+#: None: SQL can't express the trained classifier, nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lengths, minhash, scratch, secrets, substrings, toxicity, vectors, warc
+from . import bpe, decontaminate, lengths, minhash, scratch, secrets, substrings, toxicity, urls, vectors, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _vocabulary(name: str = "word_bpe_49k.json") -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -25,14 +25,29 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), percent=85, k=5)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return bpe.Encoder(spark, _vocabulary(), corpus=docs).digests(docs)
+    return bpe.Encoder(spark, vocabulary(), corpus=docs).digests(docs)
+
+
+#: The rules of the query, as its contract states them.
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels: a page whose id is that of a document of quality 0 is bad; pages have no labels of their own."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return urls.judged(pages, labels, RULES)
 
 
 def op5_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return lengths.limits(lengths.histogram(docs, bpe.Encoder(spark, _vocabulary(), corpus=docs)))
+    return lengths.limits(lengths.histogram(docs, bpe.Encoder(spark, vocabulary(), corpus=docs)))
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +76,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_bpe, op5_lengths, op6_substrings, op7_warc, op8_secrets, op9_toxicity, op10_vectors)}
+    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_bpe, op4_urls, op5_lengths, op6_substrings, op7_warc, op8_secrets, op9_toxicity, op10_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:

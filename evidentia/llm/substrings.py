@@ -24,6 +24,8 @@ from .automaton import Automaton
 #: Words of the n-gram that routes a window; windows of a segment at most; different segments that an
 #: automaton takes with the same n-gram (more are settled window by window); words in an automaton at least before the next.
 GRAM, RUN, KINDS, SHARD = 8, 4096, 64, 20_000
+#: Beyond KINDS, n-grams of so many words fewer than a window.
+LONGER = 7
 #: Words hashed at once, and words of a stated reference at most.
 CHUNK, REFERENCE = 1 << 20, 20_000_000
 _U = np.uint64
@@ -39,10 +41,10 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:n], m[width - size : width - size + n])
 
 
-def segments(h: np.ndarray, offsets: np.ndarray, least: int):
+def segments(h: np.ndarray, offsets: np.ndarray, least: int, gram: int = GRAM):
     """(document, first window, windows, route, content, alone) of every segment; ``alone``: False where a window may
     repeat within the segment itself."""
-    gram = min(GRAM, least)
+    gram = min(gram, least)
     width = least - gram + 1
     g = words.grams(h, gram)
     empty = np.empty(0, np.int64)
@@ -62,9 +64,8 @@ def segments(h: np.ndarray, offsets: np.ndarray, least: int):
     count = np.diff(np.append(run, len(at)))
     begin, doc, route = at[run], doc[run], low[run]
     again = np.zeros(len(g) + 1, np.int64)
-    for d in range(1, width + 1):
-        if d < len(g):
-            again[1 : len(g) - d + 1] |= g[:-d] == g[d:]
+    for d in range(1, min(width, len(g) - 1) + 1):
+        again[1 : len(g) - d + 1] |= g[:-d] == g[d:]
     again = np.cumsum(again)
     alone = again[np.minimum(begin + count - 1 + width, len(g))] == again[begin]
     end = begin + count + least - 1
@@ -179,18 +180,31 @@ def _by_automaton(rows: DataFrame, least: int) -> DataFrame:
 
 
 def _by_window(rows: DataFrame, least: int) -> DataFrame:
-    """The same for n-grams with very many different segments: windows are counted by their hashes, pre-aggregated."""
+    """The same for n-grams with very many different segments, such as those at a common passage's edges.
+
+    These are cut once more by longer n-grams, of which equal pieces collapse again;
+    the windows of pieces that are still mixed are counted by their hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                g = words.grams(np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64), least)
-                n = len(g)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(k)[i].as_py()] * n, pa.int64()) for k in (0, 1, 2)] + [pa.array(np.arange(n, dtype=np.int32)), pa.array(words.signed(g))], names=["v", "c", "w", "s", "g"])
-
-    each = scratch.written(rows.mapInArrow(run, "v long, c long, w long, s int, g long"), "windows")
-    again = each.groupBy("v", "g").agg(F.sum("w").alias("n")).where("n > 1").select("v", "g")
-    return each.join(again, ["v", "g"], "left_semi").select("v", "c", "s", F.lit(1).alias("n"))
+                h = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
+                _, s, m, r, c, alone = segments(h, np.array([0, len(h)]), least, max(least - LONGER, 1))
+                n, g = len(s), words.signed(words.grams(h, least))
+                at = pa.array(np.append(s, len(g)).astype(np.int32))
+                cols = [pa.array([batch.column(k)[i].as_py()] * n, pa.int64()) for k in (0, 1, 2)]
+                cols += [pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(words.signed(r)), pa.array(words.signed(c)), pa.array(alone), pa.ListArray.from_arrays(at, pa.array(g))]
+                yield pa.RecordBatch.from_arrays(cols, names=["v", "c", "w", "s", "m", "r", "c2", "alone", "g"])
+
+    each = scratch.written(rows.mapInArrow(run, "v long, c long, w long, s int, m int, r long, c2 long, alone boolean, g array<long>"), "pieces")
+    of = each.groupBy(F.col("r").alias("key")).agg(F.sum("w").alias("total"), F.min("c2").alias("lo"), F.max("c2").alias("hi"), F.min("alone").alias("every_alone"))
+    of = of.where("total > 1 or not every_alone")
+    each = scratch.written(each.join(of, F.col("r") == F.col("key")).withColumn("same", F.col("every_alone") & (F.col("lo") == F.col("hi"))).drop("key", "lo", "hi", "r", "c2"), "pieces")
+    single = each.where("not same").select("v", "c", "w", F.posexplode("g").alias("i", "g"), "s").select("v", "c", "w", (F.col("s") + F.col("i")).alias("s"), "g")
+    again = single.groupBy("g").agg(F.sum("w").alias("n")).where("n > 1").select("g")
+    single = single.join(again, "g", "left_semi").select("v", "c", "s", F.lit(1).alias("n"))
+    return each.where("same").select("v", "c", "s", F.col("m").alias("n")).union(single)
 
 
 def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
