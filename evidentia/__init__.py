@@ -1,0 +1 @@
+"""Evidence retrieval and data processing on Spark."""
