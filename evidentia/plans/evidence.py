@@ -40,9 +40,9 @@ def token_usage(t: Tables):
     return t.events.groupBy("user_id").agg(F.sum(k).alias("tokens"), F.count_if(k.isNull()).alias("unknown"))
 
 
-@query("A20_request_totals", "SELECT user_id, event_type, count(*) AS runs, round(round(avg(value), 8), 4) AS mean, max(ts) AS last FROM events GROUP BY ALL")
+@query("A20_request_totals", "SELECT user_id, event_type, count(*) AS runs, round(avg(value), 6) AS mean, max(ts) AS last FROM events GROUP BY ALL")
 def request_totals(t: Tables):
-    return t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("runs"), F.round(F.round(F.avg("value"), 8), 4).alias("mean"), F.max("ts").alias("last"))
+    return t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("runs"), F.round(F.avg("value"), 6).alias("mean"), F.max("ts").alias("last"))
 
 
 @query("A21_daily_quota", "SELECT event_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS used, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) <= 45 AS admitted FROM events")

@@ -44,10 +44,10 @@ def lexical(t: Tables, most: int):
     return R.ranked(scores, "query_id", most=most)
 
 
-@query("R01_bm25", f"WITH {_BM25} SELECT query_id, id, round(round(score, 6), 4) AS score, rank FROM lx WHERE rank <= 10")
+@query("R01_bm25", f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM lx WHERE rank <= 10")
 def bm25(t: Tables):
     """Flagship: the ten best documents of each query."""
-    return lexical(t, 10).withColumn("score", F.round("score", 4))
+    return lexical(t, 10)
 
 
 _COS = """cq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 20 = 0), cs AS (SELECT query_id, vec_id AS id, round(list_dot_product(x, embedding::DOUBLE[]) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 9) AS score FROM cq, embeddings),
@@ -96,11 +96,11 @@ def rerank_pool(t: Tables):
     return R.pool(rows).select("query_id", "kind", "id", "rank", "position")
 
 
-@query("R04_domain_priority", f"WITH {_BM25} SELECT query_id, id, round(round(round(lx.score, 6) + 100 * CASE source WHEN 'src0' THEN 2 WHEN 'src1' THEN 1 ELSE 0 END, 6), 4) AS score FROM lx JOIN documents ON id = doc_id WHERE rank <= 48")
+@query("R04_domain_priority", f"WITH {_BM25} SELECT query_id, id, round(round(lx.score, 6) + 100 * CASE source WHEN 'src0' THEN 2 WHEN 'src1' THEN 1 ELSE 0 END, 6) AS score FROM lx JOIN documents ON id = doc_id WHERE rank <= 48")
 def domain_priority(t: Tables):
     rows = lexical(t, 48).join(t.documents.select(F.col("doc_id").alias("id"), "source"), "id")
     p = F.when(F.col("source") == "src0", 2).when(F.col("source") == "src1", 1).otherwise(0)
-    return R.with_priority(rows, p).select("query_id", "id", F.round(F.round("score", 6), 4).alias("score"))
+    return R.with_priority(rows, p).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("R05_score_blend", f"WITH {_RRF} SELECT query_id, id, round(round(0.85::DOUBLE * ((id % 100) / 100.0::DOUBLE) + 0.15::DOUBLE * (score / max(score) OVER (PARTITION BY query_id)), 9), 6) AS score FROM fu")
@@ -160,10 +160,10 @@ _ST = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_./%-]+
 
 @query("R11_window_scores", f"""WITH q AS (SELECT item_id AS query_id, unnest({_ST}) AS term FROM (SELECT item_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS text FROM benchmark)), w AS (SELECT doc_id AS window_id, lower(text) AS t, unnest({_ST}) AS term FROM documents),
  c AS (SELECT window_id, term, floor((length(t) - length(replace(t, term, ''))) / length(term)) AS c FROM w WHERE term IN (SELECT term FROM q)), f AS (SELECT term, count(*) AS df FROM c GROUP BY term), n AS (SELECT count(*) AS n FROM documents)
- SELECT query_id, window_id, round(round(sum(ln(1 + (n + 1) / (df + 1)) * (1 + c / (c + 1.5))), 9), 5) AS score FROM q JOIN f USING (term) JOIN c USING (term), n GROUP BY query_id, window_id""")
+ SELECT query_id, window_id, round(sum(ln(1 + (n + 1) / (df + 1)) * (1 + c / (c + 1.5))), 9) AS score FROM q JOIN f USING (term) JOIN c USING (term), n GROUP BY query_id, window_id""")
 def window_scores(t: Tables):
     q = t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
-    return R.window_scores(q, t.documents.select(F.col("doc_id").alias("window_id"), "text")).withColumn("score", F.round("score", 5))
+    return R.window_scores(q, t.documents.select(F.col("doc_id").alias("window_id"), "text"))
 
 
 @query("R16_requirement_candidates", "SELECT requirement_id, id, rank FROM (SELECT l_suppkey AS requirement_id, l_orderkey * 1000 + l_linenumber AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_extendedprice DESC, l_returnflag = 'R' DESC, l_orderkey * 1000 + l_linenumber) AS rank FROM lineitem) WHERE rank <= 3")
