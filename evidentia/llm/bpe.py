@@ -230,7 +230,7 @@ class Encoder:
             if seen:
                 yield out()
 
-        counts = corpus.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counts = corpus.select(text).mapInArrow(words.lean(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
         counts = scratch.written(counts.withColumn("bin", F.floor(F.log2("n") * 64)), "words")
         # the least count that leaves up to ``size`` words: from a histogram, so the driver never sees more than these
         least, total = 0, 0
@@ -261,7 +261,7 @@ class Encoder:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), lists], names=[id, "n_tokens", "ids"])
 
         kind = docs.schema[id].dataType.simpleString()
-        return docs.select(id, text).mapInArrow(run, f"`{id}` {kind}, n_tokens long, ids array<int>")
+        return docs.select(id, text).mapInArrow(words.lean(run), f"`{id}` {kind}, n_tokens long, ids array<int>")
 
     def decode(self, rows: DataFrame, id: str = "doc_id", ids: str = "ids") -> DataFrame:
         """(id, text) of every row; null ids give an empty text."""
@@ -274,7 +274,7 @@ class Encoder:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id, "text"])
 
         kind = rows.schema[id].dataType.simpleString()
-        return rows.select(id, ids).mapInArrow(run, f"`{id}` {kind}, text string")
+        return rows.select(id, ids).mapInArrow(words.lean(run), f"`{id}` {kind}, text string")
 
     def digests(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_tokens, and digests of the ids and of the text decoded from them; the ids don't leave the worker."""
@@ -293,7 +293,7 @@ class Encoder:
                         names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                     )
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(words.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
     def lengths(self, docs: DataFrame) -> DataFrame:
         """(n_tokens, n_docs) counted batch by batch; add up by n_tokens."""
@@ -305,4 +305,4 @@ class Encoder:
                 n, count = np.unique(np.concatenate([np.diff(at) for *_, at in codec.encode(batch.column(0))] or [np.empty(0, np.int64)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(count, pa.int64())], names=["n_tokens", "n_docs"])
 
-        return docs.select("text").mapInArrow(run, "n_tokens long, n_docs long")
+        return docs.select("text").mapInArrow(words.lean(run), "n_tokens long, n_docs long")

@@ -129,7 +129,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, columns: list[str], similar: f
                     hits.append([dict(zip(("item_id", "start", "words", "similarity"), x, strict=True)) for x in sent.value.hits(h[o[k] : o[k + 1]], similar)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, kind)], names=[*columns, "_hits"])
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(words.lean(run), schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -100,7 +100,7 @@ def signed_documents(docs: DataFrame, percent: int, k: int) -> DataFrame:
                     names=["doc_id", "n", "f1", "f2", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(words.lean(sign), "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), data.cast(pa.binary())], names=["id", "shingles"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.select("doc_id", "text", scratch.id_slot("doc_id").alias("slot")).mapInArrow(sets, "id long, shingles binary")
+    return rows.select("doc_id", "text", scratch.id_slot("doc_id").alias("slot")).mapInArrow(words.lean(sets), "id long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
@@ -144,7 +144,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFr
 
     right = pairs.join(sets.withColumnRenamed("shingles", "y"), F.col("b") == F.col("id")).select("a", "b", "y")
     full = right.join(sets.withColumnRenamed("shingles", "x"), F.col("a") == F.col("id")).select("a", "b", "x", "y")
-    return full.mapInArrow(check, "a long, b long")
+    return full.mapInArrow(words.lean(check), "a long, b long")
 
 
 def _rare_pairs(rows: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
@@ -164,7 +164,7 @@ def _rare_pairs(rows: DataFrame, docs: DataFrame, percent: int, k: int) -> DataF
                 g = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), batch.column(0)[i].as_py())), pa.array(g)], names=["id", "t"])
 
-    t = scratch.written(sets.mapInArrow(each, "id long, t long").join(rows.select(F.col("rep").alias("id")), "id", "left_semi"), "shingles")
+    t = scratch.written(sets.mapInArrow(words.lean(each), "id long, t long").join(rows.select(F.col("rep").alias("id")), "id", "left_semi"), "shingles")
     often = t.groupBy("t").agg(F.count("*").alias("f"))
     rank = t.join(often, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
     q = percent / 100

@@ -101,18 +101,18 @@ def _segments(docs: DataFrame, least: int) -> DataFrame:
                         names=["id", "k", "a", "m", "v", "c", "alone"],
                     )
 
-    return docs.select("id", "k", "text").mapInArrow(run, "id long, k long, a int, m int, v long, c long, alone boolean")
+    return docs.select("id", "k", "text").mapInArrow(words.lean(run), "id long, k long, a int, m int, v long, c long, alone boolean")
 
 
-def _let_through(df: DataFrame, bitmap, wanted: bool = True) -> DataFrame:
-    """Rows whose ``slot`` (the last column) is set in the bitmap, or isn't."""
+def _let_through(df: DataFrame, bitmap) -> DataFrame:
+    """Rows whose ``slot`` (the last column) is set in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = scratch.in_bitmap(bitmap.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array(hit if wanted else ~hit))
+            yield batch.filter(pa.array(hit))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(words.lean(run), df.schema)
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
@@ -136,7 +136,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                 data = [h[x : x + y + least - 1].tobytes() for x, y in zip(begin.tolist(), m.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([flat.field(2), flat.field(3), flat.field(4), flat.field(5), pa.array(data, pa.binary())], names=["v", "c", "w", "many", "words"])
 
-    return rows.mapInArrow(run, "v long, c long, w long, many boolean, words binary")
+    return rows.mapInArrow(words.lean(run), "v long, c long, w long, many boolean, words binary")
 
 
 def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -176,7 +176,7 @@ def _by_automaton(rows: DataFrame, least: int) -> DataFrame:
         if held:
             yield settle()
 
-    return rows.repartition("v").sortWithinPartitions("v").mapInArrow(run, "v long, c long, s int, n int")
+    return rows.repartition("v").sortWithinPartitions("v").mapInArrow(words.lean(run), "v long, c long, s int, n int")
 
 
 def _by_window(rows: DataFrame, least: int) -> DataFrame:
@@ -197,7 +197,7 @@ def _by_window(rows: DataFrame, least: int) -> DataFrame:
                 cols += [pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(words.signed(r)), pa.array(words.signed(c)), pa.array(alone), pa.ListArray.from_arrays(at, pa.array(g))]
                 yield pa.RecordBatch.from_arrays(cols, names=["v", "c", "w", "s", "m", "r", "c2", "alone", "g"])
 
-    each = scratch.written(rows.mapInArrow(run, "v long, c long, w long, s int, m int, r long, c2 long, alone boolean, g array<long>"), "pieces")
+    each = scratch.written(rows.mapInArrow(words.lean(run), "v long, c long, w long, s int, m int, r long, c2 long, alone boolean, g array<long>"), "pieces")
     of = each.groupBy(F.col("r").alias("key")).agg(F.sum("w").alias("total"), F.min("c2").alias("lo"), F.max("c2").alias("hi"), F.min("alone").alias("every_alone"))
     of = of.where("total > 1 or not every_alone")
     each = scratch.written(each.join(of, F.col("r") == F.col("key")).withColumn("same", F.col("every_alone") & (F.col("lo") == F.col("hi"))).drop("key", "lo", "hi", "r", "c2"), "pieces")
@@ -262,8 +262,10 @@ def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     bitmap = spark.sparkContext.broadcast(scratch.id_bitmap(spans.select("k"), "k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = 500
         for batch in batches:
-            step = 500
+            if batch.schema.names[-1] == "slot":  # the clean ones of all rows
+                batch = batch.filter(pa.array(~scratch.in_bitmap(bitmap.value, batch.column(2).to_numpy(zero_copy_only=False)))).select([0, 1])
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
                 texts = part.column(1).cast(pa.binary())
@@ -280,8 +282,8 @@ def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     schema = "doc_id long, n_words long, n_removed long, text string"
     rows = docs.select("doc_id", "id", "k", "text", "slot")
     hit = _let_through(rows, bitmap).drop("slot").join(spans, ["id", "k"], "left").select("doc_id", "text", "spans")
-    clean = _let_through(rows, bitmap, wanted=False).select("doc_id", "text")
-    return clean.mapInArrow(run, schema).union(hit.mapInArrow(run, schema))
+    clean = rows.select("doc_id", "text", "slot")
+    return clean.mapInArrow(words.lean(run), schema).union(hit.mapInArrow(words.lean(run), schema))
 
 
 def without_reference(docs: DataFrame, reference: DataFrame, least: int = 50, shard: int = 200_000) -> DataFrame:
@@ -324,4 +326,4 @@ def without_reference(docs: DataFrame, reference: DataFrame, least: int = 50, sh
                 names=["doc_id", "n_words", "n_removed", "text"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(words.lean(run), "doc_id long, n_words long, n_removed long, text string")

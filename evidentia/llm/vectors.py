@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, words
 from .components import components
 
 #: Vectors of a tile (about), rows of a product at once, pivots, and pairs recomputed at once.
@@ -142,7 +142,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["d", "v", "label", "rep", "w", "bins"])
 
     label = nodes.schema["label"].dataType.simpleString()
-    placed = nodes.select("d", "v", "label", "rep", "w").mapInArrow(binned, f"d int, v array<double>, label {label}, rep long, w long, bins array<long>")
+    placed = nodes.select("d", "v", "label", "rep", "w").mapInArrow(words.lean(binned), f"d int, v array<double>, label {label}, rep long, w long, bins array<long>")
     placed = scratch.written(placed, "vectors")
     sizes = placed.groupBy("label", "d", "bins").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
     tiles = placed.join(sizes, ["label", "d", "bins"]).withColumn("sub", F.pmod(F.xxhash64("rep"), "tiles"))
@@ -156,7 +156,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
     pairs = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.d") == F.col("y.d")) & (F.col("x.t") <= F.col("y.t")) & close).select(F.col("x.t").alias("a"), F.col("y.t").alias("b"))
     one = pairs.join(tiles.select(F.col("t").alias("a"), F.col("held").alias("x")), "a")
     two = one.join(tiles.select(F.col("t").alias("b"), F.col("held").alias("y")), "b").select("x", F.when(F.col("a") != F.col("b"), F.col("y")).alias("y"), (F.col("a") == F.col("b")).alias("own"))
-    found = scratch.written(two.mapInArrow(lambda it: _products(it, threshold), "id long, n long, low long"), "links")
+    found = scratch.written(two.mapInArrow(words.lean(lambda it: _products(it, threshold)), "id long, n long, low long"), "links")
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     comp = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
     per = nodes.join(links, F.col("rep") == F.col("id"), "left").join(comp, F.col("rep") == F.col("node"), "left")

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words
+
 #: Records of an archive file at most: a reading task holds a few files.
 PER_FILE = 1000
 _ID = "<urn:x-page:%s>"
@@ -73,7 +75,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-
                 made = [member(record(r["page_id"], r["url"], r["payload"], r["size"], base64.b32encode(r["sha"]).decode(), r["held"], date))[:-1] for r in part]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["m"])
 
-    made = rows.mapInArrow(build, "m binary").select(F.col("m").cast("string").alias("value"))
+    made = rows.mapInArrow(words.lean(build), "m binary").select(F.col("m").cast("string").alias("value"))
     made.write.option("lineSep", "\0").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
@@ -197,4 +199,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield out(rows)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(words.lean(run), SCHEMA)
