@@ -26,7 +26,7 @@ PREFIX = (None, 4, 5)
 #: Slope of the rectifier below zero: with none, words that no filter answers to yet would never be learnt.
 LEAK = np.float32(0.2)
 #: The bounded sample of labelled rows: rows at most, characters a row at most (longer ones are left out), and the share used to calibrate.
-SAMPLE, SAMPLE_CHARS, CALIBRATION = 12_000, 50_000, 0.2
+SAMPLE, SAMPLE_CHARS, CALIBRATION = 8000, 50_000, 0.2
 EPOCHS, STEPS, BATCH, RATE, SEED = 5, 800, 64, 0.02, 7
 #: Common words by language (fixed values); a text is in the language with the most of them.
 COMMON = {
@@ -76,8 +76,8 @@ class Model:
         self.shift = np.zeros(len(COMMON) + 1)
 
     def rows(self, h: np.ndarray) -> np.ndarray:
-        """The row of each word in each table."""
-        return (h >> _U(17)).astype(np.int64) % TABLE
+        """The row of each word in each table (``TABLE`` rows at most, so two bytes each)."""
+        return ((h >> _U(17)) % _U(TABLE)).astype(np.uint16)
 
     def embed(self, rows: np.ndarray) -> np.ndarray:
         return np.concatenate([self.tables[t][rows[t]] for t in range(TABLES)], axis=1)
@@ -144,7 +144,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x, -60, 60))))
 
     def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> None:
-        """Adam on the dense weights, Adagrad on the tables; the classes weigh the same. ``STEPS`` steps at least."""
+        """Adam on the dense weights, Adagrad on the tables; the classes weigh the same. ``STEPS`` steps at least. texts: of ``rows``."""
         rng = np.random.default_rng(seed)
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
         weight = np.minimum(weight, 10.0)
@@ -164,7 +164,7 @@ class Model:
                 h = np.concatenate([texts[i] for i in pick], axis=1)
                 offsets = np.concatenate(([0], np.cumsum([texts[i].shape[1] for i in pick])))
                 words_in = h.shape[1]
-                rows = self.rows(h)
+                rows = h
                 x = self.embed(rows)
                 z = self.responses(x, offsets)
                 seg = np.repeat(np.arange(len(pick)), np.diff(offsets))
@@ -258,7 +258,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select("doc_id", "text").where((fold() != 0) & (F.length("text") <= SAMPLE_CHARS))
     picked = marks.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("id"), "id").limit(2 * sample)
     got = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("doc_id", "text", "toxic").collect()
-    texts = [of_text(np.frombuffer(r["text"].encode(), np.uint8)) for r in got]
     y = np.array([r["toxic"] for r in got], np.int64)
     model = Model()
     if not len(y) or y.min() == y.max():
@@ -266,8 +265,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         model.base = np.float32(-4)
         return model
     held = np.array([zlib.crc32(b"calibrate%d" % r["doc_id"]) % 1000 < 1000 * CALIBRATION for r in got])
-    model.fit([t for t, c in zip(texts, held, strict=True) if not c], y[~held])
-    model.calibrate([t for t, c in zip(texts, held, strict=True) if c], y[held])
+    part = lambda which: (of_text(np.frombuffer(r["text"].encode(), np.uint8)) for r, c in zip(got, held, strict=True) if c == which)
+    model.fit([model.rows(h) for h in part(False)], y[~held])
+    model.calibrate(list(part(True)), y[held])
+    del got
+    words.trim()
     return model
 
 
@@ -293,7 +295,7 @@ def scored(docs: DataFrame, model: Model, columns: tuple[str, ...] = ()) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return chosen.mapInArrow(run, f"{schema}, score double" if schema else "score double")
+    return chosen.mapInArrow(words.lean(run), f"{schema}, score double" if schema else "score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
