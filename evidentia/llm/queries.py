@@ -79,5 +79,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_bpe, op4_urls, op5_lengths, op6_substrings, op7_warc, op8_secrets, op9_toxicity, op10_vectors)}
 
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Links by shared shingles, then the smallest id reachable by repeated minima along links.
+_OP1 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+ n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s), x AS (SELECT doc_id, unnest(s) AS g FROM s),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+ l AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+ r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a)
+ SELECT n.doc_id, n.n AS n_shingles, min(r.reach) AS component_id, n.doc_id = min(r.reach) AS kept FROM n JOIN r ON r.node = n.doc_id GROUP BY n.doc_id, n.n"""
+
+_OP6 = f"""WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+ x AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM w)),
+ y AS (SELECT doc_id, list(i) AS starts FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM x) WHERE n > 1 GROUP BY doc_id),
+ g AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda i: range(i, i + 35)))) AS gone FROM y),
+ t AS (SELECT w.doc_id, w, coalesce(gone, []) AS gone FROM w LEFT JOIN g USING (doc_id)),
+ e AS (SELECT doc_id, k, w[k] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM t)),
+ q AS (SELECT e.doc_id, string_agg(v, ' ' ORDER BY k) AS kept FROM e LEFT JOIN (SELECT doc_id, unnest(gone) AS k FROM t) d USING (doc_id, k) WHERE d.k IS NULL GROUP BY e.doc_id)
+ SELECT t.doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN q USING (doc_id)"""
+
+_BASE32 = " || ".join(f"translate(to_base(('0x' || substr(h, {i}, 10))::BIGINT, 32, 8), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')" for i in (1, 11, 21, 31))
+_OP7 = f"""SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+ FROM (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)"""
+
+_OP10 = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.93),
+ r AS (SELECT vec_id AS node, vec_id AS reach FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a)
+ SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, min(reach) AS component_id, vec_id = min(reach) AS kept FROM v JOIN r ON r.node = vec_id GROUP BY vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_minhash": _OP1, "op6_substrings": _OP6, "op7_warc": _OP7, "op10_vectors": _OP10}

@@ -127,17 +127,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
     def score_long(self, raw: np.ndarray) -> float:
-        """One text of any length, block by block, each with the last words before it: maxima and counts are joined."""
+        """One text of any length, block by block: maxima and counts are joined. A block's last words wait for the next one, as
+        filters reach ahead."""
         best, n = np.full(FILTERS * len(WIDTHS), -np.inf, np.float32), np.zeros(len(self.languages) + 1, np.int64)
-        tail = np.empty((TABLES, 0), np.uint64)
-        for a, b in words.cuts(raw, words.BARE):
+        tail, ahead = np.empty((TABLES, 0), np.uint64), max(WIDTHS) - 1
+        parts = list(words.cuts(raw, words.BARE))
+        for k, (a, b) in enumerate(parts):
             own = hashed(raw[a:b], *words.bounds(raw[a:b], words.BARE))
+            at = np.minimum(np.searchsorted(self.marks, own[0]), len(self.marks) - 1)
+            n[: len(self.languages)] += np.bincount(self.mark_of[at[self.marks[at] == own[0]]], minlength=len(self.languages))
             h = np.concatenate((tail, own), axis=1)
-            if h.shape[1]:
-                best = np.maximum(best, self.pooled(h, np.array([0, h.shape[1]]))[0])
-                at = np.minimum(np.searchsorted(self.marks, own[0]), len(self.marks) - 1)
-                n[: len(self.languages)] += np.bincount(self.mark_of[at[self.marks[at] == own[0]]], minlength=len(self.languages))
-                tail = h[:, -(max(WIDTHS) - 1) :]
+            whole = h.shape[1] if k == len(parts) - 1 else h.shape[1] - ahead
+            if whole > 0:
+                z = self.responses(self.embed(self.rows(h)), np.array([0, h.shape[1]]))
+                best = np.maximum(best, np.concatenate([v[:whole].max(axis=0) for v in z]))
+            tail = h[:, max(whole, 0) :]
         if np.isinf(best[0]):
             best[:] = 0
         x = float(self.logits(best[None, :])[0]) - self.shift[int(n.argmax()) if n.any() else len(self.languages)]
