@@ -11,7 +11,7 @@ from io import BytesIO
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SKIP = {"script", "style", "noscript", "template", "nav", "footer", "svg"}
@@ -175,8 +175,8 @@ def zip_members(data: bytes, prefix: str = "zip") -> Iterator[tuple[str, str, in
             yield f"{prefix}:{n}", m.filename, m.file_size, why, None if why else z.read(m)
 
 
-def zip_scan(spark: SparkSession, path: str) -> DataFrame:
-    """S13. (file, id, name, bytes, refused, content) of the members of archives under ``path``."""
+def zip_scan(files: DataFrame) -> DataFrame:
+    """S13. (file, id, name, bytes, refused, content) of the members of the archives in ``files`` (path, content)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -184,7 +184,7 @@ def zip_scan(spark: SparkSession, path: str) -> DataFrame:
                 for row in zip_members(bytes(data)):
                     yield pd.DataFrame([(file, *row)], columns=["file", "id", "name", "bytes", "refused", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, id string, name string, bytes long, refused string, content binary")
+    return files.mapInPandas(run, "file string, id string, name string, bytes long, refused string, content binary")
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -211,8 +211,9 @@ def docx_blocks(data: bytes) -> list[tuple[str, str | None, int, int, int, str]]
     return out
 
 
-def docx_scan(spark: SparkSession, path: str) -> DataFrame:
-    """S18, S22. (file, block, kind, heading, table, row, col, text) of the documents under ``path``: heading-scoped passages and cells."""
+def docx_scan(files: DataFrame) -> DataFrame:
+    """S18, S22. (file, block, kind, heading, table, row, col, text) of the documents in ``files`` (path, content): passages under
+    their headings, and cells."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -220,4 +221,4 @@ def docx_scan(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(file, n, *b) for n, b in enumerate(docx_blocks(bytes(data)))]
                 yield pd.DataFrame(rows, columns=["file", "block", "kind", "heading", "table", "row", "col", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, block int, kind string, heading string, table int, row int, col int, text string")
+    return files.mapInPandas(run, "file string, block int, kind string, heading string, table int, row int, col int, text string")

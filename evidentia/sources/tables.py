@@ -78,7 +78,7 @@ def csv_cells(spark: SparkSession, path: str, most_cells: int | None = None) ->
                         rows = []
                 yield pd.DataFrame(rows, columns=["file", "row", "col", "value"])
 
-    cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row int, col int, value string")
+    cells = files(spark, path).mapInPandas(run, "file string, row int, col int, value string")
     return cells.withColumn("address", a1(F.col("row"), F.col("col")))
 
 
@@ -109,19 +109,48 @@ def workbook(data: bytes) -> Iterator[tuple]:
                 yield sheet.get("name"), cell.get("r"), value, None if f is None else "=" + (f.text or ""), starts.get(cell.get("r"))
 
 
-def xlsx_cells(spark: SparkSession, path: str) -> DataFrame:
-    """S05. (file, sheet, address, value, formula, merged): cached values and formulas side by side, merged ranges at their first cell."""
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the files under ``path``."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def conditional_formats(data: bytes) -> Iterator[tuple]:
+    """(sheet, range, type, operator, formula) of a workbook's conditional formats, as they are written; none is evaluated."""
+    with zipfile.ZipFile(BytesIO(data)) as z:
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _NS):
+            root = ElementTree.fromstring(z.read("xl/" + targets[sheet.get(_REL)].removeprefix("/xl/").removeprefix("xl/")))
+            for block in root.findall("m:conditionalFormatting", _NS):
+                for rule in block.findall("m:cfRule", _NS):
+                    formulas = [f.text or "" for f in rule.findall("m:formula", _NS)]
+                    yield sheet.get("name"), block.get("sqref"), rule.get("type"), rule.get("operator"), "; ".join(formulas)
+
+
+def format_rules(files: DataFrame) -> DataFrame:
+    """D35. (file, sheet, range, type, operator, formula) of the workbooks in ``files`` (path, content)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for file, data in zip(part["path"], part["content"], strict=True):
+                yield pd.DataFrame([(file, *x) for x in conditional_formats(bytes(data))], columns=["file", "sheet", "range", "type", "operator", "formula"])
+
+    return files.mapInPandas(run, "file string, sheet string, range string, type string, operator string, formula string")
+
+
+def xlsx_cells(files: DataFrame) -> DataFrame:
+    """S05. (file, sheet, address, value, formula, merged): cached values and formulas side by side, merged ranges at their first
+    cell. files: path, content."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for file, data in zip(part["path"], part["content"], strict=True):
                 yield pd.DataFrame([(file, *x) for x in workbook(bytes(data))], columns=["file", "sheet", "address", "value", "formula", "merged"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, sheet string, address string, value string, formula string, merged string")
+    return files.mapInPandas(run, "file string, sheet string, address string, value string, formula string, merged string")
 
 
-def xls_cells(spark: SparkSession, path: str) -> DataFrame:
-    """S06. (file, sheet, row, col, value) of legacy workbooks; needs the optional reader of that format on the executors."""
+def xls_cells(files: DataFrame) -> DataFrame:
+    """S06. (file, sheet, row, col, value) of legacy workbooks; needs the optional reader of that format (xlrd) on the executors."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xlrd
@@ -132,7 +161,7 @@ def xls_cells(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(file, s.name, r + 1, c + 1, str(s.cell_value(r, c))) for s in book.sheets() if not s.visibility for r in range(s.nrows) for c in range(s.ncols)]
                 yield pd.DataFrame(rows, columns=["file", "sheet", "row", "col", "value"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, sheet string, row int, col int, value string")
+    return files.mapInPandas(run, "file string, sheet string, row int, col int, value string")
 
 
 def text_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int = 8000) -> DataFrame:

@@ -184,13 +184,13 @@ def test_workbook_and_document(spark, tmp_path):
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si></sst>")
         z.writestr("xl/worksheets/s.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1"><f>1+1</f><v>2</v></c></row></sheetData><mergeCells><mergeCell ref="A1:A2"/></mergeCells></worksheet>')
-    got = {r.address: (r.value, r.formula, r.merged) for r in S.xlsx_cells(spark, str(tmp_path / "a.xlsx")).collect()}
+    got = {r.address: (r.value, r.formula, r.merged) for r in S.xlsx_cells(S.files(spark, str(tmp_path / "a.xlsx"))).collect()}
     assert got == {"A1": ("name", None, "A1:A2"), "B1": ("2", "=1+1", None)}
 
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
         z.writestr("word/document.xml", f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>body</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
-    got = [(r.kind, r.heading, r.text) for r in M.docx_scan(spark, str(tmp_path / "a.docx")).orderBy("block").collect()]
+    got = [(r.kind, r.heading, r.text) for r in M.docx_scan(S.files(spark, str(tmp_path / "a.docx"))).orderBy("block").collect()]
     assert got == [("heading", "Top", "Top"), ("paragraph", "Top", "body"), ("cell", "Top", "c")]
 
 
@@ -202,7 +202,7 @@ def test_archive_guards(spark, tmp_path):
         z.writestr("../up.txt", "x")
         z.writestr("bomb", "0" * 1_000_000)
     (tmp_path / "b.zip").write_bytes(b"no archive")
-    got = {(r.name, r.refused) for r in M.zip_scan(spark, str(tmp_path)).collect()}
+    got = {(r.name, r.refused) for r in M.zip_scan(S.files(spark, str(tmp_path))).collect()}
     assert got == {("ok.txt", None), ("../up.txt", "unsafe_name"), ("bomb", "ratio"), ("", "not_a_zip")}
 
 
