@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
 from .bpe import Encoder
 
 #: Lengths in a block of the two-level suffix sums.
@@ -12,8 +13,8 @@ SPAN = 256
 
 
 def histogram(docs: DataFrame, encoder: Encoder) -> DataFrame:
-    """(n_tokens, n_docs) over all rows: a null or empty text has length 0; no rows give no rows."""
-    return encoder.lengths(docs).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    """(n_tokens, n_docs) over all rows: a null or empty text has length 0; no rows give no rows. Written once, as every use would encode again."""
+    return scratch.written(encoder.lengths(docs).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")
 
 
 def limits(hist: DataFrame) -> DataFrame:
