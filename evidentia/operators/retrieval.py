@@ -14,6 +14,8 @@ from .catalog import sized_broadcast
 
 #: Parameters of the model (fixed values): saturation, length weight, weight of a single Han character, rank constant of fusion.
 K1, B, HAN_WEIGHT, RRF = 1.5, 0.75, 0.12, 60
+#: Distinct terms of a batch of queries that may be part of an expression.
+QUERY_TERMS = 2000
 
 
 def term_counts(docs: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
@@ -172,10 +174,15 @@ def window_scores(queries: DataFrame, windows: DataFrame) -> DataFrame:
     """R11. (query_id, window_id, score) above 0: over terms of query and window, the log of their rarity times the saturated
     number of places where the term's string occurs in the lower-cased text. queries: query_id, text; windows: window_id, text."""
     q = queries.select("query_id", F.explode(T.session_terms(F.col("text"))).alias("term"))
-    wanted = sized_broadcast(q.select("term").distinct())
-    own = windows.select("window_id", F.lower("text").alias("_t"), F.explode(T.session_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
-    places = F.floor((F.length("_t") - F.length(F.replace("_t", F.col("term"), F.lit("")))) / F.length("term"))
-    c = own.select("window_id", "term", places.alias("c"))
+    terms = [r["term"] for r in q.select("term").distinct().limit(QUERY_TERMS + 1).collect()]
+    places = lambda t, term: F.floor((F.length(t) - F.length(F.replace(t, term, F.lit("")))) / F.length(term))
+    own = windows.select("window_id", F.lower("text").alias("_t"), T.session_terms(F.col("text")).alias("_terms"))
+    if len(terms) <= QUERY_TERMS:  # counted within the row, so that a text isn't copied for each of its terms
+        hits = F.array_intersect("_terms", F.array(*map(F.lit, terms)).cast("array<string>"))
+        c = own.select("window_id", F.explode(F.transform(hits, lambda x: F.struct(x.alias("term"), places(F.col("_t"), x).alias("c")))).alias("x")).select("window_id", "x.*")
+    else:
+        some = own.select("window_id", F.explode("_terms").alias("term")).join(sized_broadcast(q.select("term").distinct()), "term", "left_semi")
+        c = some.join(own.select("window_id", "_t"), "window_id").select("window_id", "term", places(F.col("_t"), F.col("term")).alias("c"))
     df = c.groupBy("term").agg(F.count("*").alias("df"))
     n = windows.agg(F.count("*").alias("n"))
     rows = q.join(sized_broadcast(df), "term").join(c, "term").crossJoin(F.broadcast(n))
