@@ -13,8 +13,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch.small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     columns = docs.columns
-    scored = toxicity.scored(docs.withColumn("_row", F.col("text")), toxicity.train(docs, labels), (*[c for c in columns if c != "text"], "_row"))
-    return scored.where("score < 0.5").withColumnRenamed("_row", "text").select(*columns)
+    scored = toxicity.scored(docs, toxicity.train(docs, labels), tuple(columns), "__score")
+    return scored.where("__score < 0.5").select(*columns)
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     scratch.small_batches(spark)
     columns = docs.columns
     groups = minhash.near_duplicates(docs, percent=80, k=5).where("kept").select("doc_id").distinct()
-    kept = docs.join(groups.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select(*columns)
+    kept = docs.join(groups.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).select(*columns)
     some = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if some else kept
 

@@ -118,7 +118,7 @@ def index_of(benchmark: DataFrame) -> Index:
 
 def _found(docs: DataFrame, benchmark: DataFrame, columns: list[str], similar: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(index_of(benchmark))
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns) + "_hits array<struct<item_id:long,start:int,words:int,similarity:double>>"
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns) + "__hits array<struct<item_id:long,start:int,words:int,similarity:double>>"
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +127,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, columns: list[str], similar: f
             for i, j, h, o in words.hashed(batch.column(batch.num_columns - 1), words.BARE, words.LOWER):
                 for k in range(j - i):
                     hits.append([dict(zip(("item_id", "start", "words", "similarity"), x, strict=True)) for x in sent.value.hits(h[o[k] : o[k + 1]], similar)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, kind)], names=[*columns, "_hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, kind)], names=[*columns, "__hits"])
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(words.lean(run), schema)
+    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(words.lean(run), schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -144,12 +144,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR
     Further columns are not read. No rows give no rows; an empty benchmark finds nothing.
     """
     rows = _found(docs, benchmark, ["doc_id"], similar)
-    names = F.array_join(F.transform("_hits", lambda x: F.concat_ws(":", x["item_id"].cast("string"), x["start"].cast("string"), x["words"].cast("string"))), ",")
-    best = F.coalesce(F.array_max(F.transform("_hits", lambda x: x["similarity"])), F.lit(0.0))
-    return rows.select("doc_id", F.size("_hits").cast("long").alias("n_items"), (F.size("_hits") > 0).alias("contaminated"), names.alias("items"), F.round(best, 6).alias("best"))
+    names = F.array_join(F.transform("__hits", lambda x: F.concat_ws(":", x["item_id"].cast("string"), x["start"].cast("string"), x["words"].cast("string"))), ",")
+    best = F.coalesce(F.array_max(F.transform("__hits", lambda x: x["similarity"])), F.lit(0.0))
+    return rows.select("doc_id", F.size("__hits").cast("long").alias("n_items"), (F.size("__hits") > 0).alias("contaminated"), names.alias("items"), F.round(best, 6).alias("best"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` without near copies of items, all columns as they are."""
     columns = docs.columns
-    return _found(docs, benchmark, columns, similar).where(F.size("_hits") == 0).select(*columns)
+    return _found(docs, benchmark, columns, similar).where(F.size("__hits") == 0).select(*columns)

@@ -277,10 +277,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def scored(docs: DataFrame, model: Model, columns: tuple[str, ...] = ()) -> DataFrame:
-    """``columns`` of ``docs`` and ``score`` of each row's whole ``text`` (null: empty), 0 to 1."""
+def scored(docs: DataFrame, model: Model, columns: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """``columns`` of ``docs`` and, as ``name``, the score of each row's whole ``text`` (null: empty), 0 to 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*columns, F.col("text").alias("_text"))
+    chosen = docs.select(*columns, F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -296,10 +296,10 @@ def scored(docs: DataFrame, model: Model, columns: tuple[str, ...] = ()) -> Data
                     at = offsets[i : j + 1] - offsets[i]
                     s, e = words.split_rows(*words.bounds(piece, words.BARE), at)
                     score[i:j] = model.score(hashed(piece, s, e), np.searchsorted(s, at))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], name])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return chosen.mapInArrow(words.lean(run), f"{schema}, score double" if schema else "score double")
+    return chosen.mapInArrow(words.lean(run), f"{schema}, `{name}` double" if schema else f"`{name}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
