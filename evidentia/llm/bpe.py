@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import scratch, words
 from .lexicon import Lexicon
 
-#: Frequent words that the lexicon holds at most, and words that a worker remembers at most: neither changes a result.
-LEXICON, CACHE = 1 << 16, 300_000
+#: Frequent words that the lexicon holds at most; words that a worker remembers, and counts, at once: none changes a result.
+LEXICON, CACHE, COUNTED = 1 << 17, 100_000, 200_000
 END = "</w>"
 _SLOW, _TAG = 4, np.uint64(0xA5A5_5A5A_1234_4321)
 
@@ -181,14 +181,38 @@ for _c in range(128):
     _CLASS[_c] = 0 if _c == 32 or 9 <= _c <= 13 else 1 if chr(_c).isalpha() else 2 if chr(_c).isdigit() else 3
 _CONTRACTS = np.zeros(256, bool)
 _CONTRACTS[list(b"strvmldSTRVMLD")] = True
-_codecs: dict[tuple, Codec] = {}
+_held: dict[int, tuple[Codec, str | None]] = {}
 
 
 def _codec(spec: str, name: str | None) -> Codec:
-    """One codec per worker process and lexicon."""
-    if (name, hash(spec)) not in _codecs:
-        _codecs[name, hash(spec)] = Codec(json.loads(spec), Lexicon.load(SparkFiles.get(name)) if name else None)
-    return _codecs[name, hash(spec)]
+    """The worker process's codec: one vocabulary, and the lexicon asked for last."""
+    key = hash(spec)
+    if key not in _held:
+        _held.clear()
+        _held[key] = (Codec(json.loads(spec)), None)
+    codec, last = _held[key]
+    if name != last:
+        codec.lexicon = Lexicon.load(SparkFiles.get(name)) if name else None
+        codec.cache.clear()
+        _held[key] = (codec, name)
+    return codec
+
+
+def _forget() -> None:
+    for codec, _ in _held.values():
+        codec.cache.clear()
+
+
+def _tidy(f):
+    """A function for mapInArrow after which the worker forgets the words it has met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _forget()
+
+    return words.lean(run)
 
 
 class Encoder:
@@ -224,13 +248,13 @@ class Encoder:
                         for a, b, c in zip(s[~slow].tolist(), e[~slow].tolist(), n[~slow].tolist(), strict=True):
                             w = data[a:b]
                             seen[w] = seen.get(w, 0) + c
-                        if len(seen) > CACHE:
+                        if len(seen) > COUNTED:
                             yield out()
                             seen.clear()
             if seen:
                 yield out()
 
-        counts = corpus.select(text).mapInArrow(words.lean(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counts = corpus.select(text).mapInArrow(_tidy(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
         counts = scratch.written(counts.withColumn("bin", F.floor(F.log2("n") * 64)), "words")
         # the least count that leaves up to ``size`` words: from a histogram, so the driver never sees more than these
         least, total = 0, 0
@@ -261,7 +285,7 @@ class Encoder:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), lists], names=[id, "n_tokens", "ids"])
 
         kind = docs.schema[id].dataType.simpleString()
-        return docs.select(id, text).mapInArrow(words.lean(run), f"`{id}` {kind}, n_tokens long, ids array<int>")
+        return docs.select(id, text).mapInArrow(_tidy(run), f"`{id}` {kind}, n_tokens long, ids array<int>")
 
     def decode(self, rows: DataFrame, id: str = "doc_id", ids: str = "ids") -> DataFrame:
         """(id, text) of every row; null ids give an empty text."""
@@ -274,7 +298,7 @@ class Encoder:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id, "text"])
 
         kind = rows.schema[id].dataType.simpleString()
-        return rows.select(id, ids).mapInArrow(words.lean(run), f"`{id}` {kind}, text string")
+        return rows.select(id, ids).mapInArrow(_tidy(run), f"`{id}` {kind}, text string")
 
     def digests(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_tokens, and digests of the ids and of the text decoded from them; the ids don't leave the worker."""
@@ -293,7 +317,7 @@ class Encoder:
                         names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                     )
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(words.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
     def lengths(self, docs: DataFrame) -> DataFrame:
         """(n_tokens, n_docs) counted batch by batch; add up by n_tokens."""
@@ -305,4 +329,4 @@ class Encoder:
                 n, count = np.unique(np.concatenate([np.diff(at) for *_, at in codec.encode(batch.column(0))] or [np.empty(0, np.int64)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(count, pa.int64())], names=["n_tokens", "n_docs"])
 
-        return docs.select("text").mapInArrow(words.lean(run), "n_tokens long, n_docs long")
+        return docs.select("text").mapInArrow(_tidy(run), "n_tokens long, n_docs long")

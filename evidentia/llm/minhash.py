@@ -103,8 +103,8 @@ def signed_documents(docs: DataFrame, percent: int, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(words.lean(sign), "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(id, shingles as bytes) of the documents whose id is in ``wanted``, and of few others."""
+def _sets(docs: DataFrame, wanted: DataFrame, k: int, flat: bool = False) -> DataFrame:
+    """(id, shingles as bytes) of the documents whose id is in ``wanted``, and of few others; ``flat``: (id, t), a row a shingle."""
     bitmap = docs.sparkSession.sparkContext.broadcast(scratch.id_bitmap(wanted, "id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +113,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             batch = batch.filter(pa.array(scratch.in_bitmap(bitmap.value, slots)))
             for i, j, h, o in words.hashed(batch.column(1), words.SPACE, words.LOWER):
                 g, at = shingle_sets(h, o, k)
+                ids = batch.column(0).slice(i, j - i)
+                if flat:
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(j - i), np.diff(at)))), pa.array(words.signed(g))], names=["id", "t"])
+                    continue
                 at32 = pa.array(at * 8, pa.int64())
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, at32.buffers()[1], pa.py_buffer(g.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), data.cast(pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids, data.cast(pa.binary())], names=["id", "shingles"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.select("doc_id", "text", scratch.id_slot("doc_id").alias("slot")).mapInArrow(words.lean(sets), "id long, shingles binary")
+    schema = "id long, t long" if flat else "id long, shingles binary"
+    return rows.select("doc_id", "text", scratch.id_slot("doc_id").alias("slot")).mapInArrow(words.lean(sets), schema)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
@@ -156,15 +161,8 @@ def _rare_pairs(rows: DataFrame, docs: DataFrame, percent: int, k: int) -> DataF
     family of variants of one text meets only where its members' own changes allow
     it, not in all its pairs.
     """
-    sets = _sets(docs, rows.select(F.col("rep").alias("id")), k)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                g = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), batch.column(0)[i].as_py())), pa.array(g)], names=["id", "t"])
-
-    t = scratch.written(sets.mapInArrow(words.lean(each), "id long, t long").join(rows.select(F.col("rep").alias("id")), "id", "left_semi"), "shingles")
+    wanted = rows.select(F.col("rep").alias("id"))
+    t = scratch.written(_sets(docs, wanted, k, flat=True).join(wanted, "id", "left_semi"), "shingles")
     often = t.groupBy("t").agg(F.count("*").alias("f"))
     rank = t.join(often, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
     q = percent / 100
