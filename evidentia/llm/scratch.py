@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +36,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     A frame without rows comes back with its schema.
     """
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at = path(spark, name)
+    df.write.option("compression", "zstd").parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def path(spark: SparkSession, name: str) -> str:
@@ -60,6 +61,14 @@ def clear(spark: SparkSession) -> None:
     drop(spark, *_made.pop(spark.sparkContext.applicationId, []))
 
 
+@atexit.register
+def _leave() -> None:
+    """Removes this driver's tables when it ends, if its session still runs."""
+    spark = SparkSession.getActiveSession() if SparkContext._active_spark_context else None
+    if spark and spark.sparkContext.applicationId in _made:
+        clear(spark)
+
+
 BITS = 1 << 24
 
 
