@@ -159,7 +159,10 @@ def _by_automaton(rows: DataFrame, least: int) -> DataFrame:
                 auto.add(seq, w)
             auto.close()
             out = []
-            for v, c, _, seq in held:
+            for v, c, w, seq in held:
+                if w > 1:  # the whole segment occurs again
+                    out.append((v, c, 0, len(seq) - least + 1))
+                    continue
                 again = [i + n - least for i, n, places in auto.matches(seq, least) if places > 1]
                 out += [(v, c, s, n) for s, n in _runs(np.array(again, np.int64))]
             cols = list(zip(*out, strict=True)) or [[]] * 4
@@ -179,32 +182,49 @@ def _by_automaton(rows: DataFrame, least: int) -> DataFrame:
     return rows.repartition("v").sortWithinPartitions("v").mapInArrow(words.lean(run), "v long, c long, s int, n int")
 
 
+def _piece(g: np.ndarray) -> dict:
+    """A piece's windows: distinct hashes (g) with their numbers (n); those that stand once (once) and where (at); runs of the
+    others, which repeat within the piece (known)."""
+    keys, which, n = np.unique(g, return_inverse=True, return_counts=True)
+    single = np.flatnonzero(n[which] == 1)
+    known = [{"a": a, "n": k} for a, k in _runs(np.flatnonzero(n[which] > 1))]
+    return {"g": words.signed(keys), "n": n.astype(np.int32), "once": words.signed(g[single]), "at": single.astype(np.int32), "known": known}
+
+
 def _by_window(rows: DataFrame, least: int) -> DataFrame:
     """The same for n-grams with very many different segments, such as those at a common passage's edges.
 
-    These are cut once more by longer n-grams, of which equal pieces collapse again;
-    the windows of pieces that are still mixed are counted by their hashes.
+    These are cut once more by longer n-grams, and equal pieces collapse again; the
+    windows of pieces that occur once, and stand once there, are looked up by their hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"g": pa.list_(pa.int64()), "n": pa.list_(pa.int32()), "once": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "known": pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())]))}
         for batch in batches:
             for i in range(batch.num_rows):
                 h = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
                 _, s, m, r, c, alone = segments(h, np.array([0, len(h)]), least, max(least - LONGER, 1))
-                n, g = len(s), words.signed(words.grams(h, least))
-                at = pa.array(np.append(s, len(g)).astype(np.int32))
-                cols = [pa.array([batch.column(k)[i].as_py()] * n, pa.int64()) for k in (0, 1, 2)]
-                cols += [pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(words.signed(r)), pa.array(words.signed(c)), pa.array(alone), pa.ListArray.from_arrays(at, pa.array(g))]
-                yield pa.RecordBatch.from_arrays(cols, names=["v", "c", "w", "s", "m", "r", "c2", "alone", "g"])
-
-    each = scratch.written(rows.mapInArrow(words.lean(run), "v long, c long, w long, s int, m int, r long, c2 long, alone boolean, g array<long>"), "pieces")
-    of = each.groupBy(F.col("r").alias("key")).agg(F.sum("w").alias("total"), F.min("c2").alias("lo"), F.max("c2").alias("hi"), F.min("alone").alias("every_alone"))
-    of = of.where("total > 1 or not every_alone")
-    each = scratch.written(each.join(of, F.col("r") == F.col("key")).withColumn("same", F.col("every_alone") & (F.col("lo") == F.col("hi"))).drop("key", "lo", "hi", "r", "c2"), "pieces")
-    single = each.where("not same").select("v", "c", "w", F.posexplode("g").alias("i", "g"), "s").select("v", "c", "w", (F.col("s") + F.col("i")).alias("s"), "g")
-    again = single.groupBy("g").agg(F.sum("w").alias("n")).where("n > 1").select("g")
+                g = words.grams(h, least)
+                pieces = [_piece(g[a : a + k]) for a, k in zip(s.tolist(), m.tolist(), strict=True)]
+                cols = [pa.array([batch.column(k)[i].as_py()] * len(s), pa.int64()) for k in (0, 1, 2)]
+                cols += [pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(words.signed(r)), pa.array(words.signed(c)), pa.array(alone)]
+                cols += [pa.array([p[k] for p in pieces], kind) for k, kind in kinds.items()]
+                yield pa.RecordBatch.from_arrays(cols, names=["v", "c", "w", "s", "m", "r", "c2", "alone", *kinds])
+
+    schema = "v long, c long, w long, s int, m int, r long, c2 long, alone boolean, g array<long>, n array<int>, once array<long>, at array<int>, known array<struct<a:int,n:int>>"
+    each = scratch.written(rows.mapInArrow(words.lean(run), schema), "pieces")
+    # equal pieces are one with a weight: all windows of those that occur again repeat
+    equal = each.groupBy("r", "c2").agg(F.sum("w").alias("total"), F.min("alone").alias("alone"), F.first(F.struct("g", "n")).alias("own"))
+    routes = equal.groupBy(F.col("r").alias("key")).agg(F.sum("total").alias("all"), F.min("c2").alias("lo"), F.max("c2").alias("hi"), F.min("alone").alias("every_alone"))
+    routes = routes.where("all > 1 or not every_alone")
+    equal = scratch.written(equal.join(routes, F.col("r") == F.col("key")).withColumn("mixed", ~F.col("every_alone") | (F.col("lo") != F.col("hi"))).select("r", "c2", "total", "mixed", "own.g", "own.n"), "pieces")
+    each = each.select("v", "c", "s", "m", "r", "c2", "once", "at", "known").join(equal.select("r", "c2", "total"), ["r", "c2"])
+    again = equal.where("mixed").select("total", F.explode(F.arrays_zip("g", "n")).alias("x")).groupBy("x.g").agg(F.sum(F.col("total") * F.col("x.n")).alias("n")).where("n > 1").select("g")
+    lone = each.where("total = 1").repartition("v", "c", "s")  # those of one n-gram may be very many
+    known = lone.select("v", "c", "s", F.explode("known").alias("x")).select("v", "c", (F.col("s") + F.col("x.a")).alias("s"), "x.n")
+    single = lone.select("v", "c", "s", F.explode(F.arrays_zip("once", "at")).alias("x")).select("v", "c", (F.col("s") + F.col("x.at")).alias("s"), F.col("x.once").alias("g"))
     single = single.join(again, "g", "left_semi").select("v", "c", "s", F.lit(1).alias("n"))
-    return each.where("same").select("v", "c", "s", F.col("m").alias("n")).union(single)
+    return each.where("total > 1").select("v", "c", "s", F.col("m").alias("n")).union(single).union(known)
 
 
 def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
