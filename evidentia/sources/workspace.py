@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
+_made: list[str] = []
+
+
+@atexit.register
+def _leave() -> None:
+    """Removes this driver's folders when it ends, through the store's own file system, if its session still runs."""
+    sc = SparkContext._active_spark_context
+    while sc and _made:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def new(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="workspace-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
