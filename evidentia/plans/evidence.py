@@ -25,7 +25,7 @@ def disagreements(t: Tables):
 
 @query("A11_conflict_components")
 def conflict_components(t: Tables):
-    edges = t.lineitem.where("l_orderkey < 400").select((F.col("l_suppkey") % 7).alias("query_id"), F.col("l_partkey").alias("group_id"), F.col("l_orderkey").alias("evidence_id"))
+    edges = t.lineitem.select((F.col("l_suppkey") % 7).alias("query_id"), F.col("l_partkey").alias("group_id"), F.col("l_orderkey").alias("evidence_id"))
     return G.conflict_components(edges)
 
 
@@ -146,7 +146,7 @@ def box_islands(t: Tables):
 
 
 def _scored_orders(t: Tables):
-    return t.lineitem.select(F.col("l_orderkey").alias("query_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("id"), F.col("l_suppkey").alias("doc"), F.col("l_quantity").alias("score"), F.concat("l_returnflag", "l_linestatus").alias("text"), F.col("l_quantity").cast("int").alias("tokens")).dropDuplicates(["query_id", "id"]).where("query_id <= 4000")
+    return t.lineitem.select(F.col("l_orderkey").alias("query_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("id"), F.col("l_suppkey").alias("doc"), F.col("l_quantity").alias("score"), F.concat("l_returnflag", "l_linestatus").alias("text"), F.col("l_quantity").cast("int").alias("tokens")).dropDuplicates(["query_id", "id"])
 
 
 @query("R03_rule_bonuses", "SELECT doc_id, least(80, 16 * contains(lower(source), 'src1')::INT + 16 * contains(lower(lang), 'en')::INT)::BIGINT AS source_bonus, least(100, 12 * len(list_filter(['the ', 'ing ', 'tion'], lambda x: contains(text, x))))::BIGINT AS gram_bonus FROM documents")
@@ -226,7 +226,7 @@ def payload_trim(t: Tables):
 
 @query("R32_primary_visuals")
 def primary_visuals(t: Tables):
-    rows = t.lineitem.where("l_orderkey <= 4000").groupBy(F.col("l_suppkey").alias("query_id"), F.col("l_orderkey").alias("case_id")).agg(F.max("l_quantity").alias("score"), F.array_sort(F.collect_set(F.col("l_partkey") % 40)).alias("assets"))
+    rows = t.lineitem.groupBy(F.col("l_suppkey").alias("query_id"), F.col("l_orderkey").alias("case_id")).agg(F.max("l_quantity").alias("score"), F.array_sort(F.collect_set(F.col("l_partkey") % 40)).alias("assets"))
     return G.primary_visuals(rows, 10)
 
 
