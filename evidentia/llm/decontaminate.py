@@ -7,12 +7,15 @@ bits of each other, two fingerprints differ in one of ``BLOCKS`` blocks by at mo
 RADIUS // BLOCKS bits, so looking each block up with that many changes finds every
 item within the radius. The similarity of what is found is then computed exactly.
 
-A similar window shares a shingle with its item, so windows are placed where a
-shingle of an item occurs, aligned with it there; no other window can pass.
+A similar window shares most of its shingles with its item, wherever they stand in
+it. So every start is tried whose window holds enough shingles of the item to pass,
+with counts that roll from one start to the next; no other window can pass.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +53,29 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / max(np.maximum(x, y).sum(), 1))
 
 
+def _shared(pos: np.ndarray, row: np.ndarray, times: np.ndarray, held: int, least: int, last: int) -> Iterator[tuple[int, int]]:
+    """(start, shared shingles, each as often as both have it) of all windows of ``held`` shingles, up to the start ``last``,
+    that share ``least`` or more. pos, row: the places of the item's shingles, in order, and their rows in its table; times: how often it has them."""
+    i = np.flatnonzero(pos[least - 1 :] - pos[: len(pos) - least + 1] < held)
+    first, end = np.maximum(pos[i + least - 1] - held + 1, 0), np.minimum(pos[i], last) + 1
+    first = np.maximum(first, np.concatenate(([0], end[:-1])))
+    most, places, rows = dict(zip(row.tolist(), times[row].tolist(), strict=True)), pos.tolist(), row.tolist()
+    lo = hi = both = 0
+    have = dict.fromkeys(most, 0)
+    for a, b in zip(first.tolist(), end.tolist(), strict=True):
+        for s in range(a, b):
+            while hi < len(places) and places[hi] < s + held:
+                have[rows[hi]] += 1
+                both += have[rows[hi]] <= most[rows[hi]]
+                hi += 1
+            while lo < hi and places[lo] < s:
+                both -= have[rows[lo]] <= most[rows[lo]]
+                have[rows[lo]] -= 1
+                lo += 1
+            if both >= least:
+                yield s, both
+
+
 class Index:
     """Items by shingle and by fingerprint blocks. items: (id, word hashes)."""
 
@@ -59,11 +85,10 @@ class Index:
         self.sizes = np.array([len(h) for _, h in items], np.int64)
         self.sets = [shingles(h) for _, h in items]
         self.prints = np.array([simhash(g) for g in self.sets], np.uint8).reshape(-1, 8)
-        rows = [(g, n, o) for n, s in enumerate(self.sets) for o, g in enumerate(s.tolist())]
-        rows.sort()
+        rows = sorted((g, n, c) for n, s in enumerate(self.sets) for g, c in zip(*(x.tolist() for x in np.unique(s, return_counts=True)), strict=True))
         self.keys = np.array([r[0] for r in rows], np.uint64)
         self.item = np.array([r[1] for r in rows], np.int64)
-        self.place = np.array([r[2] for r in rows], np.int64)
+        self.times = np.array([r[2] for r in rows], np.int64)
         self.short = sorted({int(n) for n in self.sizes if n < K})
         # by block and value: the items whose block is within reach
         self.blocks = [[np.flatnonzero(_NEAR[v][self.prints[:, b]]) for v in range(256)] for b in range(BLOCKS)] if len(items) else []
@@ -84,6 +109,11 @@ class Index:
         far = np.unpackbits(self.prints[near] ^ fingerprint, axis=1).sum(axis=1)
         return near[far <= RADIUS]
 
+    def _aligned(self, n: int, h: np.ndarray, s: int) -> bool:
+        """Whether a shingle of the window at ``s`` stands where the item has it."""
+        g = shingles(h[s : s + int(self.sizes[n])])
+        return bool((g == self.sets[n][: len(g)]).any())
+
     def hits(self, h: np.ndarray, similar: float = SIMILAR) -> list[tuple[int, int, int, float]]:
         """(item id, first word, words, similarity) of a document's windows that are near copies, the best of each item."""
         if not len(self.ids) or not len(h):
@@ -92,16 +122,25 @@ class Index:
         pos, row = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         if not len(pos):
             return []
-        item = self.item[row]
-        start = np.clip(pos - self.place[row], 0, np.maximum(len(h) - self.sizes[item], 0))
+        order = np.lexsort((pos, self.item[row]))
+        pos, row = pos[order], row[order]
+        items, at = np.unique(self.item[row], return_index=True)
         best: dict[int, tuple[int, int, int, float]] = {}
-        for size, s in sorted(set(zip(self.sizes[item].tolist(), start.tolist(), strict=True))):
-            g = shingles(h[s : s + size])
-            for n in self.within(simhash(g)).tolist():
-                if self.sizes[n] == size:
-                    x = similarity(g, self.sets[n])
-                    if x >= similar - 1e-12 and x > best.get(n, (0, 0, 0, 0.0))[3]:
-                        best[n] = (int(self.ids[n]), s, min(size, len(h) - s), x)
+        for n, i, j in zip(items.tolist(), at.tolist(), [*at[1:].tolist(), len(pos)], strict=True):
+            size, whole = int(self.sizes[n]), len(self.sets[n])
+            held = min(size, len(h)) - min(size, K) + 1
+            least = max(math.ceil(similar * (held + whole) / (1 + similar) - 1e-9), 1)
+            if j - i < least:
+                continue
+            spots = _shared(pos[i:j], row[i:j], self.times, held, least, max(len(h) - size, 0))
+            for x, tied in itertools.groupby(sorted((-both / (held + whole - both), s) for s, both in spots), lambda v: v[0]):
+                starts = [s for _, s in tied] if -x >= similar - 1e-12 else []
+                for s in itertools.chain((s for s in starts if self._aligned(n, h, s)), (s for s in starts if not self._aligned(n, h, s))):
+                    if n in self.within(simhash(shingles(h[s : s + size]))):
+                        best[n] = (int(self.ids[n]), s, min(size, len(h) - s), -x)
+                        break
+                if n in best:
+                    break
         return [best[n] for n in sorted(best)]
 
 
@@ -139,7 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR
     letters), A-Z lower-cased; a window has as many as its item (a shorter document
     is one window). items: ``item:start:words`` of the best window of each item
     found, by item, joined by commas; best: the highest similarity, 0 without any.
-    Of equally similar windows the first counts. A null or empty text has no hits,
+    Of equally similar windows the first with a shingle at its place in the item counts, else the first. A null or empty text has no hits,
     nor has a null or wordless item. Null and repeated ids are judged row by row.
     Further columns are not read. No rows give no rows; an empty benchmark finds nothing.
     """
