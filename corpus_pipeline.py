@@ -18,13 +18,25 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group (five words, similarity 0.8), the one with the smallest id; of rows that share that id, one."""
+    """Keeps one document of each near-duplicate group (five words, similarity 0.8), the one with the smallest id; of rows that
+    share that id, the one with the smallest digest of its text. Rows that share an id are otherwise unrelated. Rows with a null id stay."""
     scratch.small_batches(spark)
     columns = docs.columns
-    groups = minhash.near_duplicates(docs, percent=80, k=5).where("kept").select("doc_id").distinct()
-    kept = docs.join(groups.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).select(*columns)
-    some = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if some else kept
+    known = docs.where("doc_id is not null")
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("__n")).where("doc_id is null or __n > 1").agg(F.count_if(F.col("doc_id").isNull()), F.count("doc_id")).first()
+    keyed = _keyed(known) if odd[1] else known.withColumn("__key", F.col("doc_id"))
+    groups = minhash.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), percent=80, k=5).where("kept").select(F.col("doc_id").alias("__id"))
+    kept = keyed.join(groups, F.col("__key") == F.col("__id"), "left_semi").select(*columns)
+    return kept.unionByName(docs.where("doc_id is null")) if odd[0] else kept
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each id and text (__key), in their order; of rows with the same id and text, one."""
+    rows = docs.withColumn("__text", F.coalesce(F.sha2("text", 256), F.lit(""))).withColumn("__row", F.xxhash64(*docs.columns))
+    keys = rows.groupBy(F.col("doc_id").alias("__i"), F.col("__text").alias("__t")).agg(F.min("__row").alias("__r"))
+    keys = scratch.written(keys.orderBy("__i", "__t").withColumn("__key", F.monotonically_increasing_id()), "keys")
+    out = rows.join(keys, (F.col("doc_id") == F.col("__i")) & (F.col("__text") == F.col("__t")) & (F.col("__row") == F.col("__r")))
+    return scratch.written(out.select(*docs.columns, "__key").dropDuplicates(["__key"]), "keyed")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

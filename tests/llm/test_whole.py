@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 from evidentia.llm import decontaminate
 
 
@@ -47,3 +48,20 @@ def test_decontamination_with_inserted_and_deleted_words(spark):
     found = {r.doc_id: {int(i): int(a) for i, a, _ in re.findall(r"(\d+):(\d+):(\d+)", r["items"])} for r in got}
     assert found == {d: {i: a for i, (a, _, _) in x.items()} for d, x in want.items()} and sum(map(bool, found.values())) > 50
     assert all(r.best == round(max((x for _, x, _ in want[r.doc_id].values()), default=0.0), 6) for r in got)
+
+
+def test_near_duplicates_drop_only_near_copies(spark):
+    said = lambda name, n=20: " ".join(f"{name}{i}" for i in range(n))
+    rows = [
+        (None, said("a")), (None, said("a")), (None, said("b")), (None, None),
+        (7, said("c")), (7, said("d")), (7, said("d")), (7, said("e")), (7, said("e") + " more"),
+        (8, said("c") + " tail"), (9, said("f")), (9, said("d")), (3, said("f") + " tail"), (4, said("g")), (5, None), (5, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string")
+    out = corpus_pipeline.no_near_duplicates(spark, docs, "")
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    one = [r for r in ((7, said("e")), (7, said("e") + " more")) if r in got]
+    assert out.columns == docs.columns and len(one) == 1
+    assert got == Counter([(None, said("a")), (None, said("a")), (None, said("b")), (None, None), (7, said("c")), (7, said("d")), *one, (3, said("f") + " tail"), (4, said("g")), (5, None), (5, "")])
+    unique = docs.where("doc_id is null or doc_id in (3, 4, 8)")
+    assert corpus_pipeline.no_near_duplicates(spark, unique, "").count() == unique.count()
