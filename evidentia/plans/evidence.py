@@ -77,8 +77,7 @@ def status_counts(t: Tables):
 
 @query("A26_cycles")
 def cycles(t: Tables):
-    block = F.concat(F.substring("text", 1, 100), F.lit("\n"), F.substring("text", 101, 100), F.lit("\n"), F.substring("text", 201, 100), F.lit("\n"))
-    return G.cycles(t.documents.where("n_chars > 400").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.repeat(F.regexp_replace(block, r"\n(?=.)", " "), F.lit(1))).otherwise(F.repeat(block, F.lit(3))).alias("text")))
+    return G.cycles(t.documents)
 
 
 @query("A27_multi_input_coverage", "SELECT o_custkey, count(*) AS expected, sum((o_orderstatus = 'F')::INT)::BIGINT AS cited, bool_and(o_orderstatus = 'F') AS complete FROM orders GROUP BY o_custkey")

@@ -46,3 +46,15 @@ def test_conflict_components_of_all_edges(spark):
             break
     got = {(r.query_id, r.group_id): r.component for r in plans.QUERIES["A11_conflict_components"](spark, FOLDER).collect()}
     assert got == label
+
+
+def test_cycles_anywhere_in_a_document(spark, tmp_path):
+    lines = lambda name, n, width: "".join(f"{name} line {i} {'x' * width}\n" for i in range(n))
+    rows = [
+        (1, lines("late", 20, 60) + lines("block", 4, 70) * 3 + "end"), (3, lines("b", 3, 75) * 3), (2, lines("b", 3, 75) * 2),
+        (4, lines("short", 3, 2) * 3), (5, "y" * 1000), (7, "z " * 400), (6, None),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.QUERIES["A26_cycles"](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.period) for r in got) == [(1, 4), (3, 3)]
