@@ -79,17 +79,25 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-
     made.write.option("lineSep", "\0").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """A member's content and its end; raises zlib.error if it is damaged or cut off."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """A member's content, its end and no reason; of a damaged or cut off one what could be inflated, how far that went, and why."""
     z, out, i, step = zlib.decompressobj(31), [], at, 1 << 14
     while not z.eof:
         if i >= len(data):
-            raise zlib.error("the member is cut off")
-        part = data[i : i + step]
-        out.append(z.decompress(part))
+            return b"".join(out), i, "the member is cut off"
+        part, before = data[i : i + step], z.copy()
+        try:
+            out.append(z.decompress(part))
+        except zlib.error as e:
+            for i in range(i, i + len(part)):
+                try:
+                    out.append(before.decompress(data[i : i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), i, str(e)
         i += len(part)
         step = min(step * 2, 1 << 20)
-    return b"".join(out), i - len(z.unused_data)
+    return b"".join(out), i - len(z.unused_data), ""
 
 
 def _id(value: str) -> int | None:
@@ -132,12 +140,37 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     return out, end + 4
 
 
+def _held(inner: bytes, at: int) -> list[dict]:
+    """Records and gaps of the inflated bytes of the member at ``at``."""
+    out: list[dict] = []
+    i, bad, why = 0, None, ""
+    while i < len(inner) or bad is not None:
+        try:
+            row, end = parse(inner, i) if i < len(inner) else (None, i)
+        except ValueError as e:
+            if bad is None:
+                bad, why = i, str(e)
+            i = inner.find(_VERSION, i + 1)
+            i = len(inner) if i < 0 else i
+            continue
+        if bad is not None:
+            out.append({"kind": "gap", "start": at, "gap_bytes": i - bad, "reason": f"within a member: {why}"})
+            bad = None
+        if row:
+            out.append({**row, "start": at})
+        i = end
+    return out
+
+
 def salvage(data: bytes) -> Iterator[dict]:
     """The records of one archive, gzip members or plain, in any mix, with a row for every quarantined gap.
 
     After a failed check the reader looks for the next gzip member or version line
     from which a whole record can be read; what lies between is a gap (start, bytes,
-    the first reason). Zero bytes between members are padding.
+    the first reason). Within a member's inflated bytes, as far as they go, it looks
+    for the next version line; such a gap has the member's start and counts inflated
+    bytes. A damaged member that gave records ends in a gap from where it stopped.
+    Zero bytes between members are padding.
     """
     at, bad, why = 0, None, ""
 
@@ -146,31 +179,37 @@ def salvage(data: bytes) -> Iterator[dict]:
 
     while at < len(data):
         try:
+            broken, lines = "", at + 1
             if data.startswith(_MAGIC, at):
-                inner, end = _inflate(data, at)
-                found, i = [], 0
-                while i < len(inner):
-                    row, i = parse(inner, i)
-                    found.append(row)
+                inner, end, broken = _inflate(data, at)
+                found = _held(inner, at)
+                if not any(r["kind"] == "record" for r in found) and (found or broken):
+                    raise ValueError(broken or found[0]["reason"])
             elif data.startswith(_VERSION, at):
                 row, end = parse(data, at)
-                found = [row]
+                found = [{**row, "start": at}]
             elif bad is None and data[at] == 0:
                 at += 1
                 continue
             else:
                 raise ValueError("neither a member nor a version line")
-        except (ValueError, zlib.error) as e:
+        except ValueError as e:
             if bad is None:
                 bad, why = at, str(e)
-            ahead = [x for x in (data.find(_MAGIC, at + 1), data.find(_VERSION, at + 1)) if x >= 0]
-            at = min(ahead, default=len(data))
-            continue
-        if bad is not None:
-            yield gap(at)
-            bad = None
-        yield from ({**row, "start": at} for row in found)
-        at = end
+            found = None
+        if found is not None:
+            if bad is not None:
+                yield gap(at)
+                bad = None
+            yield from found
+            if not broken:
+                at = end
+                continue
+            lines = end  # version lines before it were among the inflated bytes
+        ahead = min([x for x in (data.find(_MAGIC, at + 1), data.find(_VERSION, lines)) if x >= 0], default=len(data))
+        if found is not None:
+            bad, why = min(end, ahead), broken
+        at = ahead
     if bad is not None:
         yield gap(len(data))
 

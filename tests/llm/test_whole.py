@@ -2,10 +2,11 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline
-from evidentia.llm import decontaminate
+from evidentia.llm import decontaminate, warc
 
 
 
@@ -65,3 +66,28 @@ def test_near_duplicates_drop_only_near_copies(spark):
     assert got == Counter([(None, said("a")), (None, said("a")), (None, said("b")), (None, None), (7, said("c")), (7, said("d")), *one, (3, said("f") + " tail"), (4, said("g")), (5, None), (5, "")])
     unique = docs.where("doc_id is null or doc_id in (3, 4, 8)")
     assert corpus_pipeline.no_near_duplicates(spark, unique, "").count() == unique.count()
+
+
+def test_salvage_within_members():
+    def made(i):
+        body = random.Random(i).randbytes(3000)
+        return warc.record(i, f"http://x/{i}", body, len(body), warc.digest(body), None, "1970-01-01T00:00:00Z")
+
+    def packed(*records):
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return z.compress(b"".join(records)) + z.flush()
+
+    def read(data):
+        rows = list(warc.salvage(data))
+        return [r["page_id"] for r in rows if r["kind"] == "record"], [(r["start"], r["gap_bytes"]) for r in rows if r["kind"] == "gap"]
+
+    bad = made(1).replace(made(1)[-50:-40], b"0123456789")
+    whole = packed(made(0), bad, b"junk", made(2), made(3))
+    assert read(whole + packed(made(4))) == ([0, 2, 3, 4], [(0, len(bad) + 4)])
+    cut = packed(made(0), made(1), made(2))[:-1500]
+    ids, gaps = read(packed(made(4)) + cut)
+    assert ids == [4, 0, 1] and gaps[-1] == (len(packed(made(4)) + cut), 0) and sum(n for _, n in gaps) > 0
+    ids, gaps = read(cut + packed(made(4)))
+    assert ids == [0, 1, 4] and gaps
+    assert read(packed(bad) + packed(made(4))) == ([4], [(0, len(packed(bad)))])
+    assert read(packed(made(0), made(1))) == ([0, 1], [])
