@@ -10,9 +10,12 @@ Distinct words are then looked up in a lexicon of the corpus's frequent words
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import heapq
 import json
 import os
+import shutil
 import tempfile
 import unicodedata
 from collections.abc import Iterator
@@ -30,6 +33,8 @@ from .lexicon import Lexicon
 
 #: Frequent words that the lexicon holds at most; words that a worker remembers, and counts, at once: none changes a result.
 LEXICON, CACHE, COUNTED = 1 << 17, 100_000, 200_000
+#: Bytes of a word from which its merges wait in a heap: the same merges, in n log n.
+HEAP = 48
 END = "</w>"
 _SLOW, _TAG = 4, np.uint64(0xA5A5_5A5A_1234_4321)
 
@@ -68,6 +73,8 @@ class Codec:
     def merged(self, word: bytes) -> list[int]:
         """The ids of one word by its merges: the lowest rank first, the leftmost of equals."""
         ids = [*(self.inner[b] for b in word[:-1]), self.last[word[-1]]]
+        if len(ids) >= HEAP:
+            return self._merged_long(ids)
         get = self.merges.get
         while len(ids) > 1:
             best, at = (1 << 60, 0), -1
@@ -80,6 +87,29 @@ class Codec:
             ids[at : at + 2] = [best[1]]
         return ids
 
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same over a linked list, with the pairs that can merge in a heap by rank and place; a pair that has changed since is passed over."""
+        get, n = self.merges.get, len(ids)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(m[0], i) for i in range(n - 1) if (m := get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            m = get((ids[i], ids[j])) if j >= 0 and ids[i] >= 0 else None
+            if m is None or m[0] != rank:
+                continue
+            ids[i], ids[j] = m[1], -1
+            k = after[i] = after[j]
+            if k >= 0:
+                before[k] = i
+                if (m := get((ids[i], ids[k]))) is not None:
+                    heapq.heappush(heap, (m[0], i))
+            h = before[i]
+            if h >= 0 and (m := get((ids[h], ids[i]))) is not None:
+                heapq.heappush(heap, (m[0], h))
+        return [x for x in ids if x >= 0]
+
     def words(self, chunk: str) -> list[bytes | int]:
         """The words of a chunk by the file's own rules; a special token's string gives its id."""
         out: list[bytes | int] = []
@@ -198,6 +228,17 @@ def _codec(spec: str, name: str | None) -> Codec:
     return codec
 
 
+_made: list[str] = []
+
+
+def _folder() -> str:
+    """The driver's own folder for lexicons, which executors fetch from it; removed when the driver ends."""
+    if not _made:
+        _made.append(tempfile.mkdtemp(prefix="lexicons-"))
+        atexit.register(shutil.rmtree, _made[0], ignore_errors=True)
+    return _made[0]
+
+
 def _forget() -> None:
     for codec, _ in _held.values():
         codec.cache.clear()
@@ -263,15 +304,22 @@ class Encoder:
             if total > size:
                 least = r["bin"] + 1
                 break
-        rows = counts.where(F.col("bin") >= least).select("word").orderBy("word").collect()
-        codec = Codec(json.loads(self.spec))
-        built = Lexicon.build({bytes(r[0]): codec.merged(bytes(r[0])) for r in rows})
-        with tempfile.TemporaryDirectory() as folder:  # the driver's own; executors fetch the file from the driver
-            path = built.save(folder)
-            kept = os.path.join(tempfile.gettempdir(), os.path.basename(path))
-            os.replace(path, kept)
-        self.spark.sparkContext.addFile(kept)
-        return os.path.basename(kept)
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codec = _codec(shared.value, None)
+            built = Lexicon.build({w: codec.merged(w) for batch in batches for w in batch.column(0).to_pylist()})
+            yield pa.RecordBatch.from_arrays([pa.array([built.data()], pa.large_binary())], names=["data"])
+
+        # built in one task, as the words are at most ``size``; the driver only passes the file on
+        frequent = counts.where(F.col("bin") >= least).select("word").coalesce(1)
+        data = frequent.mapInArrow(_tidy(build), "data binary").toArrow()["data"]
+        data = data[0].as_py() if len(data) else Lexicon.build({}).data()
+        scratch.forget(counts)
+        path = os.path.join(_folder(), f"lexicon-{hashlib.sha256(data).hexdigest()[:20]}.bin")
+        with open(path, "wb") as f:
+            f.write(data)
+        self.spark.sparkContext.addFile(path)
+        return os.path.basename(path)
 
     def encode(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         """(id, n_tokens, ids) of every row; a null or empty text has no ids. Nulls and repeats of ids are kept as they are."""

@@ -88,11 +88,15 @@ class Lexicon:
     def word_ids(self, number: int) -> list[int]:
         return self.ids[self.at[number] : self.at[number + 1]].tolist()
 
-    def save(self, folder: str) -> str:
-        """Writes one file, named by its content; each array begins at a multiple of 8 bytes."""
+    def data(self) -> bytes:
+        """The whole as one file's content; each array begins at a multiple of 8 bytes."""
         arrays = [np.ascontiguousarray(x) for x in (self.arcs, self.to, self.skip, self.final, self.at, self.ids)]
         head = np.array([_MAGIC, *(len(x) for x in arrays)], np.int64).tobytes()
-        data = head + b"".join(x.tobytes() + b"\0" * (-x.nbytes % 8) for x in arrays)
+        return head + b"".join(x.tobytes() + b"\0" * (-x.nbytes % 8) for x in arrays)
+
+    def save(self, folder: str) -> str:
+        """Writes one file, named by its content."""
+        data = self.data()
         path = Path(folder) / f"lexicon-{hashlib.sha256(data).hexdigest()[:20]}.bin"
         path.write_bytes(data)
         return str(path)
