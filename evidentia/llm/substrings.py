@@ -2,11 +2,18 @@
 
 Against a stated reference (``without_reference``) the automata of its shards are
 broadcast and documents stream past them. Within one corpus (``without_repeats``)
-every document is reference too, and streaming all documents past all shards would
-be quadratic. So each window of ``least`` words is first routed by its smallest
-n-gram hash, which equal windows share: neighbouring windows with the same
-n-gram form a segment, segments that share it form a shard, and only those meet
-in an automaton. Segments whose n-gram occurs once have no repeated window.
+every document is reference too, and streaming all documents past all shards is
+quadratic. So reference and documents are cut alike: each window of ``least`` words
+is routed by its smallest n-gram hash, which equal windows share; neighbouring
+windows with the same n-gram form a segment. Segments whose n-gram occurs once
+repeat nothing and are left out of both. What is left is the reference: its routes
+are dealt out in shards bounded by words, each shard has its automaton, and the
+segments of its routes stream past it; whether a window repeats is read from the
+matching statistics alone, word by word. A route with more different words than a
+shard may hold is routed again, by longer n-grams and at last by whole windows.
+
+Words are compared by 64-bit hashes. Equal segments are one with a weight; equal
+means the same n-gram hash, the same hash of all words, and the same length.
 """
 
 from __future__ import annotations
@@ -21,11 +28,10 @@ from pyspark.sql import functions as F
 from . import scratch, words
 from .automaton import Automaton
 
-#: Words of the n-gram that routes a window; windows of a segment at most; different segments that an
-#: automaton takes with the same n-gram (more are settled window by window); words in an automaton at least before the next.
-GRAM, RUN, KINDS, SHARD = 8, 4096, 64, 20_000
-#: Beyond KINDS, n-grams of so many words fewer than a window.
-LONGER = 7
+#: Words of the n-gram that routes a window at first; windows of a segment at most; words of a shard (about 0.5 KB each in an automaton).
+GRAM, RUN, SHARD = 8, 4096, 20_000
+#: N-grams of the second routing are so many words shorter than a window.
+SHORTER = 7
 #: Words hashed at once, and words of a stated reference at most.
 CHUNK, REFERENCE = 1 << 20, 20_000_000
 _U = np.uint64
@@ -116,9 +122,9 @@ def _let_through(df: DataFrame, bitmap) -> DataFrame:
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """(v, c, w, many, words) of the segments in ``wanted`` (id, k, a, m, v, c, w, many)."""
+    """(v, c, w, words) of the segments in ``wanted`` (id, k, a, m, v, c, w). A written table."""
     spark = docs.sparkSession
-    per = wanted.groupBy("id", "k").agg(F.collect_list(F.struct("a", "m", "v", "c", "w", "many")).alias("s"))
+    per = wanted.groupBy("id", "k").agg(F.collect_list(F.struct("a", "m", "v", "c", "w")).alias("s"))
     bitmap = spark.sparkContext.broadcast(scratch.id_bitmap(wanted.select("k").distinct(), "k"))
     rows = _let_through(docs.select("id", "k", "text", "slot"), bitmap).drop("slot").join(per, ["id", "k"]).dropDuplicates(["id", "k"]).select("text", "s")
 
@@ -134,9 +140,11 @@ def _contents(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                 a, m = flat.field(0).to_numpy(), flat.field(1).to_numpy()
                 begin = o[row] + a
                 data = [h[x : x + y + least - 1].tobytes() for x, y in zip(begin.tolist(), m.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([flat.field(2), flat.field(3), flat.field(4), flat.field(5), pa.array(data, pa.binary())], names=["v", "c", "w", "many", "words"])
+                yield pa.RecordBatch.from_arrays([flat.field(2), flat.field(3), flat.field(4), pa.array(data, pa.binary())], names=["v", "c", "w", "words"])
 
-    return rows.mapInArrow(words.lean(run), "v long, c long, w long, many boolean, words binary")
+    out = scratch.written(rows.mapInArrow(words.lean(run), "v long, c long, w long, words binary"), "contents")
+    bitmap.destroy()
+    return out
 
 
 def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -147,11 +155,11 @@ def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _by_automaton(rows: DataFrame, least: int) -> DataFrame:
-    """(v, c, s, n): runs of repeated windows in each segment; rows: (v, c, w, words), whole shards in a task, sorted by v."""
+    """(v, c, s, n): runs of repeated windows in each segment; rows: (shard, v, c, w, words), whole shards in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, list[int]]] = []
-        size = 0
+        shard = None
 
         def settle() -> pa.RecordBatch:
             auto = Automaton()
@@ -159,72 +167,78 @@ def _by_automaton(rows: DataFrame, least: int) -> DataFrame:
                 auto.add(seq, w)
             auto.close()
             out = []
-            for v, c, w, seq in held:
-                if w > 1:  # the whole segment occurs again
-                    out.append((v, c, 0, len(seq) - least + 1))
-                    continue
+            for v, c, _, seq in held:
                 again = [i + n - least for i, n, places in auto.matches(seq, least) if places > 1]
                 out += [(v, c, s, n) for s, n in _runs(np.array(again, np.int64))]
             cols = list(zip(*out, strict=True)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["v", "c", "s", "n"])
 
         for batch in batches:
-            for v, c, w, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if size >= SHARD and v != held[-1][0]:
+            for k, v, c, w, data in zip(*(batch.column(x).to_pylist() for x in range(4)), batch.column(4), strict=True):
+                if k != shard and held:
                     yield settle()
-                    held, size = [], 0
-                seq = np.frombuffer(data.as_buffer(), np.uint64).tolist()
-                held.append((v, c, w, seq))
-                size += len(seq)
+                    held = []
+                shard = k
+                held.append((v, c, w, np.frombuffer(data.as_buffer(), np.uint64).tolist()))
         if held:
             yield settle()
 
-    return rows.repartition("v").sortWithinPartitions("v").mapInArrow(words.lean(run), "v long, c long, s int, n int")
-
-
-def _piece(g: np.ndarray) -> dict:
-    """A piece's windows: distinct hashes (g) with their numbers (n); those that stand once (once) and where (at); runs of the
-    others, which repeat within the piece (known)."""
-    keys, which, n = np.unique(g, return_inverse=True, return_counts=True)
-    single = np.flatnonzero(n[which] == 1)
-    known = [{"a": a, "n": k} for a, k in _runs(np.flatnonzero(n[which] > 1))]
-    return {"g": words.signed(keys), "n": n.astype(np.int32), "once": words.signed(g[single]), "at": single.astype(np.int32), "known": known}
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(words.lean(run), "v long, c long, s int, n int")
 
 
-def _by_window(rows: DataFrame, least: int) -> DataFrame:
-    """The same for n-grams with very many different segments, such as those at a common passage's edges.
-
-    These are cut once more by longer n-grams, and equal pieces collapse again; the
-    windows of pieces that occur once, and stand once there, are looked up by their hashes.
-    """
+def _recut(rows: DataFrame, least: int, gram: int, bitmap=None) -> DataFrame:
+    """The segments by ``gram`` words within segments (v, c, w, words): (v, c, w, s, m, r, c2, alone), r and c2 being route and
+    content; with a ``bitmap`` of routes only those in it, with their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"g": pa.list_(pa.int64()), "n": pa.list_(pa.int32()), "once": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "known": pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())]))}
         for batch in batches:
+            keys = [batch.column(x).to_pylist() for x in range(3)]
             for i in range(batch.num_rows):
                 h = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
-                _, s, m, r, c, alone = segments(h, np.array([0, len(h)]), least, max(least - LONGER, 1))
-                g = words.grams(h, least)
-                pieces = [_piece(g[a : a + k]) for a, k in zip(s.tolist(), m.tolist(), strict=True)]
-                cols = [pa.array([batch.column(k)[i].as_py()] * len(s), pa.int64()) for k in (0, 1, 2)]
-                cols += [pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(words.signed(r)), pa.array(words.signed(c)), pa.array(alone)]
-                cols += [pa.array([p[k] for p in pieces], kind) for k, kind in kinds.items()]
-                yield pa.RecordBatch.from_arrays(cols, names=["v", "c", "w", "s", "m", "r", "c2", "alone", *kinds])
-
-    schema = "v long, c long, w long, s int, m int, r long, c2 long, alone boolean, g array<long>, n array<int>, once array<long>, at array<int>, known array<struct<a:int,n:int>>"
-    each = scratch.written(rows.mapInArrow(words.lean(run), schema), "pieces")
-    # equal pieces are one with a weight: all windows of those that occur again repeat
-    equal = each.groupBy("r", "c2").agg(F.sum("w").alias("total"), F.min("alone").alias("alone"), F.first(F.struct("g", "n")).alias("own"))
-    routes = equal.groupBy(F.col("r").alias("key")).agg(F.sum("total").alias("all"), F.min("c2").alias("lo"), F.max("c2").alias("hi"), F.min("alone").alias("every_alone"))
-    routes = routes.where("all > 1 or not every_alone")
-    equal = scratch.written(equal.join(routes, F.col("r") == F.col("key")).withColumn("mixed", ~F.col("every_alone") | (F.col("lo") != F.col("hi"))).select("r", "c2", "total", "mixed", "own.g", "own.n"), "pieces")
-    each = each.select("v", "c", "s", "m", "r", "c2", "once", "at", "known").join(equal.select("r", "c2", "total"), ["r", "c2"])
-    again = equal.where("mixed").select("total", F.explode(F.arrays_zip("g", "n")).alias("x")).groupBy("x.g").agg(F.sum(F.col("total") * F.col("x.n")).alias("n")).where("n > 1").select("g")
-    lone = each.where("total = 1").repartition("v", "c", "s")  # those of one n-gram may be very many
-    known = lone.select("v", "c", "s", F.explode("known").alias("x")).select("v", "c", (F.col("s") + F.col("x.a")).alias("s"), "x.n")
-    single = lone.select("v", "c", "s", F.explode(F.arrays_zip("once", "at")).alias("x")).select("v", "c", (F.col("s") + F.col("x.at")).alias("s"), F.col("x.once").alias("g"))
-    single = single.join(again, "g", "left_semi").select("v", "c", "s", F.lit(1).alias("n"))
-    return each.where("total > 1").select("v", "c", "s", F.col("m").alias("n")).union(single).union(known)
+                _, s, m, r, c, alone = segments(h, np.array([0, len(h)]), least, gram)
+                r = words.signed(r)
+                if bitmap is not None:
+                    on = scratch.in_bitmap(bitmap.value, words.signed(words._mix(r.view(np.uint64)) % _U(scratch.BITS)))
+                    s, m, r, c, alone = s[on], m[on], r[on], c[on], alone[on]
+                cols = [pa.array([k[i]] * len(s), pa.int64()) for k in keys]
+                cols += [pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(r), pa.array(words.signed(c)), pa.array(alone)]
+                data = [h[x : x + y + least - 1].tobytes() for x, y in zip(s.tolist(), m.tolist(), strict=True)] if bitmap is not None else [b""] * len(s)
+                cols += [pa.array(data, pa.binary()), pa.array(words.signed(words._mix(r.view(np.uint64)) % _U(scratch.BITS)))]
+                yield pa.RecordBatch.from_arrays(cols, names=["v", "c", "w", "s", "m", "r", "c2", "alone", "words", "slot"])
+
+    return rows.mapInArrow(words.lean(run), "v long, c long, w long, s int, m int, r long, c2 long, alone boolean, words binary, slot long")
+
+
+def _found(rows: DataFrame, least: int, grams: list[int]) -> DataFrame:
+    """(v, c, s, n): in the segment known by (v, c) the ``n`` windows from word ``s`` on also start elsewhere. A written table.
+
+    rows: distinct segments (v, c, w: how often it stands, words) of routes v that
+    occur more than once; ``grams``: words of the n-grams by which a route that is
+    too large for a shard is routed again, the last being ``least``.
+    """
+    spark = rows.sparkSession
+    routes = scratch.written(rows.groupBy("v").agg(F.sum(F.length("words") / 8).cast("long").alias("size")), "routes")
+    cold = F.lit(True) if not grams else F.col("size") <= SHARD
+    total, hot = routes.agg(F.sum(F.when(cold, F.col("size"))), F.count_if(~cold)).first()
+    shards = max(-(-int(total or 0) // SHARD), 1)
+    dealt = routes.where(cold).select("v", F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard"))
+    out = _by_automaton(rows.join(dealt, "v").select("shard", "v", "c", "w", "words"), least)
+    if hot:
+        large = scratch.written(rows.join(routes.where(~cold).select("v"), "v", "left_semi").select("v", "c", "w", "words").repartition("v", "c"), "large")
+        once = _recut(large, least, grams[0]).groupBy("r", "slot").agg(F.sum("w").alias("n"), F.min("alone").alias("alone"))
+        bits = spark.sparkContext.broadcast(scratch.slot_bitmap(once.where("n > 1 or not alone").select("slot")))
+        every = scratch.written(_recut(large, least, grams[0], bits), "segments")
+        bits.destroy()
+        kinds = every.groupBy("r", "c2").agg(F.sum("w").alias("w"), F.min("alone").alias("alone"), F.first("words").alias("words"))
+        kinds = scratch.written(kinds, "kinds")
+        shared = kinds.groupBy("r").agg(F.sum("w").alias("n"), F.min("alone").alias("alone")).where("n > 1 or not alone").select("r")
+        inner = _found(kinds.join(shared, "r", "left_semi").select(F.col("r").alias("v"), F.col("c2").alias("c"), "w", "words"), least, grams[1:])
+        inner = inner.select(F.col("v").alias("r"), F.col("c").alias("c2"), F.col("s").alias("more"), "n")
+        out = out.union(every.select("v", "c", "s", "r", "c2").join(inner, ["r", "c2"]).select("v", "c", (F.col("s") + F.col("more")).alias("s"), "n"))
+    out = scratch.written(out, "found")
+    for done in (routes, *((large, every, kinds) if hot else ())):
+        scratch.forget(done)
+    return out
 
 
 def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
@@ -233,21 +247,22 @@ def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
     ``docs``: of ``_keyed``.
     """
     spark = docs.sparkSession
-    every = scratch.written(_segments(docs, least), "segments")
-    shared = every.groupBy("v").agg(F.count("*").alias("n"), F.min("alone").alias("alone")).where("n > 1 or not alone").select("v")
+    whole = scratch.written(_segments(docs, least), "segments")
+    shared = whole.groupBy("v").agg(F.count("*").alias("n"), F.min("alone").alias("alone")).where("n > 1 or not alone").select("v")
     bitmap = spark.sparkContext.broadcast(scratch.id_bitmap(shared, "v"))
-    every = _let_through(every.withColumn("slot", scratch.id_slot("v")), bitmap).drop("slot")
-    every = scratch.written(every, "segments")
+    every = scratch.written(_let_through(whole.withColumn("slot", scratch.id_slot("v")), bitmap).drop("slot"), "segments")
+    scratch.forget(whole)
+    bitmap.destroy()
     kinds = every.groupBy("v", "c").agg(F.count("*").alias("w"), F.min("alone").alias("alone"), F.min(F.struct("id", "k", "a")).alias("rep"), F.first("m").alias("m"))
     kinds = scratch.written(kinds, "kinds")
-    routes = kinds.groupBy(F.col("v").alias("r")).agg(F.sum("w").alias("total"), F.count("*").alias("kinds"), F.min("alone").alias("every_alone")).where("total > 1 or not every_alone")
-    kinds = scratch.written(kinds.join(routes, F.col("v") == F.col("r")).drop("r"), "kinds")
-    lone = F.col("every_alone") & (F.col("kinds") == 1)
-    same = kinds.where(lone).select("v", "c", F.lit(0).alias("s"), F.col("m").alias("n"))
-    wanted = kinds.where(~lone).select("rep.id", "rep.k", "rep.a", "m", "v", "c", "w", (F.col("kinds") > KINDS).alias("many"))
-    text = scratch.written(_contents(docs, wanted, least), "contents")
-    found = same.union(_by_automaton(text.where("not many").select("v", "c", "w", "words"), least)).union(_by_window(text.where("many").select("v", "c", "w", "words"), least))
-    found = scratch.written(found, "found")
+    routes = kinds.groupBy(F.col("v").alias("r")).agg(F.sum("w").alias("n"), F.min("alone").alias("alone")).where("n > 1 or not alone").select("r")
+    wanted = scratch.written(kinds.join(routes, F.col("v") == F.col("r"), "left_semi").select("rep.id", "rep.k", "rep.a", "m", "v", "c", "w"), "kinds")
+    scratch.forget(kinds)
+    text = _contents(docs, wanted, least)
+    scratch.forget(wanted)
+    first = min(GRAM, least)
+    found = _found(text, least, sorted({g for g in (least - SHORTER, least) if g > first}))
+    scratch.forget(text)
     return every.join(found.withColumnRenamed("n", "len"), ["v", "c"]).select("id", "k", (F.col("a") + F.col("s")).alias("s"), F.col("len").alias("n"))
 
 
