@@ -2,9 +2,10 @@
 
 Each host has a tree of path segments. Numbers and long hexadecimal runs in a
 segment become wildcards; so do a node's children if they are many and rarely
-repeat. Sibling templates whose share of bad labels doesn't differ from their
-pool's are judged by the pool, others by themselves; shares are smoothed towards
-the share of all labels, and a template above the cutoff is rejected.
+repeat. Then, level by level from the host down, sibling branches whose share of
+bad labels doesn't differ from that of all of them together become one branch,
+whose children are siblings at the next level. A template's share is smoothed
+towards the share of all labels, and one above the cutoff is rejected.
 
 The tree is made from counts by host and template, level by level, so no task
 holds a host.
@@ -21,6 +22,8 @@ from . import scratch
 CHILDREN, REPEATS = 20, 5
 #: Levels that have nodes of their own; what is deeper is one segment. Pseudo-labels of the prior, cutoff, and z of a differing sibling.
 LEVELS, PRIOR, CUTOFF, Z = 8, 5.0, 0.5, 1.96
+#: The segment of merged branches, which no path has.
+MERGED = "/"
 
 
 def host(url: Column) -> Column:
@@ -56,7 +59,8 @@ def segments(path: Column) -> Column:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, key, template, bad_share, rejected) of every host and shaped path (key) of ``pages`` (host, key, bad).
 
-    ``bad``: 1, 0 or null where a page has no label.
+    ``bad``: 1, 0 or null where a page has no label. In a template ``*`` is a
+    variable segment and ``+`` a branch merged of several.
     """
     counts = pages.groupBy("host", "key").agg(F.count("*").alias("n"), F.count("bad").alias("m"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
     tree = scratch.written(counts.withColumn("t", F.split("key", "/")), "templates")
@@ -70,21 +74,22 @@ def templates(pages: DataFrame) -> DataFrame:
         wild = wild.where((F.col("kinds") > CHILDREN) & (F.col("n") < REPEATS * F.col("kinds"))).select(F.col("host").alias("h"), F.col("above").alias("a"), F.lit(True).alias("wild"))
         tree = tree.join(wild, (F.col("host") == F.col("h")) & (above == F.col("a")), "left")
         star = F.concat(F.slice("t", 1, level), F.array(F.lit("*")), F.slice("t", level + 2, 1 << 30))
-        tree = tree.withColumn("t", F.when(F.col("wild") & at.isNotNull(), star).otherwise(F.col("t"))).drop("h", "a", "wild")
-        tree = scratch.written(tree, "templates")
-    parent = F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0)))
-    leaves = tree.groupBy("host", "t").agg(F.sum("m").alias("m"), F.sum("b").alias("b")).withColumn("parent", parent)
-    nodes = leaves.groupBy("host", "parent").agg(F.sum("m").alias("pm"), F.sum("b").alias("pb"))
-    share = F.try_divide("pb", "pm")
-    spread = F.sqrt(F.try_divide(share * (1 - share), F.col("m")))
-    alike = (F.col("m") == 0) | (F.col("pm") == 0) | (F.abs(F.try_divide("b", "m") - share) <= Z * spread + 1e-12)
-    leaves = leaves.join(nodes, ["host", "parent"]).withColumn("alike", F.coalesce(alike, F.lit(True)))
-    pools = leaves.where("alike").groupBy("host", "parent").agg(F.sum("m").alias("qm"), F.sum("b").alias("qb"))
-    leaves = leaves.select("host", "parent", "t", "m", "b", "alike").join(pools, ["host", "parent"], "left")
-    m, b = F.when(F.col("alike"), F.col("qm")).otherwise(F.col("m")), F.when(F.col("alike"), F.col("qb")).otherwise(F.col("b"))
-    leaves = leaves.select("host", "t", ((b + PRIOR * prior) / (m + PRIOR)).alias("bad_share"))
+        tree = scratch.written(tree.withColumn("t", F.when(F.col("wild") & at.isNotNull(), star).otherwise(F.col("t"))).drop("h", "a", "wild"), "templates")
+        branches = tree.where(at.isNotNull()).groupBy("host", above.alias("above"), at.alias("child")).agg(F.sum("m").alias("m"), F.sum("b").alias("b"))
+        pools = branches.groupBy("host", "above").agg(F.sum("m").alias("pm"), F.sum("b").alias("pb"))
+        share = F.try_divide("pb", "pm")
+        near = F.abs(F.try_divide("b", "m") - share) <= Z * F.sqrt(share * (1 - share) / F.col("m")) + 1e-12
+        alike = branches.join(pools, ["host", "above"]).where((F.col("m") == 0) | near)
+        several = alike.groupBy("host", "above").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        alike = alike.join(several, ["host", "above"]).select(F.col("host").alias("h"), F.col("above").alias("a"), F.col("child").alias("c"), F.lit(True).alias("alike"))
+        merged = F.concat(F.slice("t", 1, level), F.array(F.lit(MERGED)), F.slice("t", level + 2, 1 << 30))
+        before, tree = tree, tree.join(alike, (F.col("host") == F.col("h")) & (above == F.col("a")) & (at == F.col("c")), "left")
+        tree = scratch.written(tree.withColumn("t", F.when(F.col("alike"), merged).otherwise(F.col("t"))).drop("h", "a", "c", "alike"), "templates")
+        scratch.forget(before)
+    leaves = tree.groupBy("host", "t").agg(((F.sum("b") + PRIOR * prior) / (F.sum("m") + PRIOR)).alias("bad_share"))
     out = tree.select("host", "key", "t").join(leaves, ["host", "t"])
-    return out.select("host", "key", F.concat(F.lit("/"), F.array_join("t", "/")).alias("template"), "bad_share", (F.col("bad_share") > CUTOFF).alias("rejected"))
+    named = F.transform("t", lambda x: F.when(x == MERGED, "+").otherwise(x))
+    return out.select("host", "key", F.concat(F.lit("/"), F.array_join(named, "/")).alias("template"), "bad_share", (F.col("bad_share") > CUTOFF).alias("rejected"))
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
