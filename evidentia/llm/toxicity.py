@@ -10,6 +10,7 @@ inferred from its most common words: labels, lang, source and doc_id are no inpu
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -110,12 +111,12 @@ class Model:
             at += w * FILTERS
         return out
 
-    def pooled(self, h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Each filter's largest value in each text, before the rectifier; a text without words gives zeros."""
+    def pooled(self, rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Each filter's largest value in each text (of ``rows``), before the rectifier; a text without words gives zeros."""
         out = np.zeros((len(offsets) - 1, FILTERS * len(WIDTHS)), np.float32)
         full = np.flatnonzero(np.diff(offsets))
         if len(full):
-            z = self.responses(self.embed(self.rows(h)), offsets)
+            z = self.responses(self.embed(rows), offsets)
             out[full] = np.concatenate([np.maximum.reduceat(v, offsets[:-1][full], axis=0) for v in z], axis=1)
         return out
 
@@ -123,7 +124,7 @@ class Model:
         return _rectified(pooled + self.bias) @ self.last + self.base
 
     def score(self, h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        x = self.logits(self.pooled(h, offsets)).astype(np.float64) - self.shift[self.language(h[0], offsets)]
+        x = self.logits(self.pooled(self.rows(h), offsets)).astype(np.float64) - self.shift[self.language(h[0], offsets)]
         return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
     def score_long(self, raw: np.ndarray) -> float:
@@ -216,22 +217,18 @@ class Model:
                     seen[t][uniq] += (total * total).mean(axis=1)
                     self.tables[t][uniq] -= RATE * 3 * total / np.sqrt(seen[t][uniq])[:, None]
 
-    def calibrate(self, texts: list[np.ndarray], y: np.ndarray) -> None:
+    def calibrate(self, texts: list[tuple[np.ndarray, int]], y: list[int]) -> None:
         """Moves each language's logits so that its best threshold (by F1; the middle of the widest gap among equals) is 0.
 
-        A language with fewer than 10 labels of either class takes the threshold of all.
+        texts: (``rows``, language). A language with fewer than 10 labels of either class takes the threshold of all.
         """
         if not len(texts):
             return
-        offsets = np.concatenate(([0], np.cumsum([t.shape[1] for t in texts])))
-        h = np.concatenate(texts, axis=1)
-        x, lang = [], []
+        x, lang, y = [], np.array([g for _, g in texts]), np.array(y, np.int64)
         for i in range(0, len(texts), BATCH):
-            j = min(i + BATCH, len(texts))
-            part, at = h[:, offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            x.append(self.logits(self.pooled(part, at)))
-            lang.append(self.language(part[0], at))
-        x, lang = np.concatenate(x).astype(np.float64), np.concatenate(lang)
+            part = [r for r, _ in texts[i : i + BATCH]]
+            x.append(self.logits(self.pooled(np.concatenate(part, axis=1), np.concatenate(([0], np.cumsum([r.shape[1] for r in part]))))))
+        x = np.concatenate(x).astype(np.float64)
 
         def best(x, y):
             order = np.argsort(-x, kind="stable")
@@ -255,26 +252,41 @@ def fold(id: str = "doc_id"):
     return F.crc32(F.col(id).cast("string").cast("binary")) % 5
 
 
+def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the model learnt from all rows (doc_id, text, toxic); texts are held as table rows, six bytes a word."""
+    model, fit, calibrate = Model(), ([], []), ([], [])
+    for batch in batches:
+        for i, t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            h = of_text(np.frombuffer(t.encode(), np.uint8))
+            if zlib.crc32(b"calibrate%d" % i) % 1000 < 1000 * CALIBRATION:
+                calibrate[0].append((model.rows(h), int(model.language(h[0], np.array([0, h.shape[1]]))[0])))
+                calibrate[1].append(y)
+            else:
+                fit[0].append(model.rows(h))
+                fit[1].append(y)
+    y = np.array(fit[1] + calibrate[1], np.int64)
+    if not len(y) or y.min() == y.max():
+        model.last[:] = 0
+        model.base = np.float32(-4)
+    else:
+        if fit[0]:
+            model.fit(fit[0], np.array(fit[1], np.int64))
+        model.calibrate(*calibrate)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from a bounded sample of labelled rows outside of fold 0: the ``sample`` first by a hash of the id, of those
-    with up to ``SAMPLE_CHARS`` characters. Without labels of both classes it stays untrained and scores near 0."""
+    with up to ``SAMPLE_CHARS`` characters. Without labels of both classes it stays untrained and scores near 0.
+
+    One executor task learns; the driver gets the weights only.
+    """
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", "text").where((fold() != 0) & (F.length("text") <= SAMPLE_CHARS))
     picked = marks.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("id"), "id").limit(2 * sample)
-    got = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("doc_id", "text", "toxic").collect()
-    y = np.array([r["toxic"] for r in got], np.int64)
-    model = Model()
-    if not len(y) or y.min() == y.max():
-        model.last[:] = 0
-        model.base = np.float32(-4)
-        return model
-    held = np.array([zlib.crc32(b"calibrate%d" % r["doc_id"]) % 1000 < 1000 * CALIBRATION for r in got])
-    part = lambda which: (of_text(np.frombuffer(r["text"].encode(), np.uint8)) for r, c in zip(got, held, strict=True) if c == which)
-    model.fit([model.rows(h) for h in part(False)], y[~held])
-    model.calibrate(list(part(True)), y[held])
-    del got
-    words.trim()
-    return model
+    got = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
+    data = got.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int")).coalesce(1).mapInArrow(words.lean(_learnt), "model binary").toArrow()["model"]
+    return pickle.loads(data[0].as_py()) if len(data) else pickle.loads(next(_learnt(iter(())))["model"][0].as_py())
 
 
 def scored(docs: DataFrame, model: Model, columns: tuple[str, ...] = (), name: str = "score") -> DataFrame:
