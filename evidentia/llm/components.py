@@ -9,7 +9,7 @@ from . import scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node in ``edges`` (a, b): the smallest node reachable.
+    """(node, component) of every node in ``edges`` (a, b): the smallest node reachable. Each round's table is removed after the next.
 
     Every round sends each node's larger neighbours to its smallest one, then its
     smaller ones; the edges end as stars. A node with very many neighbours is a
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.explode(F.array(F.struct(F.col("x").alias("u"), F.col("m").alias("v")), F.struct(F.col("y").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )
-        now = scratch.written(small, "edges")
+        before, now = now, scratch.written(small, "edges")
+        scratch.forget(before)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.countDistinct("v")).first()
         if not mark[0] or mark == last:
             break

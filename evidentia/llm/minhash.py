@@ -22,6 +22,8 @@ from .components import components
 
 #: Signature values in a band, and the chance at most that a pair at the threshold shares none.
 ROWS, MISS = 4, 1e-5
+#: Pairs of one set that a task may get: a set with more of them is sent to several tasks.
+HUB = 4096
 _U = np.uint64
 
 
@@ -104,7 +106,8 @@ def signed_documents(docs: DataFrame, percent: int, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, flat: bool = False) -> DataFrame:
-    """(id, shingles as bytes) of the documents whose id is in ``wanted``, and of few others; ``flat``: (id, t), a row a shingle."""
+    """(id, shingles as bytes) of the documents whose id is in ``wanted``, and of few others; ``flat``: (id, t), a row a shingle
+    of those in ``wanted`` alone. A written table."""
     bitmap = docs.sparkSession.sparkContext.broadcast(scratch.id_bitmap(wanted, "id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,13 +126,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, flat: bool = False) -> Dat
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "id long, t long" if flat else "id long, shingles binary"
-    return rows.select("doc_id", "text", scratch.id_slot("doc_id").alias("slot")).mapInArrow(words.lean(sets), schema)
+    out = rows.select("doc_id", "text", scratch.id_slot("doc_id").alias("slot")).mapInArrow(words.lean(sets), schema)
+    out = scratch.written(out.join(wanted, "id", "left_semi") if flat else out, "sets")
+    bitmap.destroy()
+    return out
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    sets = scratch.written(_sets(docs, ids, k), "sets")
+    """Of the pairs (a, b), those whose full shingle sets are similar enough. A written table."""
+    sets = _sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), k)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,13 +152,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFr
                 ok[i] = 100 * both >= percent * (len(small) + len(large) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    right = pairs.join(sets.withColumnRenamed("shingles", "y"), F.col("b") == F.col("id")).select("a", "b", "y")
-    full = right.join(sets.withColumnRenamed("shingles", "x"), F.col("a") == F.col("id")).select("a", "b", "x", "y")
-    return full.mapInArrow(words.lean(check), "a long, b long")
+    often = pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count("*") / HUB).alias("salts"))
+    dealt = pairs.join(often, F.col("a") == F.col("hub")).select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
+    left = sets.join(often, F.col("id") == F.col("hub")).select("id", F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("part"))
+    right = dealt.join(sets.withColumnRenamed("shingles", "y"), F.col("b") == F.col("id")).select("a", "b", "salt", "y")
+    full = right.join(left, (F.col("a") == F.col("id")) & (F.col("salt") == F.col("part"))).select("a", "b", "x", "y")
+    out = scratch.written(full.mapInArrow(words.lean(check), "a long, b long"), "links")
+    scratch.forget(sets)
+    return out
 
 
-def _rare_pairs(rows: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """(a, b): pairs of ``rows`` (rep, n, comp) of different components that may reach the threshold.
+def _rare_pairs(rows: DataFrame, docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b), and the table that they are read from: pairs of ``rows`` (rep, n, comp) of different components that may reach the threshold.
 
     Lossless: in the order of rarest shingles first, a pair at the threshold shares
     one among the first n - ceil(2tn / (1 + t)) + 1 of its smaller set and the first
@@ -162,7 +172,7 @@ def _rare_pairs(rows: DataFrame, docs: DataFrame, percent: int, k: int) -> DataF
     it, not in all its pairs.
     """
     wanted = rows.select(F.col("rep").alias("id"))
-    t = scratch.written(_sets(docs, wanted, k, flat=True).join(wanted, "id", "left_semi"), "shingles")
+    t = _sets(docs, wanted, k, flat=True)
     often = t.groupBy("t").agg(F.count("*").alias("f"))
     rank = t.join(often, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
     q = percent / 100
@@ -170,12 +180,13 @@ def _rare_pairs(rows: DataFrame, docs: DataFrame, percent: int, k: int) -> DataF
     index = F.col("n") - F.ceil(F.col("n") * (2 * q / (1 + q)) - 1e-9) + 1
     few = rank.select("id", "n", "comp", index.alias("index"), F.posexplode(F.slice("s", F.lit(1), F.col("probe").cast("int"))).alias("i", "e")).select("id", "n", "comp", "index", "i", F.col("e.t").alias("t"))
     few = scratch.written(few, "rare")
+    scratch.forget(t)
     x, y = few.where("i < index").alias("x"), few.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
     behind = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
     enough = behind >= (F.col("x.n") + F.col("y.n")) * (q / (1 + q)) - 1e-9
     met = x.join(y, (F.col("x.t") == F.col("y.t")) & smaller & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.n") * 100 >= F.col("y.n") * percent) & enough)
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), few
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
@@ -183,7 +194,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
 
     Documents are linked where 100 * |A & B| >= percent * |A | B| over their sets of
     distinct ``k``-word shingles (A-Z lower-cased; fewer words: all of them as one).
-    Equal sets count once: a class of copies, however large, is one node. In each
+    Shingles are compared by 64-bit hashes, whole sets against whole sets. Sets with
+    equal sizes and equal 128-bit fingerprints (two sums of hashes) count as one: a
+    class of copies, however large, is one node. In each
     bucket of a band all are held against the bucket's smallest id; then the documents
     of buckets that still have several components meet by their rarest shingles, so
     no link of a bucket is lost and a group of copies never becomes all its pairs.
@@ -202,14 +215,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     stars = rows.select("j", "h", "rep", "n").join(hubs, ["j", "h"]).where((F.col("rep") != F.col("hub")) & near(F.col("n"), F.col("hub_n")))
     stars = scratch.written(stars.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = scratch.written(confirmed(stars, docs, percent, k), "links")
-    labels = scratch.written(components(links), "labels")
+    labels = scratch.written(components(confirmed(stars, docs, percent, k)), "labels")
 
     # what is still apart within a bucket
     left = rows.select("rep", "n", "j", "h").join(labels, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep"))
     mixed = left.groupBy("j", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("j", "h")
     left = scratch.written(left.join(mixed, ["j", "h"], "left_semi").select("rep", "n", "comp").distinct(), "apart")
-    rest = scratch.written(_rare_pairs(left, docs, percent, k).join(stars, ["a", "b"], "left_anti"), "rest")
+    met, few = _rare_pairs(left, docs, percent, k)
+    rest = scratch.written(met.join(stars, ["a", "b"], "left_anti"), "rest")
+    for done in (left, few, stars):
+        scratch.forget(done)
     more = confirmed(rest, docs, percent, k)
     labels = scratch.written(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "labels")
 

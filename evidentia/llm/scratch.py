@@ -15,9 +15,11 @@ _made: dict[str, list[str]] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where none is set (tests on one machine)."""
+    """The shared folder; a temporary one only where none is set and all of Spark is one process. On a cluster without the setting this raises."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -48,6 +50,16 @@ def path(spark: SparkSession, name: str) -> str:
     return made
 
 
+def forget(df: DataFrame) -> None:
+    """Removes the folders of a table that ``written`` made and nothing will read again."""
+    spark = df.sparkSession
+    made = _made.get(spark.sparkContext.applicationId, [])
+    for f in df.inputFiles():
+        for at in [m for m in made if f.startswith(m + "/") or f.split(":", 1)[-1].lstrip("/").startswith(m.split(":", 1)[-1].lstrip("/") + "/")]:
+            drop(spark, at)
+            made.remove(at)
+
+
 def drop(spark: SparkSession, *where: str) -> None:
     """Removes folders through Hadoop's own file system layer, so that any store works."""
     sc = spark.sparkContext
@@ -78,15 +90,19 @@ def id_bitmap(ids: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     It only lets through a superset of the ids: a set bit may be another id's.
     However many ids there are, at most ``bits`` / 64 rows reach the driver.
     """
-    h = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
+    return slot_bitmap(ids.select(id_slot(column, bits)), bits)
+
+
+def slot_bitmap(slots: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The same of slots, numbers below ``bits``, in the only column."""
     rows = (
-        ids.select(h.alias("h"))
+        slots.toDF("h")
         .groupBy((F.shiftrightunsigned("h", 6)).alias("w"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("m"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(bits // 64, np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
+    out[rows["w"].to_numpy()] = rows["m"].to_numpy()
     return out
 
 

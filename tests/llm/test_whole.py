@@ -91,3 +91,58 @@ def test_salvage_within_members():
     assert ids == [0, 1, 4] and gaps
     assert read(packed(bad) + packed(made(4))) == ([4], [(0, len(packed(bad)))])
     assert read(packed(made(0), made(1))) == ([0, 1], [])
+
+
+def test_archives_are_read_in_blocks(spark, monkeypatch):
+    def made(i, n=3000):
+        body = random.Random(i).randbytes(n)
+        return warc.record(i, f"http://x/{i}", body, len(body), warc.digest(body), None, "1970-01-01T00:00:00Z")
+
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    whole = b"".join(made(i) for i in range(60))
+    one = z.compress(whole) + z.flush()
+    bad = made(99).replace(made(99)[-50:-40], b"0123456789")
+    data = one + b"junk" * 9000 + warc.member(made(70)) + made(71) + bad + made(72, 40_000) + warc.member(made(73))[:-200]
+    want = list(warc.salvage(data))
+    ids = [*range(60), 70, 71, 72]
+    assert [r["page_id"] for r in want if r["kind"] == "record"] == ids and sum(r["kind"] == "gap" for r in want) == 3
+    monkeypatch.setattr(warc, "BLOCK", 4096)
+    read = []
+
+    def fetch(at, n):
+        read.append(n)
+        return data[at : at + n]
+
+    assert list(warc.salvage(warc.Source(len(data), fetch))) == want and max(read) <= 41_000  # never more than a record
+    cut = made(1).replace(b"Content-Length: 3", b"Content-Length: 9999999993")  # a length that the file hasn't
+    rows = list(warc.salvage(cut + made(2)))
+    assert [r["kind"] for r in rows] == ["gap", "record"]
+    from evidentia.llm import scratch
+
+    path = scratch.path(spark, "archives")
+    local = path.removeprefix("file://")
+    import pathlib
+
+    pathlib.Path(local).mkdir(parents=True)
+    pathlib.Path(local, "a b%20.warc.gz").write_bytes(data)
+    monkeypatch.undo()
+    got = [sorted((r.page_id, r.payload_bytes) for r in warc.read(spark, path).where("kind = 'record'").collect())]
+    monkeypatch.setattr(warc, "streams", lambda path: False)
+    got.append(sorted((r.page_id, r.payload_bytes) for r in warc.read(spark, path).where("kind = 'record'").collect()))
+    assert got[0] == got[1] and [i for i, _ in got[0]] == ids
+
+
+def test_hot_routes_are_cut_again(spark, monkeypatch):
+    from tests.llm import brute
+
+    from evidentia.llm import substrings
+
+    monkeypatch.setattr(substrings, "SHARD", 300)
+    said = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(i, f"{said(f'l{i}x', 30)} {said('p', 60)} {said(f'r{i}x', 30)}") for i in range(60)]
+    rows += [(100 + i, f"{said(f'm{i}x', 12)} {said('p', 8)} {said(f'n{i}x', 12)}") for i in range(60)]  # the n-gram alone is shared
+    rows += [(200, "q " * 300), (201, f"{said('l7x', 30)} {said('p', 20)}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (12, 35):
+        got = sorted((r.doc_id, r.text, r.n_words, r.n_removed) for r in substrings.without_repeats(frame, least).collect())
+        assert got == sorted(brute.without_repeats(rows, least))
