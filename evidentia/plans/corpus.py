@@ -55,18 +55,6 @@ def review_reasons(t: Tables):
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+(?:[×*./-][a-z0-9]+)*')"
 
 
-@query("P06_substantive_overlap", f"SELECT item_id, doc_id FROM benchmark b, documents d WHERE item_id < 5 AND len(list_intersect(list_filter({_WORDS.format('b.text')}, lambda x: length(x) >= 8), {_WORDS.format('d.text')})) > 0")
-def substantive_overlap(t: Tables):
-    """Queries and documents that share a long token: an equi-join on tokens, not all pairs."""
-    tok = lambda df, id: df.select(id, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("tok")).where(F.length("tok") >= 8)
-    return tok(t.benchmark.where("item_id < 5"), "item_id").join(tok(t.documents, "doc_id"), "tok").select("item_id", "doc_id").distinct()
-
-
-@query("P08_required_phrases", "SELECT p_partkey FROM part WHERE contains(p_type, 'STANDARD') AND contains(p_type, 'BRASS')")
-def required_phrases(t: Tables):
-    return t.part.where(F.forall(F.array(F.lit("STANDARD"), F.lit("BRASS")), lambda x: F.contains(F.col("p_type"), x))).select("p_partkey")
-
-
 @query(
     "P09_web_admission",
     r"""SELECT page_id, CASE WHEN length(trim(regexp_replace(html, '<[^>]+>', '', 'g'))) = 0 THEN 'empty_source'
@@ -101,23 +89,11 @@ def all_values(t: Tables):
     return t.documents.where(has("text", ["the", "and"]) & has("source", ["src1"])).select("doc_id")
 
 
-@query("P13_region_with_exclusion", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'token') AND NOT regexp_matches(lower(text), '(?:except|excluding) +token')")
-def region_with_exclusion(t: Tables):
-    low = F.lower("text")
-    return t.documents.where(low.rlike(r"(?<!except )(?<!excluding )token") & ~low.rlike("(?:except|excluding) +token")).select("doc_id")
-
-
 @query("P14_json_predicate", "SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) = 1")
 def json_predicate(t: Tables):
     return t.events.where(F.get_json_object("props", "$.k").cast("int") == 1).select("event_id")
 
 
-@query("P15_numeric_dimension", r"SELECT doc_id, regexp_matches(text, '[0-9]+ ?(?:hours?|days?|min)') AS has_time, regexp_matches(text, '[0-9]+ ?(?:mm|cm|km)') AS has_length, regexp_matches(text, '[0-9]+ ?%') AS has_ratio FROM documents")
-def numeric_dimension(t: Tables):
-    x = F.col("text")
-    return t.documents.select("doc_id", x.rlike("[0-9]+ ?(?:hours?|days?|min)").alias("has_time"), x.rlike("[0-9]+ ?(?:mm|cm|km)").alias("has_length"), x.rlike("[0-9]+ ?%").alias("has_ratio"))
-
-
 @query("P16_suspicion", "SELECT conv_id, turn, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, d)) / len(q) END, 6)::DOUBLE AS overlap, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, d)) / len(q) END < 0.15 AS suspicious FROM (SELECT conv_id, turn, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]{2,}')) AS q, ['the', 'and', 'that', 'with', 'for'] AS d FROM conversations)")
 def suspicion(t: Tables):
     q = T.plain_terms(F.col("text"), 2, False)
@@ -143,12 +119,6 @@ def query_time_guard(t: Tables):
     return t.orders.select("o_orderkey", (F.size(invented_years(question, rewrite)) > 0).alias("rejected"))
 
 
-@query("P20_parse_quality", "SELECT lang, count(*) AS n, sum((n_chars < 100)::INT)::BIGINT AS short, sum((contains(text, '###'))::INT)::BIGINT AS garbled, CASE WHEN sum((n_chars < 100)::INT) > 0 THEN 'short' ELSE '' END AS warnings FROM documents GROUP BY lang")
-def parse_quality(t: Tables):
-    rows = t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") < 100).alias("short"), F.count_if(F.contains("text", F.lit("###"))).alias("garbled"))
-    return rows.withColumn("warnings", F.when(F.col("short") > 0, "short").otherwise(""))
-
-
 @query("P21_metadata_only", r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\[(BLOCK|VISUAL|PROFILE) '))) = 0 AS metadata_only FROM documents")
 def metadata_only(t: Tables):
     return t.documents.select("doc_id", F.forall(F.split("text", "\n"), lambda x: x.rlike(r"^\[(BLOCK|VISUAL|PROFILE) ")).alias("metadata_only"))
@@ -293,20 +263,6 @@ def quote_links(t: Tables):
     return t.documents.join(quotes, F.contains("text", F.col("quote"))).groupBy("item_id").agg(F.min("doc_id").alias("proof"))
 
 
-@query("J18_family_sections", "SELECT p_brand, k, count(*) AS n FROM (SELECT p_brand, unnest([p_size, p_size + 1]) AS k FROM part) GROUP BY p_brand, k")
-def family_sections(t: Tables):
-    ids = F.explode(F.from_json(F.to_json(F.array("p_size", F.col("p_size") + 1)), "array<int>"))
-    return t.part.select("p_brand", ids.alias("k")).groupBy("p_brand", "k").agg(F.count("*").alias("n"))
-
-
-@query("J19_node_assets", "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_partkey % 100 = s_suppkey % 100 WHERE p_size BETWEEN 10 AND 20 AND s_nationkey <> 3 AND contains(p_type, 'STEEL') AND p_partkey % 10 <> 0")
-def node_assets(t: Tables):
-    a = t.part.where(F.col("p_size").between(10, 20) & F.contains("p_type", F.lit("STEEL"))).withColumn("k", F.col("p_partkey") % 100)
-    b = t.supplier.where("s_nationkey <> 3").withColumn("k", F.col("s_suppkey") % 100)
-    excluded = t.part.where("p_partkey % 10 = 0").select("p_partkey")
-    return a.join(b, "k").join(excluded, "p_partkey", "left_anti").select("p_partkey", "s_suppkey")
-
-
 @query("J20_peer_labels", "WITH p AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL) SELECT a.l_orderkey, a.l_linenumber, max(b.flag) AS peer_label FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber GROUP BY ALL")
 def peer_labels(t: Tables):
     """What the others of a page have: from the page's two largest labels, so no self-join of pages is needed."""
@@ -325,22 +281,6 @@ def label_assembly(t: Tables):
     return rows.select("o_orderkey", F.col("c_mktsegment").alias("product"), F.col("n_name").alias("project"), n.alias("bindings"), (n > 1).alias("multiple"))
 
 
-@query("J22_nearest_product", """SELECT vec_id, min_by(label, struct_pack(d := d, l := label)) AS label FROM (SELECT q.vec_id, e.label, round(median(sqrt(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: pow(x[1]::DOUBLE - x[2]::DOUBLE, 2))))), 9) AS d FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id GROUP BY ALL) GROUP BY vec_id""")
-def nearest_product(t: Tables):
-    """The label whose vectors have the smallest median distance, for a stated set of queries."""
-    q = C.sized_broadcast(t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x")))
-    d = F.sqrt(F.aggregate(F.zip_with("x", "embedding", lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v))
-    rows = t.embeddings.join(q, F.col("vec_id") != F.col("q")).select("q", "label", d.alias("d"))
-    med = rows.groupBy("q", "label").agg(F.round(F.percentile("d", 0.5), 9).alias("d"))
-    return med.groupBy(F.col("q").alias("vec_id")).agg(F.min_by("label", F.struct("d", "label")).alias("label"))
-
-
-@query("J23_scope_notes", "SELECT DISTINCT o_orderkey, note FROM (SELECT o_orderkey, 'urgent' AS note FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_orderkey, 'big' FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT o_orderkey, 'old' FROM orders WHERE o_orderdate < '1993-01-01')")
-def scope_notes(t: Tables):
-    n = lambda cond, name: t.orders.where(cond).select("o_orderkey", F.lit(name).alias("note"))
-    return n("o_orderpriority = '1-URGENT'", "urgent").union(n("o_totalprice > 200000", "big")).union(n("o_orderdate < '1993-01-01'", "old")).distinct()
-
-
 @query("J24_finish_options", "SELECT p_partkey, r_regionkey, row_number() OVER (PARTITION BY p_partkey ORDER BY r_name) AS position FROM part, region")
 def finish_options(t: Tables):
     """Every product with every option of a checked, small table; the order comes from the options alone."""

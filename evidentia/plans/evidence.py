@@ -65,11 +65,6 @@ def repeated_entries(t: Tables):
     return E.repeated_entries(texts)
 
 
-@query("A24_table_synopsis", "SELECT l_orderkey, count(*) AS n_rows, count(DISTINCT l_partkey) AS parts, min(l_quantity) AS lowest, max(l_quantity) AS highest, array_to_string((list_sort(list(l_partkey)))[1:3], ',') AS samples FROM lineitem GROUP BY l_orderkey")
-def table_synopsis(t: Tables):
-    return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n_rows"), F.count_distinct("l_partkey").alias("parts"), F.min("l_quantity").alias("lowest"), F.max("l_quantity").alias("highest"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("l_partkey")), 1, 3), lambda x: x.cast("string")), ",").alias("samples"))
-
-
 @query("A25_status_counts", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
 def status_counts(t: Tables):
     return t.orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
@@ -102,14 +97,6 @@ def contiguous_ranges(t: Tables):
     return E.ranges(t.lineitem.select("l_suppkey", F.col("l_partkey").alias("i")).distinct(), ["l_suppkey"], "i")
 
 
-@query("W13_table_split", "SELECT event_id, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS section FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 1 DAY THEN 1 ELSE 0 END AS starts FROM events)")
-def table_split(t: Tables):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.lag("ts").over(w)
-    rows = t.events.withColumn("starts", F.when(gap.isNull() | (F.col("ts") - gap > F.expr("INTERVAL '1' DAY")), 1).otherwise(0))
-    return rows.select("event_id", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("section"))
-
-
 @query("W14_interval_coverage", """WITH r AS (SELECT l_suppkey, l_partkey AS s, l_partkey + l_quantity::BIGINT AS e FROM lineitem), m AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r),
  g AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM m) SELECT l_suppkey, count(*) AS pieces, sum(e - s)::BIGINT AS covered FROM (SELECT l_suppkey, p, min(s) AS s, max(e) AS e FROM g GROUP BY ALL) GROUP BY l_suppkey""")
 def interval_coverage(t: Tables):
@@ -133,29 +120,6 @@ def bounded_log(t: Tables):
     return log(t.events, ["user_id", "event_type"], "event_id", 10).select("event_id")
 
 
-@query("W19_box_islands", """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey AS x0, l_partkey + 300 AS x1 FROM lineitem), m AS (SELECT *, max(x1) OVER (PARTITION BY l_orderkey ORDER BY x0, x1, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM b),
- i AS (SELECT *, sum(CASE WHEN p IS NULL OR x0 >= p THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY x0, x1, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m) SELECT l_orderkey, island::BIGINT AS island, min(x0) AS x0, max(x1) AS x1, count(*) AS n FROM i GROUP BY ALL""")
-def box_islands(t: Tables):
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("x0"), (F.col("l_partkey") + 300).alias("x1"))
-    w = Window.partitionBy("l_orderkey").orderBy("x0", "x1", "l_linenumber")
-    before = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("starts", F.when(before.isNull() | (F.col("x0") >= before), 1).otherwise(0))
-    rows = rows.withColumn("island", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("l_orderkey", "island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count("*").alias("n"))
-
-
-def _scored_orders(t: Tables):
-    return t.lineitem.select(F.col("l_orderkey").alias("query_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("id"), F.col("l_suppkey").alias("doc"), F.col("l_quantity").alias("score"), F.concat("l_returnflag", "l_linestatus").alias("text"), F.col("l_quantity").cast("int").alias("tokens")).dropDuplicates(["query_id", "id"])
-
-
-@query("R03_rule_bonuses", "SELECT doc_id, least(80, 16 * contains(lower(source), 'src1')::INT + 16 * contains(lower(lang), 'en')::INT)::BIGINT AS source_bonus, least(100, 12 * len(list_filter(['the ', 'ing ', 'tion'], lambda x: contains(text, x))))::BIGINT AS gram_bonus FROM documents")
-def rule_bonuses(t: Tables):
-    """Bonuses by source name and by exact character grams of the query, each with its bound."""
-    source = 16 * F.contains(F.lower("source"), F.lit("src1")).cast("int") + 16 * F.contains(F.lower("lang"), F.lit("en")).cast("int")
-    gram = 12 * F.size(F.filter(F.array(*map(F.lit, ("the ", "ing ", "tion"))), lambda g: F.contains(F.col("text"), g)))
-    return t.documents.select("doc_id", F.least(F.lit(80), source).cast("long").alias("source_bonus"), F.least(F.lit(100), gram).cast("long").alias("gram_bonus"))
-
-
 @query("R06_near_duplicate_suppression")
 def near_duplicate_suppression(t: Tables):
     return G.distinct_greedily(t.documents.select((F.col("doc_id") % 5).alias("query_id"), F.col("doc_id").alias("id"), F.col("source").alias("doc"), (-F.col("doc_id")).cast("double").alias("score"), "text"), 400)
@@ -194,18 +158,6 @@ def query_windows(t: Tables):
     return E.first_fit(rows, ["doc_id"], ["n", "start"], "start", "size", 1800).where("kept").select("doc_id", "start")
 
 
-@query("R22_preview_selection")
-def preview_selection(t: Tables):
-    rows = _scored_orders(t).withColumn("turn", F.row_number().over(Window.partitionBy("query_id", "text").orderBy(F.desc("score"), "id"))).where("turn <= 12")
-    return E.first_fit(rows, ["query_id"], ["turn", "text"], "id", "tokens", 150).where("kept").select("query_id", "id")
-
-
-@query("R24_coverage_first")
-def coverage_first(t: Tables):
-    rows = _scored_orders(t).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).withColumn("requirements", F.array("text"))
-    return G.coverage_first(rows.select("query_id", "id", "rank", "requirements"))
-
-
 @query("R25_budget_expansion", "SELECT l_orderkey AS query_id, l_linenumber * 1000000 + l_partkey AS id, sum(min(l_quantity)::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 90 AS kept FROM lineitem WHERE l_orderkey <= 4000 GROUP BY l_orderkey, l_linenumber, l_partkey".replace("min(l_quantity)", "max(l_quantity)"))
 def budget_expansion(t: Tables):
     rows = t.lineitem.where("l_orderkey <= 4000").groupBy(F.col("l_orderkey").alias("query_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("id")).agg(F.max("l_quantity").cast("long").alias("tokens"))
@@ -229,13 +181,6 @@ def primary_visuals(t: Tables):
     return G.primary_visuals(rows, 10)
 
 
-@query("U01_union_rounds", "SELECT doc_id, CASE WHEN n.doc_id IS NOT NULL THEN 'new' ELSE 'old' END AS round FROM (SELECT doc_id FROM documents WHERE lang IN ('de', 'fr')) a LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'de' OR source = 'src1') n USING (doc_id) UNION SELECT doc_id, 'new' FROM documents WHERE lang = 'de' OR source = 'src1'")
-def union_rounds(t: Tables):
-    new = t.documents.where("lang = 'de' or source = 'src1'").select("doc_id", F.lit("new").alias("round"))
-    old = t.documents.where("lang in ('de', 'fr')").select("doc_id", F.lit("old").alias("round"))
-    return new.unionByName(old).groupBy("doc_id").agg(F.min("round").alias("round"))
-
-
 @query("U04_provenance_dedup", r"SELECT md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS fingerprint, min(doc_id) AS first_id, max(n_chars) AS best, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents WHERE length(text) >= 32 GROUP BY 1")
 def provenance_dedup(t: Tables):
     rows = t.documents.where(F.length("text") >= 32).groupBy(F.md5(T.squeezed(F.col("text"))).alias("fingerprint"))
@@ -250,17 +195,6 @@ def web_dedup(t: Tables):
     return out.select("publisher", "text_key", "first_id", F.size("duplicates").cast("long").alias("n_duplicates"))
 
 
-@query("U06_cell_fingerprints", "SELECT count(*) AS n, sum(c)::BIGINT AS total FROM (SELECT l_orderkey, l_returnflag, l_linestatus, l_discount, l_tax, count(*) AS c FROM lineitem GROUP BY ALL)")
-def cell_fingerprints(t: Tables):
-    rows = t.lineitem.groupBy("l_orderkey", F.array("l_returnflag", "l_linestatus", F.col("l_discount").cast("string"), F.col("l_tax").cast("string")).alias("v")).agg(F.count("*").alias("c"))
-    return rows.agg(F.count("*").alias("n"), F.sum("c").alias("total"))
-
-
-@query("U07_requirement_union", "SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS requirements FROM lineitem GROUP BY l_orderkey")
-def requirement_union(t: Tables):
-    return t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("requirements"))
-
-
 @query("U08_canonical_urls", r"""WITH c AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#:]*)', 1)) || CASE WHEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g') END ||
  coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|fbclid|gclid|msclkid|ref|spm|from|source)(=|$)')), '&'), ''), '') AS canonical FROM pages)
  SELECT min(page_id) AS page_id, canonical FROM c GROUP BY canonical""")
@@ -270,11 +204,6 @@ def canonical_urls(t: Tables):
     return first_seen(t.pages, "page_id").select("page_id", "canonical")
 
 
-@query("U09_requirement_search_merge", "SELECT l_partkey, min(l_orderkey) AS first_hit, count(DISTINCT l_suppkey) AS requirements FROM lineitem WHERE l_suppkey <= 20 GROUP BY l_partkey")
-def requirement_search_merge(t: Tables):
-    return t.lineitem.where("l_suppkey <= 20").groupBy("l_partkey").agg(F.min("l_orderkey").alias("first_hit"), F.count_distinct("l_suppkey").alias("requirements"))
-
-
 @query("U10_set_differences", "SELECT 'both' AS side, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'only_documents', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)")
 def set_differences(t: Tables):
     a, b = t.documents.select("doc_id"), t.labels.select("doc_id")
@@ -300,25 +229,6 @@ def text_windows(t: Tables):
     return G.windows(t.documents).drop("text")
 
 
-@query("D02_table_row_chunks", "SELECT l_orderkey, floor((n - 1) / 3)::BIGINT AS chunk, count(*) AS n_rows, 'order=' || l_orderkey AS header FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) GROUP BY ALL")
-def table_row_chunks(t: Tables):
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    rows = t.lineitem.select("l_orderkey", F.floor((n - 1) / 3).alias("chunk"))
-    return rows.groupBy("l_orderkey", "chunk").agg(F.count("*").alias("n_rows")).withColumn("header", F.concat(F.lit("order="), F.col("l_orderkey").cast("string")))
-
-
-@query("D03_context_packing")
-def context_packing(t: Tables):
-    lines = t.documents.select(F.col("source").alias("category"), F.col("doc_id").alias("member"), "text")
-    return G.directory_packets(lines, 12000)
-
-
-@query("D04_model_chunks", "SELECT doc_id, 'index' AS part, n_chars AS size FROM documents UNION ALL SELECT doc_id, 'evidence', length(trim(text)) FROM documents WHERE lang = 'en'")
-def model_chunks(t: Tables):
-    d = t.documents
-    return d.select("doc_id", F.lit("index").alias("part"), F.col("n_chars").alias("size")).union(d.where("lang = 'en'").select("doc_id", F.lit("evidence"), F.length(F.trim("text")).cast("long")))
-
-
 @query("D05_derived_blocks", "SELECT doc_id, s AS start, md5(substr(text, s + 1, 1600)) AS digest FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 1600)) AS s FROM documents)")
 def derived_blocks(t: Tables):
     rows = t.documents.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text"), F.lit(1)) - 1, F.lit(1600))).alias("start"))
@@ -336,31 +246,12 @@ def unpivot(t: Tables):
     return rows.unpivot("o_orderkey", ["price", "customer"], "metric", "value")
 
 
-@query("D08_statement_facts", "SELECT l_suppkey AS item, 'current' AS role, round(sum(CASE WHEN year(l_shipdate) >= 1996 THEN l_quantity ELSE 0 END), 2) AS value FROM lineitem GROUP BY l_suppkey UNION ALL SELECT l_suppkey, 'prior', round(sum(CASE WHEN year(l_shipdate) < 1996 THEN l_quantity ELSE 0 END), 2) FROM lineitem GROUP BY l_suppkey")
-def statement_facts(t: Tables):
-    late = F.year("l_shipdate") >= 1996
-    wide = t.lineitem.groupBy(F.col("l_suppkey").alias("item")).agg(F.round(F.sum(F.when(late, F.col("l_quantity")).otherwise(0)), 2).alias("current"), F.round(F.sum(F.when(~late, F.col("l_quantity")).otherwise(0)), 2).alias("prior"))
-    return wide.unpivot("item", ["current", "prior"], "role", "value")
-
-
-@query("D09_free_text_facts", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM events")
-def free_text_facts(t: Tables):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), True).over(w).alias("carried"))
-
-
 @query("D10_metric_resolution", "SELECT p_partkey, CASE WHEN p_type LIKE 'STANDARD%' THEN 'cost' WHEN p_type LIKE '%BRASS' THEN 'weight' ELSE lower(trim(p_type)) END AS metric FROM part")
 def metric_resolution(t: Tables):
     name = F.when(F.col("p_type").startswith("STANDARD"), "Price").when(F.col("p_type").endswith("BRASS"), "mass").otherwise(F.col("p_type"))
     return t.part.select("p_partkey", V.metric(name).alias("metric"))
 
 
-@query("D11_fact_validation", "SELECT l_orderkey, l_partkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_partkey) > 1 AS duplicated, l_discount = 0 AS no_value FROM lineitem")
-def fact_validation(t: Tables):
-    w = Window.partitionBy("l_orderkey", "l_partkey")
-    return t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", (F.count("*").over(w) > 1).alias("duplicated"), (F.col("l_discount") == 0).alias("no_value"))
-
-
 @query("D12_prose_facts", "SELECT p_partkey AS id, 0 AS ordinal, lower(p_brand) AS entity, 'thickness' AS metric, (p_size * 10)::DOUBLE AS value, 'mm' AS unit FROM part")
 def prose_facts(t: Tables):
     text = F.concat("p_brand", F.lit(" has thickness: "), F.col("p_size").cast("string"), F.lit(" cm."))
@@ -373,13 +264,6 @@ def fact_triples(t: Tables):
     return E.prose_facts(t.part.select(F.col("p_partkey").alias("doc_id"), text.alias("text")), r"(\S+) (\w+): ([0-9.,]+) (usd|cny)").select("id", "metric", F.round("value", 2).alias("value"), "unit")
 
 
-@query("D14_relation_tags", "SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), 'if |unless ') THEN 'condition' END, CASE WHEN regexp_matches(lower(text), 'except|not ') THEN 'exception' END, CASE WHEN regexp_matches(text, '[0-9]+ ?%') THEN 'ratio' END], lambda x: x IS NOT NULL), ',') AS tags FROM documents")
-def relation_tags(t: Tables):
-    low = F.lower("text")
-    tags = F.array(F.when(low.rlike("if |unless "), "condition"), F.when(low.rlike("except|not "), "exception"), F.when(F.col("text").rlike("[0-9]+ ?%"), "ratio"))
-    return t.documents.select("doc_id", F.array_join(F.filter(tags, lambda x: x.isNotNull()), ",").alias("tags"))
-
-
 @query("D15_hierarchy", "SELECT doc, label, kind, count(*) AS members FROM (SELECT o_custkey AS doc, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority WHEN o_orderkey % 3 = 1 THEN 'page:' || year(o_orderdate) ELSE 'block:' || o_orderkey END AS label, CASE o_orderkey % 3 WHEN 0 THEN 'section' WHEN 1 THEN 'page' ELSE 'block' END AS kind FROM orders) GROUP BY ALL")
 def hierarchy(t: Tables):
     heading = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority"))
@@ -401,19 +285,6 @@ def directory_packets(t: Tables):
     return G.directory_packets(t.customer.select(F.col("c_mktsegment").alias("category"), F.col("c_custkey").alias("member"), F.col("c_name").alias("text")), 500)
 
 
-@query("D18_directory_trim", "SELECT * FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS position FROM customer) WHERE position <= 25")
-def directory_trim(t: Tables):
-    w = Window.partitionBy("c_mktsegment").orderBy("c_custkey")
-    return t.customer.select("c_mktsegment", "c_custkey", F.row_number().over(w).alias("position")).where("position <= 25")
-
-
-@query("D19_summary_packets", "SELECT doc_id, row_number() OVER (ORDER BY turn, source) AS position FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) WHERE turn <= 3")
-def summary_packets(t: Tables):
-    turn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = t.documents.select("doc_id", "source", turn.alias("turn")).where("turn <= 3")
-    return rows.select("doc_id", F.row_number().over(Window.orderBy("turn", "source")).alias("position"))
-
-
 @query("D20_extractive_fallback", "SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS chosen FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE i IN (0, floor((n - 1) / 3.0 + 0.5), floor(2 * (n - 1) / 3.0 + 0.5), n - 1) GROUP BY source")
 def extractive_fallback(t: Tables):
     w = Window.partitionBy("source")
@@ -422,47 +293,6 @@ def extractive_fallback(t: Tables):
     return rows.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("chosen"))
 
 
-@query("D21_requirement_grid", "SELECT s_suppkey AS target_id, aspect, s_suppkey || ':' || aspect AS requirement_id FROM supplier, (SELECT unnest(['price', 'quality', 'delivery']) AS aspect)")
-def requirement_grid(t: Tables):
-    rows = t.supplier.select(F.col("s_suppkey").alias("target_id"), F.explode(F.array(*map(F.lit, ("price", "quality", "delivery")))).alias("aspect"))
-    return rows.withColumn("requirement_id", F.concat_ws(":", F.col("target_id").cast("string"), "aspect"))
-
-
-@query("D22_evidence_projection", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'page' ELSE 'sheet' END AS location_type, CASE WHEN doc_id % 2 = 0 THEN doc_id % 10 END AS page, CASE WHEN doc_id % 2 = 1 THEN source END AS sheet FROM documents")
-def evidence_projection(t: Tables):
-    even = F.col("doc_id") % 2 == 0
-    loc = F.struct(F.when(even, "page").otherwise("sheet").alias("location_type"), F.when(even, F.col("doc_id") % 10).alias("page"), F.when(~even, F.col("source")).alias("sheet"))
-    return t.documents.select("doc_id", loc.alias("location")).select("doc_id", "location.*")
-
-
-@query("D23_support_audit")
-def support_audit(t: Tables):
-    from ..operators.greedy import unsupported
-
-    rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("answer"), F.lit("2024 and 12.5").alias("evidence"))
-    return unsupported(rows).select("id", "clauses", "unsupported")
-
-
-@query("D24_clause_filter")
-def clause_filter(t: Tables):
-    from ..operators.greedy import unsupported
-
-    rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("answer"), F.lit("2024").alias("evidence"))
-    return unsupported(rows).select("id", F.length("kept").alias("kept_chars"))
-
-
-@query("D25_citation_contract", "SELECT o_orderkey, count(l_orderkey) AS cited, count(l_orderkey) > 0 AS satisfied FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R' GROUP BY o_orderkey")
-def citation_contract(t: Tables):
-    n = t.lineitem.where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("cited"))
-    rows = t.orders.join(n, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("cited", F.coalesce("cited", F.lit(0)))
-    return rows.select("o_orderkey", "cited", (F.col("cited") > 0).alias("satisfied"))
-
-
-@query("D26_citations", "SELECT l_suppkey, l_partkey, min(l_orderkey) AS first FROM lineitem GROUP BY ALL")
-def citation_rows(t: Tables):
-    return t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("first"))
-
-
 @query("D27_pack_violations", "SELECT o_orderkey AS id, 'group_incomplete' AS reason FROM orders WHERE o_orderkey % 5 <> 0 AND o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING sum((o_orderkey % 5 <> 0)::INT) BETWEEN 1 AND count(*) - 1) UNION ALL SELECT o_orderkey, 'digest_differs' FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 11 = 0")
 def pack_violations(t: Tables):
     known = t.orders.select(F.col("o_orderkey").alias("id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("digest"), F.col("o_custkey").alias("grp"))
@@ -470,46 +300,12 @@ def pack_violations(t: Tables):
     return E.violations(packed, known, "id", "digest", "grp")
 
 
-@query("D28_source_gaps", "SELECT c_custkey, CASE WHEN n IS NULL THEN 'no_source' WHEN n < 5 THEN 'few' ELSE 'enough' END AS state FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
-def source_gaps(t: Tables):
-    n = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return t.customer.join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.when(F.col("n").isNull(), "no_source").when(F.col("n") < 5, "few").otherwise("enough").alias("state"))
-
-
-@query("D29_form_annotations", "SELECT p_partkey, p_brand || ' / ' || p_type || ' / ' || p_name AS annotated FROM part")
-def form_annotations(t: Tables):
-    return t.part.select("p_partkey", F.concat_ws(" / ", "p_brand", "p_type", "p_name").alias("annotated"))
-
-
-@query("D31_profiles", "SELECT p_partkey, coalesce(CASE WHEN p_size > 40 THEN NULL ELSE p_size END, 25) AS size, CASE WHEN p_size > 40 THEN 'policy' ELSE 'source' END AS provenance FROM part")
-def profiles(t: Tables):
-    own = F.when(F.col("p_size") <= 40, F.col("p_size"))
-    return t.part.select("p_partkey", F.coalesce(own, F.lit(25)).alias("size"), F.when(own.isNull(), "policy").otherwise("source").alias("provenance"))
-
-
-@query("D32_header_inference", "SELECT l_orderkey, min(l_linenumber) AS header FROM (SELECT l_orderkey, l_linenumber, count(DISTINCT l_returnflag) AS metrics FROM lineitem WHERE l_linenumber <= 30 GROUP BY ALL HAVING max(l_quantity) >= 30) GROUP BY l_orderkey")
-def header_inference(t: Tables):
-    rows = t.lineitem.where("l_linenumber <= 30").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q")).where("q >= 30")
-    return rows.groupBy("l_orderkey").agg(F.min("l_linenumber").alias("header"))
-
-
-@query("D33_source_locations", "SELECT * FROM (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS position FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) WHERE position <= 8")
-def source_locations(t: Tables):
-    rows = t.lineitem.select("l_suppkey", "l_partkey").distinct()
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_partkey"))).where("position <= 8")
-
-
 @query("D34_finalise", "SELECT doc_id, 'doc-' || left(sha256(text), 16) AS id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || '...' ELSE text END AS rendered FROM documents")
 def finalise(t: Tables):
     body = F.when(F.length("text") > 2000, F.concat(F.substring("text", 1, 2000), F.lit("..."))).otherwise(F.col("text"))
     return t.documents.select("doc_id", F.concat(F.lit("doc-"), F.substring(F.sha2("text", 256), 1, 16)).alias("id"), body.alias("rendered"))
 
 
-@query("D36_numeric_passage", "SELECT source, min(doc_id) AS doc_id FROM documents WHERE regexp_matches(text, '[0-9]+ ?%') GROUP BY source")
-def numeric_passage(t: Tables):
-    return t.documents.where(F.col("text").rlike("[0-9]+ ?%")).groupBy("source").agg(F.min("doc_id").alias("doc_id"))
-
-
 @query("S14_page_quality", r"SELECT doc_id, CASE WHEN trim(text) = '' THEN 'no_text' WHEN len(regexp_extract_all(trim(text), '[\x{fffd}\x00-\x08\x0b\x0c\x0e-\x1f]')) / greatest(length(trim(text)), 1) > 0.02 THEN 'garbled_text' WHEN length(trim(text)) < 40 THEN 'sparse_text' ELSE 'text_layer' END AS quality FROM documents")
 def page_quality(t: Tables):
     return t.documents.select("doc_id", E.page_quality(F.col("text")).alias("quality"))
@@ -549,11 +345,6 @@ def sessions(t: Tables):
     return rows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("T06_plan_cache", "SELECT user_id, event_type, max(event_id) AS cached FROM events GROUP BY user_id, event_type ORDER BY cached DESC LIMIT 100")
-def plan_cache(t: Tables):
-    return t.events.groupBy("user_id", "event_type").agg(F.max("event_id").alias("cached")).orderBy(F.desc("cached")).limit(100)
-
-
 @query("T07_sliding_admission", "SELECT s AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 15 MINUTE, ts), time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 30 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 45 MINUTE]) AS s FROM events) GROUP BY s")
 def sliding_admission(t: Tables):
     rows = t.events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour", "15 minutes").alias("w")).agg(F.count("*").alias("n"))

@@ -117,16 +117,6 @@ def taxonomy_labels(t: Tables):
     return rows.select("doc_id", "category", F.array_join("labels", ",").alias("labels"))
 
 
-@query(
-    "F13_fragment_class",
-    r"SELECT doc_id, CASE WHEN regexp_matches(left(text, 80), '(?i)copyright|rights reserved|license') THEN 'legal' WHEN regexp_matches(left(text, 80), '^[A-Z\W]+$') THEN 'title' WHEN regexp_matches(left(text, 80), '[0-9]') THEN 'figures' ELSE 'prose' END AS kind FROM documents",
-)
-def fragment_class(t: Tables):
-    lead = F.substring("text", 1, 80)
-    kind = F.when(lead.rlike("(?i)copyright|rights reserved|license"), "legal").when(lead.rlike(r"^[A-Z\W]+$"), "title").when(lead.rlike("[0-9]"), "figures").otherwise("prose")
-    return t.documents.select("doc_id", kind.alias("kind"))
-
-
 @query("F14_canonical_domains", "SELECT c_nationkey, array_to_string(list_sort(list_distinct(list(CASE c_mktsegment WHEN 'BUILDING' THEN 'construction' WHEN 'FURNITURE' THEN 'construction' ELSE lower(c_mktsegment) END))), ',') AS domains FROM customer GROUP BY c_nationkey")
 def canonical_domains(t: Tables):
     names = F.create_map(F.lit("BUILDING"), F.lit("construction"), F.lit("FURNITURE"), F.lit("construction"))
@@ -145,12 +135,6 @@ def visual_role(t: Tables):
     return t.part.select("p_partkey", first_role(F.col("p_type"), [("sample", ["BRASS"]), ("detail", ["STEEL", "TIN"]), ("case", ["COPPER"])]).alias("role"))
 
 
-@query("F16_kind_without_negation", "SELECT doc_id, regexp_matches(lower(text), 'token') AND NOT regexp_matches(lower(text), '(?:no|without|not) +token') AS mentions_token FROM documents")
-def kind_without_negation(t: Tables):
-    low = F.lower("text")
-    return t.documents.select("doc_id", (low.rlike("token") & ~low.rlike("(?:no|without|not) +token")).alias("mentions_token"))
-
-
 @query("F17_product_fields", r"SELECT p_partkey, regexp_extract(p_type, '^(\S+)', 1) AS family, regexp_extract(p_type, '(\S+)$', 1) AS material, regexp_extract(p_brand, '#([0-9]+)', 1) AS code, upper(trim(regexp_replace(p_name, '\s+', ' ', 'g'))) AS name FROM part")
 def product_fields(t: Tables):
     e = F.regexp_extract
@@ -215,14 +199,6 @@ def response_language(t: Tables):
     return t.conversations.select("conv_id", "turn", F.when(han > latin, "Chinese").when(latin > 0, "Latin").otherwise("unknown").alias("language"), asked.alias("asked"))
 
 
-@query("F25_source_compaction")
-def source_compaction(t: Tables):
-    """Formula templates: digits of a row's cell references as ``{r}``, so equal formulas down a column become one."""
-    f = F.concat(F.lit("=B"), F.col("l_linenumber"), F.lit("*C"), F.col("l_linenumber"), F.when(F.col("l_discount") > 0.05, "*0.9").otherwise(""))
-    rows = t.lineitem.select("l_orderkey", F.regexp_replace(f, r"([A-Z]+)[0-9]+", "$1{r}").alias("template"))
-    return rows.groupBy("template").agg(F.count("*").alias("n"))
-
-
 @query("F26_blocks", r"SELECT doc_id, sum(CASE WHEN contains(p, '|') OR regexp_matches(p, '^\s*(?:[0-9]+[.、)]|\[ROW|\[TABLE)') THEN 1 ELSE greatest(len(list_filter(string_split_regex(regexp_replace(p, '([!?。！？])\s*', chr(1) || '\1' || chr(2), 'g'), chr(2)), lambda x: trim(replace(x, chr(1), '')) <> '')), 0) END)::BIGINT AS n_blocks FROM (SELECT doc_id, trim(unnest(string_split_regex(text, '\n\s*\n')), chr(10) || ' ') AS p FROM documents) WHERE p <> '' GROUP BY doc_id")
 def blocks(t: Tables):
     return t.documents.select("doc_id", F.size(T.blocks(F.col("text"))).cast("long").alias("n_blocks")).where("n_blocks > 0")

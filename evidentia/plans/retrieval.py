@@ -150,11 +150,6 @@ def gallery(t: Tables):
     return R.gallery(rows, ["p_brand"], "p_type", "p_name", 12).select("p_brand", "id", "position")
 
 
-@query("R10_product_match", "SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '#1') THEN 3 WHEN contains(p_type, 'BRASS') THEN 2 WHEN contains(lower(p_name), 'the') THEN 1 ELSE 0 END AS priority FROM part")
-def product_match(t: Tables):
-    return t.part.select("p_partkey", F.when(F.col("p_brand").rlike("#1"), 3).when(F.contains("p_type", F.lit("BRASS")), 2).when(F.contains(F.lower("p_name"), F.lit("the")), 1).otherwise(0).alias("priority"))
-
-
 _ST = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_./%-]+'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP) + ")))"
 
 
@@ -186,13 +181,6 @@ def visual_selection(t: Tables):
     return one.withColumn("rank", rank).where("rank <= 4").select("l_orderkey", "l_partkey", "rank")
 
 
-@query("R20_question_excerpt", "SELECT doc_id, s AS start FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, s) AS r FROM (SELECT doc_id, s, len(list_intersect(list_distinct(regexp_extract_all(replace(lower(substr(text, s + 1, 540)), 'ß', 'ss'), '[a-z0-9]{2,}')), ['the', 'token', 'rights', 'stupid'])) AS n FROM (SELECT doc_id, text, unnest(range(0, length(text), 270)) AS s FROM documents WHERE length(text) > 700))) WHERE r = 1")
-def question_excerpt(t: Tables):
-    from ..operators.evidence import best_window
-
-    return best_window(t.documents.select("doc_id", "text").where(F.length("text") > 700), F.array(*map(F.lit, ("the", "token", "rights", "stupid")))).select("doc_id", "start")
-
-
 @query("R21_web_rank", "SELECT l_orderkey, id, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN ok THEN -score ELSE 0 END, id) AS position, ok AS by_score FROM (SELECT *, bool_and(coalesce(score BETWEEN 0 AND 1, false)) OVER (PARTITION BY l_orderkey) AS ok FROM (SELECT l_orderkey, l_partkey * 10 + l_linenumber AS id, min(CASE WHEN l_quantity = 50 THEN NULL ELSE l_quantity / 50 END) AS score FROM lineitem GROUP BY ALL))")
 def web_rank(t: Tables):
     from ..operators.web import ranked
@@ -226,21 +214,6 @@ def case_top(t: Tables):
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "lang").orderBy("rank"))).where("n = 1").select("query_id", "lang", "id")
 
 
-@query("R30_aspect_recovery", "SELECT p_brand, expansion, n FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, length(expansion), expansion) AS r FROM (SELECT p_brand, p_type AS expansion, count(*) AS n FROM part GROUP BY p_brand, p_type)) WHERE r <= 4")
-def aspect_recovery(t: Tables):
-    counts = t.part.groupBy("p_brand", F.col("p_type").alias("expansion")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("p_brand").orderBy(F.desc("n"), F.length("expansion"), "expansion")
-    return counts.withColumn("r", F.row_number().over(w)).where("r <= 4").drop("r")
-
-
-@query("R31_generation_order", "SELECT l_orderkey, id, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN a = 1 THEN 0 WHEN b = 1 THEN 1 ELSE 2 END, a) AS position FROM (SELECT l_orderkey, id, row_number() OVER (PARTITION BY l_orderkey ORDER BY id) AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY id DESC) AS b FROM (SELECT DISTINCT l_orderkey, l_linenumber * 100000 + l_partkey AS id FROM lineitem))")
-def generation_order(t: Tables):
-    rows = t.lineitem.select("l_orderkey", (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("id")).distinct()
-    w = Window.partitionBy("l_orderkey")
-    rows = rows.withColumn("a", F.row_number().over(w.orderBy("id"))).withColumn("b", F.row_number().over(w.orderBy(F.desc("id"))))
-    return rows.withColumn("position", F.row_number().over(w.orderBy(F.when(F.col("a") == 1, 0).when(F.col("b") == 1, 1).otherwise(2), "a"))).select("l_orderkey", "id", "position")
-
-
 @query("W10_round_robin", "SELECT doc_id, turn, row_number() OVER (PARTITION BY lang ORDER BY turn, source) AS position FROM (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS turn FROM documents)")
 def round_robin(t: Tables):
     return R.round_robin(t.documents.select("doc_id", "lang", "source"), ["lang"], "source", "doc_id").select("doc_id", "turn", "position")
