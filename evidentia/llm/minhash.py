@@ -132,8 +132,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, flat: bool = False) -> Dat
     return out
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full shingle sets are similar enough. A written table."""
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Of the pairs (a, b), those whose full shingle sets are similar enough; and the table of sets that this reads."""
     sets = _sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), k)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +157,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFr
     left = sets.join(often, F.col("id") == F.col("hub")).select("id", F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("part"))
     right = dealt.join(sets.withColumnRenamed("shingles", "y"), F.col("b") == F.col("id")).select("a", "b", "salt", "y")
     full = right.join(left, (F.col("a") == F.col("id")) & (F.col("salt") == F.col("part"))).select("a", "b", "x", "y")
-    out = scratch.written(full.mapInArrow(words.lean(check), "a long, b long"), "links")
-    scratch.forget(sets)
-    return out
+    return full.mapInArrow(words.lean(check), "a long, b long"), sets
 
 
 def _rare_pairs(rows: DataFrame, docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
@@ -215,7 +213,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     stars = rows.select("j", "h", "rep", "n").join(hubs, ["j", "h"]).where((F.col("rep") != F.col("hub")) & near(F.col("n"), F.col("hub_n")))
     stars = scratch.written(stars.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    labels = scratch.written(components(confirmed(stars, docs, percent, k)), "labels")
+    links, sets = confirmed(stars, docs, percent, k)
+    labels = components(links)
+    scratch.forget(sets)
 
     # what is still apart within a bucket
     left = rows.select("rep", "n", "j", "h").join(labels, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep"))
@@ -225,8 +225,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     rest = scratch.written(met.join(stars, ["a", "b"], "left_anti"), "rest")
     for done in (left, few, stars):
         scratch.forget(done)
-    more = confirmed(rest, docs, percent, k)
-    labels = scratch.written(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "labels")
+    more, sets = confirmed(rest, docs, percent, k)
+    labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    scratch.forget(sets)
 
     of = classes.join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.col("n").alias("m"), F.coalesce("component", "rep").alias("c"))
     out = sig.select("doc_id", "n", "f1", "f2").alias("s").join(of.alias("o"), (F.col("s.f1") == F.col("o.f1")) & (F.col("s.f2") == F.col("o.f2")) & (F.col("s.n") == F.col("o.m")), "left")

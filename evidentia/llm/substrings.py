@@ -122,7 +122,7 @@ def _let_through(df: DataFrame, bitmap) -> DataFrame:
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """(v, c, w, words) of the segments in ``wanted`` (id, k, a, m, v, c, w). A written table."""
+    """(v, c, w, size in words, words) of the segments in ``wanted`` (id, k, a, m, v, c, w). A written table."""
     spark = docs.sparkSession
     per = wanted.groupBy("id", "k").agg(F.collect_list(F.struct("a", "m", "v", "c", "w")).alias("s"))
     bitmap = spark.sparkContext.broadcast(scratch.id_bitmap(wanted.select("k").distinct(), "k"))
@@ -140,9 +140,9 @@ def _contents(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                 a, m = flat.field(0).to_numpy(), flat.field(1).to_numpy()
                 begin = o[row] + a
                 data = [h[x : x + y + least - 1].tobytes() for x, y in zip(begin.tolist(), m.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([flat.field(2), flat.field(3), flat.field(4), pa.array(data, pa.binary())], names=["v", "c", "w", "words"])
+                yield pa.RecordBatch.from_arrays([flat.field(2), flat.field(3), flat.field(4), pa.array(m.astype(np.int64) + least - 1), pa.array(data, pa.binary())], names=["v", "c", "w", "size", "words"])
 
-    out = scratch.written(rows.mapInArrow(words.lean(run), "v long, c long, w long, words binary"), "contents")
+    out = scratch.written(rows.mapInArrow(words.lean(run), "v long, c long, w long, size long, words binary"), "contents")
     bitmap.destroy()
     return out
 
@@ -209,61 +209,59 @@ def _recut(rows: DataFrame, least: int, gram: int, bitmap=None) -> DataFrame:
     return rows.mapInArrow(words.lean(run), "v long, c long, w long, s int, m int, r long, c2 long, alone boolean, words binary, slot long")
 
 
-def _found(rows: DataFrame, least: int, grams: list[int]) -> DataFrame:
-    """(v, c, s, n): in the segment known by (v, c) the ``n`` windows from word ``s`` on also start elsewhere. A written table.
+def _found(rows: DataFrame, least: int, grams: list[int]) -> tuple[DataFrame, list[DataFrame]]:
+    """(v, c, s, n): in the segment known by (v, c) the ``n`` windows from word ``s`` on also start elsewhere; and the tables that
+    this reads.
 
-    rows: distinct segments (v, c, w: how often it stands, words) of routes v that
-    occur more than once; ``grams``: words of the n-grams by which a route that is
+    rows: a table of distinct segments (v, c, w: how often it stands, size, words) of routes v
+    that occur more than once; ``grams``: words of the n-grams by which a route that is
     too large for a shard is routed again, the last being ``least``.
     """
-    spark = rows.sparkSession
-    routes = scratch.written(rows.groupBy("v").agg(F.sum(F.length("words") / 8).cast("long").alias("size")), "routes")
-    cold = F.lit(True) if not grams else F.col("size") <= SHARD
-    total, hot = routes.agg(F.sum(F.when(cold, F.col("size"))), F.count_if(~cold)).first()
+    spark, read = rows.sparkSession, [rows]
+    routes = rows.groupBy("v").agg(F.sum("size").alias("all"))
+    cold = F.lit(True) if not grams else F.col("all") <= SHARD
+    total, hot = routes.agg(F.sum(F.when(cold, F.col("all"))), F.count_if(~cold)).first()
     shards = max(-(-int(total or 0) // SHARD), 1)
     dealt = routes.where(cold).select("v", F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard"))
     out = _by_automaton(rows.join(dealt, "v").select("shard", "v", "c", "w", "words"), least)
     if hot:
-        large = scratch.written(rows.join(routes.where(~cold).select("v"), "v", "left_semi").select("v", "c", "w", "words").repartition("v", "c"), "large")
+        large = rows.join(routes.where(~cold).select("v"), "v", "left_semi").select("v", "c", "w", "words").repartition("v", "c")
         once = _recut(large, least, grams[0]).groupBy("r", "slot").agg(F.sum("w").alias("n"), F.min("alone").alias("alone"))
         bits = spark.sparkContext.broadcast(scratch.slot_bitmap(once.where("n > 1 or not alone").select("slot")))
         every = scratch.written(_recut(large, least, grams[0], bits), "segments")
         bits.destroy()
         kinds = every.groupBy("r", "c2").agg(F.sum("w").alias("w"), F.min("alone").alias("alone"), F.first("words").alias("words"))
-        kinds = scratch.written(kinds, "kinds")
-        shared = kinds.groupBy("r").agg(F.sum("w").alias("n"), F.min("alone").alias("alone")).where("n > 1 or not alone").select("r")
-        inner = _found(kinds.join(shared, "r", "left_semi").select(F.col("r").alias("v"), F.col("c2").alias("c"), "w", "words"), least, grams[1:])
+        kinds = scratch.written(kinds.select(F.col("r").alias("v"), F.col("c2").alias("c"), "w", "alone", (F.length("words") / 8).cast("long").alias("size"), "words"), "kinds")
+        shared = kinds.groupBy("v").agg(F.sum("w").alias("n"), F.min("alone").alias("alone")).where("n > 1 or not alone").select("v")
+        inner, more = _found(kinds.join(shared, "v", "left_semi").select("v", "c", "w", "size", "words"), least, grams[1:])
         inner = inner.select(F.col("v").alias("r"), F.col("c").alias("c2"), F.col("s").alias("more"), "n")
         out = out.union(every.select("v", "c", "s", "r", "c2").join(inner, ["r", "c2"]).select("v", "c", (F.col("s") + F.col("more")).alias("s"), "n"))
-    out = scratch.written(out, "found")
-    for done in (routes, *((large, every, kinds) if hot else ())):
-        scratch.forget(done)
-    return out
+        read += [every, kinds, *more[1:]]
+    return out, read
 
 
-def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
-    """(id, k, s, n): in the row known by (id, k), the ``n`` windows of ``least`` words from word ``s`` on also start elsewhere.
+def repeated_windows(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, k, s, n): in the row known by (id, k), the ``n`` windows of ``least`` words from word ``s`` on also start elsewhere; and the
+    tables that this reads.
 
     ``docs``: of ``_keyed``.
     """
     spark = docs.sparkSession
-    whole = scratch.written(_segments(docs, least), "segments")
+    whole = _segments(docs, least)  # cut twice, as writing all segments costs more than cutting them again
     shared = whole.groupBy("v").agg(F.count("*").alias("n"), F.min("alone").alias("alone")).where("n > 1 or not alone").select("v")
     bitmap = spark.sparkContext.broadcast(scratch.id_bitmap(shared, "v"))
     every = scratch.written(_let_through(whole.withColumn("slot", scratch.id_slot("v")), bitmap).drop("slot"), "segments")
-    scratch.forget(whole)
     bitmap.destroy()
     kinds = every.groupBy("v", "c").agg(F.count("*").alias("w"), F.min("alone").alias("alone"), F.min(F.struct("id", "k", "a")).alias("rep"), F.first("m").alias("m"))
     kinds = scratch.written(kinds, "kinds")
     routes = kinds.groupBy(F.col("v").alias("r")).agg(F.sum("w").alias("n"), F.min("alone").alias("alone")).where("n > 1 or not alone").select("r")
-    wanted = scratch.written(kinds.join(routes, F.col("v") == F.col("r"), "left_semi").select("rep.id", "rep.k", "rep.a", "m", "v", "c", "w"), "kinds")
-    scratch.forget(kinds)
+    wanted = kinds.join(routes, F.col("v") == F.col("r"), "left_semi").select("rep.id", "rep.k", "rep.a", "m", "v", "c", "w")
     text = _contents(docs, wanted, least)
-    scratch.forget(wanted)
+    scratch.forget(kinds)
     first = min(GRAM, least)
-    found = _found(text, least, sorted({g for g in (least - SHORTER, least) if g > first}))
-    scratch.forget(text)
-    return every.join(found.withColumnRenamed("n", "len"), ["v", "c"]).select("id", "k", (F.col("a") + F.col("s")).alias("s"), F.col("len").alias("n"))
+    found, read = _found(text, least, sorted({g for g in (least - SHORTER, least) if g > first}))
+    rows = every.join(found.withColumnRenamed("n", "len"), ["v", "c"]).select("id", "k", (F.col("a") + F.col("s")).alias("s"), F.col("len").alias("n"))
+    return rows, [every, *read]
 
 
 def _cut(text: bytes, spans: list[tuple[int, int]], least: int) -> tuple[bytes, int, int]:
@@ -292,8 +290,10 @@ def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = _keyed(docs)
-    spans = repeated_windows(docs, least).groupBy("id", "k").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
-    spans = scratch.written(spans, "spans")
+    found, read = repeated_windows(docs, least)
+    spans = scratch.written(found.groupBy("id", "k").agg(F.collect_list(F.struct("s", "n")).alias("spans")), "spans")
+    for table in read:
+        scratch.forget(table)
     bitmap = spark.sparkContext.broadcast(scratch.id_bitmap(spans.select("k"), "k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
