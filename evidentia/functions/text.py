@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HAN = r"[\x{4e00}-\x{9fff}]"
+#: Ideographs and word tokens of the token estimate; cue words of English; words that ask for the present (fixed values).
+IDEOGRAPHS, WORD = "㐀-䶿一-鿿豈-﫿", r"[A-Za-z0-9_]+(?:[./%-][A-Za-z0-9_]+)*"
+ENGLISH = r"(?i)\b(?:the|and|of|for|report|statement|total|amount|year|date|income|balance)\b"
+PRESENT = "今天|今日|现在|当前|实时|最新|本周|本月|today|current|latest|real.?time"
+#: Tokens of the index, of contexts and of sessions; standard numbers (fixed values).
+INDEX_TOKEN, CONTEXT_TOKEN, SESSION_TOKEN = r"[a-z0-9]+(?:[×*./-][a-z0-9]+)*", r"[a-z0-9]+(?:[._/-][a-z0-9]+)*", r"[a-z0-9_./%-]+"
+STANDARD = r"\b(?:[A-Z]{2,4}(?:/[A-Z])?)\s?[0-9]{2,6}(?:\.[0-9]+)?(?:-[0-9]{4})?\b"
 #: Stop words of the session's terms (fixed values).
 STOP = "the a an of in on at to for from and or is are was were be by with this that it its what which how".split()
 
@@ -33,13 +40,13 @@ def tokens(text: Column) -> Column:
     """F01. The index's tokens, repeats kept: Latin runs joined by ``×*./-``, then each Han character and pair."""
     low = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[®™©]", ""), "㎜", "mm")
     han = F.transform(found(low, HAN + "+"), lambda run: F.concat(grams(run, 1), grams(run, 2)))
-    return F.concat(found(low, r"[a-z0-9]+(?:[×*./-][a-z0-9]+)*"), F.flatten(han))
+    return F.concat(found(low, INDEX_TOKEN), F.flatten(han))
 
 
 def context_terms(text: Column) -> Column:
     """F02. Folded Latin tokens of 2 or more, Han runs of up to 4 whole and all pairs; distinct."""
     value = folded(F.coalesce(text, F.lit("")))
-    latin = F.filter(found(value, r"[a-z0-9]+(?:[._/-][a-z0-9]+)*"), lambda t: F.length(t) >= 2)
+    latin = F.filter(found(value, CONTEXT_TOKEN), lambda t: F.length(t) >= 2)
     runs = found(value, HAN + "+")
     return F.array_distinct(F.concat(latin, F.filter(runs, lambda r: F.length(r) <= 4), F.flatten(F.transform(runs, lambda r: grams(r, 2)))))
 
@@ -47,7 +54,7 @@ def context_terms(text: Column) -> Column:
 def session_terms(text: Column) -> Column:
     """F03. Lower-case Latin runs with ``_./%-``, without stop words; Han runs of 2 or more, and their pairs; distinct."""
     text = F.coalesce(text, F.lit(""))
-    latin = F.filter(found(F.lower(text), r"[a-z0-9_./%-]+"), lambda t: ~t.isin(STOP))
+    latin = F.filter(found(F.lower(text), SESSION_TOKEN), lambda t: ~t.isin(STOP))
     runs = found(text, HAN + "{2,}")
     return F.array_distinct(F.concat(latin, runs, F.flatten(F.transform(runs, lambda r: grams(r, 2)))))
 
@@ -102,8 +109,8 @@ def squeezed(text: Column) -> Column:
 
 def estimated_tokens(text: Column) -> Column:
     """F10. Han characters, quarters of Latin tokens rounded up, half the other signs rounded up; 1 at least, 0 if empty."""
-    han = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"
-    latin = F.aggregate(found(text, r"[A-Za-z0-9_]+(?:[./%-][A-Za-z0-9_]+)*"), F.lit(0).cast("long"), lambda a, t: a + F.ceil(F.length(t) / 4))
+    han = IDEOGRAPHS
+    latin = F.aggregate(found(text, WORD), F.lit(0).cast("long"), lambda a, t: a + F.ceil(F.length(t) / 4))
     total = counted(text, f"[{han}]") + latin + F.ceil(counted(text, rf"[^\sA-Za-z0-9_{han}]") / 2)
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1), total).cast("long"))
 
@@ -121,7 +128,6 @@ SCRIPTS = [
     ("und", "Grek", r"[\x{0370}-\x{03ff}]"),
     ("und", "Latn", r"[A-Za-zÀ-ÖØ-öø-ÿ]"),
 ]
-ENGLISH = r"(?i)\b(?:the|and|of|for|report|statement|total|amount|year|date|income|balance)\b"
 
 
 def scripts(text: Column) -> Column:
@@ -166,7 +172,7 @@ def lines(text: Column) -> Column:
 
 def standard_codes(text: Column) -> Column:
     """F21. Standard numbers such as ``GB/T 1234-2020``, upper case, without blanks; distinct in order."""
-    codes = found(F.upper(text), r"\b(?:[A-Z]{2,4}(?:/[A-Z])?)\s?[0-9]{2,6}(?:\.[0-9]+)?(?:-[0-9]{4})?\b")
+    codes = found(F.upper(text), STANDARD)
     return F.array_distinct(F.transform(codes, lambda c: F.regexp_replace(c, r"\s", "")))
 
 

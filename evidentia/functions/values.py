@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import found
 
@@ -67,15 +71,16 @@ def recency(date: Column, profile: Column, this_year: int) -> Column:
 
 
 def box_distance(a: Column, b: Column) -> Column:
-    """F40. Between boxes [x0, y0, x1, y1]; 0 if they meet, 900 if one is invalid."""
+    """F40. Between boxes [left, top, right, bottom]; 0 if they meet, 900 if one is invalid."""
+    side = lambda box, i: F.get(box, F.lit(i))
+    valid = lambda box: F.coalesce((F.size(box) == 4) & (side(box, 0) < side(box, 2)) & (side(box, 1) < side(box, 3)), F.lit(False))
 
-    def good(x: Column) -> Column:
-        return F.coalesce((F.size(x) == 4) & (F.get(x, F.lit(2)) > F.get(x, F.lit(0))) & (F.get(x, F.lit(3)) > F.get(x, F.lit(1))), F.lit(False))
+    def apart(axis: int) -> Column:
+        """How far the later of the two intervals on an axis begins after the earlier one's end."""
+        starts, ends = [side(x, axis) for x in (a, b)], [side(x, axis + 2) for x in (a, b)]
+        return F.greatest(F.greatest(*starts) - F.least(*ends), F.lit(0.0))
 
-    x0, y0, x1, y1 = (F.get(a, F.lit(i)) for i in range(4))
-    a0, b0, a1, b1 = (F.get(b, F.lit(i)) for i in range(4))
-    gap = F.hypot(F.greatest(a0 - x1, x0 - a1, F.lit(0.0)), F.greatest(b0 - y1, y0 - b1, F.lit(0.0)))
-    return F.when(good(a) & good(b), gap).otherwise(F.lit(900.0))
+    return F.when(valid(a) & valid(b), F.sqrt(apart(0) * apart(0) + apart(1) * apart(1))).otherwise(F.lit(900.0))
 
 
 def link_score(same_heading: Column, nearby: Column, caption: Column, text: Column, distance: Column) -> Column:
@@ -154,26 +159,44 @@ def publisher(url: Column) -> Column:
     return F.when(last.isin(*TWO_PARTS), three).otherwise(last)
 
 
-#: Query keys that only track, besides utm_* (our choice).
-TRACKING = ("fbclid", "gclid", "msclkid", "ref", "spm", "from", "source")
+#: Query keys that only track, besides utm_* (fixed values).
+TRACKING = ("from", "spm", "source", "ref", "referrer")
 
 
 def canonical_url(url: Column) -> Column:
     """U08. http and https only, no user; lower-case host, default ports, repeated slashes, tracking keys and fragment
-    dropped. ASCII hosts only: names in other scripts would need a Python function."""
+    dropped, the query's keys and values encoded anew. Hosts beyond ASCII stay as they are: ``ascii_host`` writes them."""
     u = F.trim(url)
     scheme, h = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), host(u)
     port = F.regexp_extract(u, r"^[^:/?#]+://[^/?#]*?:([0-9]+)(?:[/?#]|$)", 1)
     path = F.regexp_replace(F.regexp_extract(u, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), "/{2,}", "/")
     pairs = F.filter(F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&"), lambda p: p != "")
-    key = lambda p: F.lower(F.substring_index(p, "=", 1))
-    kept = F.filter(pairs, lambda p: ~key(p).startswith("utm_") & ~key(p).isin(*TRACKING))
-    query = F.array_join(kept, "&")
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    coded = lambda x: F.replace(F.replace(F.url_encode(plain(x)), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    key = lambda p: plain(F.substring_index(p, "=", 1))
+    kept = F.filter(pairs, lambda p: ~F.lower(key(p)).startswith("utm_") & ~F.lower(key(p)).isin(*TRACKING))
+    value = lambda p: F.when(F.contains(p, F.lit("=")), F.substr(p, F.instr(p, "=") + 1)).otherwise("")
+    query = F.array_join(F.transform(kept, lambda p: F.concat(coded(F.substring_index(p, "=", 1)), F.lit("="), coded(value(p)))), "&")
     out = F.concat(scheme, F.lit("://"), h, F.when(port.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
     user = u.rlike(r"^[^:/?#]+://[^/?#]*@")
     return F.when(scheme.isin("http", "https") & (h != "") & ~user, out).otherwise("")
 
 
+@F.pandas_udf(StringType())
+def ascii_host(url: pd.Series) -> pd.Series:
+    """Canonical addresses with their host's other scripts in ASCII; empty where a host can't be written so."""
+
+    def one(u: str) -> str:
+        scheme, _, rest = u.partition("://")
+        name = re.split(r"[:/?#]", rest, maxsplit=1)[0]
+        try:
+            return f"{scheme}://{name.encode('idna').decode()}{rest[len(name) :]}"
+        except UnicodeError:
+            return ""
+
+    return url.map(one)
+
+
 def stable_id(*parts: Column, length: int = 24) -> Column:
     """F56. A prefix of the digest of parts joined by an unlikely sign; null parts count as empty."""
     return F.substring(F.sha2(F.concat_ws("\u0001", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256), 1, length)

@@ -70,14 +70,19 @@ BROADCAST_ROWS = 200_000
 
 
 def sized_broadcast(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The side with a broadcast hint if its rows, counted up to one over the bound, allow it; else as it is."""
+    """The side with a broadcast hint if its rows, counted up to one over the bound, allow it; else as it is.
+
+    A join without an equality is then a product of both sides: callers of such joins pass a catalogue that is small by its
+    nature, and the plan of a larger one is slow rather than wrong.
+    """
     return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
 def located(rows: DataFrame, rules: DataFrame, name: str) -> DataFrame:
-    """J07. Adds ``location``: that of the first rule (ordinal, marker, location) whose marker the name contains."""
-    hit = rows.join(sized_broadcast(rules), F.contains(F.col(name), F.col("marker")), "left")
-    return hit.groupBy(*rows.columns).agg(F.min_by("location", "ordinal").alias("location"))
+    """J07. Adds ``location``: that of the first rule (ordinal, marker, location) whose marker the name contains. Equal rows stay apart."""
+    hit = rows.withColumn("_row", F.monotonically_increasing_id()).join(sized_broadcast(rules), F.contains(F.col(name), F.col("marker")), "left")
+    one = hit.groupBy("_row").agg(F.first(F.struct(*rows.columns)).alias("_r"), F.min_by("location", "ordinal").alias("location"))
+    return one.select("_r.*", "location")
 
 
 def mentions(texts: DataFrame, names: DataFrame, least: int = 4) -> DataFrame:

@@ -29,7 +29,9 @@ def invented_years(question: Column, rewrite: Column, allowed: list[str] | None
 
 def first_seen(sources: DataFrame, rank: str, url: str = "url") -> DataFrame:
     """U08. Sources by canonical URL, the first of each; those without one go."""
-    rows = sources.withColumn("canonical", V.canonical_url(F.col(url))).where("canonical <> ''")
+    rows = sources.withColumn("canonical", V.canonical_url(F.col(url)))
+    other = F.col("canonical").rlike(r"[^\x00-\x7F]")
+    rows = rows.where(~other).unionByName(rows.where(other).withColumn("canonical", V.ascii_host("canonical"))).where("canonical <> ''")
     w = Window.partitionBy("canonical").orderBy(rank)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
@@ -44,10 +46,11 @@ def ranked(sources: DataFrame, query: str, score: str, rank: str) -> DataFrame:
 
 
 def deduplicated(pages: DataFrame, id: str, url: str, text: str) -> DataFrame:
-    """U05. One row per publisher and text: the first id, and the others as a list."""
-    rows = pages.groupBy(V.publisher(F.col(url)).alias("publisher"), F.md5(T.squeezed(F.col(text))).alias("text_key"))
-    out = rows.agg(F.min(id).alias("first_id"), F.array_sort(F.collect_list(id)).alias("ids"))
-    return out.withColumn("duplicates", F.slice("ids", 2, 1 << 30)).drop("ids")
+    """U05. One row per page: its publisher and text key, the first id of both, and whether it is a duplicate of it. Members are rows, not
+    lists, so a text that very many pages share is no row of all their ids."""
+    rows = pages.select(V.publisher(F.col(url)).alias("publisher"), F.md5(T.squeezed(F.col(text))).alias("text_key"), F.col(id))
+    first = rows.groupBy("publisher", "text_key").agg(F.min(id).alias("first_id"))
+    return rows.join(first, ["publisher", "text_key"]).withColumn("duplicate", F.col(id) != F.col("first_id"))
 
 
 def quota(events: DataFrame, ts: str, id: str, cap: int, offset_hours: int = 0) -> DataFrame:

@@ -106,9 +106,9 @@ def heading_only(t: Tables):
     return t.documents.select("doc_id", T.heading_only(F.col("text")).alias("heading"))
 
 
-@query("P18_time_sensitive", "SELECT conv_id, turn, regexp_matches(text, '(?i)today|current|latest|real.?time') AS time_sensitive FROM conversations")
+@query("P18_time_sensitive", f"SELECT conv_id, turn, regexp_matches(text, '(?i){T.PRESENT}') AS time_sensitive FROM conversations")
 def time_sensitive(t: Tables):
-    return t.conversations.select("conv_id", "turn", F.col("text").rlike("(?i)今天|今日|现在|当前|实时|最新|本周|本月|today|current|latest|real.?time").alias("time_sensitive"))
+    return t.conversations.select("conv_id", "turn", F.col("text").rlike(f"(?i){T.PRESENT}").alias("time_sensitive"))
 
 
 @query("P19_query_time_guard", "SELECT o_orderkey, strftime(o_orderdate, '%Y') <> '1995' AS rejected FROM orders")

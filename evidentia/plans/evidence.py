@@ -120,6 +120,10 @@ def bounded_log(t: Tables):
     return log(t.events, ["user_id", "event_type"], "event_id", 10).select("event_id")
 
 
+def _scored_orders(t: Tables):
+    return t.lineitem.select(F.col("l_orderkey").alias("query_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("id"), F.col("l_suppkey").alias("doc"), F.col("l_quantity").alias("score"), F.concat("l_returnflag", "l_linestatus").alias("text"), F.col("l_quantity").cast("int").alias("tokens")).dropDuplicates(["query_id", "id"])
+
+
 @query("R06_near_duplicate_suppression")
 def near_duplicate_suppression(t: Tables):
     return G.distinct_greedily(t.documents.select((F.col("doc_id") % 5).alias("query_id"), F.col("doc_id").alias("id"), F.col("source").alias("doc"), (-F.col("doc_id")).cast("double").alias("score"), "text"), 400)
@@ -131,9 +135,9 @@ def budgeted_windows(t: Tables):
     return G.pick_windows(rows.select("query_id", "id", "doc", "start", "end", "tokens", "score"), 4, 100)
 
 
-@query("R13_first_fit", "WITH RECURSIVE o AS (SELECT l_orderkey AS q, l_linenumber * 1000000 + l_partkey AS id, min(l_quantity)::BIGINT AS size FROM lineitem WHERE l_orderkey <= 2000 GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY id) AS i FROM o), f AS (SELECT q, id, i, size <= 80 AS kept, CASE WHEN size <= 80 THEN size ELSE 0 END AS used FROM n WHERE i = 1 UNION ALL SELECT n.q, n.id, n.i, f.used + n.size <= 80, CASE WHEN f.used + n.size <= 80 THEN f.used + n.size ELSE f.used END FROM f JOIN n ON n.q = f.q AND n.i = f.i + 1) SELECT q AS l_orderkey, id, kept FROM f")
+@query("R13_first_fit", "WITH RECURSIVE o AS (SELECT l_orderkey AS q, l_linenumber * 1000000 + l_partkey AS id, min(l_quantity)::BIGINT AS size FROM lineitem GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY id) AS i FROM o), f AS (SELECT q, id, i, size <= 80 AS kept, CASE WHEN size <= 80 THEN size ELSE 0 END AS used FROM n WHERE i = 1 UNION ALL SELECT n.q, n.id, n.i, f.used + n.size <= 80, CASE WHEN f.used + n.size <= 80 THEN f.used + n.size ELSE f.used END FROM f JOIN n ON n.q = f.q AND n.i = f.i + 1) SELECT q AS l_orderkey, id, kept FROM f")
 def first_fit(t: Tables):
-    rows = t.lineitem.where("l_orderkey <= 2000").groupBy("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("id")).agg(F.min("l_quantity").alias("size"))
+    rows = t.lineitem.groupBy("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("id")).agg(F.min("l_quantity").alias("size"))
     return E.first_fit(rows, ["l_orderkey"], ["id"], "id", "size", 80).select("l_orderkey", "id", "kept")
 
 
@@ -158,9 +162,9 @@ def query_windows(t: Tables):
     return E.first_fit(rows, ["doc_id"], ["n", "start"], "start", "size", 1800).where("kept").select("doc_id", "start")
 
 
-@query("R25_budget_expansion", "SELECT l_orderkey AS query_id, l_linenumber * 1000000 + l_partkey AS id, sum(min(l_quantity)::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 90 AS kept FROM lineitem WHERE l_orderkey <= 4000 GROUP BY l_orderkey, l_linenumber, l_partkey".replace("min(l_quantity)", "max(l_quantity)"))
+@query("R25_budget_expansion", "SELECT l_orderkey AS query_id, l_linenumber * 1000000 + l_partkey AS id, sum(min(l_quantity)::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 90 AS kept FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey".replace("min(l_quantity)", "max(l_quantity)"))
 def budget_expansion(t: Tables):
-    rows = t.lineitem.where("l_orderkey <= 4000").groupBy(F.col("l_orderkey").alias("query_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("id")).agg(F.max("l_quantity").cast("long").alias("tokens"))
+    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("query_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("id")).agg(F.max("l_quantity").cast("long").alias("tokens"))
     return G.expanded(rows.withColumn("position", F.col("id")), 90).select("query_id", "id", "kept")
 
 
@@ -187,16 +191,15 @@ def provenance_dedup(t: Tables):
     return rows.agg(F.min("doc_id").alias("first_id"), F.max("n_chars").alias("best"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
 
 
-@query("U05_web_dedup", r"SELECT array_to_string(string_split(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '.')[-2:], '.') AS publisher, md5(trim(regexp_replace(html, '\s+', ' ', 'g'))) AS text_key, min(page_id) AS first_id, count(*) - 1 AS n_duplicates FROM pages GROUP BY ALL")
+@query("U05_web_dedup", r"SELECT page_id, publisher, text_key, min(page_id) OVER (PARTITION BY publisher, text_key) AS first_id, page_id <> min(page_id) OVER (PARTITION BY publisher, text_key) AS duplicate FROM (SELECT page_id, array_to_string(string_split(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '.')[-2:], '.') AS publisher, md5(trim(regexp_replace(html, '\s+', ' ', 'g'))) AS text_key FROM pages)")
 def web_dedup(t: Tables):
     from ..operators.web import deduplicated
 
-    out = deduplicated(t.pages, "page_id", "url", "html")
-    return out.select("publisher", "text_key", "first_id", F.size("duplicates").cast("long").alias("n_duplicates"))
+    return deduplicated(t.pages, "page_id", "url", "html")
 
 
 @query("U08_canonical_urls", r"""WITH c AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#:]*)', 1)) || CASE WHEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g') END ||
- coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|fbclid|gclid|msclkid|ref|spm|from|source)(=|$)')), '&'), ''), '') AS canonical FROM pages)
+ coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|from|spm|source|ref|referrer)(=|$)')), '&'), ''), '') AS canonical FROM pages)
  SELECT min(page_id) AS page_id, canonical FROM c GROUP BY canonical""")
 def canonical_urls(t: Tables):
     from ..operators.web import first_seen

@@ -44,20 +44,21 @@ def latest_state(events: DataFrame, key: str, order: str, value: str, retracts:
     def update(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         name = str(k[0])
         if state.hasTimedOut:
-            last, body = state.get
+            last, body, _ = state.get
             state.remove()
             yield pd.DataFrame([(name, last, body, False)], columns=[key, order, value, "live"])
             return
-        last, body, gone, top = (*state.get, False, None) if state.exists else (-1, None, False, None)
+        last, body, gone = state.get if state.exists else (-1, None, False)
+        top = None
         for part in parts:
             row = part.loc[part[order].idxmax()]
             top = max(filter(None, (top, part[ts].max())))
             if row[order] > last:
                 last, body, gone = int(row[order]), str(row[value]), bool(row[retracts])
-        state.update((last, body))
+        state.update((last, body, gone))  # a retraction too: an older event may still come
         if top is not None:
             state.setTimeoutTimestamp(max(int(top.timestamp() * 1000) + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(name, last, body, not gone)], columns=[key, order, value, "live"])
 
     rows = events.withWatermark(ts, f"{days} days").groupBy(F.col(key).cast("string").alias(key))
-    return rows.applyInPandasWithState(update, schema, f"{order} long, {value} string", "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.applyInPandasWithState(update, schema, f"{order} long, {value} string, gone boolean", "update", GroupStateTimeout.EventTimeTimeout)

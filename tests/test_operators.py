@@ -53,7 +53,7 @@ def test_values(spark):
     assert one(spark, V.period(F.col("t"), F.lit("2023")), t="7月") == "2023-07"
     assert one(spark, V.previous_period(F.col("t")), t="2024-01") == "2023-12"
     url = "HTTP://A.Example.com:80//x//y?utm_source=a&q=1&fbclid=z#top"
-    assert one(spark, V.canonical_url(F.col("t")), t=url) == "http://a.example.com/x/y?q=1"
+    assert one(spark, V.canonical_url(F.col("t")), t=url) == "http://a.example.com/x/y?q=1&fbclid=z"
     assert one(spark, V.canonical_url(F.col("t")), t="ftp://x/") == ""
     assert one(spark, V.canonical_url(F.col("t")), t="https://user@x.com/") == ""
     assert one(spark, V.publisher(F.col("t")), t="https://www.a.co.uk/x") == "a.co.uk"
@@ -215,10 +215,21 @@ def test_html_and_xml(spark):
     assert M.xml_scan(bad, "id", "x").count() == 0
 
 
-def test_unsupported_numbers(spark):
-    rows = spark.createDataFrame([(1, "It costs 12.3 now. It weighs 99 kg.", "price 12.26"), (2, None, None)], "id long, answer string, evidence string")
-    got = {r.id: (r.clauses, r.unsupported, r.kept) for r in G.unsupported(rows).collect()}
-    assert got == {1: (2, 1, "It costs 12.3 now."), 2: (0, 0, "")}
+def test_canonical_addresses(spark):
+    rows = [(1, "http://x.org/a?b=%7e%2a+c&referrer=1&e&SPM=2"), (2, "https://müller.de:443/ü"), (3, "http://x.org/a?b=~*+c&e="), (4, "http://x.org/?q=%zz")]
+    got = {r.id: r.canonical for r in W.first_seen(spark.createDataFrame(rows, "id int, url string"), "id").collect()}
+    assert got == {1: "http://x.org/a?b=~%2A+c&e=", 2: "https://xn--mller-kva.de/ü", 4: "http://x.org/?q=%25zz"}
+
+
+def test_located_rows_stay_apart(spark):
+    rows = spark.createDataFrame([("a hall", 1), ("a hall", 1), ("none", None)], "name string, n int")
+    rules = spark.createDataFrame([(2, "hall", "second"), (1, "a ", "first")], "ordinal int, marker string, location string")
+    assert sorted((r.name, r.location) for r in C.located(rows, rules, "name").collect()) == [("a hall", "first"), ("a hall", "first"), ("none", None)]
+
+
+def test_windows_reach_over_wide_gaps():
+    text = ("word" + " " * 60) * 300
+    assert G.cut(text, 200, 0)[0][1] > 200 * 8 + 64 and G.estimate(text[: G.cut(text, 200, 0)[0][1]]) <= 200
 
 
 def test_repeated_entries(spark):

@@ -58,3 +58,16 @@ def test_first_seen(spark, tmp_path):
     batch, stream = events(spark, tmp_path / "e")
     got = collect(spark, state.first_seen(stream, ["user_id"], late="90 days"), "first", "append").count()
     assert got == batch.select("user_id").distinct().count()
+
+
+def test_a_retraction_outlives_its_trigger(spark, tmp_path):
+    """An older event that comes in a later trigger doesn't bring a retracted key back."""
+    start = datetime(2024, 1, 1)
+    rows = [[(9, start + timedelta(hours=9), "u", "last", True)], [(3, start + timedelta(hours=3), "u", "old", False)], [(12, start + timedelta(hours=12), "u", "new", False)]]
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("overwrite").json(str(tmp_path / f"e{i}"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(tmp_path / "e*"))
+    out = state.latest_state(stream, "user_id", "event_id", "value", "retracts")
+    q = out.writeStream.format("memory").queryName("retracted").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r.event_id, r.live) for r in spark.table("retracted").collect()] == [(9, False), (9, False), (12, True)]

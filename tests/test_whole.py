@@ -21,7 +21,7 @@ def far(spark, tmp_path_factory):
 
 @pytest.mark.parametrize(
     ("name", "key"),
-    [("R12_budgeted_windows", "query_id"), ("R14_group_eviction", "query_id"), ("R22_preview_selection", "query_id"), ("R24_coverage_first", "query_id"), ("R32_primary_visuals", "case_id"), ("F27_canonical_listing", "section"), ("A11_conflict_components", None)],
+    [("R12_budgeted_windows", "query_id"), ("R14_group_eviction", "query_id"), ("R24_coverage_first", "query_id"), ("R32_primary_visuals", "case_id"), ("F27_canonical_listing", "section"), ("A11_conflict_components", None)],
 )
 def test_order_keys_are_not_cut(spark, far, name, key):
     near, moved = plans.QUERIES[name](spark, FOLDER), plans.QUERIES[name](spark, far)
