@@ -86,9 +86,19 @@ def located(rows: DataFrame, rules: DataFrame, name: str) -> DataFrame:
 
 
 def mentions(texts: DataFrame, names: DataFrame, least: int = 4) -> DataFrame:
-    """J08. (doc_id, name_id) where a name of ``least`` characters or more occurs in a text. names: name_id, name."""
-    side = sized_broadcast(names.where(F.length("name") >= least))
-    return texts.join(side, F.instr("text", F.col("name")) > 0).select("doc_id", "name_id")
+    """J08, J17. (doc_id, name_id) where a name of ``least`` characters or more occurs in a text. texts: doc_id, text; names: name_id, name.
+
+    A name's inner words (runs of letters and digits with a sign on both sides) are whole words of a text that holds it, so names are
+    anchored on their longest inner word: an equi join on words, and only its pairs are searched. Names without inner words are
+    searched in every text; they are a catalogue of checked size.
+    """
+    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0))
+    inner = F.regexp_extract_all(F.lower("name"), F.lit("(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])"), F.lit(0))
+    longest = F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    held = names.where(F.length("name") >= least).select("name_id", "name", longest.alias("_anchor"))
+    anchored = texts.select("doc_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("_word")).join(sized_broadcast(held.where("_anchor is not null")), F.col("_word") == F.col("_anchor"))
+    bare = texts.join(sized_broadcast(held.where("_anchor is null")), F.instr("text", F.col("name")) > 0)
+    return anchored.where(F.instr("text", F.col("name")) > 0).select("doc_id", "name_id").union(bare.select("doc_id", "name_id"))
 
 
 def scope_closure(seeds: DataFrame, product_case: DataFrame, product_evidence: DataFrame, case_evidence: DataFrame, evidence: DataFrame, scopes: list[str]) -> DataFrame:

@@ -5,17 +5,22 @@ Every frame is keyed by ``query_id``; ties go by id, so results are deterministi
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import values as V
+from ..sources import workspace
 from .catalog import sized_broadcast
 
 #: Parameters of the model (fixed values): saturation, length weight, weight of a single Han character, rank constant of fusion.
 K1, B, HAN_WEIGHT, RRF = 1.5, 0.75, 0.12, 60
-#: Distinct terms of a batch of queries that may be part of an expression.
-QUERY_TERMS = 2000
+#: Bytes at most of a batch of queries that is sent to every task (their terms, or their vectors): larger batches are to be split.
+BATCH_BYTES = 64 << 20
 
 
 def term_counts(docs: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
@@ -37,23 +42,26 @@ def bm25(queries: DataFrame, docs: DataFrame, candidates: DataFrame | None = Non
     """R01. (query_id, id, score) above 0. queries: query_id, text; docs: id, text (already filtered by access).
 
     Statistics come from all of ``docs``; ``candidates`` (id) only restricts what is
-    scored. The documents' tokens are cut down to the queries' terms (a broadcast of
-    checked size, before any shuffle) as they are exploded, so a posting list leaves
-    its map task only if a query asks for its term.
+    scored. The documents are tokenised once: their tokens are cut down to the
+    queries' terms as they are exploded (a broadcast of checked size, before any
+    shuffle), and the postings are written, with one row a document for the lengths.
+    Document frequencies, the mean length and the scores are read from them.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    terms = q.select("term").distinct()
-    toks = docs.select("id", T.tokens(F.col("text")).alias("t")).select("id", "t", F.greatest(F.size("t"), F.lit(1)).alias("dl"))
-    stats = toks.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
+    terms = q.select("term").union(q.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    toks = docs.select("id", T.tokens(F.col("text")).alias("t")).select("id", F.greatest(F.size("t"), F.lit(1)).alias("dl"), F.concat(F.array(F.lit("")), "t").alias("t"))
     hits = toks.select("id", "dl", F.explode("t").alias("term")).join(sized_broadcast(terms), "term", "left_semi")
-    tf = hits.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    tf = workspace.written(hits.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")), "postings")
+    stats = tf.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("avg"))
+    tf = tf.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     if candidates is not None:
         tf = tf.join(candidates, "id", "left_semi")
-    rows = q.join(sized_broadcast(df), "term").join(tf, "term").crossJoin(F.broadcast(stats))
     weight = F.when((F.length("term") == 1) & F.col("term").rlike(T.HAN), HAN_WEIGHT).otherwise(1.0)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = weight * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avg")))
+    idf = weight * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    wanted = q.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avg")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avg")))
+    rows = tf.join(sized_broadcast(wanted), "term")
     return rows.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
@@ -67,16 +75,49 @@ def ranked(scores: DataFrame, *keys: str, score: str = "score", id: str = "id",
 def cosine_top(queries: DataFrame, vectors: DataFrame, most: int = 48) -> DataFrame:
     """R02. (query_id, id, score, rank): the ``most`` vectors nearest to each query by cosine.
 
-    queries: query_id, vector, a stated set of checked size that is broadcast; a
-    larger one is joined as it is. Vectors are normalised once. Scores are rounded
-    to 9 digits before ranks, so that the order of sums does not matter.
+    queries: query_id, vector: a batch of checked size (``BATCH_BYTES``; more raises), sent to every task as one matrix. Tasks multiply
+    batches of vectors with it and keep each query's ``most`` best before anything is shuffled. Scores are rounded to 9 digits
+    before ranks, so that the order of sums does not matter. Null vectors and those of another dimension are left out.
     """
-    q = sized_broadcast(queries.select("query_id", V.normalised(F.col("vector")).alias("_q")))
-    rows = vectors.select("id", V.normalised(F.col("vector")).alias("_v")).crossJoin(q)
-    scores = rows.select("query_id", "id", F.round(V.dot(F.col("_q"), F.col("_v")), 9).alias("score"))
+    rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("v")).where("v is not null and size(v) > 0")
+    size = rows.agg(F.sum(F.size("v") * 8 + 32)).first()[0] or 0
+    if size > BATCH_BYTES:
+        raise ValueError(f"queries of {size} bytes are over the bound of {BATCH_BYTES} for one batch")
+    got = rows.collect()
+    groups: dict[int, tuple[list, np.ndarray]] = {}
+    for d in sorted({len(r["v"]) for r in got}):
+        own = [r for r in got if len(r["v"]) == d]
+        groups[d] = ([r["query_id"] for r in own], _unit(np.array([r["v"] for r in own], np.float64)))
+    sent = queries.sparkSession.sparkContext.broadcast(groups)
+    kinds = [(c, f.schema[c].dataType.simpleString()) for f, c in ((queries, "query_id"), (vectors, "id"))]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.array([x if x is not None else 0 for x in pa.compute.list_value_length(batch.column(1)).to_pylist()])
+            for d in np.unique(size).tolist():
+                if d not in sent.value:
+                    continue
+                part = batch.filter(pa.array(size == d))
+                names, q = sent.value[d]
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                score = np.round(_unit(v) @ q.T, 9)
+                order = np.lexsort((np.broadcast_to(pa.compute.rank(part.column(0)).to_numpy()[:, None], score.shape), -score), axis=0)[:most]
+                col = np.broadcast_to(np.arange(len(names)), order.shape)
+                yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in col.ravel().tolist()], batch_type), part.column(0).take(pa.array(order.ravel())), pa.array(score[order, col].ravel())], names=["query_id", "id", "score"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    batch_type = to_arrow_type(queries.schema["query_id"].dataType)
+    some = vectors.select("id", F.col("vector").cast("array<double>").alias("v"))
+    scores = some.mapInArrow(best, ", ".join(f"{c} {k}" for c, k in kinds) + ", score double")
     return ranked(scores, "query_id", most=most)
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """F42 on rows."""
+    return v / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
+
+
 def fused(channels: list[DataFrame]) -> DataFrame:
     """W02. (query_id, id, score, rank): the sum of 1 / (60 + rank) over channels (query_id, id, rank); ties by id, descending."""
     rows = channels[0].select("query_id", "id", "rank")
@@ -172,22 +213,38 @@ def top_two(scores: DataFrame, least: float = 0.82, margin: float = 0.03) -> Dat
 
 def window_scores(queries: DataFrame, windows: DataFrame) -> DataFrame:
     """R11. (query_id, window_id, score) above 0: over terms of query and window, the log of their rarity times the saturated
-    number of places where the term's string occurs in the lower-cased text. queries: query_id, text; windows: window_id, text."""
+    number of places where the term's string occurs in the lower-cased text. queries: query_id, text; windows: window_id, text.
+
+    The queries' terms, whose bytes are checked, go to every task; a window's terms among them are counted in its own text, once,
+    and written, so that rarity and scores read the same counts.
+    """
     q = queries.select("query_id", F.explode(T.session_terms(F.col("text"))).alias("term"))
-    terms = [r["term"] for r in q.select("term").distinct().limit(QUERY_TERMS + 1).collect()]
-    places = lambda t, term: F.floor((F.length(t) - F.length(F.replace(t, term, F.lit("")))) / F.length(term))
-    own = windows.select("window_id", F.lower("text").alias("_t"), T.session_terms(F.col("text")).alias("_terms"))
-    if len(terms) <= QUERY_TERMS:  # counted within the row, so that a text isn't copied for each of its terms
-        hits = F.array_intersect("_terms", F.array(*map(F.lit, terms)).cast("array<string>"))
-        c = own.select("window_id", F.explode(F.transform(hits, lambda x: F.struct(x.alias("term"), places(F.col("_t"), x).alias("c")))).alias("x")).select("window_id", "x.*")
-    else:
-        some = own.select("window_id", F.explode("_terms").alias("term")).join(sized_broadcast(q.select("term").distinct()), "term", "left_semi")
-        c = some.join(own.select("window_id", "_t"), "window_id").select("window_id", "term", places(F.col("_t"), F.col("term")).alias("c"))
+    known = q.select("term").distinct()
+    size = known.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    if size > BATCH_BYTES:
+        raise ValueError(f"terms of {size} bytes are over the bound of {BATCH_BYTES} for one batch of queries")
+    sent = queries.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in known.collect()))
+    kind = windows.schema["window_id"].dataType.simpleString()
+    latin, han, stop = re.compile(T.SESSION_TOKEN), re.compile("[一-鿿]{2,}"), frozenset(T.STOP)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, terms, n = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                low, runs = (text or "").lower(), han.findall(text or "")
+                own = {*latin.findall(low), *runs, *(r[k : k + 2] for r in runs for k in range(len(r) - 1))} - stop
+                for t in own & sent.value:
+                    rows.append(i)
+                    terms.append(t)
+                    n.append(low.count(t))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(n, pa.int64())], names=["window_id", "term", "c"])
+
+    c = workspace.written(windows.select("window_id", "text").mapInArrow(counted, f"window_id {kind}, term string, c long"), "counts")
     df = c.groupBy("term").agg(F.count("*").alias("df"))
     n = windows.agg(F.count("*").alias("n"))
-    rows = q.join(sized_broadcast(df), "term").join(c, "term").crossJoin(F.broadcast(n))
-    part = F.log(1 + (F.col("n") + 1) / (F.col("df") + 1)) * (1 + F.col("c") / (F.col("c") + 1.5))
-    return rows.groupBy("query_id", "window_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
+    wanted = q.join(df, "term").crossJoin(F.broadcast(n)).select("query_id", "term", F.log(1 + (F.col("n") + 1) / (F.col("df") + 1)).alias("rarity"))
+    part = F.col("rarity") * (1 + F.col("c") / (F.col("c") + 1.5))
+    return c.join(sized_broadcast(wanted), "term").groupBy("query_id", "window_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
 
 
 def requirement_candidates(scores: DataFrame, keep: int) -> DataFrame:

@@ -247,20 +247,21 @@ def relation_scope(t: Tables):
     return C.scope_closure(seeds, pc, pe, ce, evidence, ["public"])
 
 
-@query("J16_citation_graph", """WITH declared AS (SELECT p_partkey AS doc, 'ST ' || (1000 + p_partkey % 50) AS code FROM part WHERE p_partkey <= 100), cites AS (SELECT p_partkey AS doc, 'ST ' || (1000 + p_size) AS code FROM part)
+@query("J16_citation_graph", """WITH declared AS (SELECT p_partkey AS doc, 'ST ' || (1000 + p_partkey % 50) AS code FROM part WHERE p_partkey % 40 = 0), cites AS (SELECT p_partkey AS doc, 'ST ' || (1000 + p_size) AS code FROM part)
     SELECT DISTINCT c.doc AS citing, d.doc AS cited, replace(c.code, ' ', '') AS code FROM cites c JOIN declared d ON c.code = d.code WHERE c.doc <> d.doc AND NOT EXISTS (SELECT 1 FROM declared x WHERE x.doc = c.doc AND x.code = c.code)""")
 def citation_graph(t: Tables):
     from ..operators.evidence import citations
 
-    declared = t.part.where("p_partkey <= 100").select(F.col("p_partkey").alias("doc"), F.concat(F.lit("ST"), (1000 + F.col("p_partkey") % 50).cast("string")).alias("code"))
+    declared = t.part.where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("doc"), F.concat(F.lit("ST"), (1000 + F.col("p_partkey") % 50).cast("string")).alias("code"))
     texts = t.part.select(F.col("p_partkey").alias("doc"), F.concat(F.lit("as in st "), (1000 + F.col("p_size")).cast("string"), F.lit(" said")).alias("text"))
     return citations(texts, declared)
 
 
-@query("J17_quote_links", "SELECT item_id, min(doc_id) AS proof FROM benchmark JOIN documents ON contains(documents.text, left(benchmark.text, 40)) GROUP BY item_id")
+@query("J17_quote_links", "SELECT item_id, min(doc_id) AS proof FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) WHERE length(benchmark.text) >= 4 GROUP BY item_id")
 def quote_links(t: Tables):
-    quotes = C.sized_broadcast(t.benchmark.select("item_id", F.substring("text", 1, 40).alias("quote")))
-    return t.documents.join(quotes, F.contains("text", F.col("quote"))).groupBy("item_id").agg(F.min("doc_id").alias("proof"))
+    """Each benchmark item with the first document that quotes all of it."""
+    found = C.mentions(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").alias("name_id"), F.col("text").alias("name")))
+    return found.groupBy(F.col("name_id").alias("item_id")).agg(F.min("doc_id").alias("proof"))
 
 
 @query("J20_peer_labels", "WITH p AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL) SELECT a.l_orderkey, a.l_linenumber, max(b.flag) AS peer_label FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber GROUP BY ALL")

@@ -24,15 +24,15 @@ def lengths(t: Tables):
 
 
 def _queries(t: Tables):
-    """The first eight words of each benchmark item."""
-    return t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
+    """Benchmark items as queries, with their whole text: the stated set of those whose id is divisible by 20."""
+    return t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
 def _docs(t: Tables):
     return t.documents.select(F.col("doc_id").alias("id"), "text")
 
 
-_BM25 = f"""q AS (SELECT DISTINCT query_id, unnest({_TOK}) AS term FROM (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS text FROM benchmark)),
+_BM25 = f"""q AS (SELECT DISTINCT query_id, unnest({_TOK}) AS term FROM (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 20 = 0)),
  d AS (SELECT doc_id AS id, {_TOK} AS t FROM documents), s AS (SELECT count(*) AS n, avg(greatest(len(t), 1)) AS av FROM d),
  p AS (SELECT id, greatest(len(t), 1) AS dl, unnest(t) AS term FROM d), f AS (SELECT term, id, dl, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL), g AS (SELECT term, count(*) AS df FROM f GROUP BY term),
  bm AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))) AS score FROM q JOIN g USING (term) JOIN f USING (term), s GROUP BY ALL),
@@ -64,14 +64,14 @@ def cosine_top(t: Tables):
     return dense(t, 48).withColumn("score", F.round("score", 6))
 
 
-#: Both channels of the same queries: benchmark item i goes with vector i, document j with vector j mod 500.
-_DENSE = "d2 AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_dot_product(q.x, e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 9) AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id < 40) q, embeddings e)) WHERE rank <= 48)"
+#: Both channels of the same queries: benchmark item i goes with vector i.
+_DENSE = "d2 AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_dot_product(q.x, e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 9) AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 20 = 0) q, embeddings e)) WHERE rank <= 48)"
 _RRF = f"{_BM25}, {_DENSE}, l2 AS (SELECT query_id, id, rank FROM lx WHERE rank <= 48), fs AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT * FROM l2 UNION ALL SELECT * FROM d2) GROUP BY ALL), fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank FROM fs)"
 
 
 def channels(t: Tables):
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return lexical(t, 48), R.cosine_top(v.where("id < 40").withColumnRenamed("id", "query_id"), v, 48)
+    return lexical(t, 48), R.cosine_top(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v, 48)
 
 
 @query("W01_channel_ranks", f"WITH {_RRF} SELECT 'lexical' AS channel, query_id, id, rank FROM l2 UNION ALL SELECT 'dense', query_id, id, rank FROM d2")
@@ -103,10 +103,10 @@ def domain_priority(t: Tables):
     return R.with_priority(rows, p).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("R05_score_blend", f"WITH {_RRF} SELECT query_id, id, round(round(0.85::DOUBLE * ((id % 100) / 100.0::DOUBLE) + 0.15::DOUBLE * (score / max(score) OVER (PARTITION BY query_id)), 9), 6) AS score FROM fu")
+@query("R05_score_blend", f"WITH {_RRF} SELECT query_id, id, round(0.85::DOUBLE * ((id % 100) / 100.0::DOUBLE) + 0.15::DOUBLE * (score / max(score) OVER (PARTITION BY query_id)), 9) AS score FROM fu")
 def score_blend(t: Tables):
     rows = R.fused(list(channels(t))).select("query_id", "id", F.col("score").alias("fusion"), ((F.col("id") % 100) / 100.0).alias("rerank"))
-    return R.blended(rows).select("query_id", "id", F.round("score", 6).alias("score"))
+    return R.blended(rows).select("query_id", "id", "score")
 
 
 @query("P07_weak_matches", f"WITH {_BM25} SELECT query_id, id FROM (SELECT query_id, id, round(score, 6) AS score, max(round(score, 6)) OVER (PARTITION BY query_id, id % 2) AS best FROM bm WHERE score > 0) WHERE score >= greatest(0.2, 0.06 * best)")
@@ -127,11 +127,11 @@ def best_per_source(t: Tables):
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").select("query_id", "source", "id")
 
 
-@query("R07_diversity", """WITH r AS (SELECT o_custkey AS query_id, o_orderkey AS id, o_orderpriority AS source, o_totalprice AS score FROM orders WHERE o_custkey <= 300), a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n, max(score) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS sn FROM r),
+@query("R07_diversity", """WITH r AS (SELECT o_custkey AS query_id, o_orderkey AS id, o_orderpriority AS source, o_totalprice AS score FROM orders), a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n, max(score) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS sn FROM r),
  b AS (SELECT *, n > 2 AND max(CASE WHEN n <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, source) = 0 AND sn = 1 AND score >= 0.35 * best AS fresh FROM a), c AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY query_id ORDER BY score DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM b),
  d AS (SELECT *, CASE WHEN n <= 2 THEN 0 WHEN fresh AND k <= 2 THEN 1 ELSE 2 END AS tier FROM c), e AS (SELECT query_id, id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, score DESC, id) AS position FROM d) SELECT * FROM e WHERE position <= 5""")
 def diversity(t: Tables):
-    rows = t.orders.where("o_custkey <= 300").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"), F.col("o_totalprice").alias("score"))
+    rows = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"), F.col("o_totalprice").alias("score"))
     return R.diverse(rows).select("query_id", "id", "tier", "position")
 
 
@@ -153,12 +153,11 @@ def gallery(t: Tables):
 _ST = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_./%-]+'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP) + ")))"
 
 
-@query("R11_window_scores", f"""WITH q AS (SELECT item_id AS query_id, unnest({_ST}) AS term FROM (SELECT item_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS text FROM benchmark)), w AS (SELECT doc_id AS window_id, lower(text) AS t, unnest({_ST}) AS term FROM documents),
+@query("R11_window_scores", f"""WITH q AS (SELECT item_id AS query_id, unnest({_ST}) AS term FROM (SELECT item_id, text FROM benchmark WHERE item_id % 20 = 0)), w AS (SELECT doc_id AS window_id, lower(text) AS t, unnest({_ST}) AS term FROM documents),
  c AS (SELECT window_id, term, floor((length(t) - length(replace(t, term, ''))) / length(term)) AS c FROM w WHERE term IN (SELECT term FROM q)), f AS (SELECT term, count(*) AS df FROM c GROUP BY term), n AS (SELECT count(*) AS n FROM documents)
  SELECT query_id, window_id, round(sum(ln(1 + (n + 1) / (df + 1)) * (1 + c / (c + 1.5))), 9) AS score FROM q JOIN f USING (term) JOIN c USING (term), n GROUP BY query_id, window_id""")
 def window_scores(t: Tables):
-    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
-    return R.window_scores(q, t.documents.select(F.col("doc_id").alias("window_id"), "text"))
+    return R.window_scores(_queries(t), t.documents.select(F.col("doc_id").alias("window_id"), "text"))
 
 
 @query("R16_requirement_candidates", "SELECT requirement_id, id, rank FROM (SELECT l_suppkey AS requirement_id, l_orderkey * 1000 + l_linenumber AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_extendedprice DESC, l_returnflag = 'R' DESC, l_orderkey * 1000 + l_linenumber) AS rank FROM lineitem) WHERE rank <= 3")

@@ -112,11 +112,11 @@ def vector_sink(t: Tables):
     return rows.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 
 
-@query("S25_vector_search", "SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.label = 1) WHERE rank <= 5")
+@query("S25_vector_search", "SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.label = 1) WHERE rank <= 5")
 def vector_search(t: Tables):
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     allowed = t.embeddings.where("label = 1").select(F.col("vec_id").alias("id"))
-    return S.vector_search(v.where("id % 100 = 0").withColumnRenamed("id", "query_id"), v, allowed, 5).select("query_id", "id", "rank")
+    return S.vector_search(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v, allowed, 5).select("query_id", "id", "rank")
 
 
 @query("S28_snapshots", """SELECT n_nationkey, '{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS payload, sha256('{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}') AS digest FROM nation""")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark import SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
 
@@ -30,3 +30,10 @@ def new(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     return _made[-1]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the shared folder and read back, so that what is read several times is computed once, whichever executors are lost."""
+    at = new(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
