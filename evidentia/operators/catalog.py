@@ -41,10 +41,18 @@ def consolidated(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def grouped(rows: DataFrame, fields: list[str], id: str) -> DataFrame:
-    """A06. Members by fields, a missing or blank one as ``MISSING``: n, total over all groups, members listed by id."""
-    keys = [F.coalesce(F.nullif(F.trim(F.col(f).cast("string")), F.lit("")), F.lit(MISSING)).alias(f) for f in fields]
-    out = rows.select(*keys, F.col(id).alias("_id")).groupBy(*fields).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("_id")).alias("members"))
-    return out.withColumn("total", F.sum("n").over(Window.partitionBy()))
+    """A06. Counts by fields, a missing or blank one as ``MISSING``: n, total over all groups. ``grouped_members`` has the members."""
+    out = _keyed(rows, fields, id).groupBy(*fields).agg(F.count("*").alias("n"))
+    return out.crossJoin(F.broadcast(out.agg(F.sum("n").alias("total"))))
+
+
+def grouped_members(rows: DataFrame, fields: list[str], id: str) -> DataFrame:
+    """A06. (fields, id, position): the members of each group, a row each, numbered by id."""
+    return _keyed(rows, fields, id).withColumn("position", F.row_number().over(Window.partitionBy(*fields).orderBy(id)))
+
+
+def _keyed(rows: DataFrame, fields: list[str], id: str) -> DataFrame:
+    return rows.select(*[F.coalesce(F.nullif(F.trim(F.col(f).cast("string")), F.lit("")), F.lit(MISSING)).alias(f) for f in fields], F.col(id))
 
 
 def rolled_up(rows: DataFrame, family: str, levels: list[str]) -> DataFrame:

@@ -47,16 +47,20 @@ def eligible(docs: DataFrame, scopes: list[str] | None) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", flag: str | None = None) -> DataFrame:
-    """A03. One row per distinct cleaned text: first id, number of members, references and variants, and whether ``flag`` holds for all.
+    """A03. One row per distinct cleaned text: first id, number of members and variants, and whether ``flag`` holds for all.
 
-    Pre-aggregates by digest, so texts that very many rows share are one row before
-    the shuffle. Null texts are one group of their own.
+    Digests are aggregated in part before the shuffle, so a text that very many rows share is a row a task; its members are
+    rows of ``members``, never one list. Null texts are one group, with empty ones.
     """
-    key = F.sha2(T.squeezed(F.col(text)), 256)
-    aggregates = [F.min(id).alias("first_id"), F.count("*").alias("n_members"), F.array_sort(F.collect_set(F.col(id))).alias("members"), F.count_distinct(F.md5(F.coalesce(text, F.lit("")))).alias("n_variants")]
+    aggregates = [F.min(id).alias("first_id"), F.count("*").alias("n_members"), F.count_distinct(F.md5(F.coalesce(text, F.lit("")))).alias("n_variants")]
     if flag:
         aggregates.append(F.bool_and(flag).alias("all_" + flag))
-    return docs.groupBy(key.alias("text_key")).agg(*aggregates)
+    return docs.groupBy(F.sha2(T.squeezed(F.col(text)), 256).alias("text_key")).agg(*aggregates)
+
+
+def members(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A03. (text_key, id): each row's cleaned text by its key."""
+    return docs.select(F.sha2(T.squeezed(F.col(text)), 256).alias("text_key"), F.col(id))
 
 
 def compacted(docs: DataFrame, policy: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,6 +85,20 @@ def fingerprint(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     return docs.agg(F.count("*").alias("n"), F.sum(part(1)).cast("string").alias("a"), F.sum(part(13)).cast("string").alias("b"))
 
 
+def ingested(files: DataFrame, domains: list[tuple[str, list[str]]], labels: dict[str, list[str]]) -> DataFrame:
+    """S31. (document_id, first, domain, records, labels, state) of files (id, name, text): each content once for a domain, which its name
+    proposes (classify), with its lines (extract) and the labels whose key words it has (annotate). state (package): ``empty`` without
+    text, ``needs_review`` without a domain, else ``packaged``."""
+    from .catalog import first_role
+
+    text = F.coalesce("text", F.lit(""))
+    lines = F.size(F.filter(T.lines(text), lambda x: F.trim(x) != ""))
+    rows = labelled(files.withColumn("_source", F.lit("")), {}, labels, "_source").select("id", F.concat(F.lit("doc-"), F.substring(F.sha2(text, 256), 1, 16)).alias("document_id"), first_role(F.col("name"), domains).alias("domain"), lines.alias("records"), "labels", (F.trim(text) != "").alias("_ok"))
+    one = rows.groupBy("document_id", "domain", "records", "labels", "_ok").agg(F.min("id").alias("first"))
+    state = F.when(~F.col("_ok"), "empty").when(F.col("domain") == "unclassified", "needs_review").otherwise("packaged")
+    return one.select("document_id", "first", "domain", "records", "labels", state.alias("state"))
+
+
 def linked_text(assets: DataFrame, texts: DataFrame, most: int = 4) -> DataFrame:
     """J04. The ``most`` best texts of each asset on its page by ``F41``; ties by position.
 

@@ -66,10 +66,11 @@ def merged_intervals(rows: DataFrame, keys: list[str], start: str, end: str) ->
 
 def header_context(cells: DataFrame) -> DataFrame:
     """W08. The body cells with ``context``: the last three header cells above each, joined. cells: doc, row, col, value, header."""
-    w = Window.partitionBy("doc", "col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    heads = F.collect_list(F.when(F.col("header"), F.col("value"))).over(w)
-    last = F.slice("_h", F.greatest(F.size("_h") - 2, F.lit(1)), F.lit(3))
-    return cells.withColumn("_h", heads).where(~F.col("header")).select("doc", "row", "col", F.array_join(last, " / ").alias("context"))
+    own = Window.partitionBy("doc", "col", "header").orderBy("row")
+    three = F.when(F.col("header"), F.array(F.lag("value", 2).over(own), F.lag("value").over(own), F.col("value")))
+    above = F.last("_three", True).over(Window.partitionBy("doc", "col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
+    rows = cells.withColumn("_three", three).withColumn("_above", above).where(~F.col("header"))
+    return rows.select("doc", "row", "col", F.array_join(F.coalesce("_above", F.array().cast("array<string>")), " / ").alias("context"))
 
 
 def ranges(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
@@ -99,15 +100,14 @@ def first_fit(items: DataFrame, keys: list[str], order: list[str], id: str, size
     are one array, so keys must be bounded, as a query's candidates are.
     """
     rows = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(id).alias("_id"), F.col(size).cast("long").alias("_size")))).alias("s"))
-    none = F.array().cast(f"array<{items.schema[id].dataType.simpleString()}>")
-    start = F.struct(F.lit(0).cast("long").alias("used"), none.alias("kept"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
         fits = acc["used"] + x["_size"] <= budget
-        return F.struct((acc["used"] + F.when(fits, x["_size"]).otherwise(0)).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["_id"]))).otherwise(acc["kept"]).alias("kept"))
+        return F.struct((acc["used"] + F.when(fits, x["_size"]).otherwise(0)).alias("used"), F.concat(acc["kept"], F.array(fits)).alias("kept"))
 
     rows = rows.withColumn("f", F.aggregate("s", start, step))
-    return rows.select(*keys, F.explode("s").alias("x"), F.col("f.kept").alias("_kept"), F.col("f.used").alias("used")).select(*keys, F.col("x._id").alias(id), F.array_contains("_kept", F.col("x._id")).alias("kept"), "used")
+    return rows.select(*keys, F.explode(F.arrays_zip("s", F.col("f.kept").alias("k"))).alias("x"), F.col("f.used").alias("used")).select(*keys, F.col("x.s._id").alias(id), F.col("x.k").alias("kept"), "used")
 
 
 def violations(packed: DataFrame, known: DataFrame, id: str, digest: str, group: str) -> DataFrame:

@@ -313,9 +313,9 @@ def session_join(t: Tables):
     return t.events.join(first, "user_id").where("ts < first_ts + INTERVAL 1 DAY and event_type <> 'logout'").select("event_id", "first_ts")
 
 
-@query("A03_exact_dedup", f"SELECT sha256({_SQUEEZED}) AS text_key, min(doc_id) AS first_id, count(*) AS n_members, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members, count(DISTINCT md5(text)) AS n_variants FROM documents GROUP BY 1")
+@query("A03_exact_dedup", f"SELECT sha256({_SQUEEZED}) AS text_key, min(doc_id) AS first_id, count(*) AS n_members, count(DISTINCT md5(text)) AS n_variants FROM documents GROUP BY 1")
 def exact_dedup(t: Tables):
-    return K.exact_duplicates(t.documents).withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+    return K.exact_duplicates(t.documents)
 
 
 @query("A04_compaction", f"SELECT doc_id, min(doc_id) OVER (PARTITION BY source, {_SQUEEZED}) AS canonical_id, doc_id <> min(doc_id) OVER (PARTITION BY source, {_SQUEEZED}) AS is_alias FROM documents")
@@ -329,11 +329,10 @@ def consolidation(t: Tables):
     return C.consolidated(t.orders, "o_custkey", ["o_orderstatus", "o_orderpriority"])
 
 
-@query("A06_grouped_collection", "SELECT g AS c_mktsegment, count(*) AS n, md5(string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey)) AS members, sum(count(*)) OVER ()::BIGINT AS total FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '未登记' ELSE c_mktsegment END AS g FROM customer) GROUP BY g".replace("OVER ()::BIGINT", "OVER ()"))
+@query("A06_grouped_collection", "SELECT g AS c_mktsegment, c_custkey, row_number() OVER (PARTITION BY g ORDER BY c_custkey) AS position, count(*) OVER (PARTITION BY g) AS n, count(*) OVER () AS total FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '未登记' ELSE c_mktsegment END AS g FROM customer)")
 def grouped_collection(t: Tables):
     rows = t.customer.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 5 == 0, F.lit("  ")).otherwise(F.col("c_mktsegment")))
-    out = C.grouped(rows, ["c_mktsegment"], "c_custkey")
-    return out.withColumn("members", F.md5(F.array_join(F.transform("members", lambda x: x.cast("string")), ",")))
+    return C.grouped_members(rows, ["c_mktsegment"], "c_custkey").join(C.grouped(rows, ["c_mktsegment"], "c_custkey"), "c_mktsegment")
 
 
 @query("A07_hierarchy_rollup", "SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS p_type, array_to_string(list_sort(list(DISTINCT p_size)), ',') AS p_size FROM part GROUP BY p_brand")

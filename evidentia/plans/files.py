@@ -67,6 +67,48 @@ def _pdf(names: list[str]) -> bytes:
     return out
 
 
+def _legacy(names: list[str]) -> bytes:
+    """A legacy workbook: a sheet of names, their lengths and a date, and a hidden one; each record by number and body."""
+    import struct
+
+    rec = lambda number, body: struct.pack("<H H", number, len(body)) + body
+    text = lambda x: struct.pack("<H B", len(x), 1) + x.encode("utf-16-le")
+    bof, end = rec(0x809, struct.pack("<H H 12x", 0x600, 5)), rec(0x0A, b"")
+    styles = rec(0xE0, struct.pack("<H H 16x", 0, 0)) + rec(0xE0, struct.pack("<H H 16x", 0, 14))
+    strings = rec(0xFC, struct.pack("<I I", len(names), len(names)) + b"".join(map(text, names)))
+    sheet = lambda at, state, name: rec(0x85, struct.pack("<I B B B B", at, state, 0, len(name), 0) + name.encode("latin-1"))
+    cells = b"".join(rec(0xFD, struct.pack("<H H H I", i, 0, 0, i)) + rec(0x203, struct.pack("<H H H d", i, 1, 0, len(n))) + rec(0x27E, struct.pack("<H H H I", i, 2, 1, (45000 + i) << 2 | 2)) for i, n in enumerate(names))
+    first, second = bof + cells + end, bof + rec(0x205, struct.pack("<H H H B B", 0, 0, 0, 1, 0)) + end
+    head = len(bof + styles + strings + end) + len(sheet(0, 0, "nations")) + len(sheet(0, 1, "more"))
+    book = bof + sheet(head, 0, "nations") + sheet(head + len(first), 1, "more") + styles + strings + end + first + second
+    book += bytes(max(4096 - len(book), 0) + -max(len(book), 4096) % 512)
+    n = len(book) // 512
+    fat = struct.pack("<128I", 0xFFFFFFFD, 0xFFFFFFFE, *range(3, n + 2), 0xFFFFFFFE, *[0xFFFFFFFF] * (126 - n))
+    entry = lambda name, kind, start, size: (name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<H B B 3I 36x I I I", 2 * len(name) + 2, kind, 1, 0xFFFFFFFF, 0xFFFFFFFF, 1 if kind == 5 else 0xFFFFFFFF, start, size, 0)).ljust(128, b"\0")
+    directory = entry("Root Entry", 5, 0xFFFFFFFE, 0) + entry("Workbook", 2, 2, len(book)) + bytes(256)
+    top = bytes.fromhex("d0cf11e0a1b11ae1") + bytes(16) + struct.pack("<H H H H H 6x I I I I I I I I I", 0x3E, 3, 0xFFFE, 9, 6, 0, 1, 1, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0) + struct.pack("<109I", 0, *[0xFFFFFFFF] * 108)
+    return top + fat + directory + book
+
+
+@query("S06_xls_cells", """WITH n AS (SELECT n_regionkey::VARCHAR AS file, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS i FROM nation) SELECT file, 'nations' AS sheet, 'visible' AS state, 'A' || i AS address, n_name AS value, 'text' AS kind FROM n UNION ALL SELECT file, 'nations', 'visible', 'B' || i, length(n_name)::VARCHAR, 'number' FROM n
+ UNION ALL SELECT file, 'nations', 'visible', 'C' || i, strftime(DATE '1899-12-30' + (45000 + i - 1)::INT, '%Y-%m-%d'), 'date' FROM n UNION ALL SELECT DISTINCT file, 'more', 'hidden', 'A1', 'TRUE', 'boolean' FROM n""")
+def xls_cells(t: Tables):
+    from ..sources.legacy import xls_cells as cells
+
+    return cells(per_region(t, _legacy)).select("file", "sheet", "state", "address", "value", "kind")
+
+
+def _tabular(names: list[str]) -> bytes:
+    """A page with a title and a table of names and their lengths."""
+    body = b"BT 1 0 0 1 50 800 Tm (Nations) Tj ET " + b"".join(b"BT 1 0 0 1 50 %d Tm (%s) Tj 150 0 Td (%d) Tj ET " % (760 - 20 * i, n.encode(), len(n)) for i, n in enumerate(names))
+    return b"%PDF-1.4\n1 0 obj << /Type /Page /Contents 2 0 R >> endobj\n2 0 obj << /Length " + b"%d" % len(body) + b" >> stream\n" + body + b"\nendstream endobj\n"
+
+
+@query("S15_table_cells", "WITH n AS (SELECT n_regionkey::VARCHAR AS file, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS row FROM nation) SELECT file, 1 AS page, row, 1 AS col, n_name AS text FROM n UNION ALL SELECT file, 1, row, 2, length(n_name)::VARCHAR FROM n")
+def table_cells(t: Tables):
+    return G.pdf_tables(per_region(t, _tabular))
+
+
 @query("S05_xlsx_cells", "SELECT r AS file, 'A' || i AS address, n_name AS value, NULL::VARCHAR AS formula FROM (SELECT n_regionkey::VARCHAR AS r, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS i FROM nation) UNION ALL SELECT r, 'B' || i, length(n_name)::VARCHAR, '=LEN(A' || i || ')' FROM (SELECT n_regionkey::VARCHAR AS r, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS i FROM nation)")
 def xlsx_cells(t: Tables):
     return S.xlsx_cells(per_region(t, _workbook)).select("file", "address", "value", "formula")

@@ -204,7 +204,7 @@ def blocks(t: Tables):
     return t.documents.select("doc_id", F.size(T.blocks(F.col("text"))).cast("long").alias("n_blocks")).where("n_blocks > 0")
 
 
-@query("F27_canonical_listing")
+@query("F27_canonical_listing", "SELECT l_orderkey AS section, min(l_linenumber) AS position, s_name AS member FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber IS NOT NULL AND (l_orderkey, l_linenumber) IN (SELECT (l_orderkey, l_linenumber) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) = 1) GROUP BY l_orderkey, s_name")
 def canonical_listing(t: Tables):
     """List lines mapped to the one supplier they name; repeats within a section go."""
     from ..operators.evidence import canonical_listing as listing

@@ -137,7 +137,10 @@ def annotation_merge(t: Tables):
     return S.merged_annotations([first, second], "c_custkey")
 
 
-@query("S31_ingestion_graph", "SELECT lang, count(*) AS documents, count(DISTINCT sha256(text)) AS contents, sum((length(trim(text)) >= 40)::INT)::BIGINT AS layered FROM documents GROUP BY lang")
+@query("S31_ingestion_graph", r"""WITH d AS (SELECT doc_id, 'doc-' || left(sha256(text), 16) AS document_id, CASE WHEN contains(source, 'src1') THEN 'catalogue' WHEN contains(source, 'src2') THEN 'project' ELSE 'unclassified' END AS domain, len(list_filter(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: trim(x) <> '')) AS records, concat_ws(',', CASE WHEN contains(lower(text), 'token') OR contains(lower(text), 'password') THEN 'access' END, CASE WHEN contains(lower(text), 'rights') THEN 'legal' END) AS labels, trim(text) <> '' AS ok FROM documents)
+ SELECT document_id, min(doc_id) AS first, domain, records, labels, CASE WHEN NOT ok THEN 'empty' WHEN domain = 'unclassified' THEN 'needs_review' ELSE 'packaged' END AS state FROM d GROUP BY document_id, domain, records, labels, ok""")
 def ingestion_graph(t: Tables):
-    rows = t.documents.withColumn("digest", F.sha2("text", 256)).withColumn("quality", E.page_quality(F.col("text")))
-    return rows.groupBy("lang").agg(F.count("*").alias("documents"), F.count_distinct("digest").alias("contents"), F.count_if(F.col("quality") == "text_layer").alias("layered"))
+    from ..operators.corpus import ingested
+
+    out = ingested(t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("name"), "text"), [("catalogue", ["src1"]), ("project", ["src2"])], {"access": ["token", "password"], "legal": ["rights"]})
+    return out.withColumn("labels", F.array_join("labels", ","))

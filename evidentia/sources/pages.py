@@ -76,6 +76,105 @@ def pdf_scan(files: DataFrame) -> DataFrame:
     return rows.withColumn("route", F.when(F.col("quality").isin("text_layer", "sparse_text"), "direct").otherwise("vision"))
 
 
+_PLACED = re.compile(rb"(?P<m>(?:[-+.\d]+\s+){6})Tm|(?P<d>(?:[-+.\d]+\s+){2})T[dD]\b|(?P<l>[-+.\d]+)\s+TL|(?P<n>T\*)|(?P<b>\bBT\b)|(?P<s>\((?:\\.|[^\\()])*\)\s*(?:Tj|'|\")|\[(?:\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|[^\]])*\]\s*TJ|<[0-9A-Fa-f\s]*>\s*Tj)", re.S)
+
+
+def _fragments(stream: bytes) -> list[tuple[float, float, str]]:
+    """(x, y, text) of what a content stream shows, at the start of its line of text."""
+    x = y = lead = 0.0
+    out = []
+    for m in _PLACED.finditer(stream):
+        if m["b"]:
+            x = y = 0.0
+        elif m["m"]:
+            x, y = map(float, m["m"].split()[4:])
+        elif m["d"]:
+            dx, dy = map(float, m["d"].split())
+            x, y = x + dx, y + dy
+        elif m["l"]:
+            lead = float(m["l"])
+        elif m["n"]:
+            y -= lead
+        else:
+            text = "".join(_literal(t) for t in _STRING.findall(m["s"])).strip()
+            if text:
+                out.append((x, y, text))
+    return out
+
+
+def table_cells(fragments: list[tuple[float, float, str]], near: float = 3.0) -> list[tuple[int, int, str]]:
+    """S15 on one page: (row, column, text) of its table, from the top. Rows are fragments on a line; columns begin where fragments of two rows
+    or more begin, on lines of two fragments or more. Without two such columns there is no table."""
+    lines: list[list[tuple[float, float, str]]] = []
+    for f in sorted(fragments, key=lambda f: (-f[1], f[0])):
+        if lines and abs(lines[-1][0][1] - f[1]) <= near:
+            lines[-1].append(f)
+        else:
+            lines.append([f])
+    rows = [sorted(r) for r in lines if len(r) > 1]
+    starts: list[list[float]] = []
+    for x in sorted(f[0] for r in rows for f in r):
+        if starts and x - starts[-1][-1] <= near:
+            starts[-1].append(x)
+        else:
+            starts.append([x])
+    edges = [s[0] for s in starts if len(s) > 1]
+    if len(edges) < 2 or len(rows) < 2:
+        return []
+    out: dict[tuple[int, int], list[str]] = {}
+    for n, r in enumerate(rows, 1):
+        for x, _, text in r:
+            column = sum(x >= e - near for e in edges) or 1
+            out.setdefault((n, column), []).append(text)
+    return [(r, c, " ".join(t)) for (r, c), t in sorted(out.items())]
+
+
+def _streams(data: bytes) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
+    """(page, content streams, JPEG images) by page object."""
+    objects = {int(m[1]): m[2] for m in _OBJECT.finditer(data)}
+
+    def inflated(part: bytes) -> bytes:
+        m = _STREAM.search(part)
+        try:
+            return b"" if not m else zlib.decompress(m[1]) if b"FlateDecode" in part else m[1]
+        except zlib.error:
+            return b""
+
+    pages = [n for n in sorted(objects) if re.search(rb"/Type\s*/Page\b(?!s)", objects[n])]
+    for k, n in enumerate(pages, 1):
+        refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", objects[n])
+        contents = [inflated(objects.get(int(r), b"")) for r in re.findall(rb"(\d+)\s+\d+\s+R", refs[1])] if refs else []
+        named = re.search(rb"/XObject\s*<<(.*?)>>", objects[n], re.S)
+        images = [m[1] for r in (re.findall(rb"(\d+)\s+\d+\s+R", named[1]) if named else []) if b"DCTDecode" in objects.get(int(r), b"") and (m := _STREAM.search(objects[int(r)]))]
+        yield k, contents, images
+
+
+def pdf_tables(files: DataFrame) -> DataFrame:
+    """S15. (file, page, row, col, text) of the tables of pages, by where their text stands. A page without a table gives no rows."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for file, data in zip(part["path"], part["content"], strict=True):
+                rows = [(file, page, *cell) for page, contents, _ in _streams(bytes(data)) for cell in table_cells([f for c in contents for f in _fragments(c)])]
+                yield pd.DataFrame(rows, columns=["file", "page", "row", "col", "text"])
+
+    return files.mapInPandas(run, "file string, page int, row int, col int, text string")
+
+
+def visual_recovery(files: DataFrame, recognise: Callable[[bytes], list[tuple[str, float]]]) -> DataFrame:
+    """S17. (file, page, rank, text, confidence): what a supplied recogniser reads in the images of pages that ``pdf_scan`` routes to vision; pages
+    without an image it can take are not read, and keep their route."""
+    pages = pdf_scan(files).where("route = 'vision'").select("file", "page")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for file, data in zip(part["path"], part["content"], strict=True):
+                rows = [(file, page, n, t, float(c)) for page, _, images in _streams(bytes(data)) for image in images for n, (t, c) in enumerate(recognise(image), 1)]
+                yield pd.DataFrame(rows, columns=["file", "page", "rank", "text", "confidence"])
+
+    return files.mapInPandas(run, "file string, page int, rank int, text string, confidence double").join(pages, ["file", "page"], "left_semi")
+
+
 def image_candidates(files: DataFrame, recognise: Callable[[bytes], list[tuple[str, float]]]) -> DataFrame:
     """S19. (file, rank, text, confidence, confirmed): what a supplied recogniser reads in each image; never a confirmed fact."""
 
