@@ -6,6 +6,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parent.parent
 
 
@@ -15,9 +17,12 @@ def names(folder):
     return out.stdout.split("NAMES")[1].split()
 
 
-def test_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_without_the_subpackage(tmp_path, pipeline):
+    """With the subpackage gone, with corpus_pipeline.py gone or still there."""
     shutil.copytree(ROOT / "evidentia", tmp_path / "evidentia", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    for name in ("__spark_entry__.py", *(("corpus_pipeline.py",) if pipeline and (ROOT / "corpus_pipeline.py").exists() else ())):
+        shutil.copy(ROOT / name, tmp_path)
     found = names(tmp_path)
     assert "R01_bm25" in found and not any(n.startswith("op") or n == "pipeline" for n in found)
 
