@@ -9,7 +9,8 @@ from evidentia.llm import bpe, decontaminate, minhash, queries, scratch, secrets
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents scored 0.5 or more; learns from the labels of ``docs``."""
+    """Drops documents scored 0.5 or more; learns from the labels of ``docs``. Every row is judged by its own text, whatever its id; a null or
+    empty text is one without words. Columns and their order stay."""
     scratch.small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     columns = docs.columns
@@ -40,13 +41,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a near copy of a benchmark item."""
+    """Drops documents with a near copy of a benchmark item, whole texts searched; null and empty texts, and repeated ids, have nothing to
+    do with it. Columns and their order stay."""
     scratch.small_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by ``[secret]``; n_chars follows. No document is dropped."""
+    """Replaces every secret by ``[secret]``; n_chars follows. No document is dropped; a null text stays null."""
     columns = docs.columns
     out = secrets.redacted(docs)
     if "n_chars" in columns:
@@ -55,7 +57,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document: doc_id, n_tokens, ids."""
+    """Token ids of each document: doc_id, n_tokens, ids, a row per row; a null or empty text has none."""
     scratch.small_batches(spark)
     return bpe.Encoder(spark, queries.vocabulary(), corpus=docs).encode(docs)
 
