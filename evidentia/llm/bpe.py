@@ -349,7 +349,12 @@ class Encoder:
         return rows.select(id, ids).mapInArrow(_tidy(run), f"`{id}` {kind}, text string")
 
     def digests(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_tokens, and digests of the ids and of the text decoded from them; the ids don't leave the worker."""
+        """doc_id, n_tokens, and digests of the ids and of the text decoded from them; the ids don't leave the worker.
+
+        One row per row of ``docs`` (doc_id, text, ...). A null or empty text has 0 tokens and the digests of the
+        empty string; null and repeated ids are kept as they are. A very long text is read block by block, a very long
+        word merged in n log n. Further columns are not read; no rows give no rows.
+        """
         shared, name = self.shared, self.name
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

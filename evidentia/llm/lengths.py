@@ -26,7 +26,9 @@ def limits(hist: DataFrame) -> DataFrame:
     (of documents; its first row of q or more is the quantile q).
 
     Lengths are summed within blocks of ``SPAN`` and then over blocks, so no task
-    holds more than a block's lengths or the blocks' totals.
+    holds more than a block's lengths or the blocks' totals. Documents of equal
+    length are one row; null and empty texts are those of length 0; an empty
+    histogram gives no rows.
     """
     rows = hist.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("t"), F.floor(F.col("n_tokens") / SPAN).alias("block"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("t").alias("bt"))

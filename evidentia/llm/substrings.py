@@ -9,8 +9,8 @@ windows with the same n-gram form a segment. Segments whose n-gram occurs once
 repeat nothing and are left out of both. What is left is the reference: its routes
 are dealt out in shards bounded by words, each shard has its automaton, and the
 segments of its routes stream past it; whether a window repeats is read from the
-matching statistics alone, word by word. A route with more different words than a
-shard may hold is routed again, by longer n-grams and at last by whole windows.
+matching statistics alone, word by word. A route with more different words than an
+even share of a shard is routed again, by longer n-grams and at last by whole windows.
 
 Words are compared by 64-bit hashes. Equal segments are one with a weight; equal
 means the same n-gram hash, the same hash of all words, and the same length.
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from . import scratch, words
 from .automaton import Automaton
 
-#: Words of the n-gram that routes a window at first; windows of a segment at most; words of a shard (about 0.5 KB each in an automaton).
-GRAM, RUN, SHARD = 8, 4096, 20_000
+#: Words of the n-gram that routes a window at first; windows of a segment at most; words of a shard (about 0.5 KB each in an automaton),
+#: and of a route at most, so that shards come out even.
+GRAM, RUN, SHARD, ROUTE = 8, 4096, 20_000, 2_500
 #: N-grams of the second routing are so many words shorter than a window.
 SHORTER = 7
 #: Words hashed at once, and words of a stated reference at most.
@@ -215,11 +216,11 @@ def _found(rows: DataFrame, least: int, grams: list[int]) -> tuple[DataFrame, li
 
     rows: a table of distinct segments (v, c, w: how often it stands, size, words) of routes v
     that occur more than once; ``grams``: words of the n-grams by which a route that is
-    too large for a shard is routed again, the last being ``least``.
+    over ``ROUTE`` is routed again, the last being ``least``.
     """
     spark, read = rows.sparkSession, [rows]
     routes = rows.groupBy("v").agg(F.sum("size").alias("all"))
-    cold = F.lit(True) if not grams else F.col("all") <= SHARD
+    cold = F.lit(True) if not grams else F.col("all") <= ROUTE
     total, hot = routes.agg(F.sum(F.when(cold, F.col("all"))), F.count_if(~cold)).first()
     shards = max(-(-int(total or 0) // SHARD), 1)
     dealt = routes.where(cold).select("v", F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard"))

@@ -138,6 +138,7 @@ def test_hot_routes_are_cut_again(spark, monkeypatch):
     from evidentia.llm import substrings
 
     monkeypatch.setattr(substrings, "SHARD", 300)
+    monkeypatch.setattr(substrings, "ROUTE", 200)
     said = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
     rows = [(i, f"{said(f'l{i}x', 30)} {said('p', 60)} {said(f'r{i}x', 30)}") for i in range(60)]
     rows += [(100 + i, f"{said(f'm{i}x', 12)} {said('p', 8)} {said(f'n{i}x', 12)}") for i in range(60)]  # the n-gram alone is shared
