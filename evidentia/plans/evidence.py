@@ -57,7 +57,7 @@ def citation_counts(t: Tables):
     return t.lineitem.groupBy(F.col("l_partkey").alias("evidence")).agg(F.count("*").alias("n"))
 
 
-@query("A23_repeated_entries")
+@query("A23_repeated_entries", "SELECT doc_id AS id, 0 AS list, count(*) AS repeated, sum(c - 1)::BIGINT AS excess FROM (SELECT l_orderkey // 20 AS doc_id, l_returnflag || l_linestatus AS e, count(*) AS c FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY doc_id HAVING count(*) >= 3 AND sum(c - 1) >= 6")
 def repeated_entries(t: Tables):
     """Orders as lists: a line per item, with its flag, status and tax."""
     line = F.concat(F.lit("- "), "l_returnflag", "l_linestatus", F.lit(" x"))
@@ -121,7 +121,11 @@ def bounded_log(t: Tables):
 
 
 def _scored_orders(t: Tables):
-    return t.lineitem.select(F.col("l_orderkey").alias("query_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("id"), F.col("l_suppkey").alias("doc"), F.col("l_quantity").alias("score"), F.concat("l_returnflag", "l_linestatus").alias("text"), F.col("l_quantity").cast("int").alias("tokens")).dropDuplicates(["query_id", "id"])
+    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("query_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("id"))
+    return rows.agg(F.min("l_suppkey").alias("doc"), F.max("l_quantity").alias("score"), F.min(F.concat("l_returnflag", "l_linestatus")).alias("text"), F.max("l_quantity").cast("int").alias("tokens"))
+
+
+_SCORED = "SELECT l_orderkey AS query_id, l_linenumber * 1000000 + l_partkey AS id, min(l_suppkey) AS doc, max(l_quantity) AS score, min(l_returnflag || l_linestatus) AS text, max(l_quantity)::INT AS tokens FROM lineitem GROUP BY 1, 2"
 
 
 @query("R06_near_duplicate_suppression")
@@ -129,7 +133,9 @@ def near_duplicate_suppression(t: Tables):
     return G.distinct_greedily(t.documents.select((F.col("doc_id") % 5).alias("query_id"), F.col("doc_id").alias("id"), F.col("source").alias("doc"), (-F.col("doc_id")).cast("double").alias("score"), "text"), 400)
 
 
-@query("R12_budgeted_windows")
+@query("R12_budgeted_windows", f"""WITH RECURSIVE n AS (SELECT *, id % 50 AS s, id % 50 + 20 AS e, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS i FROM ({_SCORED})), f AS (SELECT DISTINCT query_id, 0::BIGINT AS i, 0::BIGINT AS id, 0 AS tokens, 0 AS used, []::STRUCT(doc BIGINT, s BIGINT, e BIGINT)[] AS taken, false AS ok FROM n
+ UNION ALL SELECT query_id, i, id, tokens, CASE WHEN ok THEN used + tokens ELSE used END, CASE WHEN ok THEN list_append(taken, {{'doc': doc, 's': s, 'e': e}}) ELSE taken END, ok FROM (SELECT n.query_id, n.i, n.id, n.doc, n.s, n.e, n.tokens, f.used, f.taken, len(f.taken) < 4 AND f.used + n.tokens <= 100 AND len(list_filter(f.taken, lambda o: o.doc = n.doc AND least(o.e, n.e) - greatest(o.s, n.s) >= 13)) = 0 AS ok FROM f JOIN n ON n.query_id = f.query_id AND n.i = f.i + 1))
+ SELECT query_id, id, len(taken)::INT AS position, tokens FROM f WHERE ok""")
 def budgeted_windows(t: Tables):
     rows = _scored_orders(t).withColumn("start", (F.col("id") % 50).cast("int")).withColumn("end", F.col("start") + 20)
     return G.pick_windows(rows.select("query_id", "id", "doc", "start", "end", "tokens", "score"), 4, 100)
@@ -141,7 +147,8 @@ def first_fit(t: Tables):
     return E.first_fit(rows, ["l_orderkey"], ["id"], "id", "size", 80).select("l_orderkey", "id", "kept")
 
 
-@query("R14_group_eviction")
+@query("R14_group_eviction", f"""WITH r AS ({_SCORED}), k AS (SELECT query_id, text, max(score) AS score, sum(tokens) AS tokens FROM r GROUP BY ALL), o AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id) AS total, coalesce(sum(CASE WHEN text = 'AF' THEN 0 ELSE tokens END) OVER (PARTITION BY query_id ORDER BY score, text DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM k)
+ SELECT query_id, id, text = 'AF' OR total - gone <= 90 AS kept FROM r JOIN (SELECT query_id, text, total, gone FROM o) USING (query_id, text)""")
 def group_eviction(t: Tables):
     rows = _scored_orders(t).select("query_id", "id", F.col("text").alias("group"), "score", "tokens", (F.col("text") == "AF").alias("protected"))
     return G.evict_groups(rows, 90)
@@ -152,7 +159,8 @@ def set_cover(t: Tables):
     return G.set_cover(t.lineitem.select((F.col("l_suppkey") % 10).alias("query_id"), F.col("l_orderkey").alias("evidence_id"), (F.col("l_partkey") % 40).alias("requirement_id")).distinct(), 12)
 
 
-@query("R19_query_windows")
+@query("R19_query_windows", r"""WITH RECURSIVE w AS (SELECT doc_id, s AS start, substr(text, s + 1, 600) AS body FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 480)) AS s FROM documents WHERE text IS NOT NULL)), n AS (SELECT doc_id, start, length(body) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY len(list_intersect(list_distinct(regexp_extract_all(replace(lower(body), 'ß', 'ss'), '[a-z0-9]{2,}')), ['the', 'token', 'rights', 'stupid'])) DESC, start) AS i FROM w),
+ f AS (SELECT doc_id, start, i, size <= 1800 AS ok, CASE WHEN size <= 1800 THEN size ELSE 0 END AS used FROM n WHERE i = 1 UNION ALL SELECT n.doc_id, n.start, n.i, f.used + n.size <= 1800, CASE WHEN f.used + n.size <= 1800 THEN f.used + n.size ELSE f.used END FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i + 1) SELECT doc_id, start FROM f WHERE ok""")
 def query_windows(t: Tables):
     """600-character windows every 480, by the query's terms and then by place, within 1,800 characters, in order of the text."""
     terms = F.array(*map(F.lit, ("the", "token", "rights", "stupid")))
@@ -179,7 +187,9 @@ def payload_trim(t: Tables):
     return G.trimmed_reverse(rows, 60).select("query_id", "id", "kept")
 
 
-@query("R32_primary_visuals")
+@query("R32_primary_visuals", """WITH RECURSIVE r AS (SELECT l_suppkey AS query_id, l_orderkey AS case_id, max(l_quantity) AS score, list_sort(list_distinct(list(l_partkey % 40))) AS assets FROM lineitem GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) AS i FROM r), f AS (SELECT DISTINCT query_id, 0::BIGINT AS i, 0::BIGINT AS case_id, []::BIGINT[] AS used, false AS ok FROM n
+ UNION ALL SELECT query_id, i, case_id, CASE WHEN ok THEN list_append(used, own) ELSE used END, ok FROM (SELECT *, own IS NOT NULL AND len(used) < 10 AS ok FROM (SELECT n.query_id, n.i, n.case_id, f.used, list_filter(n.assets, lambda a: NOT list_contains(f.used, a))[1] AS own FROM f JOIN n ON n.query_id = f.query_id AND n.i = f.i + 1)))
+ SELECT query_id, case_id, used[len(used)] AS asset_id, len(used)::INT AS position FROM f WHERE ok""")
 def primary_visuals(t: Tables):
     rows = t.lineitem.groupBy(F.col("l_suppkey").alias("query_id"), F.col("l_orderkey").alias("case_id")).agg(F.max("l_quantity").alias("score"), F.array_sort(F.collect_set(F.col("l_partkey") % 40)).alias("assets"))
     return G.primary_visuals(rows, 10)
@@ -283,7 +293,7 @@ def company_hierarchy(t: Tables):
     return rows.groupBy(F.col("n_regionkey").alias("document"), F.col("n_nationkey").alias("section")).agg(F.count("c_custkey").alias("members"))
 
 
-@query("D17_directory_packets")
+@query("D17_directory_packets", """WITH RECURSIVE n AS (SELECT c_mktsegment AS category, c_custkey AS member, length(c_name) + 1 AS size, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS i FROM customer), f AS (SELECT category, member, i, 0 AS packet, size AS used FROM n WHERE i = 1 UNION ALL SELECT n.category, n.member, n.i, CASE WHEN f.used + n.size > 500 THEN f.packet + 1 ELSE f.packet END, CASE WHEN f.used + n.size > 500 THEN n.size ELSE f.used + n.size END FROM f JOIN n ON n.category = f.category AND n.i = f.i + 1) SELECT category, member, packet FROM f""")
 def directory_packets(t: Tables):
     return G.directory_packets(t.customer.select(F.col("c_mktsegment").alias("category"), F.col("c_custkey").alias("member"), F.col("c_name").alias("text")), 500)
 

@@ -339,7 +339,7 @@ def nested_values(t: Tables):
     return t.part.select("p_partkey", F.array_join(F.array_sort(flattened(m)), "|").alias("flat"))
 
 
-@query("F52_pruned_metadata")
+@query("F52_pruned_metadata", "SELECT event_id, '{\"no\":false,' || CASE WHEN props <> '' THEN '\"props\":' || to_json(props)::VARCHAR || ',' ELSE '' END || '\"zero\":0}' AS metadata FROM events")
 def pruned_metadata(t: Tables):
     from ..functions.nested import pruned_json
 
