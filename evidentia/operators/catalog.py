@@ -34,10 +34,19 @@ def best_per(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def consolidated(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """A05. One row per entity; a field on which its rows disagree is null, and its values are listed in ``conflicts``."""
-    sets = rows.groupBy(key).agg(*[F.array_sort(F.collect_set(f)).alias(f) for f in fields])
-    conflicts = F.filter(F.array(*[F.when(F.size(f) > 1, F.concat(F.lit(f + "="), F.array_join(F.transform(f, lambda x: x.cast("string")), "|"))) for f in fields]), lambda x: x.isNotNull())
-    return sets.select(key, *[F.when(F.size(f) == 1, F.col(f)[0]).alias(f) for f in fields], F.array_join(conflicts, ";").alias("conflicts"))
+    """A05. One row per entity; a field on which its rows disagree is null and named in ``conflicts``. ``disagreeing`` has the values."""
+    out = rows.groupBy(key).agg(*[F.min(f).alias(f) for f in fields], *[F.max(f).alias("_max_" + f) for f in fields])
+    apart = {f: F.coalesce(F.col(f) != F.col("_max_" + f), F.lit(False)) for f in fields}
+    names = F.filter(F.array(*[F.when(apart[f], F.lit(f)) for f in fields]), lambda x: x.isNotNull())
+    return out.select(key, *[F.when(~apart[f], F.col(f)).alias(f) for f in fields], F.array_join(names, ";").alias("conflicts"))
+
+
+def disagreeing(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """A05. (key, field, value, n): the values of each field on which an entity's rows disagree, a row each, with the number of rows."""
+    each = rows.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).select(key, "x.*").where("value is not null")
+    counts = each.groupBy(key, "field", "value").agg(F.count("*").alias("n"))
+    several = counts.groupBy(key, "field").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    return counts.join(several, [key, "field"], "left_semi")
 
 
 def grouped(rows: DataFrame, fields: list[str], id: str) -> DataFrame:

@@ -323,12 +323,19 @@ def compaction(t: Tables):
     return K.compacted(t.documents, ["source"]).select("doc_id", "canonical_id", "is_alias")
 
 
-@query("A05_consolidation", """SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS o_orderstatus, CASE WHEN count(DISTINCT o_orderpriority) = 1 THEN min(o_orderpriority) END AS o_orderpriority,
-    array_to_string(list_filter([CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'o_orderstatus=' || array_to_string(list_sort(list(DISTINCT o_orderstatus)), '|') END, CASE WHEN count(DISTINCT o_orderpriority) > 1 THEN 'o_orderpriority=' || array_to_string(list_sort(list(DISTINCT o_orderpriority)), '|') END], lambda x: x IS NOT NULL), ';') AS conflicts FROM orders GROUP BY o_custkey""")
+_DIFFER = "min({0}) <> max({0})"
+
+
+@query("A05_consolidation", f"SELECT o_custkey, CASE WHEN NOT {_DIFFER.format('o_orderstatus')} THEN min(o_orderstatus) END AS o_orderstatus, CASE WHEN NOT {_DIFFER.format('o_orderpriority')} THEN min(o_orderpriority) END AS o_orderpriority, concat_ws(';', CASE WHEN {_DIFFER.format('o_orderstatus')} THEN 'o_orderstatus' END, CASE WHEN {_DIFFER.format('o_orderpriority')} THEN 'o_orderpriority' END) AS conflicts FROM orders GROUP BY o_custkey")
 def consolidation(t: Tables):
     return C.consolidated(t.orders, "o_custkey", ["o_orderstatus", "o_orderpriority"])
 
 
+@query("A05_disagreement_values", "WITH x AS (SELECT o_custkey, 'o_orderstatus' AS field, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT o_custkey, 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY ALL) SELECT * FROM x QUALIFY count(*) OVER (PARTITION BY o_custkey, field) > 1")
+def disagreement_values(t: Tables):
+    return C.disagreeing(t.orders, "o_custkey", ["o_orderstatus", "o_orderpriority"])
+
+
 @query("A06_grouped_collection", "SELECT g AS c_mktsegment, c_custkey, row_number() OVER (PARTITION BY g ORDER BY c_custkey) AS position, count(*) OVER (PARTITION BY g) AS n, count(*) OVER () AS total FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '未登记' ELSE c_mktsegment END AS g FROM customer)")
 def grouped_collection(t: Tables):
     rows = t.customer.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 5 == 0, F.lit("  ")).otherwise(F.col("c_mktsegment")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..sources.workspace import written
 from .registry import Tables, query
 
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+(?:[×*./-][a-z0-9]+)*')"
@@ -71,7 +72,8 @@ _RRF = f"{_BM25}, {_DENSE}, l2 AS (SELECT query_id, id, rank FROM lx WHERE rank
 
 def channels(t: Tables):
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return lexical(t, 48), R.cosine_top(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v, 48)
+    dense = R.cosine_top(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v, 48)
+    return written(lexical(t, 48), "lexical"), written(dense, "dense")  # fusion and pools read them again
 
 
 @query("W01_channel_ranks", f"WITH {_RRF} SELECT 'lexical' AS channel, query_id, id, rank FROM l2 UNION ALL SELECT 'dense', query_id, id, rank FROM d2")
