@@ -152,9 +152,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> tuple[
                 ok[i] = 100 * both >= percent * (len(small) + len(large) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    often = pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count("*") / HUB).alias("salts"))
-    dealt = pairs.join(often, F.col("a") == F.col("hub")).select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
-    left = sets.join(often, F.col("id") == F.col("hub")).select("id", F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("part"))
+    # only hubs are sent to several tasks; at most a row for each HUB pairs
+    hubs = scratch.sized(pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count("*") / HUB).alias("salts")).where("salts > 1"))
+    dealt = pairs.join(hubs, F.col("a") == F.col("hub"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt"))
+    left = sets.join(hubs, F.col("id") == F.col("hub"), "left").select("id", F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("part"))
     right = dealt.join(sets.withColumnRenamed("shingles", "y"), F.col("b") == F.col("id")).select("a", "b", "salt", "y")
     full = right.join(left, (F.col("a") == F.col("id")) & (F.col("salt") == F.col("part"))).select("a", "b", "x", "y")
     return full.mapInArrow(words.lean(check), "a long, b long"), sets

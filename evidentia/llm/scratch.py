@@ -81,6 +81,15 @@ def _leave() -> None:
         clear(spark)
 
 
+#: Rows of a side that may be broadcast.
+SIDE = 100_000
+
+
+def sized(side: DataFrame) -> DataFrame:
+    """The side with a broadcast hint if it has ``SIDE`` rows at most, counted; else as it is."""
+    return F.broadcast(side) if side.limit(SIDE + 1).count() <= SIDE else side
+
+
 BITS = 1 << 24
 
 

@@ -197,7 +197,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
     nodes = rows.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"))
     nodes = scratch.written(nodes.withColumn("d", F.size("v")).withColumn("node", F.monotonically_increasing_id()), "vectors")
     sizes = nodes.groupBy("label", "d").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    placed = nodes.join(F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes, ["label", "d"]).withColumn("sub", F.pmod(F.xxhash64("node"), "tiles"))
+    placed = nodes.join(scratch.sized(sizes), ["label", "d"]).withColumn("sub", F.pmod(F.xxhash64("node"), "tiles"))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
