@@ -33,8 +33,8 @@ from .lexicon import Lexicon
 
 #: Frequent words that the lexicon holds at most; words that a worker remembers, and counts, at once: none changes a result.
 LEXICON, CACHE, COUNTED = 1 << 17, 100_000, 200_000
-#: Bytes of a word from which its merges wait in a heap: the same merges, in n log n.
-HEAP = 48
+#: Bytes of a word from which its merges wait in a heap: the same merges, in n log n. Bits of an id in packed numbers, and no merge.
+HEAP, BITS, NONE = 256, 32, 1 << 62
 END = "</w>"
 _SLOW, _TAG = 4, np.uint64(0xA5A5_5A5A_1234_4321)
 
@@ -59,9 +59,9 @@ class Codec:
         self.token_bytes = [t.encode() for t in self.tokens]
         self.digits = [b"%d" % i for i in range(len(self.tokens))]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # by both ids, packed: the rank and the new id, packed
         for rank, (a, b) in enumerate(pairs):
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.merges.setdefault(vocab[a] << BITS | vocab[b], rank << BITS | vocab[a + b])
         chars = _byte_chars()
         self.inner, self.last = [vocab[c] for c in chars], [vocab[c + END] for c in chars]
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -72,42 +72,45 @@ class Codec:
 
     def merged(self, word: bytes) -> list[int]:
         """The ids of one word by its merges: the lowest rank first, the leftmost of equals."""
-        ids = [*(self.inner[b] for b in word[:-1]), self.last[word[-1]]]
+        inner, get = self.inner, self.merges.get
+        ids = [inner[b] for b in word]
+        ids[-1] = self.last[word[-1]]
         if len(ids) >= HEAP:
             return self._merged_long(ids)
-        get = self.merges.get
-        while len(ids) > 1:
-            best, at = (1 << 60, 0), -1
-            for i in range(len(ids) - 1):
-                m = get((ids[i], ids[i + 1]))
-                if m is not None and m < best:
-                    best, at = m, i
-            if at < 0:
+        ranks = [get(a << BITS | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == NONE:
                 break
-            ids[at : at + 2] = [best[1]]
+            i = ranks.index(best)
+            new = ids[i] = best & 0xFFFFFFFF
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << BITS | new, NONE)
+            if i < len(ranks):
+                ranks[i] = get(new << BITS | ids[i + 1], NONE)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
         """The same over a linked list, with the pairs that can merge in a heap by rank and place; a pair that has changed since is passed over."""
         get, n = self.merges.get, len(ids)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        heap = [(m[0], i) for i in range(n - 1) if (m := get((ids[i], ids[i + 1]))) is not None]
+        heap = [(m, i) for i in range(n - 1) if (m := get(ids[i] << BITS | ids[i + 1], NONE)) != NONE]
         heapq.heapify(heap)
         while heap:
-            rank, i = heapq.heappop(heap)
+            m, i = heapq.heappop(heap)
             j = after[i]
-            m = get((ids[i], ids[j])) if j >= 0 and ids[i] >= 0 else None
-            if m is None or m[0] != rank:
+            if j < 0 or ids[i] < 0 or get(ids[i] << BITS | ids[j], NONE) != m:
                 continue
-            ids[i], ids[j] = m[1], -1
+            ids[i], ids[j] = m & 0xFFFFFFFF, -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if (m := get((ids[i], ids[k]))) is not None:
-                    heapq.heappush(heap, (m[0], i))
+                if (m := get(ids[i] << BITS | ids[k], NONE)) != NONE:
+                    heapq.heappush(heap, (m, i))
             h = before[i]
-            if h >= 0 and (m := get((ids[h], ids[i]))) is not None:
-                heapq.heappush(heap, (m[0], h))
+            if h >= 0 and (m := get(ids[h] << BITS | ids[i], NONE)) != NONE:
+                heapq.heappush(heap, (m, h))
         return [x for x in ids if x >= 0]
 
     def words(self, chunk: str) -> list[bytes | int]:
