@@ -23,7 +23,8 @@ def disagreements(t: Tables):
     return E.disagreements(t.lineitem, ["l_partkey", "l_linestatus"], "l_tax", "l_orderkey", "l_suppkey")
 
 
-@query("A11_conflict_components")
+@query("A11_conflict_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 7 AS q, l_partkey AS g, l_orderkey AS o FROM lineitem), lab(q, g, c) USING KEY (q, g) AS (SELECT DISTINCT q, g, g FROM e
+ UNION SELECT n.q, n.g, n.c FROM (SELECT y.q, y.g, min(lab.c) AS c FROM lab JOIN e x ON lab.q = x.q AND lab.g = x.g JOIN e y ON x.q = y.q AND x.o = y.o GROUP BY ALL) n JOIN recurring.lab r ON r.q = n.q AND r.g = n.g WHERE n.c < r.c) SELECT q AS query_id, g AS group_id, c AS component FROM lab""")
 def conflict_components(t: Tables):
     edges = t.lineitem.select((F.col("l_suppkey") % 7).alias("query_id"), F.col("l_partkey").alias("group_id"), F.col("l_orderkey").alias("evidence_id"))
     return G.conflict_components(edges)
