@@ -327,7 +327,11 @@ def generation_order(t: Tables):
 # merged sources
 
 
-@query("U01_union_rounds")
+@query("U01_union_rounds", f"""WITH r AS (SELECT l_orderkey AS query_id, l_linenumber AS position, 'u' || p % 20 AS url, f, s, p FROM ({_LINES})), o AS (SELECT query_id, position, url, f AS excerpt, 2 * position AS k FROM r WHERE p % 3 <> 0), n AS (SELECT query_id, position, url, CASE WHEN s = 'O' THEN f ELSE 'new' END AS excerpt FROM r WHERE p % 3 <> 1),
+ u AS (SELECT query_id, position, url, excerpt, 2 AS round FROM n UNION ALL SELECT query_id, position, url, excerpt, 1 FROM o), one AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, url, excerpt ORDER BY round DESC, position) = 1), known AS (SELECT query_id, url, excerpt, min_by(k, position) AS k FROM o GROUP BY ALL),
+ j AS (SELECT one.*, known.k, row_number() OVER (PARTITION BY query_id ORDER BY round DESC, one.position) AS i FROM one LEFT JOIN known USING (query_id, url, excerpt)), m AS (SELECT *, sum((k IS NULL)::INT) OVER (PARTITION BY query_id ORDER BY i) AS x FROM j),
+ free AS (SELECT query_id, v, row_number() OVER (PARTITION BY query_id ORDER BY v) AS x FROM (SELECT DISTINCT query_id FROM u), (SELECT unnest(range(1, 200)) AS v) WHERE (query_id, v) NOT IN (SELECT (query_id, k) FROM o)), b AS (SELECT query_id, url, string_agg('W' || k, ',' ORDER BY k) AS previous FROM (SELECT DISTINCT query_id, url, k FROM o) GROUP BY ALL)
+ SELECT m.query_id, 'W' || coalesce(m.k, free.v) AS id, round, CASE WHEN m.k IS NULL THEN previous END AS previous, m.url, excerpt FROM m LEFT JOIN free ON free.query_id = m.query_id AND free.x = m.x AND m.k IS NULL LEFT JOIN b ON b.query_id = m.query_id AND b.url = m.url""")
 def union_rounds(t: Tables):
     """Two rounds of an order's parts: the old one has ids with gaps, some content changed since."""
     rows = _lines(t).select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("u"), (F.col("p") % 20).cast("string")).alias("url"), "f", "s", "p")
