@@ -10,7 +10,8 @@ repeat nothing and are left out of both. What is left is the reference: its rout
 are dealt out in shards bounded by words, each shard has its automaton, and the
 segments of its routes stream past it; whether a window repeats is read from the
 matching statistics alone, word by word. A route with more different words than an
-even share of a shard is routed again, by longer n-grams and at last by whole windows.
+even share of a shard first loses the windows that stand once, by a count of windows'
+hashes, and is routed again if need be, by longer n-grams and at last by whole windows.
 
 Words are compared by 64-bit hashes. Equal segments are one with a weight; equal
 means the same n-gram hash, the same hash of all words, and the same length.
@@ -75,11 +76,14 @@ def segments(h: np.ndarray, offsets: np.ndarray, least: int, gram: int = GRAM):
         again[1 : len(g) - d + 1] |= g[:-d] == g[d:]
     again = np.cumsum(again)
     alone = again[np.minimum(begin + count - 1 + width, len(g))] == again[begin]
-    end = begin + count + least - 1
+    return doc, begin - offsets[doc], count, route, _content(h, begin, count, least), alone
+
+
+def _content(h: np.ndarray, begin: np.ndarray, count: np.ndarray, least: int) -> np.ndarray:
+    """A hash of the words of ``count`` windows from each ``begin``."""
     up, down = words._power(len(h))
     total = np.concatenate(([_U(0)], np.cumsum(h * up[: len(h)], dtype=np.uint64)))
-    content = words._mix((total[end] - total[begin]) * down[begin] + count.astype(np.uint64))
-    return doc, begin - offsets[doc], count, route, content, alone
+    return words._mix((total[begin + count + least - 1] - total[begin]) * down[begin] + count.astype(np.uint64))
 
 
 def _chunks(h: np.ndarray, least: int, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray]]:
@@ -155,8 +159,11 @@ def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
             yield int(part[0]), len(part)
 
 
+_SPANS = "array<struct<s:int,n:int>>"
+
+
 def _by_automaton(rows: DataFrame, least: int) -> DataFrame:
-    """(v, c, s, n): runs of repeated windows in each segment; rows: (shard, v, c, w, words), whole shards in a task."""
+    """(v, c, runs): where each segment's windows repeat, as runs (first window, windows); rows: (shard, v, c, w, words), whole shards in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, list[int]]] = []
@@ -170,9 +177,11 @@ def _by_automaton(rows: DataFrame, least: int) -> DataFrame:
             out = []
             for v, c, _, seq in held:
                 again = [i + n - least for i, n, places in auto.matches(seq, least) if places > 1]
-                out += [(v, c, s, n) for s, n in _runs(np.array(again, np.int64))]
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["v", "c", "s", "n"])
+                if again:
+                    out.append((v, c, [{"s": s, "n": n} for s, n in _runs(np.array(again, np.int64))]))
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32())])))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["v", "c", "runs"])
 
         for batch in batches:
             for k, v, c, w, data in zip(*(batch.column(x).to_pylist() for x in range(4)), batch.column(4), strict=True):
@@ -184,66 +193,151 @@ def _by_automaton(rows: DataFrame, least: int) -> DataFrame:
         if held:
             yield settle()
 
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(words.lean(run), "v long, c long, s int, n int")
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(words.lean(run), f"v long, c long, runs {_SPANS}")
+
+
+def _moved(by: str):
+    """Runs counted from an earlier word."""
+    return F.transform("runs", lambda x: F.struct((x["s"] + F.col(by)).alias("s"), x["n"].alias("n")))
+
 
+def _slot(r: np.ndarray) -> np.ndarray:
+    return (words._mix(r.view(np.uint64)) % _U(scratch.BITS)).astype(np.int64)
 
-def _recut(rows: DataFrame, least: int, gram: int, bitmap=None) -> DataFrame:
-    """The segments by ``gram`` words within segments (v, c, w, words): (v, c, w, s, m, r, c2, alone), r and c2 being route and
-    content; with a ``bitmap`` of routes only those in it, with their words."""
+
+def _recut(rows: DataFrame, least: int, gram: int, bitmap) -> DataFrame:
+    """The segments by ``gram`` words within segments (v, c, w, words) whose routes are in the bitmap: (v, c, w, s, m, r, c2, alone,
+    words), r and c2 being route and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [batch.column(x).to_pylist() for x in range(3)]
+            keys = [batch.column(x).to_numpy() for x in range(3)]
+            held: list[tuple] = []
             for i in range(batch.num_rows):
                 h = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
                 _, s, m, r, c, alone = segments(h, np.array([0, len(h)]), least, gram)
-                r = words.signed(r)
-                if bitmap is not None:
-                    on = scratch.in_bitmap(bitmap.value, words.signed(words._mix(r.view(np.uint64)) % _U(scratch.BITS)))
-                    s, m, r, c, alone = s[on], m[on], r[on], c[on], alone[on]
-                cols = [pa.array([k[i]] * len(s), pa.int64()) for k in keys]
-                cols += [pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(r), pa.array(words.signed(c)), pa.array(alone)]
-                data = [h[x : x + y + least - 1].tobytes() for x, y in zip(s.tolist(), m.tolist(), strict=True)] if bitmap is not None else [b""] * len(s)
-                cols += [pa.array(data, pa.binary()), pa.array(words.signed(words._mix(r.view(np.uint64)) % _U(scratch.BITS)))]
-                yield pa.RecordBatch.from_arrays(cols, names=["v", "c", "w", "s", "m", "r", "c2", "alone", "words", "slot"])
+                on = scratch.in_bitmap(bitmap.value, _slot(r))
+                s, m = s[on], m[on]
+                held.append((np.full(len(s), i), s, m, r[on], c[on], alone[on], [h[x : x + y + least - 1].tobytes() for x, y in zip(s.tolist(), m.tolist(), strict=True)]))
+            if not held:
+                continue
+            row, s, m, r, c, alone = (np.concatenate([x[k] for x in held]) for k in range(6))
+            cols = [pa.array(k[row]) for k in keys] + [pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(words.signed(r)), pa.array(words.signed(c)), pa.array(alone)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([d for x in held for d in x[6]], pa.binary())], names=["v", "c", "w", "s", "m", "r", "c2", "alone", "words"])
+
+    return rows.mapInArrow(words.lean(run), "v long, c long, w long, s int, m int, r long, c2 long, alone boolean, words binary")
+
+
+#: Bits of the bitmap in a slice.
+_SLICE = 1 << 20
+
+
+def _shared_slots(rows: DataFrame, least: int, gram: int) -> np.ndarray:
+    """A bitmap of the slots of routes by ``gram`` words that stand in several places of the segments (v, c, w, words), and of few others.
+
+    Most such routes stand once, at the edges of a common passage, so they don't travel as rows: a batch's slots go as one packed
+    list a slice, and each slice is counted in one task. The driver gets the bitmap, whose size is fixed.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, found = batch.column(0).to_pylist(), []
+            for i in range(batch.num_rows):
+                h = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64)
+                _, _, _, r, _, alone = segments(h, np.array([0, len(h)]), least, gram)
+                found.append(_slot(r) << 1 | (~alone | (w[i] > 1)))
+            if not found:
+                continue
+            every = np.concatenate(found)
+            slots, first, n = np.unique(every >> 1, return_index=True, return_counts=True)
+            several = (n > 1) | np.isin(slots, every[every & 1 == 1] >> 1)
+            part = slots // _SLICE
+            edge = np.searchsorted(part, np.unique(part))
+            parts = [(int(part[a]), slots[a:b] % _SLICE, several[a:b]) for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(slots)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1].astype(np.int32).tobytes() for p in parts], pa.binary()), pa.array([p[2].tobytes() for p in parts], pa.binary())], names=["slice", "slots", "several"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, once, twice = None, None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
+
+        for batch in batches:
+            for k, slots, several in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if k != at:
+                    if at is not None:
+                        yield out()
+                    at, once, twice = k, np.zeros(_SLICE, bool), np.zeros(_SLICE, bool)
+                slots, several = np.frombuffer(slots.as_buffer(), np.int32), np.frombuffer(several.as_buffer(), bool)
+                twice[slots[several | once[slots]]] = True
+                once[slots] = True
+        if at is not None:
+            yield out()
+
+    packed = rows.select("w", "words").mapInArrow(words.lean(cut), "slice int, slots binary, several binary")
+    bits = np.zeros(scratch.BITS // 64, np.int64)
+    for r in packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(words.lean(count), "slice int, bits binary").collect():
+        bits[r["slice"] * _SLICE // 64 : (r["slice"] + 1) * _SLICE // 64] = np.frombuffer(r["bits"], np.int64)
+    return bits
+
+
+def _trimmed(rows: DataFrame, least: int, bitmap) -> DataFrame:
+    """What is left of segments (v, c, w, words) without the windows that stand once, which a bitmap of windows leaves out: as ``_recut``, by
+    runs of windows, under their old routes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, held = [batch.column(x).to_numpy() for x in range(3)], []
+            for i in range(batch.num_rows):
+                h = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
+                g = words.grams(h, least)
+                runs = list(_runs(np.flatnonzero(scratch.in_bitmap(bitmap.value, _slot(g)))))
+                s, m = (np.array(x, np.int64) for x in (zip(*runs, strict=True) if runs else ((), ())))
+                alone = np.array([len(np.unique(g[x : x + y])) == y for x, y in runs], bool)
+                held.append((np.full(len(s), i), s, m, _content(h, s, m, least), alone, [h[x : x + y + least - 1].tobytes() for x, y in runs]))
+            if not held:
+                continue
+            row, s, m, c, alone = (np.concatenate([x[k] for x in held]) for k in range(5))
+            cols = [pa.array(k[row]) for k in keys] + [pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(keys[0][row]), pa.array(words.signed(c)), pa.array(alone)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([d for x in held for d in x[5]], pa.binary())], names=["v", "c", "w", "s", "m", "r", "c2", "alone", "words"])
 
-    return rows.mapInArrow(words.lean(run), "v long, c long, w long, s int, m int, r long, c2 long, alone boolean, words binary, slot long")
+    return rows.mapInArrow(words.lean(run), "v long, c long, w long, s int, m int, r long, c2 long, alone boolean, words binary")
 
 
-def _found(rows: DataFrame, least: int, grams: list[int]) -> tuple[DataFrame, list[DataFrame]]:
-    """(v, c, s, n): in the segment known by (v, c) the ``n`` windows from word ``s`` on also start elsewhere; and the tables that
-    this reads.
+def _found(rows: DataFrame, least: int, grams: list[int], whole: bool = True) -> tuple[DataFrame, list[DataFrame]]:
+    """(v, c, runs): where the windows of the segment known by (v, c) also start elsewhere; and the tables that this reads. A
+    segment may come in several rows.
 
     rows: a table of distinct segments (v, c, w: how often it stands, size, words) of routes v
-    that occur more than once; ``grams``: words of the n-grams by which a route that is
-    over ``ROUTE`` is routed again, the last being ``least``.
+    that occur more than once. A route that is over ``ROUTE`` first loses the windows that
+    stand once (``whole``: it hasn't yet), which makes the many edges of a common passage
+    equal; one that still is gets routed again, by n-grams of ``grams`` words, the last being ``least``.
     """
     spark, read = rows.sparkSession, [rows]
     routes = rows.groupBy("v").agg(F.sum("size").alias("all"))
-    cold = F.lit(True) if not grams else F.col("all") <= ROUTE
+    cold = F.lit(True) if not whole and not grams else F.col("all") <= ROUTE
     total, hot = routes.agg(F.sum(F.when(cold, F.col("all"))), F.count_if(~cold)).first()
     shards = max(-(-int(total or 0) // SHARD), 1)
     dealt = routes.where(cold).select("v", F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard"))
     out = _by_automaton(rows.join(dealt, "v").select("shard", "v", "c", "w", "words"), least)
     if hot:
         large = rows.join(routes.where(~cold).select("v"), "v", "left_semi").select("v", "c", "w", "words").repartition("v", "c")
-        once = _recut(large, least, grams[0]).groupBy("r", "slot").agg(F.sum("w").alias("n"), F.min("alone").alias("alone"))
-        bits = spark.sparkContext.broadcast(scratch.slot_bitmap(once.where("n > 1 or not alone").select("slot")))
-        every = scratch.written(_recut(large, least, grams[0], bits), "segments")
+        bits = spark.sparkContext.broadcast(_shared_slots(large, least, least if whole else grams[0]))
+        every = scratch.written(_trimmed(large, least, bits) if whole else _recut(large, least, grams[0], bits), "segments")
         bits.destroy()
         kinds = every.groupBy("r", "c2").agg(F.sum("w").alias("w"), F.min("alone").alias("alone"), F.first("words").alias("words"))
         kinds = scratch.written(kinds.select(F.col("r").alias("v"), F.col("c2").alias("c"), "w", "alone", (F.length("words") / 8).cast("long").alias("size"), "words"), "kinds")
         shared = kinds.groupBy("v").agg(F.sum("w").alias("n"), F.min("alone").alias("alone")).where("n > 1 or not alone").select("v")
-        inner, more = _found(kinds.join(shared, "v", "left_semi").select("v", "c", "w", "size", "words"), least, grams[1:])
-        inner = inner.select(F.col("v").alias("r"), F.col("c").alias("c2"), F.col("s").alias("more"), "n")
-        out = out.union(every.select("v", "c", "s", "r", "c2").join(inner, ["r", "c2"]).select("v", "c", (F.col("s") + F.col("more")).alias("s"), "n"))
+        inner, more = _found(kinds.join(shared, "v", "left_semi").select("v", "c", "w", "size", "words"), least, grams if whole else grams[1:], False)
+        inner = inner.select(F.col("v").alias("r"), F.col("c").alias("c2"), "runs")
+        parts = every.select("v", "c", "s", "r", "c2").join(inner, ["r", "c2"]).select("v", "c", _moved("s").alias("runs"))
+        out = out.union(parts.groupBy("v", "c").agg(F.flatten(F.collect_list("runs")).alias("runs")))
         read += [every, kinds, *more[1:]]
     return out, read
 
 
 def repeated_windows(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(id, k, s, n): in the row known by (id, k), the ``n`` windows of ``least`` words from word ``s`` on also start elsewhere; and the
-    tables that this reads.
+    """(id, k, spans): where the windows of ``least`` words of the row known by (id, k) also start elsewhere; and the tables that this reads.
 
     ``docs``: of ``_keyed``.
     """
@@ -261,8 +355,8 @@ def repeated_windows(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataF
     scratch.forget(kinds)
     first = min(GRAM, least)
     found, read = _found(text, least, sorted({g for g in (least - SHORTER, least) if g > first}))
-    rows = every.join(found.withColumnRenamed("n", "len"), ["v", "c"]).select("id", "k", (F.col("a") + F.col("s")).alias("s"), F.col("len").alias("n"))
-    return rows, [every, *read]
+    rows = every.join(found, ["v", "c"]).select("id", "k", _moved("a").alias("runs"))
+    return rows.groupBy("id", "k").agg(F.flatten(F.collect_list("runs")).alias("spans")), [every, *read]
 
 
 def _cut(text: bytes, spans: list[tuple[int, int]], least: int) -> tuple[bytes, int, int]:
@@ -292,7 +386,7 @@ def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     spark = docs.sparkSession
     docs = _keyed(docs)
     found, read = repeated_windows(docs, least)
-    spans = scratch.written(found.groupBy("id", "k").agg(F.collect_list(F.struct("s", "n")).alias("spans")), "spans")
+    spans = scratch.written(found, "spans")
     for table in read:
         scratch.forget(table)
     bitmap = spark.sparkContext.broadcast(scratch.id_bitmap(spans.select("k"), "k"))

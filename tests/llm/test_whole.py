@@ -142,6 +142,7 @@ def test_hot_routes_are_cut_again(spark, monkeypatch):
     said = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
     rows = [(i, f"{said(f'l{i}x', 30)} {said('p', 60)} {said(f'r{i}x', 30)}") for i in range(60)]
     rows += [(100 + i, f"{said(f'm{i}x', 12)} {said('p', 8)} {said(f'n{i}x', 12)}") for i in range(60)]  # the n-gram alone is shared
+    rows += [(300 + i, f"{said(f'v{i % 30}y', 20)} {said('p', 8)} {said(f'w{i % 30}y', 20)} z{i}") for i in range(60)]  # many passages with one n-gram
     rows += [(200, "q " * 300), (201, f"{said('l7x', 30)} {said('p', 20)}")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     for least in (12, 35):
