@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from . import scratch, words
 from .components import components
 
-#: Vectors of a tile (about), rows of a product at once, and the share of coordinates that prunes.
-TILE, ROWS, LEAD = 2048, 512, 4
+#: Vectors of a tile (about), rows of a product at once, and the part of the coordinates that prunes (one in LEAD).
+TILE, ROWS, LEAD = 2048, 512, 2
 #: Slack for rounding in single precision, far above it.
 SLACK = 4e-6
 
@@ -79,6 +79,8 @@ def _possible(a: Tile, b: Tile, threshold: float) -> tuple[np.ndarray, np.ndarra
     far = lambda t: (t.s * np.sqrt((t.q[:, rest].astype(np.float64) ** 2).sum(axis=1)) + t.e).astype(np.float32)
     near = (a.q[:, lead].astype(np.float32) @ b.q[:, lead].astype(np.float32).T) * a.s.astype(np.float32)[:, None] * b.s.astype(np.float32)[None, :]
     open_ = near + far(a)[:, None] * far(b)[None, :] + _off(a.e, b.e) >= threshold
+    if a.node is not None:
+        open_ &= a.node[:, None] != b.node[None, :]
     return np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
 
 
