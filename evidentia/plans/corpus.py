@@ -67,10 +67,10 @@ def web_admission(t: Tables):
     return t.pages.select("page_id", rejection(F.col("url"), F.regexp_replace("html", "<[^>]+>", ""), ["example.net"]).alias("reason"))
 
 
-@query("P10_fuzzy_like", "SELECT p_partkey, CASE WHEN lower(p_name) = 'the' THEN 0 WHEN p_name ILIKE 'the%' THEN 1 ELSE 2 END AS tier FROM part WHERE p_name ILIKE '%the%' OR p_brand ILIKE '%the%' OR p_type ILIKE '%the%' ORDER BY tier, p_partkey LIMIT 20")
+@query("P10_fuzzy_like", "SELECT p_partkey, CASE WHEN lower(p_name) = 'red ring' THEN 0 WHEN p_name ILIKE 'red%' THEN 1 ELSE 2 END AS tier FROM part WHERE p_name ILIKE '%red%' OR p_brand ILIKE '%red%' OR p_type ILIKE '%red%' ORDER BY tier, p_partkey LIMIT 20")
 def fuzzy_like(t: Tables):
-    tier = F.when(F.lower("p_name") == "the", 0).when(F.col("p_name").ilike("the%"), 1).otherwise(2)
-    some = F.col("p_name").ilike("%the%") | F.col("p_brand").ilike("%the%") | F.col("p_type").ilike("%the%")
+    tier = F.when(F.lower("p_name") == "red ring", 0).when(F.col("p_name").ilike("red%"), 1).otherwise(2)
+    some = F.col("p_name").ilike("%red%") | F.col("p_brand").ilike("%red%") | F.col("p_type").ilike("%red%")
     return t.part.where(some).select("p_partkey", tier.alias("tier")).orderBy("tier", "p_partkey").limit(20)
 
 

@@ -299,15 +299,15 @@ def coverage_first(t: Tables):
     return S.coverage_first(_ranked_lines(t).select("query_id", "id", "rank", F.array("f").alias("aspects"), (F.col("u") % 3).alias("document"), F.create_map("s", F.col("q") / 50).alias("goals")))
 
 
-_ASPECTS = "SELECT unnest(['BRASS', 'STEEL', 'ECONOMY', 'PROMO']) AS aspect"
+_ASPECTS = "SELECT unnest(['ring', 'red', 'ECONOMY', 'PROMO']) AS aspect"
 
 
-@query("R30_aspect_recovery", f"""WITH d AS (SELECT p_partkey, list_distinct(string_split(p_type, ' ')) AS l, p_brand FROM part), m AS (SELECT DISTINCT aspect, p_partkey FROM ({_ASPECTS}), (SELECT p_partkey, unnest(l) AS label FROM d) WHERE contains(label, aspect) OR contains(aspect, label)),
+@query("R30_aspect_recovery", f"""WITH d AS (SELECT p_partkey, list_distinct(string_split(p_name || ' ' || p_type, ' ')) AS l, p_brand FROM part), m AS (SELECT DISTINCT aspect, p_partkey FROM ({_ASPECTS}), (SELECT p_partkey, unnest(l) AS label FROM d) WHERE contains(label, aspect) OR contains(aspect, label)),
  s AS (SELECT aspect, label AS expansion, 2 * count(*) AS score FROM m JOIN (SELECT p_partkey, unnest(l) AS label FROM d) USING (p_partkey) WHERE label <> aspect GROUP BY ALL UNION ALL SELECT aspect, p_brand, 3 * count(*) FROM m JOIN d USING (p_partkey) GROUP BY ALL), g AS (SELECT aspect, expansion, sum(score)::BIGINT AS score FROM s GROUP BY ALL)
  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aspect ORDER BY score DESC, length(expansion), expansion) AS n FROM g) WHERE n <= 4""")
 def aspect_expansions(t: Tables):
-    aspects = t.spark.createDataFrame([("BRASS",), ("STEEL",), ("ECONOMY",), ("PROMO",)], "aspect string")
-    return S.aspect_expansions(aspects, t.part.select(F.col("p_partkey").alias("id"), F.split("p_type", " ").alias("labels"), F.col("p_brand").alias("title")))
+    aspects = t.spark.createDataFrame([("ring",), ("red",), ("ECONOMY",), ("PROMO",)], "aspect string")
+    return S.aspect_expansions(aspects, t.part.select(F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("labels"), F.col("p_brand").alias("title")))
 
 
 def _context_rows(t: Tables):
@@ -417,14 +417,13 @@ def family_sections(t: Tables):
     return L.related_sections(t.orders.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("section")), sections, t.part.where("p_size > 5").select(F.col("p_partkey").alias("evidence")))
 
 
-@query("J19_node_assets", "SELECT DISTINCT s_suppkey AS query_id, p_partkey AS asset FROM supplier JOIN part ON string_split(p_type, ' ')[3] = CASE WHEN s_suppkey % 2 = 0 THEN 'STEEL' ELSE 'BRASS' END WHERE s_suppkey % 5 <> 0 AND p_size > 3 AND p_partkey % 10 <> 0 AND (s_suppkey % 3 <> 0 OR string_split(p_type, ' ')[1] = 'ECONOMY') AND (s_suppkey % 4 <> 0 OR (p_size % 2 = 0 AND p_brand = 'Brand#13'))")
+@query("J19_node_assets", "SELECT DISTINCT s_suppkey AS query_id, p_partkey AS asset FROM supplier JOIN part ON string_split(p_name, ' ')[2] = CASE WHEN s_suppkey % 2 = 0 THEN 'ring' ELSE 'bolt' END WHERE s_suppkey % 5 <> 0 AND p_size > 3 AND p_partkey % 10 <> 0 AND (s_suppkey % 3 <> 0 OR p_type = 'ECONOMY') AND (s_suppkey % 4 <> 0 OR (p_size % 2 = 0 AND p_brand = 'Brand#13'))")
 def node_assets(t: Tables):
-    """Parts as node assets: the words of their type are form and kind, the brand is the method, which half of them lack."""
+    """Parts as node assets: their type is the form, the noun of their name the kind, the brand the method, which half of them lack."""
     k = F.col("s_suppkey")
     words = lambda cond, *w: F.when(cond, F.array(*map(F.lit, w))).otherwise(F.array().cast("array<string>"))
-    asked = t.supplier.select(k.alias("query_id"), words(k % 3 == 0, "ECONOMY").alias("forms"), F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 2 == 0, F.array(F.lit("STEEL"))).otherwise(F.array(F.lit("BRASS"))).alias("kinds"), words(k % 4 == 0, "Brand#13").alias("methods"))
-    type_ = F.split("p_type", " ")
-    nodes = t.part.select(F.col("p_partkey").alias("asset"), F.get(type_, F.lit(0)).alias("form"), F.get(type_, F.lit(2)).alias("kind"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("method"), F.when(F.col("p_size") > 3, "public").otherwise("internal").alias("scope"))
+    asked = t.supplier.select(k.alias("query_id"), words(k % 3 == 0, "ECONOMY").alias("forms"), F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 2 == 0, F.array(F.lit("ring"))).otherwise(F.array(F.lit("bolt"))).alias("kinds"), words(k % 4 == 0, "Brand#13").alias("methods"))
+    nodes = t.part.select(F.col("p_partkey").alias("asset"), F.col("p_type").alias("form"), F.get(F.split("p_name", " "), F.lit(1)).alias("kind"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("method"), F.when(F.col("p_size") > 3, "public").otherwise("internal").alias("scope"))
     return L.node_assets(asked, nodes, t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("asset")))
 
 
