@@ -35,6 +35,8 @@ from .lexicon import Lexicon
 LEXICON, CACHE, COUNTED = 1 << 17, 100_000, 200_000
 #: Bytes of a word from which its merges wait in a heap: the same merges, in n log n. Bits of an id in packed numbers, and no merge.
 HEAP, BITS, NONE = 256, 32, 1 << 62
+#: The rank of pairs that don't merge, and words that are merged together.
+NO_RANK, ROWS = np.iinfo(np.int32).max, 1 << 13
 END = "</w>"
 _SLOW, _TAG = 4, np.uint64(0xA5A5_5A5A_1234_4321)
 
@@ -46,6 +48,47 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
+class _Ranks:
+    """Ranks of pairs of ids, many looked up at once: pairs stand in a table by a hash, each at most a few places behind it."""
+
+    def __init__(self, merges: dict[int, int]):
+        keys, values = np.array(list(merges), np.int64), np.array(list(merges.values()), np.int64)
+        ranks = (values >> BITS).astype(np.int32)
+        self.made = np.zeros(int(ranks.max(initial=-1)) + 1, np.int64)
+        self.made[ranks] = values & 0xFFFFFFFF
+        self.bits = max(8, (4 * len(keys)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NO_RANK, np.int32)
+        at, left, self.steps = self._slots(keys), np.arange(len(keys)), 0
+        while len(left):  # a round puts one pair in each free place, the others go one further
+            free = self.keys[at] < 0
+            _, first = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
+            first = first[free[first]]
+            self.keys[at[first]], self.ranks[at[first]] = keys[left[first]], ranks[left[first]]
+            rest = np.ones(len(left), bool)
+            rest[first] = False
+            at, left, self.steps = (at[rest] + 1) & ((1 << self.bits) - 1), left[rest], self.steps + 1
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or ``NO_RANK``."""
+        keys = (a << BITS) | b
+        at = self._slots(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.ranks[at], NO_RANK).astype(np.int32)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        for _ in range(1, self.steps):
+            if not len(open_):
+                break
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.ranks[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+
 class Codec:
     """The vocabulary, its merges and its rules."""
 
@@ -62,13 +105,19 @@ class Codec:
         self.merges: dict[int, int] = {}  # by both ids, packed: the rank and the new id, packed
         for rank, (a, b) in enumerate(pairs):
             self.merges.setdefault(vocab[a] << BITS | vocab[b], rank << BITS | vocab[a + b])
+        self.ranks = _Ranks(self.merges)
         chars = _byte_chars()
         self.inner, self.last = [vocab[c] for c in chars], [vocab[c + END] for c in chars]
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split.replace(r"[^\s", r"[^\p{White_Space}"))
+        self.inner_ids, self.last_ids = np.array(self.inner, np.int64), np.array(self.last, np.int64)
         self.specials = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         self.lexicon = lexicon
-        self.cache: dict[int, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache: hashes of words, where their ids begin, how many they are, and the ids."""
+        self.cache = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def merged(self, word: bytes) -> list[int]:
         """The ids of one word by its merges: the lowest rank first, the leftmost of equals."""
@@ -91,6 +140,64 @@ class Codec:
                 ranks[i] = get(new << BITS | ids[i + 1], NONE)
         return ids
 
+    def merged_all(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words by their merges, all words a merge at a time, and how many each has; as ``merged`` of each."""
+        size = ends - starts
+        count, done = np.zeros(len(size), np.int64), []
+        for low, high in ((0, 12), (12, 32)):
+            these = np.flatnonzero((size > low) & (size <= high))
+            for i in range(0, len(these), ROWS):
+                part = these[i : i + ROWS]
+                flat, count[part] = self._merged_rows(raw, starts[part], size[part])
+                done.append((part, flat))
+        for k in np.flatnonzero(size > 32).tolist():
+            flat = np.array(self.merged(raw[starts[k] : ends[k]].tobytes()), np.int32)
+            count[k] = len(flat)
+            done.append((np.array([k]), flat))
+        begin = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int32)
+        for part, flat in done:
+            own = count[part]
+            out[np.repeat(begin[part] - (np.cumsum(own) - own), own) + np.arange(len(flat))] = flat
+        return out, count
+
+    def _merged_rows(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One row a word: the pair of the lowest rank, the leftmost of equals, is merged in every row at once, until no row has one."""
+        n, width = len(size), int(size.max())
+        place = np.arange(width)
+        used = place < size[:, None]
+        data = raw[np.minimum(starts[:, None] + place, len(raw) - 1)]
+        ids = self.inner_ids[data]
+        rows = np.arange(n)
+        ids[rows, size - 1] = self.last_ids[data[rows, size - 1]]
+        after = np.broadcast_to(place + 1, (n, width)).copy()
+        before = np.broadcast_to(place - 1, (n, width)).copy()
+        rank = np.full((n, width), NO_RANK, np.int32)
+        pairs = used[:, 1:]
+        a, b = np.nonzero(pairs)
+        rank[a, b] = self.ranks.of(ids[a, b], ids[a, b + 1])
+        while len(rows):
+            i = rank[rows].argmin(axis=1)
+            best = rank[rows, i]
+            some = best < NO_RANK
+            rows, i, best = rows[some], i[some], best[some]
+            if not len(rows):
+                break
+            j = after[rows, i]
+            new = self.ranks.made[best]
+            ids[rows, i], used[rows, j], rank[rows, j] = new, False, NO_RANK
+            k, h = after[rows, j], before[rows, i]
+            after[rows, i] = k
+            more = k < size[rows]
+            rank[rows, i] = NO_RANK
+            r, x = rows[more], k[more]
+            before[r, x] = i[more]
+            rank[r, i[more]] = self.ranks.of(new[more], ids[r, x])
+            less = h >= 0
+            r, x = rows[less], h[less]
+            rank[r, x] = self.ranks.of(ids[r, x], new[less])
+        return ids[used].astype(np.int32), used.sum(axis=1)
+
     def _merged_long(self, ids: list[int]) -> list[int]:
         """The same over a linked list, with the pairs that can merge in a heap by rank and place; a pair that has changed since is passed over."""
         get, n = self.merges.get, len(ids)
@@ -169,27 +276,33 @@ class Codec:
     def block(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of texts, and their offsets by text."""
         low, s, e, slow, keys, which, starts = self.distinct(raw, offsets)
-        keys = keys.tolist()
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        get = self.cache.get
-        new = np.array([i for i, k in enumerate(keys) if get(k) is None], np.int64)
+        known, begin_of, size_of, flat = self.cache
+        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~hit)
+        begin, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        begin[hit], size[hit] = begin_of[at[hit]], size_of[at[hit]]
         if len(new):
             numbers = np.full(len(new), -1, np.int64)
             if self.lexicon is not None:
                 plain = ~slow[new]
                 numbers[plain] = self.lexicon.numbers(low, s[new[plain]], e[new[plain]])
-            data = low.tobytes()
-            for i, number in zip(new.tolist(), numbers.tolist(), strict=True):
-                part = data[s[i] : e[i]]
-                self.cache[keys[i]] = self.lexicon.word_ids(number) if number >= 0 else self.chunk_ids(part.decode("utf-8", "replace")) if slow[i] else self.merged(part)
-        lists = [get(k) for k in keys]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
-        begin = np.concatenate(([0], np.cumsum(size)))[:-1]
+            plain = (numbers < 0) & ~slow[new]
+            merged, count = self.merged_all(low, s[new[plain]], e[new[plain]])
+            lists = [self.lexicon.word_ids(number) if number >= 0 else self.chunk_ids(low[s[i] : e[i]].tobytes().decode("utf-8", "replace")) for i, number in zip(new[~plain].tolist(), numbers[~plain].tolist(), strict=True)]
+            counts = np.fromiter(map(len, lists), np.int64, len(lists))
+            new = np.concatenate((new[plain], new[~plain]))
+            size[new] = np.concatenate((count, counts))
+            begin[new] = len(flat) + np.cumsum(size[new]) - size[new]
+            flat = np.concatenate((flat, merged, np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum()))))
+            if len(known) + len(new) > CACHE:
+                self.forget()
+            else:
+                order = np.argsort(keep := np.concatenate((known, keys[new])), kind="stable")
+                self.cache = keep[order], np.concatenate((begin_of, begin[new]))[order], np.concatenate((size_of, size[new]))[order], flat
         per = size[which]
         total = np.concatenate(([0], np.cumsum(per)))
-        ids = flat[np.repeat(begin[which] - total[:-1], per) + np.arange(total[-1])] if total[-1] else flat[:0]
+        ids = flat[np.repeat(begin[which] - total[:-1], per) + np.arange(total[-1])] if total[-1] else np.empty(0, np.int32)
         return ids, total[np.searchsorted(starts, offsets)]
 
     def encode(self, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -226,7 +339,7 @@ def _codec(spec: str, name: str | None) -> Codec:
     codec, last = _held[key]
     if name != last:
         codec.lexicon = Lexicon.load(SparkFiles.get(name)) if name else None
-        codec.cache.clear()
+        codec.forget()
         _held[key] = (codec, name)
     return codec
 
@@ -244,10 +357,10 @@ def _folder() -> str:
 
 def _forget() -> None:
     for codec, _ in _held.values():
-        codec.cache.clear()
+        codec.forget()
 
 
-def _tidy(f):
+def tidy(f):
     """A function for mapInArrow after which the worker forgets the words it has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +411,7 @@ class Encoder:
             if seen:
                 yield out()
 
-        counts = corpus.select(text).mapInArrow(_tidy(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counts = corpus.select(text).mapInArrow(tidy(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
         counts = scratch.written(counts.withColumn("bin", F.floor(F.log2("n") * 64)), "words")
         # the least count that leaves up to ``size`` words: from a histogram, so the driver never sees more than these
         least, total = 0, 0
@@ -315,7 +428,7 @@ class Encoder:
 
         # built in one task, as the words are at most ``size``; the driver only passes the file on
         frequent = counts.where(F.col("bin") >= least).select("word").coalesce(1)
-        data = frequent.mapInArrow(_tidy(build), "data binary").toArrow()["data"]
+        data = frequent.mapInArrow(tidy(build), "data binary").toArrow()["data"]
         data = data[0].as_py() if len(data) else Lexicon.build({}).data()
         scratch.forget(counts)
         path = os.path.join(_folder(), f"lexicon-{hashlib.sha256(data).hexdigest()[:20]}.bin")
@@ -324,6 +437,11 @@ class Encoder:
         self.spark.sparkContext.addFile(path)
         return os.path.basename(path)
 
+    def opener(self):
+        """A function for tasks that gives them the codec."""
+        shared, name = self.shared, self.name
+        return lambda: _codec(shared.value, name)
+
     def encode(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         """(id, n_tokens, ids) of every row; a null or empty text has no ids. Nulls and repeats of ids are kept as they are."""
         shared, name = self.shared, self.name
@@ -336,7 +454,7 @@ class Encoder:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), lists], names=[id, "n_tokens", "ids"])
 
         kind = docs.schema[id].dataType.simpleString()
-        return docs.select(id, text).mapInArrow(_tidy(run), f"`{id}` {kind}, n_tokens long, ids array<int>")
+        return docs.select(id, text).mapInArrow(tidy(run), f"`{id}` {kind}, n_tokens long, ids array<int>")
 
     def decode(self, rows: DataFrame, id: str = "doc_id", ids: str = "ids") -> DataFrame:
         """(id, text) of every row; null ids give an empty text."""
@@ -349,7 +467,7 @@ class Encoder:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id, "text"])
 
         kind = rows.schema[id].dataType.simpleString()
-        return rows.select(id, ids).mapInArrow(_tidy(run), f"`{id}` {kind}, text string")
+        return rows.select(id, ids).mapInArrow(tidy(run), f"`{id}` {kind}, text string")
 
     def digests(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_tokens, and digests of the ids and of the text decoded from them; the ids don't leave the worker.
@@ -373,7 +491,7 @@ class Encoder:
                         names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                     )
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
     def lengths(self, docs: DataFrame) -> DataFrame:
         """(n_tokens, n_docs) counted batch by batch; add up by n_tokens."""
@@ -385,4 +503,4 @@ class Encoder:
                 n, count = np.unique(np.concatenate([np.diff(at) for *_, at in codec.encode(batch.column(0))] or [np.empty(0, np.int64)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(count, pa.int64())], names=["n_tokens", "n_docs"])
 
-        return docs.select("text").mapInArrow(_tidy(run), "n_tokens long, n_docs long")
+        return docs.select("text").mapInArrow(tidy(run), "n_tokens long, n_docs long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lengths, minhash, scratch, secrets, substrings, toxicity, urls, vectors, warc
+from . import bpe, decontaminate, lengths, merkle, minhash, mixture, overwrite, scratch, secrets, substrings, toxicity, urls, vectors, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,41 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target shares: those that the sources have, so that every window is a sample of the whole mixture."""
+    pieces = mixture.packed(_documents(spark, sf_dir), bpe.Encoder(spark, vocabulary()), with_ids=False)
+    return pieces.drop("source")
+
+
+def op12_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with h % 3 = 0 (h: crc32 of the id) and a day divisible by 7 arrive again; a null id or time has no copy, a null arrival is late."""
+    sales = spark.read.parquet(f"{sf_dir}/sales.parquet")
+    kinds = {f.name: f.dataType.simpleString() for f in sales.schema}
+    time = lambda c: overwrite.micros(F.col(c), kinds[c])
+    h = F.crc32(F.col("sale_id").cast("string"))
+    days = lambda n: F.make_dt_interval(n.cast("int"))
+    again = sales.where((h % 3 == 0) & (overwrite.day_of(time("sold_at")) % 7 == 0))
+    again = again.withColumns({"total": F.col("total") + 1, "sold_at": F.col("sold_at") + days(h % 2), "arrived_at": F.col("arrived_at") + days(1 + h % 97)})
+    both = sales.unionByName(again)
+    early = F.coalesce(time("arrived_at") < LATE, F.lit(False))
+    layout = overwrite.Layout(sales, scratch.lasting(spark, "sales"), per_file=1 + sales.count() // overwrite.FILES)
+    layout.start(both.where(early))
+    return layout.report(layout.update(both.where(~early)))
+
+
+#: 2024-04-10 00:00 in microseconds since 1970: rows that arrive from then on are late.
+LATE = 1_712_707_200_000_000
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows where 5 divides the crc32 of the id are tampered with: their text's A-Z are lower-cased."""
+    docs = _documents(spark, sf_dir)
+    altered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(docs, altered, lambda text: F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_bpe, op4_urls, op5_lengths, op6_substrings, op7_warc, op8_secrets, op9_toxicity, op10_vectors)}
+    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_bpe, op4_urls, op5_lengths, op6_substrings, op7_warc, op8_secrets, op9_toxicity, op10_vectors, op11_packing, op12_overwrite, op13_merkle)}
 
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"

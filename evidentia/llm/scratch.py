@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark import SparkContext
@@ -50,6 +51,26 @@ def path(spark: SparkSession, name: str) -> str:
     return made
 
 
+def lasting(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is left there: for files that are a result."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores as it takes to be none of ``columns``, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def plain(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``own`` named by their place, so that no name of an operator's can clash, and what names them back (and drops others)."""
+    names = docs.columns
+    plain = [c if c in own else f"column{i}" for i, c in enumerate(names)]
+    return docs.toDF(*plain), lambda out: out.select(*plain).toDF(*names)
+
+
 def forget(df: DataFrame) -> None:
     """Removes the folders of a table that ``written`` made and nothing will read again."""
     spark = df.sparkSession
