@@ -33,10 +33,10 @@ HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 CLASSES = (20, 28, 40, 64)
 RATE = 0.05
-#: Decoys of a token, fewer in a document with many tokens; their longest (longer tokens are held against these, which is
-#: stricter); and the letters of a document's start that they are made of.
-DECOYS, FEW, MANY, LONG, PROSE = 24, 2, 16, 512, 4000
-#: Words for decoys in a document that has hardly any (fixed).
+#: Decoys of a token, whatever its length and however many its document has.
+DECOYS = 24
+#: Words for decoys in a document that has fewer than ``LEAST`` (fixed).
+LEAST = 12
 PLAIN = "it was a bright morning and the people of the town were going to the market to buy bread and fruit for the long winter that was to come "
 #: Pieces that positions are summed over at once, and code points of a text that are replaced at once.
 CHUNK, WIDE = 256, 4096
@@ -164,17 +164,20 @@ def _bin(p: Column) -> Column:
 
 
 def _decoys(tokens: Column, text: Column) -> Column:
-    """Spans with the decoys of each token: words of the text, glued in the token's case (mixed: each with a capital), and the
-    token's digits in the middle and at the end."""
-    prose = F.regexp_replace(F.lower(F.regexp_replace(F.substring(text, 1, 3 * PROSE), TOKEN, " ")), "[^a-z]+", " ")
+    """Class and bin of ``DECOYS`` decoys of each token: words of the whole text from a place that a hash picks, glued in the token's case
+    (mixed: each with a capital), as long as the token, its digits in the middle and at the end.
+
+    Each decoy is made and tested by itself, so a task holds one at a time.
+    """
+    prose = F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, TOKEN, " ")), "[^a-z]+", " "))
 
     def made(x: Column, own: Column, turn: Column) -> Column:
-        token = F.substring(x["token"], 1, LONG)
+        token = x["token"]
         digits = F.regexp_replace(token, "[^0-9]", "")
         rest = F.length(token) - F.length(digits)
-        begin = F.pmod(F.xxhash64(x["token"], turn), F.length(own).cast("long")).cast("int") + 1
-        said = F.regexp_replace(F.substr(F.repeat(own, F.lit(2)), begin, 2 * F.length(token) + 40), "^[a-z]* ", "")
-        said = F.when(F.length(said) < 2 * F.length(token), F.repeat(F.concat(said, F.lit(" ")), (2 * F.length(token) / F.length(own)).cast("int") + 2)).otherwise(said)
+        begin = F.pmod(F.xxhash64(token, turn), F.size(own).cast("long")).cast("int")
+        # a word is a letter at least, so as many words as letters are always enough; the sequence of a token without letters is unused
+        said = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(rest - 1, F.lit(0))), lambda i: F.get(own, F.pmod(begin + i, F.size(own)))), " ")
         styled = F.when(~token.rlike("[A-Z]"), said).when(~token.rlike("[a-z]"), F.upper(said)).otherwise(F.initcap(said))
         glue = F.when(token.rlike("[_-]"), F.regexp_extract(token, "[_-]", 0)).otherwise("")
         body = F.substr(F.regexp_replace(styled, " ", glue), F.lit(1), rest)
@@ -182,9 +185,13 @@ def _decoys(tokens: Column, text: Column) -> Column:
         out = F.concat(F.substr(body, F.lit(1), mid), F.substr(digits, F.lit(1), half), F.substr(body, mid + 1), F.substr(digits, half + 1))
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), out.alias("token"))
 
-    turns = F.sequence(F.lit(1), F.when(F.size(tokens) <= MANY, DECOYS).otherwise(FEW))
-    every = lambda own: F.flatten(F.transform(tokens, lambda x: F.transform(turns, lambda turn: made(x, own, turn))))
-    return F.when(F.size(tokens) > 0, _let(F.when(F.length(prose) >= 60, prose).otherwise(F.lit(PLAIN)), every)).otherwise(F.array().cast(_NONE))
+    def binned(x: Column) -> Column:
+        return F.struct(x["t"]["class"].alias("class"), _bin(x["t"]["p"]).alias("bin"))
+
+    turns = F.sequence(F.lit(1), F.lit(DECOYS))
+    every = lambda own: F.flatten(F.transform(tokens, lambda x: F.transform(turns, lambda turn: F.transform(_tested(F.array(made(x, own, turn))), binned)[0])))
+    said, plain = F.split(prose, " "), F.split(F.lit(PLAIN.strip()), " ")
+    return F.when(F.size(tokens) > 0, _let(F.when(F.size(said) >= LEAST, said).otherwise(plain), every)).otherwise(F.array().cast("array<struct<class:int,bin:int>>"))
 
 
 def found(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -204,8 +211,7 @@ def found(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("__tokens", F.filter("__tokens", mixed)).withColumn("__assigned", F.filter("__base", lambda b: b["kind"] == 0))
     apart = lambda x: ~F.exists("__assigned", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
     rows = rows.withColumn("__tokens", F.filter("__tokens", apart))
-    binned = F.transform(_tested(_decoys(F.col("__tokens"), t)), lambda x: F.struct(x["t"]["class"].alias("class"), _bin(x["t"]["p"]).alias("bin")))
-    return rows.withColumn("__candidates", _tested(F.col("__tokens"))).withColumn("__decoys", binned).drop("__tokens", "__assigned")
+    return rows.withColumn("__candidates", _tested(F.col("__tokens"))).withColumn("__decoys", _decoys(F.col("__tokens"), t)).drop("__tokens", "__assigned")
 
 
 def limits(rows: DataFrame, rate: float = RATE) -> list[int]:
@@ -250,7 +256,8 @@ def scan(docs: DataFrame) -> DataFrame:
     Spans are code points of the whole text, the end excluded; spans of different
     kinds may overlap. A null or empty text has none (an empty list; its digest is
     that of the empty string). Null and repeated ids are judged row by row. Further
-    columns are not read. No rows give no rows.
+    columns are not read. No rows give no rows. Every token has ``DECOYS`` decoys, made of
+    words of its whole text; in a text of under ``LEAST`` words they are made of ``PLAIN``.
     """
     rows = scratch.written(found(docs.select("doc_id", "text")).drop("text"), "secrets")
     base = F.transform("__base", lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))
@@ -264,7 +271,8 @@ def redacted(docs: DataFrame, mark: str = "[secret]", text: str = "text") -> Dat
     Texts are put together from parts of ``WIDE`` code points, so a long text with
     very many secrets is not copied again for each of them.
     """
-    rows = scratch.written(found(docs, text), "secrets")
+    named, back = scratch.plain(docs, text)
+    rows = scratch.written(found(named, text), "secrets")
     rows = rows.withColumn("__spans", spans(rows, limits(rows)))
     rows = rows.withColumn("__parts", F.when(F.size("__spans") > 0, F.regexp_extract_all(F.col(text), F.lit("(?s).{1,%d}" % WIDE), F.lit(0))))
 
@@ -283,4 +291,4 @@ def redacted(docs: DataFrame, mark: str = "[secret]", text: str = "text") -> Dat
         return F.aggregate(F.filter(own, lambda x: x["s"] >= low), start, step, rest)
 
     clean = F.array_join(F.transform("__parts", cut), "")
-    return rows.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text))).drop("__base", "__candidates", "__decoys", "__spans", "__parts")
+    return back(rows.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text))))
