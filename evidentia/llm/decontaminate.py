@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import scratch, words
 
 #: Words of a shingle, least similarity, radius in bits, blocks of 16 bits.
 K, SIMILAR, RADIUS, BLOCKS = 5, 0.8, 38, 8
-#: Characters of a benchmark at most: its index, broadcast, takes about 10 bytes a character. Windows fingerprinted at once.
+#: Characters of a benchmark that is one shard: its index, broadcast, takes about 10 bytes a character. Windows fingerprinted at once.
 CHARS, WINDOWS = 20_000_000, 4096
 _U = np.uint64
 #: Changed bits that each block's lookup allows: fewer in every block make RADIUS or less together.
@@ -166,18 +166,26 @@ class Index:
         return [(int(self.ids[n]), best[n][2], min(int(self.sizes[n]), len(h) - best[n][2]), -best[n][0]) for n in sorted(best)]
 
 
-def index_of(benchmark: DataFrame) -> Index:
-    """The index of a benchmark (item_id, text), whose size is checked: more than ``CHARS`` characters raise. Null ids or texts hold nothing."""
-    n = benchmark.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    if n > CHARS:
-        raise ValueError(f"a benchmark of {n} characters is over the broadcast bound of {CHARS}")
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """Items with an id and a text, and the shards they are dealt to by hash, so that each has half of ``CHARS`` on average."""
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    n = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    return rows, 1 if n <= CHARS else -(-2 * n // CHARS)
+
+
+def index_of(items: DataFrame) -> Index:
+    """The index of a shard of items (item_id, text)."""
+    rows = items.orderBy("item_id", "text").collect()
     return Index([(r[0], words.words_of(np.frombuffer(r[1].encode(), np.uint8), words.BARE, words.LOWER)) for r in rows])
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, columns: list[str], similar: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(index_of(benchmark))
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns) + "__hits array<struct<item_id:long,start:int,words:int,similarity:double>>"
+_HITS = "array<struct<item_id:long,start:int,words:int,similarity:double>>"
+
+
+def _held_against(docs: DataFrame, items: DataFrame, columns: list[str], similar: float) -> DataFrame:
+    """``columns`` of ``docs`` and ``hits`` with the items of one shard, whose index is broadcast."""
+    sent = docs.sparkSession.sparkContext.broadcast(index_of(items))
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns) + f"hits {_HITS}"
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,9 +194,29 @@ def _found(docs: DataFrame, benchmark: DataFrame, columns: list[str], similar: f
             for i, j, h, o in words.hashed(batch.column(batch.num_columns - 1), words.BARE, words.LOWER):
                 for k in range(j - i):
                     hits.append([dict(zip(("item_id", "start", "words", "similarity"), x, strict=True)) for x in sent.value.hits(h[o[k] : o[k + 1]], similar)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, kind)], names=[*columns, "__hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, kind)], names=[*columns, "hits"])
 
-    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(words.lean(run), schema)
+    return docs.select(*columns, F.col("text").alias("its_text")).mapInArrow(words.lean(run), schema)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, columns: list[str], similar: float) -> DataFrame:
+    """``columns`` of ``docs``, which are named apart from ``hits``, and the hits of each row.
+
+    A benchmark over ``CHARS`` characters is searched shard by shard: the documents pass by each, and what they hit is put together.
+    """
+    items, shards = _items(benchmark)
+    if shards == 1:
+        return _held_against(docs, items, columns, similar)
+    rows = scratch.written(docs.select(*dict.fromkeys([*columns, "text"])).withColumn("its_row", F.monotonically_increasing_id()), "documents")
+    items = scratch.written(items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))), "items")
+    hits = None
+    for k in range(shards):
+        own = _held_against(rows, items.where(F.col("shard") == k), ["its_row"], similar).where(F.size("hits") > 0)
+        own = scratch.written(own, "hits")
+        hits = own if hits is None else hits.union(own)
+    hits = hits.groupBy(F.col("its_row").alias("hit_row")).agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    out = rows.join(hits, F.col("its_row") == F.col("hit_row"), "left")
+    return out.select(*columns, F.coalesce("hits", F.array().cast(_HITS)).alias("hits"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -203,12 +231,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR
     Further columns are not read. No rows give no rows; an empty benchmark finds nothing.
     """
     rows = _found(docs, benchmark, ["doc_id"], similar)
-    names = F.array_join(F.transform("__hits", lambda x: F.concat_ws(":", x["item_id"].cast("string"), x["start"].cast("string"), x["words"].cast("string"))), ",")
-    best = F.coalesce(F.array_max(F.transform("__hits", lambda x: x["similarity"])), F.lit(0.0))
-    return rows.select("doc_id", F.size("__hits").cast("long").alias("n_items"), (F.size("__hits") > 0).alias("contaminated"), names.alias("items"), F.round(best, 6).alias("best"))
+    names = F.array_join(F.transform("hits", lambda x: F.concat_ws(":", x["item_id"].cast("string"), x["start"].cast("string"), x["words"].cast("string"))), ",")
+    best = F.coalesce(F.array_max(F.transform("hits", lambda x: x["similarity"])), F.lit(0.0))
+    return rows.select("doc_id", F.size("hits").cast("long").alias("n_items"), (F.size("hits") > 0).alias("contaminated"), names.alias("items"), F.round(best, 6).alias("best"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` without near copies of items, all columns as they are."""
-    columns = docs.columns
-    return _found(docs, benchmark, columns, similar).where(F.size("__hits") == 0).select(*columns)
+    rows, back = scratch.plain(docs, "text")
+    return back(_found(rows, benchmark, rows.columns, similar).where(F.size("hits") == 0))

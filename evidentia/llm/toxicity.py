@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import scratch, words
 
 #: Rows of a table, tables, numbers a table gives, filter widths, filters a width; bytes of a word that each table sees.
 TABLE, TABLES, DIM, WIDTHS, FILTERS = 1 << 16, 3, 8, (1, 2, 3), 8
@@ -292,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def scored(docs: DataFrame, model: Model, columns: tuple[str, ...] = (), name: str = "score") -> DataFrame:
     """``columns`` of ``docs`` and, as ``name``, the score of each row's whole ``text`` (null: empty), 0 to 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*columns, F.col("text").alias("__text"))
+    chosen = docs.select(*columns, F.col("text").alias(scratch.fresh([*columns, name], "its_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

@@ -20,7 +20,7 @@ from . import scratch
 
 #: Children of a node from which they may be a wildcard, and their mean pages below which they are.
 CHILDREN, REPEATS = 20, 5
-#: Levels that have nodes of their own; what is deeper is one segment. Pseudo-labels of the prior, cutoff, and z of a differing sibling.
+#: Levels of the tree by default. Pseudo-labels of the prior, cutoff, and z of a differing sibling.
 LEVELS, PRIOR, CUTOFF, Z = 8, 5.0, 0.5, 1.96
 #: The segment of merged branches, which no path has.
 MERGED = "/"
@@ -48,12 +48,12 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return best
 
 
-def segments(path: Column) -> Column:
-    """The path's segments with numbers and hexadecimal runs as wildcards; those beyond ``LEVELS`` joined to one."""
+def segments(path: Column, depth: int = LEVELS) -> Column:
+    """The path's segments with numbers and hexadecimal runs as wildcards; those from the ``depth``-th on joined to one."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     shaped = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)(?=[0-9a-f-]*[0-9])[0-9a-f]{8,}(?:-[0-9a-f]{4,})*", "*"), r"[0-9]+", "*"))
-    deep = F.concat(F.slice(shaped, 1, LEVELS - 1), F.array(F.array_join(F.slice(shaped, LEVELS, 1 << 30), "/")))
-    return F.when(F.size(shaped) > LEVELS, deep).otherwise(shaped)
+    deep = F.concat(F.slice(shaped, 1, depth - 1), F.array(F.array_join(F.slice(shaped, depth, 1 << 30), "/")))
+    return F.when(F.size(shaped) > depth, deep).otherwise(shaped)
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def templates(pages: DataFrame) -> DataFrame:
     tree = scratch.written(counts.withColumn("t", F.split("key", "/")), "templates")
     head = tree.agg(F.max(F.size("t")), F.sum("m"), F.sum("b")).first()
     prior = (head[2] or 0) / head[1] if head[1] else 0.0
-    for level in range(min(head[0] or 0, LEVELS)):
+    for level in range(head[0] or 0):
         at = F.get("t", F.lit(level))
         above = F.slice("t", 1, level)
         children = tree.where(at.isNotNull()).groupBy("host", above.alias("above"), at.alias("child")).agg(F.sum("n").alias("n"))
@@ -92,7 +92,7 @@ def templates(pages: DataFrame) -> DataFrame:
     return out.select("host", "key", F.concat(F.lit("/"), F.array_join(named, "/")).alias("template"), "bad_share", (F.col("bad_share") > CUTOFF).alias("rejected"))
 
 
-def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], depth: int = LEVELS) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, ...): page_id, host, path, rule, verdict, template, bad_share.
 
     verdict (allow or block): that of the longest rule that fits, else the template's.
@@ -100,9 +100,10 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]) ->
     than 0 and 1 are ignored; a null page_id has no label. A null url, or one without
     ``://``, has an empty host and path. Repeated ids are judged row by row. Further
     columns are not read. No rows give no rows; without labels nothing is rejected.
+    ``depth``: levels of the tree, a round each; what a path has below the last but one is one segment of it.
     """
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    rows = rows.withColumn("key", F.array_join(segments(F.col("path")), "/"))
+    rows = rows.withColumn("key", F.array_join(segments(F.col("path"), depth), "/"))
     marks = labels.where("bad in (0, 1) and page_id is not null").groupBy(F.col("page_id").alias("id")).agg(F.max("bad").alias("bad"))
     tree = templates(rows.join(marks, F.col("page_id") == F.col("id"), "left"))
     tree = tree.withColumnRenamed("host", "h").withColumnRenamed("key", "k")
