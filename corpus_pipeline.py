@@ -13,31 +13,30 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty text is one without words. Columns and their order stay."""
     scratch.small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    columns = docs.columns
-    scored = toxicity.scored(docs, toxicity.train(docs, labels), tuple(columns), "__score")
-    return scored.where("__score < 0.5").select(*columns)
+    rows, back = scratch.plain(docs, "doc_id", "text")
+    return back(toxicity.scored(rows, toxicity.train(rows, labels), tuple(rows.columns), "score").where("score < 0.5"))
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group (five words, similarity 0.8), the one with the smallest id; of rows that
     share that id, the one with the smallest digest of its text. Rows that share an id are otherwise unrelated. Rows with a null id stay."""
     scratch.small_batches(spark)
-    columns = docs.columns
-    known = docs.where("doc_id is not null")
-    odd = docs.groupBy("doc_id").agg(F.count("*").alias("__n")).where("doc_id is null or __n > 1").agg(F.count_if(F.col("doc_id").isNull()), F.count("doc_id")).first()
-    keyed = _keyed(known) if odd[1] else known.withColumn("__key", F.col("doc_id"))
-    groups = minhash.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), percent=80, k=5).where("kept").select(F.col("doc_id").alias("__id"))
-    kept = keyed.join(groups, F.col("__key") == F.col("__id"), "left_semi").select(*columns)
+    rows, back = scratch.plain(docs, "doc_id", "text")
+    known = rows.where("doc_id is not null")
+    odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").agg(F.count_if(F.col("doc_id").isNull()), F.count("doc_id")).first()
+    keyed = _keyed(known) if odd[1] else known.withColumn("key", F.col("doc_id"))
+    groups = minhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), percent=80, k=5).where("kept").select(F.col("doc_id").alias("kept_key"))
+    kept = back(keyed.join(groups, F.col("key") == F.col("kept_key"), "left_semi"))
     return kept.unionByName(docs.where("doc_id is null")) if odd[0] else kept
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of its own for each id and text (__key), in their order; of rows with the same id and text, one."""
-    rows = docs.withColumn("__text", F.coalesce(F.sha2("text", 256), F.lit(""))).withColumn("__row", F.xxhash64(*docs.columns))
-    keys = rows.groupBy(F.col("doc_id").alias("__i"), F.col("__text").alias("__t")).agg(F.min("__row").alias("__r"))
-    keys = scratch.written(keys.orderBy("__i", "__t").withColumn("__key", F.monotonically_increasing_id()), "keys")
-    out = rows.join(keys, (F.col("doc_id") == F.col("__i")) & (F.col("__text") == F.col("__t")) & (F.col("__row") == F.col("__r")))
-    return scratch.written(out.select(*docs.columns, "__key").dropDuplicates(["__key"]), "keyed")
+    """``docs`` with a number of its own for each id and text (key), in their order; of rows with the same id and text, one."""
+    rows = docs.withColumn("digest", F.coalesce(F.sha2("text", 256), F.lit(""))).withColumn("row", F.xxhash64(*docs.columns))
+    keys = rows.groupBy(F.col("doc_id").alias("i"), F.col("digest").alias("t")).agg(F.min("row").alias("r"))
+    keys = scratch.written(keys.orderBy("i", "t").withColumn("key", F.monotonically_increasing_id()), "keys")
+    out = rows.join(keys, (F.col("doc_id") == F.col("i")) & (F.col("digest") == F.col("t")) & (F.col("row") == F.col("r")))
+    return scratch.written(out.select(*docs.columns, "key").dropDuplicates(["key"]), "keyed")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +75,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = scratch.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:  # the next stage reads this one's table only
+            scratch.forget(before)
+        before = docs
     return docs
