@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .containment import contained
+
 #: The group of rows whose key is missing (a fixed value).
 MISSING = "未登记"
 
@@ -57,7 +59,9 @@ def grouped(rows: DataFrame, fields: list[str], id: str) -> DataFrame:
 
 def grouped_members(rows: DataFrame, fields: list[str], id: str) -> DataFrame:
     """A06. (fields, id, position): the members of each group, a row each, numbered by id."""
-    return _keyed(rows, fields, id).withColumn("position", F.row_number().over(Window.partitionBy(*fields).orderBy(id)))
+    from .ranks import ranked_within
+
+    return ranked_within(_keyed(rows, fields, id), fields, [id], "position")
 
 
 def _keyed(rows: DataFrame, fields: list[str], id: str) -> DataFrame:
@@ -71,13 +75,16 @@ def rolled_up(rows: DataFrame, family: str, levels: list[str]) -> DataFrame:
 
 def fuzzy_matched(left: DataFrame, right: DataFrame, least: int = 6) -> DataFrame:
     """J06. (id, match, how): names equal when normalised, else the only one that contains or is contained, both of ``least``
-    characters or more. left: id, name; right: match, label, a catalogue of checked size."""
+    characters or more. left: id, name; right: match, label. Names are searched once each, whoever bears them."""
     from ..functions.text import bare
 
     a, b = left.select("id", bare(F.col("name")).alias("a")), right.select("match", bare(F.col("label")).alias("b"))
     equal = a.join(b, F.col("a") == F.col("b")).groupBy("id").agg(F.min("match").alias("match")).withColumn("how", F.lit("equal"))
     rest = a.join(equal, "id", "left_anti").where(F.length("a") >= least)
-    part = rest.join(sized_broadcast(b.where(F.length("b") >= least)), F.contains(F.col("a"), F.col("b")) | F.contains(F.col("b"), F.col("a")))
+    long = b.where(F.length("b") >= least)
+    own, other = rest.select("a").distinct(), long.select("b").distinct()
+    met = contained(own, "a", "a", other, "b").union(contained(other, "b", "b", own, "a").select("a", "b")).distinct()
+    part = rest.join(met, "a").join(long, "b")
     only = part.groupBy("id").agg(F.count("*").alias("n"), F.min("match").alias("match")).where("n = 1").select("id", "match", F.lit("contained").alias("how"))
     return equal.union(only)
 
@@ -87,35 +94,25 @@ BROADCAST_ROWS = 200_000
 
 
 def sized_broadcast(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The side with a broadcast hint if its rows, counted up to one over the bound, allow it; else as it is.
-
-    A join without an equality is then a product of both sides: callers of such joins pass a catalogue that is small by its
-    nature, and the plan of a larger one is slow rather than wrong.
-    """
+    """The side with a broadcast hint if its rows, counted up to one over the bound, allow it; else as it is."""
     return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
 def located(rows: DataFrame, rules: DataFrame, name: str) -> DataFrame:
-    """J07. Adds ``location``: that of the first rule (ordinal, marker, location) whose marker the name contains. Equal rows stay apart."""
-    hit = rows.withColumn("_row", F.monotonically_increasing_id()).join(sized_broadcast(rules), F.contains(F.col(name), F.col("marker")), "left")
-    one = hit.groupBy("_row").agg(F.first(F.struct(*rows.columns)).alias("_r"), F.min_by("location", "ordinal").alias("location"))
-    return one.select("_r.*", "location")
+    """J07. Adds ``location``: that of the first rule (ordinal, marker, location) whose marker the name contains; an empty marker is in every
+    name. Equal rows stay apart; names are searched once each."""
+    names = rows.select(F.col(name).alias("_name")).distinct()
+    met = contained(names, "_name", "_name", rules, "marker").join(rules, "marker").select("_name", "ordinal", "location")
+    every = rules.where("marker = ''").select("ordinal", "location")
+    met = met.union(names.where("_name is not null").join(sized_broadcast(every)).select("_name", "ordinal", "location")) if not every.isEmpty() else met
+    first = met.groupBy("_name").agg(F.min_by("location", "ordinal").alias("location"))
+    return rows.join(first, F.col(name) == F.col("_name"), "left").drop("_name")
 
 
 def mentions(texts: DataFrame, names: DataFrame, least: int = 4) -> DataFrame:
-    """J08, J17. (doc_id, name_id) where a name of ``least`` characters or more occurs in a text. texts: doc_id, text; names: name_id, name.
-
-    A name's inner words (runs of letters and digits with a sign on both sides) are whole words of a text that holds it, so names are
-    anchored on their longest inner word: an equi join on words, and only its pairs are searched. Names without inner words are
-    searched in every text; they are a catalogue of checked size.
-    """
-    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0))
-    inner = F.regexp_extract_all(F.lower("name"), F.lit("(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])"), F.lit(0))
-    longest = F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
-    held = names.where(F.length("name") >= least).select("name_id", "name", longest.alias("_anchor"))
-    anchored = texts.select("doc_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("_word")).join(sized_broadcast(held.where("_anchor is not null")), F.col("_word") == F.col("_anchor"))
-    bare = texts.join(sized_broadcast(held.where("_anchor is null")), F.instr("text", F.col("name")) > 0)
-    return anchored.where(F.instr("text", F.col("name")) > 0).select("doc_id", "name_id").union(bare.select("doc_id", "name_id"))
+    """J08, J17. (doc_id, name_id) where a name of ``least`` characters or more occurs in a text. texts: doc_id, text; names: name_id, name."""
+    held = names.where(F.length("name") >= least).select("name_id", "name")
+    return contained(texts, "doc_id", "text", held, "name").join(sized_broadcast(held), "name").select("doc_id", "name_id")
 
 
 def scope_closure(seeds: DataFrame, product_case: DataFrame, product_evidence: DataFrame, case_evidence: DataFrame, evidence: DataFrame, scopes: list[str]) -> DataFrame:

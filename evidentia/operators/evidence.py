@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from .catalog import sized_broadcast
+from .containment import contained
 
 
 def citations(texts: DataFrame, declared: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def citations(texts: DataFrame, declared: DataFrame) -> DataFrame:
 
 def canonical_listing(lines: DataFrame, members: DataFrame) -> DataFrame:
     """F27. List lines that name just one member, the member's first line of each section. lines: section, position, line; members: member."""
-    hit = lines.join(sized_broadcast(members), F.contains("line", F.col("member")))
+    hit = lines.join(contained(lines.select("line").distinct(), "line", "line", members, "member").join(members, "member"), "line")
     one = hit.groupBy("section", "position").agg(F.count("*").alias("n"), F.min("member").alias("member")).where("n = 1")
     return one.groupBy("section", "member").agg(F.min("position").alias("position"))
 

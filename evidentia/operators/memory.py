@@ -1,4 +1,7 @@
-"""Event logs: latest state, retention, bounded logs."""
+"""Event logs: latest state, caches, retention, interrupted runs, bounded logs.
+
+``now`` is a parameter or a column's largest value: no clock is read.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +22,22 @@ def bounded_log(events: DataFrame, keys: list[str], order: str, most: int = 1000
     return events.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
-def retained(events: DataFrame, ts: str, now: str, days: int = 7) -> DataFrame:
-    """T02. Events of the last ``days`` days before ``now`` (a parameter: no clock is read)."""
-    return events.where(F.col(ts) >= F.expr(f"TIMESTAMP '{now}' - INTERVAL {days} DAYS"))
+def live_entries(writes: DataFrame, ttl: str, now: DataFrame) -> DataFrame:
+    """T01. (key, ts, value): what a cache holds at ``now`` (one row, one column): the last write of each key, unless it is ``ttl`` old or older.
+    writes: key, ts, id, value; ties by id."""
+    last = writes.groupBy("key").agg(F.max(F.struct("ts", "id", "value")).alias("e")).select("key", "e.ts", "e.value")
+    return last.crossJoin(F.broadcast(now.toDF("_now"))).where(F.col("ts") + F.expr(f"INTERVAL {ttl}") > F.col("_now")).drop("_now")
+
+
+def retained(events: DataFrame, keep: str, now: DataFrame) -> DataFrame:
+    """T02. Events (ts, ...) that are not older than ``keep`` at ``now`` (one row, one column)."""
+    return events.crossJoin(F.broadcast(now.toDF("_now"))).where(F.col("ts") >= F.col("_now") - F.expr(f"INTERVAL {keep}")).drop("_now")
+
+
+def run_states(steps: DataFrame, idle: str, now: DataFrame) -> DataFrame:
+    """T08. (run, ts, state): finished if a run's last step ends it, interrupted if nothing has come for ``idle`` or longer at ``now`` (one
+    row, one column), else running. steps: run, ts, id, ends (boolean); ties by id."""
+    last = steps.groupBy("run").agg(F.max(F.struct("ts", "id", "ends")).alias("e")).select("run", "e.ts", "e.ends")
+    rows = last.crossJoin(F.broadcast(now.toDF("_now")))
+    idle_now = F.col("ts") + F.expr(f"INTERVAL {idle}") <= F.col("_now")
+    return rows.select("run", "ts", F.when(F.col("ends"), "finished").when(idle_now, "interrupted").otherwise("running").alias("state"))

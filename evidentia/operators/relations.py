@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .catalog import sized_broadcast
+from .containment import contained
 
 #: Words that exclude what follows them; endings that a region's short name hasn't (fixed values).
 EXCLUDES, ENDINGS = ("不含", "不包括", "排除", "除了", "非"), r"(?:省|市|自治区)$"
@@ -35,11 +36,12 @@ def stated(text: Column, groups: dict[str, list[str]]) -> Column:
 
 def named_regions(questions: DataFrame, places: DataFrame) -> DataFrame:
     """P13. (query_id, region): short names of regions of which the full or the short name, of two characters or more, stands in the
-    question, unless a word of exclusion stands right before its first place. questions: query_id, question; places: name, of checked size."""
+    question, unless a word of exclusion stands right before its first place. questions: query_id, question; places: name."""
     full = F.regexp_replace(F.coalesce("name", F.lit("")), r"\s+", "")
     short = F.regexp_replace(full, ENDINGS, "")
     names = places.select(F.explode(F.array(F.struct(full.alias("name"), short.alias("region")), F.struct(short.alias("name"), short.alias("region")))).alias("x")).select("x.*").where(F.length("name") >= 2).distinct()
-    rows = questions.select("query_id", F.regexp_replace(F.coalesce("question", F.lit("")), r"\s+", "").alias("q")).join(sized_broadcast(names), F.contains("q", F.col("name")))
+    asked = questions.select("query_id", F.regexp_replace(F.coalesce("question", F.lit("")), r"\s+", "").alias("q"))
+    rows = asked.join(contained(asked.select("q").distinct(), "q", "q", names, "name"), "q").join(names, "name")
     before = F.substr("q", F.lit(1), F.instr("q", F.col("name")) - 1)
     return rows.where(~before.rlike("(?:" + "|".join(EXCLUDES) + ")$")).select("query_id", "region").distinct()
 

@@ -5,21 +5,22 @@ Every frame is keyed by ``query_id``; ties go by id, so results are deterministi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..sources import workspace
 from .catalog import sized_broadcast
+from .ranks import ranked_within
 
 #: Parameters of the model (fixed values): saturation, length weight, weight of a single Han character, rank constant of fusion.
 K1, B, HAN_WEIGHT, RRF = 1.5, 0.75, 0.12, 60
-#: Bytes at most of a batch of queries that is sent to every task (their terms, or their vectors): larger batches are to be split.
+#: Bytes of queries' vectors that are sent to every task at once; a larger batch goes in blocks.
 BATCH_BYTES = 64 << 20
 
 
@@ -75,21 +76,34 @@ def ranked(scores: DataFrame, *keys: str, score: str = "score", id: str = "id",
 def cosine_top(queries: DataFrame, vectors: DataFrame, most: int = 48) -> DataFrame:
     """R02. (query_id, id, score, rank): the ``most`` vectors nearest to each query by cosine.
 
-    queries: query_id, vector: a batch of checked size (``BATCH_BYTES``; more raises), sent to every task as one matrix. Tasks multiply
-    batches of vectors with it and keep each query's ``most`` best before anything is shuffled. Scores are rounded to 9 digits
-    before ranks, so that the order of sums does not matter. Null vectors and those of another dimension are left out.
+    queries: query_id, vector. They go to every task as one matrix, or block by block if they are over ``BATCH_BYTES``: queries are dealt
+    to blocks by a hash, and a block's best are written before the next is sent. Tasks multiply batches of vectors with the
+    matrix and keep each query's ``most`` best before anything is shuffled. Scores are rounded to 9 digits before ranks, so that
+    the order of sums does not matter. Null vectors and those of another dimension are left out.
     """
     rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("v")).where("v is not null and size(v) > 0")
     size = rows.agg(F.sum(F.size("v") * 8 + 32)).first()[0] or 0
-    if size > BATCH_BYTES:
-        raise ValueError(f"queries of {size} bytes are over the bound of {BATCH_BYTES} for one batch")
-    got = rows.collect()
+    if size <= BATCH_BYTES:
+        return ranked(_nearest(rows, vectors, most), "query_id", most=most)
+    blocks = -(-2 * size // BATCH_BYTES)
+    rows = workspace.written(rows.withColumn("block", F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks))), "queries")
+    out = None
+    for k in range(blocks):
+        best = workspace.written(_nearest(rows.where(F.col("block") == k).drop("block"), vectors, most), "nearest")
+        out = best if out is None else out.union(best)
+    return ranked(out, "query_id", most=most)
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
+    """(query_id, id, score): the best of each query (query_id, v) in each batch of vectors."""
+    got = queries.collect()
     groups: dict[int, tuple[list, np.ndarray]] = {}
     for d in sorted({len(r["v"]) for r in got}):
         own = [r for r in got if len(r["v"]) == d]
         groups[d] = ([r["query_id"] for r in own], _unit(np.array([r["v"] for r in own], np.float64)))
     sent = queries.sparkSession.sparkContext.broadcast(groups)
     kinds = [(c, f.schema[c].dataType.simpleString()) for f, c in ((queries, "query_id"), (vectors, "id"))]
+    batch_type = to_arrow_type(queries.schema["query_id"].dataType)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,12 +119,8 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, most: int = 48) -> DataFr
                 col = np.broadcast_to(np.arange(len(names)), order.shape)
                 yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in col.ravel().tolist()], batch_type), part.column(0).take(pa.array(order.ravel())), pa.array(score[order, col].ravel())], names=["query_id", "id", "score"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    batch_type = to_arrow_type(queries.schema["query_id"].dataType)
     some = vectors.select("id", F.col("vector").cast("array<double>").alias("v"))
-    scores = some.mapInArrow(best, ", ".join(f"{c} {k}" for c, k in kinds) + ", score double")
-    return ranked(scores, "query_id", most=most)
+    return some.mapInArrow(best, ", ".join(f"{c} {k}" for c, k in kinds) + ", score double")
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -200,8 +210,13 @@ def gallery(rows: DataFrame, keys: list[str], variant: str, digest: str, limit:
 
 def round_robin(rows: DataFrame, keys: list[str], group: str, order: str) -> DataFrame:
     """W10. Adds ``turn`` and ``position``: the first of each group, then the second of each, groups in order."""
-    turn = F.row_number().over(Window.partitionBy(*keys, group).orderBy(order))
-    return rows.withColumn("turn", turn).withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("turn", group)))
+    return ranked_within(ranked_within(rows, [*keys, group], [order], "turn"), keys, ["turn", group], "position")
+
+
+def stride(rows: DataFrame, group: str, order: str, most: int = 12) -> DataFrame:
+    """W11. Up to ``most`` rows of each group at even distances, the first among them."""
+    placed = ranked_within(rows, [group], [order], "_n", "_of")
+    return placed.where((F.col("_n") - 1) % F.ceil(F.col("_of") / most) == 0).drop("_n", "_of")
 
 
 def top_two(scores: DataFrame, least: float = 0.82, margin: float = 0.03) -> DataFrame:
@@ -215,31 +230,17 @@ def window_scores(queries: DataFrame, windows: DataFrame) -> DataFrame:
     """R11. (query_id, window_id, score) above 0: over terms of query and window, the log of their rarity times the saturated
     number of places where the term's string occurs in the lower-cased text. queries: query_id, text; windows: window_id, text.
 
-    The queries' terms, whose bytes are checked, go to every task; a window's terms among them are counted in its own text, once,
-    and written, so that rarity and scores read the same counts.
+    A window's terms meet those of all queries in a semi join, before its text is searched for them; the counts are written, so that
+    rarity and scores read the same ones. Queries may have any number of terms: they are sent to every task only if they are few.
     """
     q = queries.select("query_id", F.explode(T.session_terms(F.col("text"))).alias("term"))
-    known = q.select("term").distinct()
-    size = known.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
-    if size > BATCH_BYTES:
-        raise ValueError(f"terms of {size} bytes are over the bound of {BATCH_BYTES} for one batch of queries")
-    sent = queries.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in known.collect()))
-    kind = windows.schema["window_id"].dataType.simpleString()
-    latin, han, stop = re.compile(T.SESSION_TOKEN), re.compile("[一-鿿]{2,}"), frozenset(T.STOP)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, terms, n = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                low, runs = (text or "").lower(), han.findall(text or "")
-                own = {*latin.findall(low), *runs, *(r[k : k + 2] for r in runs for k in range(len(r) - 1))} - stop
-                for t in own & sent.value:
-                    rows.append(i)
-                    terms.append(t)
-                    n.append(low.count(t))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(n, pa.int64())], names=["window_id", "term", "c"])
-
-    c = workspace.written(windows.select("window_id", "text").mapInArrow(counted, f"window_id {kind}, term string, c long"), "counts")
+    known = workspace.written(q.select("term").distinct(), "terms")
+    own = windows.select("window_id", F.explode(T.session_terms(F.col("text"))).alias("term")).join(sized_broadcast(known), "term", "left_semi")
+    held = own.groupBy("window_id").agg(F.collect_list("term").alias("terms"))
+    low = F.lower("text")
+    places = (F.length(low) - F.length(F.replace(low, F.col("x"), F.lit("")))) / F.length("x")
+    c = windows.select("window_id", "text").join(held, "window_id").select("window_id", "text", F.explode("terms").alias("x"))
+    c = workspace.written(c.select("window_id", F.col("x").alias("term"), places.alias("c")), "counts")
     df = c.groupBy("term").agg(F.count("*").alias("df"))
     n = windows.agg(F.count("*").alias("n"))
     wanted = q.join(df, "term").crossJoin(F.broadcast(n)).select("query_id", "term", F.log(1 + (F.col("n") + 1) / (F.col("df") + 1)).alias("rarity"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from ..sources import workspace
+from .ranks import ranked_within
 
 
 def rejection(url: Column, body: Column, blocked: list[str]) -> Column:
@@ -53,15 +55,56 @@ def deduplicated(pages: DataFrame, id: str, url: str, text: str) -> DataFrame:
     return rows.join(first, ["publisher", "text_key"]).withColumn("duplicate", F.col(id) != F.col("first_id"))
 
 
-def quota(events: DataFrame, ts: str, id: str, cap: int, offset_hours: int = 0) -> DataFrame:
-    """A21, T04. Adds ``day``, ``used`` (running count of the day) and ``admitted`` (up to ``cap``).
+#: Events whose steps are folded at once.
+STEPS = 1024
 
-    The running count goes by day and hour: a window ranks within the hour, and the
-    counts of earlier hours are added, so a day is never one task's rows.
+
+def quota(events: DataFrame, ts: str, id: str, cap: int, offset_hours: int = 0, releases: Column | None = None) -> DataFrame:
+    """A21, T04. Adds ``day``, ``used`` (the day's counter after the event) and ``admitted`` (whether a call found room; null for a release).
+
+    A call adds 1 while the counter is below ``cap``; a release takes 1 back, down to 0, so that a later call may find room again. Both
+    steps clamp the counter, and clamps one after the other are a clamp again: runs of ``STEPS`` events fold to one, runs of runs
+    likewise, and from these each run learns where it starts. So no task holds a day, however many events it has.
     """
     at = F.col(ts) + F.expr(f"INTERVAL {offset_hours} HOURS")
-    rows = events.withColumn("day", F.to_date(at)).withColumn("_h", F.hour(at))
-    hours = rows.groupBy("day", "_h").agg(F.count("*").alias("n"))
-    before = hours.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("day").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    rows = rows.join(before, ["day", "_h"]).withColumn("used", F.col("before") + F.row_number().over(Window.partitionBy("day", "_h").orderBy(ts, id)))
-    return rows.withColumn("admitted", F.col("used") <= cap).drop("_h", "before")
+    gone = F.coalesce(releases, F.lit(False)) if releases is not None else F.lit(False)
+    rows = ranked_within(events.withColumn("day", F.to_date(at)).withColumn("_gone", gone), ["day"], [ts, id], "_n")
+    rows = rows.withColumn("_run", F.floor((F.col("_n") - 1) / STEPS))
+    step = F.struct(F.when(F.col("_gone"), -1).otherwise(1).cast("long").alias("add"), F.lit(0).cast("long").alias("low"), F.lit(cap).cast("long").alias("high"))
+    starts = _starts(rows.select("day", F.col("_n").alias("at"), step.alias("step")), cap)
+    runs = rows.groupBy("day", "_run").agg(F.array_sort(F.collect_list(F.struct("_n", "_gone"))).alias("events")).join(starts, ["day", "_run"])
+
+    def after(acc: Column, e: Column) -> Column:
+        x = F.when(e["_gone"], F.greatest(acc["x"] - 1, F.lit(0))).otherwise(F.least(acc["x"] + 1, F.lit(cap)))
+        row = F.struct(e["_n"].alias("_n"), x.alias("used"), F.when(~e["_gone"], acc["x"] < cap).alias("admitted"))
+        return F.struct(x.cast("long").alias("x"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    none = F.struct(F.col("start").alias("x"), F.array().cast("array<struct<_n:bigint,used:bigint,admitted:boolean>>").alias("out"))
+    told = runs.select("day", F.explode(F.aggregate("events", none, after, lambda acc: acc["out"])).alias("e")).select(F.col("day").alias("_day"), "e.*")
+    return rows.join(told.withColumnRenamed("_n", "_k"), F.col("day").eqNullSafe(F.col("_day")) & (F.col("_n") == F.col("_k"))).drop("_n", "_k", "_day", "_gone", "_run")
+
+
+def _then(a: Column, b: Column) -> Column:
+    """The clamp that does ``a`` and then ``b``: x -> min(max(x + add, low), high)."""
+    held = lambda x: F.least(F.greatest(x + b["add"], b["low"]), b["high"])
+    return F.struct((a["add"] + b["add"]).alias("add"), held(a["low"]).alias("low"), held(a["high"]).alias("high"))
+
+
+def _starts(steps: DataFrame, cap: int) -> DataFrame:
+    """(day, _run, start): the counter before each run of ``STEPS`` steps (day, at from 1, step)."""
+    same = F.struct(F.lit(0).cast("long").alias("add"), F.lit(0).cast("long").alias("low"), F.lit(cap).cast("long").alias("high"))
+    runs = steps.groupBy("day", F.floor((F.col("at") - 1) / STEPS).alias("_run")).agg(F.array_sort(F.collect_list(F.struct("at", "step"))).alias("s"))
+    runs = workspace.written(runs.select("day", "_run", F.aggregate("s", same, lambda acc, x: _then(acc, x["step"])).alias("step")), "runs")
+    if (runs.agg(F.max("_run")).first()[0] or 0) < STEPS:
+        above = runs.select("day", F.lit(0).cast("long").alias("_above"), "_run", "step").withColumn("start", F.lit(0).cast("long"))
+    else:
+        higher = _starts(runs.select("day", (F.col("_run") + 1).alias("at"), "step"), cap).withColumnRenamed("_run", "_above")
+        above = runs.withColumn("_above", F.floor(F.col("_run") / STEPS)).join(higher, ["day", "_above"])
+    groups = above.groupBy("day", "_above", "start").agg(F.array_sort(F.collect_list(F.struct("_run", "step"))).alias("s"))
+
+    def go(acc: Column, x: Column) -> Column:
+        y = F.least(F.greatest(acc["x"] + x["step"]["add"], x["step"]["low"]), x["step"]["high"])
+        return F.struct(y.alias("x"), F.concat(acc["out"], F.array(F.struct(x["_run"].alias("_run"), acc["x"].alias("start")))).alias("out"))
+
+    none = F.struct(F.col("start").alias("x"), F.array().cast("array<struct<_run:bigint,start:bigint>>").alias("out"))
+    return groups.select("day", F.explode(F.aggregate("s", none, go, lambda acc: acc["out"])).alias("r")).select("day", "r._run", "r.start")

@@ -9,6 +9,8 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import evidence as E
 from ..operators import greedy as G
+from ..operators import memory as M
+from ..operators.ranks import ranked_within
 from .registry import Tables, query
 
 
@@ -46,11 +48,14 @@ def request_totals(t: Tables):
     return t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("runs"), F.round(F.avg("value"), 6).alias("mean"), F.max("ts").alias("last"))
 
 
-@query("A21_daily_quota", "SELECT event_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS used, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) <= 45 AS admitted FROM events")
+@query("A21_daily_quota", """WITH RECURSIVE e AS (SELECT event_id, ts::DATE AS d, event_type = 'error' AS gone, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS n FROM events),
+ r AS (SELECT d, n, event_id, CASE WHEN gone THEN 0 ELSE 1 END AS used, CASE WHEN NOT gone THEN true END AS admitted FROM e WHERE n = 1
+ UNION ALL SELECT e.d, e.n, e.event_id, CASE WHEN gone THEN greatest(used - 1, 0) ELSE least(used + 1, 45) END, CASE WHEN NOT gone THEN used < 45 END FROM r JOIN e ON e.d = r.d AND e.n = r.n + 1) SELECT event_id, used, admitted FROM r""")
 def daily_quota(t: Tables):
+    """An error releases a call of its day."""
     from ..operators.web import quota
 
-    return quota(t.events, "ts", "event_id", 45).select("event_id", "used", "admitted")
+    return quota(t.events, "ts", "event_id", 45, releases=F.col("event_type") == "error").select("event_id", "used", "admitted")
 
 
 @query("A22_citation_counts", "SELECT l_partkey AS evidence, count(*) AS n FROM lineitem GROUP BY l_partkey")
@@ -301,9 +306,8 @@ def directory_packets(t: Tables):
 
 @query("D20_extractive_fallback", "SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS chosen FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE i IN (0, floor((n - 1) / 3.0 + 0.5), floor(2 * (n - 1) / 3.0 + 0.5), n - 1) GROUP BY source")
 def extractive_fallback(t: Tables):
-    w = Window.partitionBy("source")
-    rows = t.documents.select("doc_id", "source", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    rows = rows.where(F.array_contains(G.stride(F.col("n")), F.col("i")))
+    rows = ranked_within(t.documents.select("doc_id", "source"), ["source"], ["doc_id"], "k", "n")
+    rows = rows.where(F.array_contains(G.stride(F.col("n")), (F.col("k") - 1).cast("int")))
     return rows.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("chosen"))
 
 
@@ -331,15 +335,20 @@ def table_page_score(t: Tables):
     return t.documents.select("doc_id", ((T.counted(x, "[0-9]+") >= 5).cast("int") + F.contains(x, F.lit("|")).cast("int") + (T.counted(x, "\n") >= 3).cast("int")).alias("score"))
 
 
-@query("T01_cache_expiry", "SELECT event_id FROM events WHERE ts + INTERVAL 6 HOUR > TIMESTAMP '2024-01-30 00:00:00'")
+def _last_time(t: Tables):
+    return t.events.agg(F.max("ts"))
+
+
+@query("T01_cache_expiry", "SELECT key, ts, value FROM (SELECT user_id || ':' || event_type AS key, max(ts) AS ts, max_by(value, {'a': ts, 'b': event_id}) AS value FROM events GROUP BY 1) WHERE ts + INTERVAL 6 HOUR > (SELECT max(ts) FROM events)")
 def cache_expiry(t: Tables):
-    return t.events.where("ts + INTERVAL 6 HOUR > TIMESTAMP_NTZ '2024-01-30 00:00:00'").select("event_id")
+    """What a cache by user and type of event holds when the last event has come."""
+    rows = t.events.select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), "ts", F.col("event_id").alias("id"), "value")
+    return M.live_entries(rows, "6 HOURS", _last_time(t))
 
 
 @query("T02_retention", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
 def retention(t: Tables):
-    last = t.events.agg(F.max("ts").alias("last"))
-    return t.events.crossJoin(F.broadcast(last)).where("ts >= last - INTERVAL 7 DAY").select("event_id")
+    return M.retained(t.events, "7 DAYS", _last_time(t)).select("event_id")
 
 
 @query("T03_task_state", "SELECT conv_id, max(turn) AS turn, max_by(role, turn) AS role FROM conversations GROUP BY conv_id")
@@ -365,8 +374,10 @@ def sliding_admission(t: Tables):
     return rows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("T08_interrupted_runs", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'interrupted' ELSE event_type END AS state FROM events")
+@query("T08_interrupted_runs", "SELECT run, ts, CASE WHEN ends THEN 'finished' WHEN ts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) THEN 'interrupted' ELSE 'running' END AS state FROM (SELECT user_id AS run, max(ts) AS ts, max_by(event_type = 'purchase', {'a': ts, 'b': event_id}) AS ends FROM events GROUP BY 1)")
 def interrupted_runs(t: Tables):
-    return t.events.select("event_id", F.when(F.col("event_type") == "error", "interrupted").otherwise(F.col("event_type")).alias("state"))
+    """A user's run ends with a purchase."""
+    rows = t.events.select(F.col("user_id").alias("run"), "ts", F.col("event_id").alias("id"), (F.col("event_type") == "purchase").alias("ends"))
+    return M.run_states(rows, "6 HOURS", _last_time(t))
 
 

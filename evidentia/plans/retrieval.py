@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..operators.ranks import ranked_within
 from ..sources.workspace import written
 from .registry import Tables, query
 
@@ -119,7 +120,7 @@ def weak_matches(t: Tables):
 
 @query("W04_source_rank", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS local_rank FROM documents")
 def source_rank(t: Tables):
-    return t.documents.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("local_rank"))
+    return ranked_within(t.documents.select("doc_id", "source"), ["source"], ["doc_id"], "local_rank").select("doc_id", "local_rank")
 
 
 @query("W05_best_per_source", f"WITH {_BM25} SELECT query_id, source, id FROM (SELECT query_id, source, id, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM lx JOIN documents ON id = doc_id) WHERE n = 1")
@@ -196,8 +197,8 @@ def context_ranking(t: Tables):
     from ..operators.evidence import context_score
 
     terms = F.array(*map(F.lit, ("the", "token", "rights")))
-    local = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = t.documents.withColumn("local_rank", local).withColumn("hits", F.array_intersect(terms, F.array_distinct(T.found(F.lower("text"), "[a-z0-9]+"))))
+    local = ranked_within(t.documents.select("doc_id", "source"), ["source"], ["doc_id"], "local_rank").select("doc_id", "local_rank")
+    rows = t.documents.join(local, "doc_id").withColumn("hits", F.array_intersect(terms, F.array_distinct(T.found(F.lower("text"), "[a-z0-9]+"))))
     authority = F.when(F.col("lang") == "en", 0.30).when(F.col("lang") == "de", 0.25).when(F.col("lang") == "fr", 0.12).otherwise(0.06)
     rows = rows.where(F.size("hits") > 0).select("doc_id", context_score(F.col("local_rank"), F.col("hits"), authority).alias("score"))
     top = rows.orderBy(F.desc("score"), "doc_id").limit(100)
@@ -222,9 +223,7 @@ def round_robin(t: Tables):
 
 @query("W11_stride_sample", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY source) AS c FROM documents) WHERE (n - 1) % ceil(c / 12.0)::INT = 0")
 def stride_sample(t: Tables):
-    w = Window.partitionBy("source")
-    rows = t.documents.select("doc_id", "source", F.row_number().over(w.orderBy("doc_id")).alias("n"), F.count("*").over(w).alias("c"))
-    return rows.where((F.col("n") - 1) % F.ceil(F.col("c") / 12) == 0).select("doc_id", "source")
+    return R.stride(t.documents.select("doc_id", "source"), "source", "doc_id")
 
 
 @query("W17_margin_test", "WITH " + _COS + " SELECT query_id, id, round(score, 6) AS score, round(second, 6) AS second, score >= 0.82 AND score - coalesce(second, 0) >= 0.03 AS accepted FROM (SELECT query_id, id, score, lead(score) OVER (PARTITION BY query_id ORDER BY score DESC, id) AS second, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM cs WHERE query_id <> id) WHERE n = 1")
