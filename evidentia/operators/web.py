@@ -61,14 +61,16 @@ STEPS = 1024
 
 def quota(events: DataFrame, ts: str, id: str, cap: int, offset_hours: int = 0, releases: Column | None = None) -> DataFrame:
     """A21, T04. Adds ``day``, ``used`` (the day's counter after the event) and ``admitted`` (whether a call found room; null for a release).
+    Without releases ``used`` is the number of the day's calls so far, refused ones too.
 
     A call adds 1 while the counter is below ``cap``; a release takes 1 back, down to 0, so that a later call may find room again. Both
     steps clamp the counter, and clamps one after the other are a clamp again: runs of ``STEPS`` events fold to one, runs of runs
     likewise, and from these each run learns where it starts. So no task holds a day, however many events it has.
     """
     at = F.col(ts) + F.expr(f"INTERVAL {offset_hours} HOURS")
-    gone = F.coalesce(releases, F.lit(False)) if releases is not None else F.lit(False)
-    rows = ranked_within(events.withColumn("day", F.to_date(at)).withColumn("_gone", gone), ["day"], [ts, id], "_n")
+    if releases is None:
+        return ranked_within(events.withColumn("day", F.to_date(at)), ["day"], [ts, id], "used").withColumn("admitted", F.col("used") <= cap)
+    rows = ranked_within(events.withColumn("day", F.to_date(at)).withColumn("_gone", F.coalesce(releases, F.lit(False))), ["day"], [ts, id], "_n")
     rows = rows.withColumn("_run", F.floor((F.col("_n") - 1) / STEPS))
     step = F.struct(F.when(F.col("_gone"), -1).otherwise(1).cast("long").alias("add"), F.lit(0).cast("long").alias("low"), F.lit(cap).cast("long").alias("high"))
     starts = _starts(rows.select("day", F.col("_n").alias("at"), step.alias("step")), cap)

@@ -175,9 +175,8 @@ def source_compaction(t: Tables):
 
 
 def _answers(t: Tables):
-    """Each assistant turn with what was said before it in its conversation as evidence."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    rows = t.conversations.withColumn("evidence", F.array_join(F.collect_list("text").over(w), "\n")).where("role = 'assistant'")
+    """Each assistant turn with the turn before it in its conversation as evidence."""
+    rows = t.conversations.withColumn("evidence", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("role = 'assistant'")
     return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("answer"), "evidence", F.array().cast("array<string>").alias("names"))
 
 
