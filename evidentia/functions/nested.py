@@ -34,11 +34,12 @@ def pruned_json(value: Column) -> Column:
 
 
 def factored(rows: DataFrame) -> DataFrame:
-    """F53. Records (id, record as JSON) grouped by their keys: columns, n_records, rows as (id, values), by id."""
+    """F53. Records (id, record as JSON) without their keys: (columns, id, values), a row each, and n_records of the same columns. A set of
+    columns that very many records share is rows, never one list."""
     keys = F.array_sort(F.json_object_keys("record"))
     values = F.transform(keys, lambda k: F.element_at(F.from_json("record", "map<string,string>"), k))
-    each = rows.select(F.array_join(keys, ",").alias("columns"), F.struct("id", values.alias("values")).alias("row"))
-    return each.groupBy("columns").agg(F.count("*").alias("n_records"), F.sort_array(F.collect_list("row")).alias("rows"))
+    each = rows.select(F.array_join(keys, ",").alias("columns"), "id", values.alias("values"))
+    return each.join(each.groupBy("columns").agg(F.count("*").alias("n_records")), "columns")
 
 
 def operation_hash(fields: dict[str, Column]) -> Column:

@@ -72,6 +72,65 @@ def headers(cells: DataFrame, most: int = 30) -> DataFrame:
     return best.select("doc", F.col("h.row").alias("row"), F.array_join(F.transform("h.cells", lambda c: c["value"]), "|").alias("labels"))
 
 
+#: What a data cell looks like, and words of a unit, which a new section ends (fixed values).
+DATA_CELL = r"(?i)^-?\d+(?:,\d{3})*(?:\.\d+)?(?:e[+-]?\d+)?\s*(?:%|mm|cm|m|kg|g|元|万元|毫米|厘米)?$"
+UNIT_HINT = r"(?i)unit|单位|毫米|厘米|千克|平方米|万元|(?<![A-Za-z])(?:mm|cm|m|kg|g|kWh|MWh|megawatthours|tons?|barrels?|dollars?|cents?|USD|EUR|CNY|hours?|days?)(?![A-Za-z])"
+
+
+def table_contexts(cells: DataFrame, merges: DataFrame, most: int = 3, longest: int = 220) -> DataFrame:
+    """W08. (doc, row, col, section, headers): of each cell of a data row the full-width heading above it, and the last ``most`` header cells
+    of its column, joined by `` / ``.
+
+    A row with a number is data, others are headers. A merged header stands over all of its columns; one over a table's whole width begins a
+    section, which ends headers that name a unit. Header cells longer than ``longest`` are left out. cells: doc, row, col (from 1),
+    value; merges: doc, row, col, end (ranges within a row). A table's width is its last column or merge. Each column's marks are folded in
+    order of rows; a table's columns are apart, and tables are.
+    """
+    filled = cells.select("doc", "row", "col", F.trim(F.coalesce("value", F.lit(""))).alias("value")).where("value <> ''")
+    data = filled.groupBy("doc", "row").agg(F.bool_or(F.col("value").rlike(DATA_CELL)).alias("data"))
+    ranges = merges.groupBy("doc", "row", "col").agg(F.max("end").alias("end"))
+    marked = filled.join(data, ["doc", "row"]).join(ranges, ["doc", "row", "col"], "left").withColumn("end", F.greatest(F.coalesce("end", "col"), "col"))
+    width = marked.groupBy("doc").agg(F.max("end").alias("width"))
+    marked = marked.join(width, "doc")
+    whole = (F.col("col") == 1) & (F.col("end") == F.col("width")) & (F.col("width") > 1)
+    heads = marked.where(~F.col("data") & (F.length("value") <= longest)).withColumn("whole", whole)
+    over = heads.where("not whole").select("doc", F.explode(F.sequence("col", "end")).alias("over"), "row", F.col("col").alias("at"), F.lit("header").alias("kind"), "value")
+    ends = heads.where("whole").select("doc", F.explode(F.sequence(F.lit(1), "width")).alias("over"), "row", F.col("col").alias("at"), F.lit("section").alias("kind"), "value")
+    asks = marked.where("data").select("doc", F.col("col").alias("over"), "row", F.col("col").alias("at"), F.lit("data").alias("kind"), "value")
+    marks = over.union(ends).union(asks).groupBy("doc", "over").agg(F.array_sort(F.collect_list(F.struct("row", "at", "kind", "value"))).alias("marks"))
+    empty = F.array().cast("array<string>")
+    begin = F.struct(F.lit("").alias("section"), empty.alias("headers"), F.array().cast("array<struct<row:bigint,section:string,headers:string>>").alias("out"))
+
+    def step(acc: Column, m: Column) -> Column:
+        kept = F.filter(acc["headers"], lambda h: ~h.rlike(UNIT_HINT))
+        more = F.concat(acc["headers"], F.array(m["value"]))
+        headers = F.when(m["kind"] == "header", F.slice(more, F.greatest(F.size(more) - most + 1, F.lit(1)), F.lit(most))).when(m["kind"] == "section", kept).otherwise(acc["headers"])
+        row = F.struct(m["row"].cast("long").alias("row"), acc["section"].alias("section"), F.array_join(acc["headers"], " / ").alias("headers"))
+        out = F.when(m["kind"] == "data", F.concat(acc["out"], F.array(row))).otherwise(acc["out"])
+        return F.struct(F.when(m["kind"] == "section", m["value"]).otherwise(acc["section"]).alias("section"), headers.alias("headers"), out.alias("out"))
+
+    rows = marks.select("doc", "over", F.explode(F.aggregate("marks", begin, step, lambda acc: acc["out"])).alias("x"))
+    return rows.select("doc", "x.row", F.col("over").alias("col"), "x.section", "x.headers")
+
+
+def wide_facts(cells: DataFrame) -> DataFrame:
+    """D07. (doc, section, row, col, metric, label, period, value) of wide tables: below the first row with a period's label, the numbers of
+    each column whose label names a metric, with the period that their row has in the period's column.
+
+    A later row with a period's label in that column begins a further section and holds no facts; the first header's columns stay. Rows
+    without a period and cells without a number give none; a blank is no zero. cells: doc, row, col, value.
+    """
+    marked = cells.where(F.trim(F.coalesce("value", F.lit(""))) != "").select("doc", "row", "col", "value", (role(F.col("value")) == "period").alias("is_period"))
+    head = marked.where("is_period").groupBy("doc").agg(F.min(F.struct("row", "col")).alias("h")).select("doc", F.col("h.row").alias("head"), F.col("h.col").alias("at"))
+    metrics = marked.join(head, "doc").where("row = head").select("doc", "col", known_metric(F.col("value")).alias("metric"), F.col("value").alias("label")).where("metric is not null")
+    below = marked.join(head, "doc").where("row > head")
+    periods = below.where("col = at").select("doc", "row", F.coalesce("is_period", F.lit(False)).alias("again"), V.period(F.col("value")).alias("period"))
+    section = (F.count_if("again").over(Window.partitionBy("doc").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)) + 1).alias("section")
+    dated = periods.select("doc", "row", "again", "period", section).where("not again and period is not null")
+    values = below.select("doc", "row", "col", V.number(F.col("value")).alias("value")).where("value is not null")
+    return values.join(metrics, ["doc", "col"]).join(dated, ["doc", "row"]).select("doc", "section", "row", "col", "metric", "label", "period", "value")
+
+
 def sections(cells: DataFrame) -> DataFrame:
     """W13. (doc, row, section): rows by table, from 1. A later header starts a table if rows are missing before it, or before the
     title (a row of one cell) right above it; the table then begins with that title. Other headers and gaps don't."""

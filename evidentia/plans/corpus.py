@@ -247,13 +247,14 @@ def relation_scope(t: Tables):
     return C.scope_closure(seeds, pc, pe, ce, evidence, ["public"])
 
 
-@query("J16_citation_graph", """WITH declared AS (SELECT p_partkey AS doc, 'ST ' || (1000 + p_partkey % 50) AS code FROM part WHERE p_partkey % 40 = 0), cites AS (SELECT p_partkey AS doc, 'ST ' || (1000 + p_size) AS code FROM part)
+@query("J16_citation_graph", """WITH declared AS (SELECT p_partkey AS doc, 'ST ' || (1000 + p_partkey // 2) AS code FROM part), cites AS (SELECT p_partkey AS doc, 'ST ' || (1000 + (p_partkey * 7 + p_size) % (SELECT count(*) FROM part)) AS code FROM part)
     SELECT DISTINCT c.doc AS citing, d.doc AS cited, replace(c.code, ' ', '') AS code FROM cites c JOIN declared d ON c.code = d.code WHERE c.doc <> d.doc AND NOT EXISTS (SELECT 1 FROM declared x WHERE x.doc = c.doc AND x.code = c.code)""")
 def citation_graph(t: Tables):
     from ..operators.evidence import citations
 
-    declared = t.part.where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("doc"), F.concat(F.lit("ST"), (1000 + F.col("p_partkey") % 50).cast("string")).alias("code"))
-    texts = t.part.select(F.col("p_partkey").alias("doc"), F.concat(F.lit("as in st "), (1000 + F.col("p_size")).cast("string"), F.lit(" said")).alias("text"))
+    declared = t.part.select(F.col("p_partkey").alias("doc"), F.concat(F.lit("ST"), (1000 + F.floor(F.col("p_partkey") / 2)).cast("string")).alias("code"))
+    cited = (F.col("p_partkey") * 7 + F.col("p_size")) % t.part.count()
+    texts = t.part.select(F.col("p_partkey").alias("doc"), F.concat(F.lit("as in st "), (1000 + cited).cast("string"), F.lit(" said")).alias("text"))
     return citations(texts, declared)
 
 

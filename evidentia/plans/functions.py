@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 from .registry import Tables, query
+from .signs import SIGNS
 
 #: DuckDB's form of the index tokens of Latin text, as the driver's tables have no Han.
 SQL_TOKENS = r"regexp_extract_all(lower(text), '[a-z0-9]+(?:[×*./-][a-z0-9]+)*')"
@@ -53,10 +54,15 @@ def term_variants(t: Tables):
 HAN = "VALUES (1, '石材幕墙安装规范'), (2, '厚度 18mm 的板'), (3, 'no Han'), (4, '')"
 
 
-@query("F05_specific_pairs", "SELECT * FROM (VALUES (1, '墙安 幕墙 材幕'), (2, ''), (3, ''), (4, '')) v(id, pairs)")
+_HAN_OF = "translate({}::VARCHAR, '0123456789', '" + SIGNS + "')"
+
+
+@query("F05_specific_pairs", f"SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(list_concat(list_transform(range(1, length(a)), lambda i: substr(a, i, 2)), list_transform(range(1, length(b)), lambda i: substr(b, i, 2)))), lambda x: x NOT IN ('{SIGNS[1:3]}', '{SIGNS[2:4]}', '厚度'))), ' ') AS pairs FROM (SELECT p_partkey, {_HAN_OF.format('p_partkey')} AS a, {_HAN_OF.format('(p_size * 100 + p_partkey % 100)')} AS b FROM part)")
 def specific_pairs(t: Tables):
-    rows = t.spark.sql(f"SELECT * FROM ({HAN}) v(id, text)")
-    return rows.select("id", F.array_join(F.array_sort(T.specific_pairs(F.col("text"), ["石材", "安装", "装规", "规范", "厚度", "的板"])), " ").alias("pairs"))
+    """The part's number and a number of its size as Han runs, with Latin words between them."""
+    signs = lambda c: F.translate(c.cast("string"), "0123456789", SIGNS)
+    text = F.concat(signs(F.col("p_partkey")), F.lit(" mm of "), signs(F.col("p_size") * 100 + F.col("p_partkey") % 100))
+    return t.part.select("p_partkey", F.array_join(F.array_sort(T.specific_pairs(text, [SIGNS[1:3], SIGNS[2:4], "厚度"])), " ").alias("pairs"))
 
 
 @query("F06_alias_expansion", "SELECT s_suppkey, CASE WHEN contains(lower(s_name), 'supplier#00000000') AND NOT contains(lower(s_name), 'first tier') THEN s_name || ' first tier' ELSE s_name END AS expanded FROM supplier")
@@ -166,10 +172,14 @@ def model_codes(t: Tables):
     return t.part.select("p_partkey", F.array_join(T.found(F.concat_ws(" ", "p_brand", "p_name"), "#?[0-9]+"), " ").alias("codes"))
 
 
-@query("F21_standard_codes", "SELECT * FROM (VALUES (1, 'GB/T1234-2020,JGJ133'), (2, ''), (3, 'GB50210')) v(id, codes)")
+@query("F21_standard_codes", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'GB/T' || (1000 + p_size) || '-' || (2000 + p_size % 20) || ',JGJ' || (100 + p_size) WHEN 1 THEN '' ELSE 'GB' || (50000 + p_size) END AS codes FROM part")
 def standard_codes(t: Tables):
-    rows = t.spark.sql("SELECT * FROM (VALUES (1, 'see gb/t 1234-2020 and JGJ 133, GB/T 1234-2020'), (2, 'none'), (3, 'GB 50210')) v(id, text)")
-    return rows.select("id", F.array_join(T.standard_codes(F.col("text")), ",").alias("codes"))
+    """Texts on parts that cite two standards, one of them twice, none, and one."""
+    n = lambda add: (F.col("p_size") + add).cast("string")
+    dated = F.concat(n(1000), F.lit("-"), (2000 + F.col("p_size") % 20).cast("string"))
+    k = F.col("p_size") % 3
+    text = F.when(k == 0, F.concat(F.lit("see gb/t "), dated, F.lit(" and JGJ "), n(100), F.lit(", GB/T "), dated)).when(k == 1, F.concat(F.lit("none of "), "p_name")).otherwise(F.concat(F.lit("GB "), n(50000)))
+    return t.part.select("p_partkey", F.array_join(T.standard_codes(text), ",").alias("codes"))
 
 
 @query(
@@ -213,10 +223,14 @@ def canonical_listing(t: Tables):
     return listing(lines, t.supplier.select(F.col("s_name").alias("member"))).select("section", "position", "member")
 
 
-@query("F30_relative_days", "SELECT * FROM (VALUES (1, 'report of 2024-03-01'), (2, '2024-02-29 的价格'), (3, 'plain'), (4, 'due 2024-03-02'), (5, 'latest price 当前日期 2024-03-01')) v(id, resolved)")
+@query("F30_relative_days", "SELECT event_id, CASE event_type WHEN 'view' THEN 'report of 2024-03-01 no ' || event_id WHEN 'click' THEN '2024-02-29 的价格 ' || event_id WHEN 'error' THEN 'due 2024-03-02: ' || user_id WHEN 'signup' THEN 'latest price of ' || user_id || ' 当前日期 2024-03-01' ELSE event_type END AS resolved FROM events")
 def relative_days(t: Tables):
-    rows = t.spark.sql("SELECT * FROM (VALUES (1, 'report of today'), (2, '昨天 的价格'), (3, 'plain'), (4, 'due Tomorrow'), (5, ' latest price ')) v(id, text)")
-    return rows.select("id", V.resolved_days(F.col("text"), "2024-03-01").alias("resolved"))
+    """Texts on events, with a relative day by the event's type."""
+    text = (
+        F.when(F.col("event_type") == "view", F.concat(F.lit("report of today no "), "event_id")).when(F.col("event_type") == "click", F.concat(F.lit("昨天 的价格 "), "event_id"))
+        .when(F.col("event_type") == "error", F.concat(F.lit("due Tomorrow: "), "user_id")).when(F.col("event_type") == "signup", F.concat(F.lit(" latest price of "), "user_id", F.lit(" "))).otherwise(F.col("event_type"))
+    )
+    return t.events.select("event_id", V.resolved_days(text, "2024-03-01").alias("resolved"))
 
 
 @query("F31_mentioned_dates", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS dates FROM events")
@@ -347,13 +361,13 @@ def pruned_metadata(t: Tables):
     return t.events.select("event_id", pruned_json(meta).alias("metadata"))
 
 
-@query("F53_column_factoring", "SELECT CASE WHEN p_size > 25 THEN 'brand,name,size' ELSE 'brand,name' END AS columns, count(*) AS n_records, md5(string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey)) AS members FROM part GROUP BY 1")
+@query("F53_column_factoring", "SELECT CASE WHEN p_size > 25 THEN 'brand,name,size' ELSE 'brand,name' END AS columns, p_partkey AS id, CASE WHEN p_size > 25 THEN p_brand || '|' || p_name || '|' || p_size ELSE p_brand || '|' || p_name END AS row, count(*) OVER (PARTITION BY p_size > 25) AS n_records FROM part")
 def column_factoring(t: Tables):
     from ..functions.nested import factored
 
     record = F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 25, F.col("p_size")).alias("size")))
     out = factored(t.part.select(F.col("p_partkey").alias("id"), record.alias("record")))
-    return out.select("columns", "n_records", F.md5(F.array_join(F.transform("rows", lambda r: r["id"].cast("string")), ",")).alias("members"))
+    return out.select("columns", "id", F.array_join("values", "|").alias("row"), "n_records")
 
 
 @query("F54_operation_hash", "SELECT s_suppkey, sha256('nation=' || s_nationkey || chr(1) || 'supplier=' || lower(trim(s_name))) AS hash FROM supplier")

@@ -14,9 +14,11 @@ from ..operators import packing as K
 from ..operators import relations as L
 from ..operators import selection as S
 from ..operators import sheets as H
+from ..operators.catalog import sized_broadcast
 from .registry import Tables, query
+from .signs import SIGNS
 
-_SIGNS = "厚度石材防护板面层施"
+_SIGNS = SIGNS
 
 
 def han(*parts: str) -> Column:
@@ -59,6 +61,38 @@ def table_split(t: Tables):
     return H.sections(_cells(_sheet(t), (1, F.when(head, "项目").otherwise(F.col("p"))), (2, F.when(head, "金额").when(~title, F.col("f")))))
 
 
+_GRID = "SELECT l_orderkey AS doc, l_linenumber AS row, min(l_suppkey) % 3 + 1 AS col, min(l_suppkey) % 3 + 1 + min(l_partkey) % 3 AS last, CASE WHEN max(l_quantity) > 22 THEN max(l_quantity)::BIGINT || ' mm' WHEN min(l_partkey) % 4 = 0 THEN '宽 ' || min(l_returnflag) || ' kg' ELSE min(l_returnflag) || min(l_linestatus) END AS value, max(l_quantity) > 22 AS data FROM lineitem GROUP BY ALL"
+
+
+@query("W08_header_context", f"""WITH RECURSIVE g AS ({_GRID}), w AS (SELECT doc, greatest(max(CASE WHEN data THEN col ELSE last END), max(col)) AS width FROM g GROUP BY doc), k AS (SELECT g.*, width, row_number() OVER (PARTITION BY doc ORDER BY row) AS i, NOT data AND col = 1 AND last = width AND width > 1 AS whole FROM g JOIN w USING (doc)),
+ f AS (SELECT doc, c, 0::BIGINT AS i, '' AS section, []::VARCHAR[] AS h, '' AS s0, []::VARCHAR[] AS h0 FROM w, (SELECT unnest(range(1, 6)) AS c) WHERE c <= width
+ UNION ALL SELECT f.doc, f.c, k.i, CASE WHEN whole THEN value ELSE section END, CASE WHEN whole THEN list_filter(h, lambda x: NOT contains(x, 'kg')) WHEN NOT data AND c BETWEEN col AND last THEN list_concat(h, [value])[-3:] ELSE h END, section, h FROM f JOIN k ON k.doc = f.doc AND k.i = f.i + 1)
+ SELECT k.doc, k.row, k.col, s0 AS section, array_to_string(h0, ' / ') AS headers FROM k JOIN f ON f.doc = k.doc AND f.i = k.i AND f.c = k.col WHERE data""")
+def header_context(t: Tables):
+    """Each order as a sheet of a cell a line: large quantities are data, other lines headers over up to three columns, some with a unit."""
+    g = t.lineitem.groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("row")).agg((F.min("l_suppkey") % 3 + 1).alias("col"), F.min("l_partkey").alias("p"), F.max("l_quantity").alias("q"), F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"))
+    value = F.when(F.col("q") > 22, F.concat(F.col("q").cast("long"), F.lit(" mm"))).when(F.col("p") % 4 == 0, F.concat(F.lit("宽 "), "f", F.lit(" kg"))).otherwise(F.concat("f", "s"))
+    merges = g.where("q <= 22").select("doc", "row", "col", (F.col("col") + F.col("p") % 3).alias("end"))
+    return H.table_contexts(g.select("doc", "row", "col", value.alias("value")), merges)
+
+
+@query("D07_wide_facts", """WITH r AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row, o_orderkey AS k, o_orderdate AS d FROM orders), x AS (SELECT *, k % 9 = 4 AS again, sum((k % 9 = 4)::INT) OVER (PARTITION BY doc ORDER BY row) + 1 AS section FROM r)
+ SELECT doc, section::BIGINT AS section, row, c AS col, CASE WHEN c = doc % 2 + 2 THEN 'thickness' ELSE 'cost' END AS metric, CASE WHEN c = doc % 2 + 2 THEN '板厚' ELSE '单价' END AS label, strftime(d, '%Y-%m') AS period, CASE WHEN c = doc % 2 + 2 THEN k % 1000 ELSE k % 77 END::DOUBLE AS value
+ FROM x, (SELECT unnest([2, 3, 4]) AS c) WHERE NOT again AND k % 5 <> 0 AND (c = doc % 2 + 2 OR (c = 4 AND k % 4 <> 1))""")
+def wide_facts(t: Tables):
+    """Each customer's orders as a wide table whose columns stand in another order by customer: a month, a thickness, a remark and a price.
+    Some rows repeat the header, some have no month, some no price."""
+    k, swap = F.col("o_orderkey"), F.col("doc") % 2 == 1
+    r = t.orders.withColumn("row", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).withColumn("doc", F.col("o_custkey"))
+    month = F.when(k % 9 == 4, "月 份").when(k % 5 == 0, "合计").otherwise(F.date_format("o_orderdate", "yyyy-MM"))
+    thick, note, price = (k % 1000).cast("string"), F.when(k % 2 == 0, "7 days").otherwise("12"), F.when(k % 4 == 1, F.lit(" ")).otherwise((k % 77).cast("string"))
+    cells = lambda df, *values: _cells(df, *((i, v) for i, v in enumerate(values, 1)))
+    body = cells(r, month, F.when(swap, note).otherwise(thick), F.when(swap, thick).otherwise(note), price)
+    top = r.where("row = 1").withColumn("row", F.lit(0))
+    head = cells(top, F.lit("月份"), F.when(swap, "备注").otherwise("板厚"), F.when(swap, "板厚").otherwise("备注"), F.lit("单价"))
+    return H.wide_facts(head.union(body))
+
+
 @query("D32_header_inference", f"WITH r AS (SELECT doc, row, f, p, row_number() OVER (PARTITION BY doc ORDER BY row) AS n FROM ({_SHEET})), k AS (SELECT *, CASE f WHEN 'R' THEN 0 WHEN 'A' THEN 1 END AS tier FROM r WHERE n <= 30), b AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY tier, row) AS i FROM k WHERE tier IS NOT NULL) SELECT doc, row, CASE f WHEN 'R' THEN '厚度|宽度' ELSE '备注|x' || p END AS labels FROM b WHERE i = 1")
 def header_inference(t: Tables):
     """Returned lines have two metrics, accepted ones two texts, others a text and a number (half of them texts: no header)."""
@@ -269,22 +303,24 @@ def product_match(t: Tables):
 _TERMS = "list_distinct(regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[a-z0-9]{{2,}}'))"
 
 
-@query("R20_question_excerpt", f"""WITH j AS (SELECT doc_id, d.text, {_TERMS.format('b.text')} AS q FROM documents d JOIN benchmark b ON doc_id % 40 = item_id WHERE d.text <> ''), w AS (SELECT doc_id, text, s, len(list_intersect(q, {_TERMS.format('substr(text, s + 1, 540)')})) AS n FROM (SELECT *, unnest(range(0, length(text), 270)) AS s FROM j)), b AS (SELECT doc_id, any_value(text) AS text, min_by(s, {{'a': -n, 'b': s}}) AS s FROM w GROUP BY doc_id)
+@query("R20_question_excerpt", f"""WITH j AS (SELECT doc_id, d.text, {_TERMS.format('b.text')} AS q FROM documents d JOIN benchmark b ON doc_id % (SELECT count(*) FROM benchmark) = item_id WHERE d.text <> ''), w AS (SELECT doc_id, text, s, len(list_intersect(q, {_TERMS.format('substr(text, s + 1, 540)')})) AS n FROM (SELECT *, unnest(range(0, length(text), 270)) AS s FROM j)), b AS (SELECT doc_id, any_value(text) AS text, min_by(s, {{'a': -n, 'b': s}}) AS s FROM w GROUP BY doc_id)
  SELECT doc_id, CASE WHEN length(text) <= 700 THEN text WHEN s < 160 THEN substr(text, 1, 700) ELSE substr(text, 1, 140) || chr(10) || '[...]' || chr(10) || substr(text, s + 1, 540) END AS excerpt FROM b""")
 def question_excerpt(t: Tables):
     """Documents for the benchmark item of their number."""
     items = t.benchmark.select("item_id", T.plain_terms(F.col("text"), 2, False).alias("q"))
-    rows = t.documents.where("text <> ''").join(F.broadcast(items), F.col("doc_id") % 40 == F.col("item_id"))
+    rows = t.documents.where("text <> ''").join(sized_broadcast(items), F.col("doc_id") % t.benchmark.count() == F.col("item_id"))
     return rows.select("doc_id", S.question_excerpt(F.col("text"), F.col("q")).alias("excerpt"))
 
 
 @query("R22_preview_selection")
 def preview_selection(t: Tables):
-    """Documents of a source for the benchmark item of its number, by language in turn."""
-    items = t.benchmark.select("item_id", F.array(T.plain_terms(F.substring("text", 1, 60), 2, False), T.plain_terms(F.substring("text", 61, 60), 2, False)).alias("goals"))
-    rows = t.documents.where("text <> ''").withColumn("query_id", (F.col("doc_id") % 400).cast("long"))
-    rows = rows.join(F.broadcast(items), F.col("query_id") % 40 == F.col("item_id"))
-    return S.preview(rows.select("query_id", F.col("lang").alias("bucket"), F.col("doc_id").alias("position"), F.col("doc_id").alias("id"), F.substring("text", 1, 700).alias("text"), T.plain_terms(F.substring("text", 1, 700), 2, False).alias("terms"), "goals"))
+    """Ten documents or so for each tenth of a benchmark item's documents, by language in turn; an item's halves are its goals."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    items = t.benchmark.select("item_id", F.array(T.plain_terms(F.substr("text", F.lit(1), half), 2, False), T.plain_terms(F.substr("text", half + 1), 2, False)).alias("goals"))
+    n = t.benchmark.count()
+    rows = t.documents.where("text <> ''").withColumn("query_id", F.col("doc_id") % (10 * n))
+    rows = rows.join(sized_broadcast(items), F.col("query_id") % n == F.col("item_id"))
+    return S.preview(rows.select("query_id", F.col("lang").alias("bucket"), F.col("doc_id").alias("position"), F.col("doc_id").alias("id"), "text", T.plain_terms(F.col("text"), 2, False).alias("terms"), "goals"))
 
 
 def _ranked_lines(t: Tables):
@@ -426,14 +462,14 @@ def node_assets(t: Tables):
     return L.node_assets(asked, nodes, t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("asset")))
 
 
-@query("J22_nearest_product", """WITH c AS (SELECT vec_id // 4 AS case_id, embedding AS x FROM embeddings WHERE vec_id % 20 < 4), p AS (SELECT label AS product, list_transform(embedding, lambda x: x) AS y FROM (SELECT label, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY label)), named AS (SELECT case_id, (case_id % 10) AS product FROM c WHERE case_id % 7 = 0 GROUP BY ALL),
+@query("J22_nearest_product", """WITH c AS (SELECT vec_id // 4 AS case_id, embedding AS x FROM embeddings WHERE vec_id // 4 % 20 = 0), p AS (SELECT label AS product, list_transform(embedding, lambda x: x) AS y FROM (SELECT label, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY label)), named AS (SELECT case_id, (case_id // 20 % 10) AS product FROM c WHERE case_id // 20 % 7 = 0 GROUP BY ALL),
  d AS (SELECT case_id, product, round(median(sqrt(list_sum(list_transform(list_zip(x, y), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))))), 9) AS distance FROM c, p WHERE case_id NOT IN (SELECT case_id FROM named) GROUP BY ALL)
  SELECT case_id, min(product)::INT AS product, 'named' AS basis, NULL::DOUBLE AS distance FROM named GROUP BY case_id UNION ALL SELECT case_id, min_by(product, {'a': distance, 'b': product}), 'colour', min(distance) FROM d GROUP BY case_id""")
 def nearest_product(t: Tables):
-    """Vectors of a stated query set are images of projects (four a project), the first vector of each label is a product's."""
-    cases = t.embeddings.where("vec_id % 20 < 4").select(F.floor(F.col("vec_id") / 4).alias("case_id"), F.col("embedding").alias("vector"))
+    """Four vectors are the images of a project, the first vector of each label is a product's; projects divisible by 20 are asked for."""
+    cases = t.embeddings.where("floor(vec_id / 4) % 20 = 0").select(F.floor(F.col("vec_id") / 4).alias("case_id"), F.col("embedding").alias("vector"))
     products = t.embeddings.groupBy(F.col("label").alias("product")).agg(F.min_by("embedding", "vec_id").alias("vector"))
-    named = cases.where("case_id % 7 = 0").select("case_id", (F.col("case_id") % 10).cast("int").alias("product")).distinct()
+    named = cases.where("floor(case_id / 20) % 7 = 0").select("case_id", (F.floor(F.col("case_id") / 20) % 10).cast("int").alias("product")).distinct()
     return L.nearest_products(cases, products, named)
 
 
