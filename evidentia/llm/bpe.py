@@ -10,13 +10,9 @@ Distinct words are then looked up in a lexicon of the corpus's frequent words
 
 from __future__ import annotations
 
-import atexit
 import hashlib
 import heapq
 import json
-import os
-import shutil
-import tempfile
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -344,17 +340,6 @@ def _codec(spec: str, name: str | None) -> Codec:
     return codec
 
 
-_made: list[str] = []
-
-
-def _folder() -> str:
-    """The driver's own folder for lexicons, which executors fetch from it; removed when the driver ends."""
-    if not _made:
-        _made.append(tempfile.mkdtemp(prefix="lexicons-"))
-        atexit.register(shutil.rmtree, _made[0], ignore_errors=True)
-    return _made[0]
-
-
 def _forget() -> None:
     for codec, _ in _held.values():
         codec.forget()
@@ -431,11 +416,9 @@ class Encoder:
         data = frequent.mapInArrow(tidy(build), "data binary").toArrow()["data"]
         data = data[0].as_py() if len(data) else Lexicon.build({}).data()
         scratch.forget(counts)
-        path = os.path.join(_folder(), f"lexicon-{hashlib.sha256(data).hexdigest()[:20]}.bin")
-        with open(path, "wb") as f:
-            f.write(data)
+        path = scratch.stored(self.spark, f"lexicon-{hashlib.sha256(data).hexdigest()[:20]}.bin", data)
         self.spark.sparkContext.addFile(path)
-        return os.path.basename(path)
+        return path.rpartition("/")[2]
 
     def opener(self):
         """A function for tasks that gives them the codec."""

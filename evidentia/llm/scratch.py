@@ -56,6 +56,21 @@ def lasting(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(spark: SparkSession, name: str, data: bytes) -> str:
+    """A file of these bytes in the shared folder, written through the store's own file system; removed with the rest by ``clear``.
+    A name stands for its contents, and is written once."""
+    at = f"{folder(spark)}/{name}"
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    if at not in made:
+        sc = spark.sparkContext
+        jp = sc._jvm.org.apache.hadoop.fs.Path(at)
+        out = jp.getFileSystem(sc._jsc.hadoopConfiguration()).create(jp, True)
+        out.write(bytearray(data))
+        out.close()
+        made.append(at)
+    return at
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, with as many underscores as it takes to be none of ``columns``, in any case."""
     taken = {c.lower() for c in columns}
