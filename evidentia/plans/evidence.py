@@ -86,6 +86,13 @@ def multi_input_coverage(t: Tables):
     return t.orders.groupBy("o_custkey").agg(F.count("*").alias("expected"), F.count_if(F.col("o_orderstatus") == "F").alias("cited"), F.bool_and(F.col("o_orderstatus") == "F").alias("complete"))
 
 
+@query("W08_flagged_headers", "SELECT doc, row, col, coalesce(array_to_string(h[-3:], ' / '), '') AS context FROM (SELECT doc, row, col, header, list(value) FILTER (WHERE header) OVER (PARTITION BY doc, col ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM (SELECT l_orderkey AS doc, l_linenumber AS row, l_suppkey % 3 AS col, min(l_returnflag) AS value, l_linenumber <= 2 AS header FROM lineitem GROUP BY ALL)) WHERE NOT header")
+def flagged_headers(t: Tables):
+    """Headers that are known to be such, without merges and sections."""
+    cells = t.lineitem.groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("row"), (F.col("l_suppkey") % 3).alias("col")).agg(F.min("l_returnflag").alias("value"))
+    return E.header_context(cells.withColumn("header", F.col("row") <= 2))
+
+
 @query("W09_above_cell", "SELECT event_id, last_value(CASE WHEN event_type <> 'view' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM events")
 def above_cell(t: Tables):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -154,7 +161,9 @@ def group_eviction(t: Tables):
     return G.evict_groups(rows, 90)
 
 
-@query("R15_set_cover")
+@query("R15_set_cover", """WITH RECURSIVE s AS (SELECT l_suppkey % 10 AS q, l_orderkey AS e, list(DISTINCT l_partkey % 40) AS rs FROM lineitem GROUP BY ALL), f AS (SELECT DISTINCT q, 0 AS position, 0::BIGINT AS e, 0 AS newly, []::BIGINT[] AS done FROM s
+ UNION ALL SELECT q, position + 1, e, n, d FROM (SELECT f.q, f.position, s.e, len(list_filter(rs, lambda x: NOT list_contains(done, x)))::INT AS n, list_concat(done, rs) AS d, row_number() OVER (PARTITION BY f.q ORDER BY len(list_filter(rs, lambda x: NOT list_contains(done, x))) DESC, s.e) AS k FROM f JOIN s USING (q) WHERE position < 12) WHERE k = 1 AND n > 0)
+ SELECT q AS query_id, e AS evidence_id, position, newly FROM f WHERE position > 0""")
 def set_cover(t: Tables):
     return G.set_cover(t.lineitem.select((F.col("l_suppkey") % 10).alias("query_id"), F.col("l_orderkey").alias("evidence_id"), (F.col("l_partkey") % 40).alias("requirement_id")).distinct(), 12)
 
@@ -253,6 +262,12 @@ def structure_profiles(t: Tables):
     return t.documents.groupBy("source").agg(F.count("*").alias("blocks"), F.max("n_chars").alias("longest"), F.count_if(F.contains("text", F.lit("\n"))).alias("multi_line"), F.count_if(F.col("text").rlike("[0-9]")).alias("with_figures"))
 
 
+@query("D07_unpivot", "UNPIVOT (SELECT o_orderkey, o_totalprice AS price, (o_custkey * 1.0)::DOUBLE AS customer FROM orders) ON price, customer INTO NAME metric VALUE value")
+def unpivot(t: Tables):
+    rows = t.orders.select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_custkey").cast("double").alias("customer"))
+    return rows.unpivot("o_orderkey", ["price", "customer"], "metric", "value")
+
+
 @query("D10_metric_resolution", "SELECT p_partkey, CASE WHEN p_type LIKE 'STANDARD%' THEN 'cost' WHEN p_type LIKE '%BRASS' THEN 'weight' ELSE lower(trim(p_type)) END AS metric FROM part")
 def metric_resolution(t: Tables):
     name = F.when(F.col("p_type").startswith("STANDARD"), "Price").when(F.col("p_type").endswith("BRASS"), "mass").otherwise(F.col("p_type"))
