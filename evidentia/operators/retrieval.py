@@ -137,7 +137,18 @@ def fused(channels: list[DataFrame]) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id"))))
 
 
-def pool(rows: DataFrame, limit: int = 24, lexical: int = 8, dense_only: int = 4) -> DataFrame:
+def rerank_pools(rows: DataFrame) -> DataFrame:
+    """W03. The pools of texts and of visuals of each query, which don't share places.
+
+    rows: as for ``pool``, kind text or visual, and ``predicate``: whether the question asks for what something is made of or measured by.
+    24 texts (32 for a predicate question) with 8 and 4 reserved places; 8 visuals with 2 and 2.
+    """
+    visual = F.col("kind") == "visual"
+    limit = F.when(visual, 8).when(F.coalesce("predicate", F.lit(False)), 32).otherwise(24)
+    return pool(rows, limit, F.when(visual, 2).otherwise(8), F.when(visual, 2).otherwise(4))
+
+
+def pool(rows: DataFrame, limit: int | Column = 24, lexical: int | Column = 8, dense_only: int | Column = 4) -> DataFrame:
     """W03. The rerank pool of each query and kind, in fused order.
 
     rows: query_id, kind, id, rank (fused), lexical_rank, dense_rank (null: not in the

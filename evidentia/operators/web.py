@@ -22,6 +22,37 @@ def rejection(url: Column, body: Column, blocked: list[str]) -> Column:
     return F.when(F.trim(body) == "", "empty_source").when(banned, "blocked_domain").when(inside, "non_public_url").when(unsafe, "unsafe_url").otherwise("")
 
 
+#: Landing pages without relation to a question that doesn't ask for them, and download bait, by patterns of their titles (fixed values).
+ADULT_QUESTION = r"(?i)成人|色情|情色|A片|成人视频|porn|sex"
+ADULT_PAGE = r"(?i)激情视频|成人视频|成人免费.*视频|一级片|色情网站|pornhub|xxx.?video"
+BAIT_EDITION, BAIT = "成人版", r"(?i)最新版|安卓版|iphone版|下载"
+#: Dates, which say nothing of what a question is about, and words of asking (fixed values).
+DATED = r"20[0-9]{2}年[0-9]{1,2}月[0-9]{1,2}日|\b20[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}\b"
+ASKING = ("查询", "概括", "介绍", "最新", "实时", "今天", "今日", "当前", "现在", "请问")
+
+
+def admission(question: Column, url: Column, title: Column, body: Column, blocked: list[str], spam: list[tuple[str, str]] = ()) -> Column:
+    """P09. Why a source is not admitted to a question, empty if it is.
+
+    Of several reasons the last of this order holds: unsafe address, inner host, blocked domain, landing page, download bait, the titles'
+    patterns of ``spam`` (reason, pattern), no title and text. A source with none of them is refused for want of overlap if no term of the
+    question stands in its title or text; a question without terms refuses nothing so. Nulls count as empty.
+    """
+    question, url, title, body = (F.coalesce(c, F.lit("")) for c in (question, url, title, body))
+    port = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*:([^/?#:@]*)(?:[/?#]|$)", 1)
+    base = rejection(url, F.lit("page"), blocked)
+    reason = F.when((base == "") & ~port.isin("", "80", "443"), "unsafe_url").otherwise(base)
+    decent = ~question.rlike(ADULT_QUESTION)
+    reason = F.when(decent & title.rlike(ADULT_PAGE), "unrelated_adult_landing_page").otherwise(reason)
+    reason = F.when(decent & F.contains(title, F.lit(BAIT_EDITION)) & title.rlike(BAIT), "seo_download_pollution").otherwise(reason)
+    for name, pattern in spam:
+        reason = F.when(title.rlike(pattern), name).otherwise(reason)
+    reason = F.when((F.trim(title) == "") & (F.trim(body) == ""), "empty_source").otherwise(reason)
+    terms = T.web_terms(F.regexp_replace(question, DATED, ""), stop=ASKING)
+    related = F.exists(terms, lambda t: F.contains(T.folded(title), t)) | (V.web_relevance(terms, title, body) > 0)
+    return F.when((reason == "") & (F.size(terms) > 0) & ~related, "no_query_overlap").otherwise(reason)
+
+
 def invented_years(question: Column, rewrite: Column, allowed: list[str] | None = None) -> Column:
     """P19. Years that a rewrite has and its question hasn't; none are invented if the question names no year."""
     year = r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?![0-9])"

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each with its SQL equivalent where SQL can express it."""
 
-from . import corpus, evidence, files, functions, retrieval, rules, sources
+from . import context, corpus, evidence, files, functions, retrieval, rules, sources
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "corpus", "evidence", "files", "functions", "retrieval", "rules", "sources"]
+__all__ = ["QUERIES", "SQL", "context", "corpus", "evidence", "files", "functions", "retrieval", "rules", "sources"]

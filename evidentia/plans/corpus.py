@@ -55,16 +55,28 @@ def review_reasons(t: Tables):
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+(?:[×*./-][a-z0-9]+)*')"
 
 
+_CODED = "replace(lower(coalesce({}, '')), 'ß', 'ss')"
+
+
 @query(
     "P09_web_admission",
-    r"""SELECT page_id, CASE WHEN length(trim(regexp_replace(html, '<[^>]+>', '', 'g'))) = 0 THEN 'empty_source'
-    WHEN ends_with(h, '.example.net') OR h = 'example.net' THEN 'blocked_domain' WHEN h = 'localhost' OR regexp_matches(h, '\.(local|internal|localhost)$') THEN 'non_public_url'
-    WHEN NOT regexp_matches(url, '^https?://') OR h = '' THEN 'unsafe_url' ELSE '' END AS reason FROM (SELECT *, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS h FROM pages)""",
+    rf"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS h, url, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, trim(regexp_replace(regexp_extract(html, '<body>(?:.|\n)*'), '<[^>]+>', '', 'g')) AS body FROM pages),
+ q AS (SELECT p.*, list_distinct(regexp_extract_all({_CODED.format("text")}, '[a-z0-9][a-z0-9._/-]{{1,}}')) AS terms FROM p LEFT JOIN conversations ON conv_id = page_id AND turn = 0)
+ SELECT page_id, CASE WHEN trim(title) = '' AND body = '' THEN 'empty_source' WHEN regexp_matches(title, '[%*#]{{3}}') THEN 'noisy_title'
+ WHEN h = 'spam-farm.example.org' OR ends_with(h, '.spam-farm.example.org') THEN 'blocked_domain' WHEN h = 'localhost' OR regexp_matches(h, '\.(local|internal|localhost)$') THEN 'non_public_url'
+ WHEN NOT regexp_matches(url, '^https?://') OR h = '' THEN 'unsafe_url'
+ WHEN len(terms) > 0 AND NOT list_bool_or(list_transform(terms, lambda x: contains({_CODED.format("title")}, x) OR contains(lower(title), x) OR contains(lower(body), x))) THEN 'no_query_overlap' ELSE '' END AS reason FROM q""",
 )
 def web_admission(t: Tables):
-    from ..operators.web import rejection
-
-    return t.pages.select("page_id", rejection(F.col("url"), F.regexp_replace("html", "<[^>]+>", ""), ["example.net"]).alias("reason"))
+    """Pages as the sources of the question that opens the conversation of the same number; a page without one has no terms to miss."""
+    from ..operators.web import admission
+
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    body = F.trim(F.regexp_replace(F.regexp_extract("html", "(?s)<body>.*", 0), "<[^>]+>", ""))
+    asked = t.conversations.where("turn = 0").select(F.col("conv_id").alias("page_id"), F.col("text").alias("question"))
+    rows = t.pages.select("page_id", "url", title.alias("title"), body.alias("body")).join(asked, "page_id", "left")
+    reason = admission(F.col("question"), F.col("url"), F.col("title"), F.col("body"), ["spam-farm.example.org"], [("noisy_title", "[%*#]{3}")])
+    return rows.select("page_id", reason.alias("reason"))
 
 
 @query("P10_fuzzy_like", "SELECT p_partkey, CASE WHEN lower(p_name) = 'red ring' THEN 0 WHEN p_name ILIKE 'red%' THEN 1 ELSE 2 END AS tier FROM part WHERE p_name ILIKE '%red%' OR p_brand ILIKE '%red%' OR p_type ILIKE '%red%' ORDER BY tier, p_partkey LIMIT 20")

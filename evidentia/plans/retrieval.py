@@ -89,14 +89,20 @@ def rank_fusion(t: Tables):
 
 
 @query("W03_rerank_pool", f"""WITH {_RRF}, al AS (SELECT fu.query_id, CASE WHEN fu.id % 10 = 0 THEN 'visual' ELSE 'text' END AS kind, fu.id, fu.rank, l2.rank AS lr, d2.rank AS dr FROM fu LEFT JOIN l2 USING (query_id, id) LEFT JOIN d2 USING (query_id, id)),
+ qs AS (SELECT item_id AS query_id, CASE WHEN regexp_matches(text || CASE WHEN length(text) % 2 = 0 THEN ' 由哪些 材料组成' ELSE ' 的质量' END, '由哪些.{{0,12}}组成') THEN 32 ELSE 24 END AS texts FROM benchmark),
  rk AS (SELECT *, CASE WHEN lr IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, kind ORDER BY lr NULLS LAST) END AS ln, CASE WHEN lr IS NULL AND dr IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, kind ORDER BY CASE WHEN lr IS NULL THEN dr END NULLS LAST) END AS dn FROM al),
- fl AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY (coalesce(ln <= 8, false) OR coalesce(dn <= 4, false)) DESC, rank) AS n FROM rk)
- SELECT query_id, kind, id, rank, row_number() OVER (PARTITION BY query_id, kind ORDER BY rank) AS position FROM fl WHERE n <= 24""")
+ fl AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY (coalesce(ln <= CASE kind WHEN 'visual' THEN 2 ELSE 8 END, false) OR coalesce(dn <= CASE kind WHEN 'visual' THEN 2 ELSE 4 END, false)) DESC, rank) AS n FROM rk)
+ SELECT query_id, kind, id, rank, row_number() OVER (PARTITION BY query_id, kind ORDER BY rank) AS position FROM fl LEFT JOIN qs USING (query_id) WHERE n <= CASE WHEN kind = 'visual' THEN 8 ELSE coalesce(texts, 24) END""")
 def rerank_pool(t: Tables):
+    """Ids divisible by ten stand for visuals; questions of even length ask what something is made of."""
+    from ..operators.selection import asks_for_form
+
     a, b = channels(t)
     rows = R.fused([a, b]).join(a.select("query_id", "id", F.col("rank").alias("lexical_rank")), ["query_id", "id"], "left").join(b.select("query_id", "id", F.col("rank").alias("dense_rank")), ["query_id", "id"], "left")
-    rows = rows.withColumn("kind", F.when(F.col("id") % 10 == 0, "visual").otherwise("text"))
-    return R.pool(rows).select("query_id", "kind", "id", "rank", "position")
+    said = F.concat("text", F.when(F.length("text") % 2 == 0, " 由哪些 材料组成").otherwise(" 的质量"))
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), asks_for_form(said).alias("predicate"))
+    rows = rows.join(asked, "query_id", "left").withColumn("kind", F.when(F.col("id") % 10 == 0, "visual").otherwise("text"))
+    return R.rerank_pools(rows).select("query_id", "kind", "id", "rank", "position")
 
 
 @query("R04_domain_priority", f"WITH {_BM25} SELECT query_id, id, round(round(lx.score, 6) + 100 * CASE source WHEN 'src0' THEN 2 WHEN 'src1' THEN 1 ELSE 0 END, 6) AS score FROM lx JOIN documents ON id = doc_id WHERE rank <= 48")
