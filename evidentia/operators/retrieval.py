@@ -177,6 +177,33 @@ def strong(scores: DataFrame, hybrid: bool = False) -> DataFrame:
     return scores.withColumn("_best", best).where(F.col("score") >= F.greatest(F.lit(least), share * F.col("_best"))).drop("_best")
 
 
+#: What each kind of request puts first: a list of a document, a value in it and its steps; the first that holds counts. Requests of several
+#: kinds are served as the first (fixed values).
+PRIORITIES = {
+    "overview": (("labels", "canonical_product_profile", 6), ("categories", "enterprise_product_master_profile", 6), ("categories", "enterprise_product_catalogue", 2), ("categories", "internal_product_comparison", 1)),
+    "procedure": (("domains", "03_construction_method", 3), ("domains", "04_node_atlas", 1)),
+    "atlas": (("domains", "04_node_atlas", 3), ("domains", "03_construction_method", 2)),
+    "standard": (("domains", "01_standard_specification", 3), ("domains", "03_construction_method", 1)),
+}
+
+
+def domain_priority(requests: Column, domains: Column, categories: Column, labels: Column, leading: Column) -> Column:
+    """R04. Steps of priority, 0 to 7, of a document for a request.
+
+    ``requests``: array of the kinds of ``PRIORITIES`` that it is of; the others are arrays of the document, null for none. A product's
+    profile has one step more for an overview if its section leads (``leading``).
+    """
+    own = {"domains": domains, "categories": categories, "labels": labels}
+    out = F.lit(0)
+    for request, steps in reversed(PRIORITIES.items()):
+        points = F.lit(0)
+        for field, value, n in reversed(steps):
+            n = F.when(F.coalesce(leading, F.lit(False)), n + 1).otherwise(n) if n == 6 else F.lit(n)
+            points = F.when(F.coalesce(F.array_contains(own[field], value), F.lit(False)), n).otherwise(points)
+        out = F.when(F.coalesce(F.array_contains(requests, request), F.lit(False)), points).otherwise(out)
+    return out
+
+
 def with_priority(scores: DataFrame, priority: Column, hybrid: bool = False) -> DataFrame:
     """R04. Adds 100 for each step of priority (hybrid: 0.1)."""
     return scores.withColumn("score", F.col("score") + priority * (0.1 if hybrid else 100))

@@ -49,6 +49,17 @@ def known_metric(value: Column) -> Column:
     return F.coalesce(exact, F.when(F.size(some) == 1, F.get(some, F.lit(0))))
 
 
+def resolved_metrics(rows: DataFrame, label: str, candidates: DataFrame) -> DataFrame:
+    """D10. ``rows`` with ``metric``: by name, by the only name that the label holds, else what the candidates (label, metric) say of it.
+
+    Candidates meet labels in normalised form; a label for which they disagree stays unresolved. Null and empty labels resolve to nothing.
+    """
+    told = candidates.select(normalised_label(F.col("label")).alias("_label"), "metric").where("_label <> '' and metric is not null")
+    told = told.groupBy("_label").agg(F.min("metric").alias("_told"), F.max("metric").alias("_other")).where("_told = _other").drop("_other")
+    out = rows.withColumn("_label", normalised_label(F.col(label))).join(told, "_label", "left")
+    return out.withColumn("metric", F.coalesce(known_metric(F.col(label)), "_told")).drop("_label", "_told")
+
+
 def _rows(cells: DataFrame) -> DataFrame:
     """(doc, row, cells): filled cells of each row by column."""
     filled = cells.where(F.trim(F.coalesce("value", F.lit(""))) != "")

@@ -268,10 +268,18 @@ def unpivot(t: Tables):
     return rows.unpivot("o_orderkey", ["price", "customer"], "metric", "value")
 
 
-@query("D10_metric_resolution", "SELECT p_partkey, CASE WHEN p_type LIKE 'STANDARD%' THEN 'cost' WHEN p_type LIKE '%BRASS' THEN 'weight' ELSE lower(trim(p_type)) END AS metric FROM part")
+@query("D10_metric_resolution", """WITH l AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Price' WHEN 1 THEN p_name || ' mass' WHEN 2 THEN p_name || ' width and price' ELSE p_type || ' ' || p_brand END AS label FROM part),
+ c AS (SELECT lower(p_type || p_brand) AS k, min(m) AS told FROM (SELECT *, CASE WHEN p_size < 25 THEN 'area' ELSE 'length' END AS m FROM part) GROUP BY 1 HAVING min(m) = max(m))
+ SELECT p_partkey, CASE WHEN label = 'Price' THEN 'cost' WHEN ends_with(label, ' mass') THEN 'weight' WHEN ends_with(label, ' width and price') THEN NULL ELSE told END AS metric FROM l LEFT JOIN c ON replace(lower(label), ' ', '') = replace(k, ' ', '')""")
 def metric_resolution(t: Tables):
-    name = F.when(F.col("p_type").startswith("STANDARD"), "Price").when(F.col("p_type").endswith("BRASS"), "mass").otherwise(F.col("p_type"))
-    return t.part.select("p_partkey", V.metric(name).alias("metric"))
+    """Labels of parts: a name, one name among other words, two names, or none; candidates say of a type and brand what its sizes say alike."""
+    from ..operators.sheets import resolved_metrics
+
+    kind = F.concat("p_type", F.lit(" "), "p_brand")
+    k = F.col("p_size") % 4
+    label = F.when(k == 0, "Price").when(k == 1, F.concat("p_name", F.lit(" mass"))).when(k == 2, F.concat("p_name", F.lit(" width and price"))).otherwise(kind)
+    told = t.part.select(kind.alias("label"), F.when(F.col("p_size") < 25, "area").otherwise("length").alias("metric"))
+    return resolved_metrics(t.part.select("p_partkey", label.alias("label")), "label", told).select("p_partkey", "metric")
 
 
 @query("D12_prose_facts", "SELECT p_partkey AS id, 0 AS ordinal, lower(p_brand) AS entity, 'thickness' AS metric, (p_size * 10)::DOUBLE AS value, 'mm' AS unit FROM part")

@@ -105,10 +105,17 @@ def rerank_pool(t: Tables):
     return R.rerank_pools(rows).select("query_id", "kind", "id", "rank", "position")
 
 
-@query("R04_domain_priority", f"WITH {_BM25} SELECT query_id, id, round(round(lx.score, 6) + 100 * CASE source WHEN 'src0' THEN 2 WHEN 'src1' THEN 1 ELSE 0 END, 6) AS score FROM lx JOIN documents ON id = doc_id WHERE rank <= 48")
+@query("R04_domain_priority", f"""WITH {_BM25} SELECT query_id, id, round(round(lx.score, 6) + 100 * CASE (query_id // 20) % 4
+ WHEN 0 THEN CASE WHEN lang = 'de' OR source = 'src6' THEN 6 + (id % 2 = 0)::INT WHEN source = 'src4' THEN 2 WHEN source = 'src5' THEN 1 ELSE 0 END WHEN 1 THEN CASE WHEN source IN ('src1', 'src3') THEN 3 WHEN source = 'src2' THEN 1 ELSE 0 END
+ WHEN 2 THEN CASE WHEN source IN ('src2', 'src3') THEN 3 WHEN source = 'src1' THEN 2 ELSE 0 END ELSE CASE WHEN source = 'src0' THEN 3 WHEN source IN ('src1', 'src3') THEN 1 ELSE 0 END END, 6) AS score FROM lx JOIN documents ON id = doc_id WHERE rank <= 48""")
 def domain_priority(t: Tables):
-    rows = lexical(t, 48).join(t.documents.select(F.col("doc_id").alias("id"), "source"), "id")
-    p = F.when(F.col("source") == "src0", 2).when(F.col("source") == "src1", 1).otherwise(0)
+    """Queries are of the four kinds of requests in turn; sources stand for domains and categories, a language for a label."""
+    rows = lexical(t, 48).join(t.documents.select(F.col("doc_id").alias("id"), "source", "lang"), "id")
+    of = lambda pairs: F.filter(F.array(*(F.when(F.col("source").isin(*names), value) for value, names in pairs)), lambda x: x.isNotNull())
+    domains = of([("01_standard_specification", ["src0"]), ("03_construction_method", ["src1", "src3"]), ("04_node_atlas", ["src2", "src3"])])
+    categories = of([("enterprise_product_catalogue", ["src4"]), ("internal_product_comparison", ["src5"]), ("enterprise_product_master_profile", ["src6"])])
+    request = F.array(F.get(F.array(*map(F.lit, R.PRIORITIES)), (F.floor(F.col("query_id") / 20) % 4).cast("int")))
+    p = R.domain_priority(request, domains, categories, F.array(F.when(F.col("lang") == "de", "canonical_product_profile")), F.col("id") % 2 == 0)
     return R.with_priority(rows, p).select("query_id", "id", F.round("score", 6).alias("score"))
 
 

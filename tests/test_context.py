@@ -142,3 +142,32 @@ def test_facts_of_rows_and_lines(spark):
     ]
     named = [(r.id, r.entity, r.value) for r in row_facts(docs.where("doc_id in (4, 8)"), entity=F.lit("E 1")).orderBy("id", "ordinal").collect()]
     assert named == [(4, "e1", 3000.0), (4, "e1", 4000.0), (8, "e1", 3000.0)]
+
+
+def test_domain_priorities(spark):
+    rows = [
+        (["overview", "standard"], ["01_standard_specification"], None, ["canonical_product_profile"], True, 7),
+        (["overview"], None, ["enterprise_product_catalogue", "enterprise_product_master_profile"], None, None, 6),
+        (["overview", "procedure"], ["03_construction_method"], ["internal_product_comparison"], [None], True, 1),
+        (["overview"], ["03_construction_method"], [], None, True, 0),
+        (["standard", "procedure"], ["01_standard_specification", "04_node_atlas"], None, None, True, 1),
+        (["atlas"], ["03_construction_method"], None, None, False, 2),
+        (["atlas"], ["03_construction_method", "04_node_atlas"], None, None, False, 3),
+        (["standard"], ["03_construction_method", "01_standard_specification"], None, None, False, 3),
+        ([], ["03_construction_method"], None, ["canonical_product_profile"], True, 0),
+        (None, None, None, None, None, 0),
+    ]
+    frame = spark.createDataFrame(rows, "r array<string>, d array<string>, c array<string>, l array<string>, s boolean, want int")
+    out = frame.select(R.domain_priority(F.col("r"), F.col("d"), F.col("c"), F.col("l"), F.col("s")).alias("got"), "want").collect()
+    assert [r.got for r in out] == [r.want for r in out]
+
+
+def test_metrics_of_labels(spark):
+    from evidentia.operators.sheets import resolved_metrics
+
+    told = spark.createDataFrame([("Gross", "weight"), ("gross ", "weight"), ("net", "weight"), ("Net", "cost"), ("width", "cost"), ("", "area"), (None, "area"), ("x", None)], "label string, metric string")
+    labels = ["Price", "板厚", "total mass", "mass and width", "Gross", "net", "width", "x", "", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "id int, label string")
+    got = {r.id: r.metric for r in resolved_metrics(rows, "label", told).collect()}
+    assert [got[i] for i in range(len(labels))] == ["cost", "thickness", "weight", None, "weight", None, "width", None, None, None]
+    assert resolved_metrics(rows, "label", told.where("false")).count() == len(labels)
