@@ -25,7 +25,7 @@ def fit(rows: DataFrame, audit: int, final: int, members: DataFrame | None = Non
 
     rows: query_id, id (unique in a question), group (rows of one leave together; null: the row alone), source, document, score,
     tokens (in the audit prompt), final_tokens (in the final one), requirements (array), factual, listed (a list that was asked for),
-    mandatory (of a file that was asked for), conflict (one side of a conflict), reduced_tokens (of a shorter text, null if there is none).
+    mandatory (of a file that was asked for), conflict (one side of a conflict), reduced_tokens (of a shorter text, null if there is none; one that saves nothing counts as none).
     Nulls count as 0, none and false. members: query_id, id, place, tokens of the members of lists, each a part of its row's tokens.
 
     Order: representatives that cover the requirements, picked by what they add, then by score. Of each source (each file, if it is

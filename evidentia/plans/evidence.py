@@ -161,6 +161,34 @@ def group_eviction(t: Tables):
     return G.evict_groups(rows, 90)
 
 
+def offered_evidence(t: Tables):
+    """Orders as questions with their lines as evidence: odd lines of a part's parity leave together, some of these groups are sides of a conflict."""
+    id_, p, s = F.col("l_linenumber") * 1000000 + F.col("l_partkey"), F.col("part"), F.col("supplier")
+    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("query_id"), id_.alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
+    rows = rows.agg(F.min("l_suppkey").alias("supplier"), F.max("l_quantity").cast("int").alias("tokens"), F.min("l_discount").alias("score"), F.min("l_returnflag").alias("source"))
+    grouped = F.col("line") % 2 == 1
+    asked = F.array(F.concat(F.lit("p"), (p % 4).cast("string")), F.when(s % 3 > 0, F.concat(F.lit("s"), (s % 3).cast("string"))))
+    flags = [(F.col("tokens") > 5).alias("factual"), (p % 37 == 0).alias("listed"), (s % 29 == 0).alias("mandatory"), (grouped & (p % 2 == 0)).alias("conflict")]
+    return rows.select("query_id", "id", F.when(grouped, F.concat(F.lit("g"), (p % 2).cast("string"))).alias("group"), "source", s.cast("string").alias("document"), "score", "tokens", (F.col("tokens") + 2).alias("final_tokens"), asked.alias("requirements"), *flags, F.when(p % 3 == 0, 4).alias("reduced_tokens"))
+
+
+@query("R14_budget_fit")
+def budget_fit(t: Tables):
+    """Tested against a plain loop: representatives are picked greedily, which SQL can't express for sets."""
+    from ..operators.budget import fit
+
+    return fit(offered_evidence(t), 90, 98)
+
+
+@query("R14_requirement_coverage")
+def requirement_coverage(t: Tables):
+    from ..operators.budget import fit
+    from ..operators.budget import requirement_coverage as coverage
+
+    rows = offered_evidence(t)
+    return coverage(rows, fit(rows, 90, 98))
+
+
 @query("R15_set_cover", """WITH RECURSIVE s AS (SELECT l_suppkey % 10 AS q, l_orderkey AS e, list(DISTINCT l_partkey % 40) AS rs FROM lineitem GROUP BY ALL), f AS (SELECT DISTINCT q, 0 AS position, 0::BIGINT AS e, 0 AS newly, []::BIGINT[] AS done FROM s
  UNION ALL SELECT q, position + 1, e, n, d FROM (SELECT f.q, f.position, s.e, len(list_filter(rs, lambda x: NOT list_contains(done, x)))::INT AS n, list_concat(done, rs) AS d, row_number() OVER (PARTITION BY f.q ORDER BY len(list_filter(rs, lambda x: NOT list_contains(done, x))) DESC, s.e) AS k FROM f JOIN s USING (q) WHERE position < 12) WHERE k = 1 AND n > 0)
  SELECT q AS query_id, e AS evidence_id, position, newly FROM f WHERE position > 0""")
@@ -210,6 +238,34 @@ def provenance_dedup(t: Tables):
     return rows.agg(F.min("doc_id").alias("first_id"), F.max("n_chars").alias("best"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
 
 
+_PASSAGES = r"""WITH d AS (SELECT doc_id, source, lang, n_chars, doc_id % 10 = 0 AS required, regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[^0-9a-z\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]+', '', 'g') AS f FROM documents),
+ k AS (SELECT *, CASE WHEN required THEN 'd' || coalesce(source, '') ELSE '' END AS file, CASE WHEN length(f) + CASE WHEN required THEN 1 + length(coalesce(source, '')) ELSE 0 END >= 32 THEN 't' || md5(f) || '/' || file ELSE 'i' || doc_id END AS key FROM d)"""
+
+
+def _passages(t: Tables):
+    """Documents as passages of one question; required ones merge within their source. Goals are two of five, aspects a language and a source."""
+    from ..operators.provenance import merged_passages
+
+    id_ = F.col("doc_id")
+    name = lambda a, k: F.concat(F.lit(a), (id_ % k).cast("string"))
+    goals = F.create_map(name("a", 2), F.col("n_chars").cast("double"), name("b", 3), -F.col("n_chars").cast("double"))
+    return merged_passages(t.documents.select(F.lit(0).alias("query_id"), id_.alias("id"), id_.alias("place"), "text", F.col("source").alias("document"), (id_ % 10 == 0).alias("required"), goals.alias("goals"), F.array("lang", "source", F.lit("all")).alias("aspects")))
+
+
+@query("U04_goal_scores", _PASSAGES + """, g AS (SELECT key, goal, max(score) AS score FROM (SELECT key, 'a' || doc_id % 2 AS goal, n_chars AS score FROM k UNION ALL SELECT key, 'b' || doc_id % 3, -n_chars FROM k) WHERE score IS NOT NULL GROUP BY ALL),
+ a AS (SELECT key, aspect, min(doc_id * 3 + i) AS first FROM (SELECT key, doc_id, 0 AS i, lang AS aspect FROM k UNION ALL SELECT key, doc_id, 1, source FROM k UNION ALL SELECT key, doc_id, 2, 'all' FROM k) WHERE aspect IS NOT NULL GROUP BY ALL)
+ SELECT min(doc_id) AS id, count(*) AS n, any_value(gs) AS goals, any_value(names) AS aspects FROM k LEFT JOIN (SELECT key, string_agg(goal || '=' || score::BIGINT, ';' ORDER BY goal) AS gs FROM g GROUP BY key) USING (key) LEFT JOIN (SELECT key, string_agg(aspect, ';' ORDER BY first) AS names FROM a GROUP BY key) USING (key) GROUP BY key""")
+def goal_scores(t: Tables):
+    kept, _ = _passages(t)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("goals")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("long").cast("string"))), ";")
+    return kept.select("id", "n", F.nullif(shown, F.lit("")).alias("goals"), F.array_join("aspects", ";").alias("aspects"))
+
+
+@query("U04_passage_members", _PASSAGES + " SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY key) AS kept_id FROM k")
+def passage_members(t: Tables):
+    return _passages(t)[1].select("id", "kept_id")
+
+
 @query("U05_web_dedup", r"SELECT page_id, publisher, text_key, min(page_id) OVER (PARTITION BY publisher, text_key) AS first_id, page_id <> min(page_id) OVER (PARTITION BY publisher, text_key) AS duplicate FROM (SELECT page_id, array_to_string(string_split(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '.')[-2:], '.') AS publisher, md5(trim(regexp_replace(html, '\s+', ' ', 'g'))) AS text_key FROM pages)")
 def web_dedup(t: Tables):
     from ..operators.web import deduplicated

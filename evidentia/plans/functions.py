@@ -326,6 +326,46 @@ def unit_candidates(t: Tables):
     return rows.withColumn("b", base).select("p_partkey", "surface", F.col("b.unit").alias("unit"), F.col("b.value").alias("value"))
 
 
+_NUMBER = r"\(?[-+]?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?\)?"
+_AMOUNT = "doc_id, coalesce(text, '') || ' 共 ' || CASE WHEN doc_id % 3 = 0 THEN '(' || n_chars || ')' ELSE n_chars || '.25' END || [' 万元', '亿', ' 元', ' pcs'][(doc_id % 4 + 1)::INT] || '，' || n_chars || ' (' || doc_id || '; x' || doc_id || '.' AS t"
+
+
+@query(
+    "F46_amount_candidates",
+    rf"""WITH d AS (SELECT {_AMOUNT} FROM documents WHERE n_chars IS NOT NULL), l AS (SELECT doc_id, regexp_extract_all(t, '(?:^|[^\p{{L}}\p{{N}}_.])({_NUMBER}(?:\s*(?:亿元|万元|元|亿|万))?)', 1) AS l FROM d), r AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM l),
+ v AS (SELECT *, try_cast(regexp_replace(regexp_replace(regexp_extract(raw, '^{_NUMBER}'), ',', '', 'g'), '^\((.*)\)$', '-\1') AS DOUBLE) AS value, nullif(regexp_extract(raw, '(亿元|万元|元|亿|万)$', 1), '') AS unit, CASE unit WHEN '万元' THEN 1e4 WHEN '亿' THEN 1e8 ELSE 1 END::DOUBLE AS multiplier FROM r)
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INT AS position, raw, value, unit, multiplier, CASE WHEN unit IS NOT NULL THEN value * multiplier END AS normalised FROM v WHERE value IS NOT NULL""",
+)
+def amount_candidates(t: Tables):
+    """Whole texts, with amounts of the table's own numbers behind them: in brackets, with and without units, and forms that are no number."""
+    n, id_ = F.col("n_chars").cast("string"), F.col("doc_id").cast("string")
+    unit = F.element_at(F.array(*map(F.lit, (" 万元", "亿", " 元", " pcs"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    sum_ = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("("), n, F.lit(")"))).otherwise(F.concat(n, F.lit(".25")))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" 共 "), sum_, unit, F.lit("，"), n, F.lit(" ("), id_, F.lit("; x"), id_, F.lit("."))
+    rows = t.documents.where("n_chars is not null").select("doc_id", F.posexplode(V.amount_candidates(text)).alias("i", "c"))
+    return rows.select("doc_id", (F.col("i") + 1).alias("position"), "c.raw", "c.value", "c.unit", "c.multiplier", "c.normalised")
+
+
+_SIGNS = ("USD 5", "us$5", "Eur", "5 £", "人民币", "$5", "rmb", "U.S. dollars")
+_SCALES = ("in millions", "Thousands", "万元", "billion", "kg")
+
+
+@query(
+    "F47_unit_marks",
+    """WITH o AS (SELECT o_orderkey, o_custkey % 8 AS s, o_orderkey % 5 AS k, ['USD', 'us$', 'Eur', '£', '人民币', '$', 'rmb', 'U.S. dollars'] AS raws, ['USD', 'USD', 'EUR', 'GBP', 'CNY', NULL, 'CNY', 'USD'] AS codes FROM orders),
+ c AS (SELECT o_orderkey, 'currency' AS kind, raws[s + 1] AS raw, codes[s + 1] AS currency, NULL::DOUBLE AS factor, CASE WHEN s = 5 THEN 0.45 ELSE 0.98 END::DOUBLE AS certainty FROM o
+ UNION ALL SELECT o_orderkey, 'currency', '$', NULL, NULL, 0.45 FROM o WHERE s = 1
+ UNION ALL SELECT o_orderkey, 'scale', ['in millions', 'Thousands', '万元', 'billion'][k + 1], NULL, [1e6, 1e3, 1e4, 1e9][k + 1]::DOUBLE, CASE WHEN k = 2 THEN 0.98 ELSE 0.95 END FROM o WHERE k < 4)
+ SELECT * FROM c""",
+)
+def unit_marks(t: Tables):
+    """Headings with a currency and a scale, each of them twice, the second time in capitals."""
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    heading = F.concat(F.lit("Total ("), pick(_SIGNS, F.col("o_custkey") % 8), F.lit(", "), pick(_SCALES, F.col("o_orderkey") % 5), F.lit(") "))
+    rows = t.orders.select("o_orderkey", F.explode(V.unit_marks(F.concat(heading, F.upper(heading)))).alias("m"))
+    return rows.select("o_orderkey", "m.*")
+
+
 @query("F48_unit_conversion", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'kg' ELSE 'mm' END AS unit, round(l_quantity * CASE l_linenumber % 3 WHEN 0 THEN 0.001 WHEN 1 THEN 10 ELSE 1000 END, 6)::DOUBLE AS value FROM lineitem")
 def unit_conversion(t: Tables):
     unit = F.element_at(F.array(F.lit("g"), F.lit("cm"), F.lit("m")), (F.col("l_linenumber") % 3 + 1).cast("int"))

@@ -74,7 +74,7 @@ def plain(rows, members, audit, final):
             left.remove(r)
     less = 0
     for r in sorted(left, key=lambda r: (-r["tokens"], r["id"])):
-        if long_(left, less) and r["reduced_tokens"] is not None and not r["conflict"]:
+        if long_(left, less) and r["reduced_tokens"] is not None and r["reduced_tokens"] < r["tokens"] and not r["conflict"]:
             reduced.add(r["id"])
             less += r["tokens"] - r["reduced_tokens"]
     lists = {r["id"]: [t for _, i, _, t in members if i == r["id"]] for r in left if r["id"] not in reduced}
@@ -113,3 +113,20 @@ def test_fit_of_nothing_and_nulls(spark):
     rows = [(None, i, None, None, None, None, 8, None, [None], None, None, None, None, None) for i in (1, 2, 3)]
     out = {r.id: (r.kept, r.step) for r in B.fit(spark.createDataFrame(rows, SCHEMA), 16, 10).collect()}
     assert out == {1: (True, None), 2: (True, None), 3: (False, "group")}
+
+
+def test_query_as_plain(spark):
+    from evidentia import plans
+    from evidentia.plans.evidence import offered_evidence
+    from evidentia.plans.registry import Tables
+
+    folder = "/root/testdata/sf0.001"
+    asked = {}
+    for r in offered_evidence(Tables(spark, folder)).select(*[n if n != "group" else "`group`" for n in NAMES]).collect():
+        asked.setdefault(r.query_id, []).append((*r[:8], [k for k in r[8] if k], *r[9:]))
+    want = {}
+    for q, rows in asked.items():
+        step, reduced, _ = plain(rows, [], 90, 98)
+        want |= {(q, r[1]): (r[1] not in step, step.get(r[1]), r[1] in reduced) for r in rows}
+    got = {(r.query_id, r.id): (r.kept, r.step, r.reduced) for r in plans.QUERIES["R14_budget_fit"](spark, folder).collect()}
+    assert got == want and {v[1] for v in want.values()} == {None, *B.STEPS}
