@@ -130,3 +130,10 @@ def test_query_as_plain(spark):
         want |= {(q, r[1]): (r[1] not in step, step.get(r[1]), r[1] in reduced) for r in rows}
     got = {(r.query_id, r.id): (r.kept, r.step, r.reduced) for r in plans.QUERIES["R14_budget_fit"](spark, folder).collect()}
     assert got == want and {v[1] for v in want.values()} == {None, *B.STEPS}
+    counts = {}
+    for q, rows in asked.items():
+        for r in rows:
+            for k in r[8]:
+                counts.setdefault((q, k), []).append(want[q, r[1]][0])
+    found = {(r.query_id, r.requirement): (r.offered, r.kept, r.covered) for r in plans.QUERIES["R14_requirement_coverage"](spark, folder).collect()}
+    assert found == {k: (len(v), sum(v), any(v)) for k, v in counts.items()}
