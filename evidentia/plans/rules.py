@@ -462,14 +462,14 @@ def node_assets(t: Tables):
     return L.node_assets(asked, nodes, t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("asset")))
 
 
-@query("J22_nearest_product", """WITH c AS (SELECT vec_id // 4 AS case_id, embedding AS x FROM embeddings WHERE vec_id // 4 % 20 = 0), p AS (SELECT label AS product, list_transform(embedding, lambda x: x) AS y FROM (SELECT label, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY label)), named AS (SELECT case_id, (case_id // 20 % 10) AS product FROM c WHERE case_id // 20 % 7 = 0 GROUP BY ALL),
+@query("J22_nearest_product", """WITH c AS (SELECT vec_id // 4 AS case_id, embedding AS x FROM embeddings), p AS (SELECT label AS product, list_transform(embedding, lambda x: x) AS y FROM (SELECT label, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY label)), named AS (SELECT case_id, (case_id % 10) AS product FROM c WHERE case_id % 7 = 0 GROUP BY ALL),
  d AS (SELECT case_id, product, round(median(sqrt(list_sum(list_transform(list_zip(x, y), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))))), 9) AS distance FROM c, p WHERE case_id NOT IN (SELECT case_id FROM named) GROUP BY ALL)
  SELECT case_id, min(product)::INT AS product, 'named' AS basis, NULL::DOUBLE AS distance FROM named GROUP BY case_id UNION ALL SELECT case_id, min_by(product, {'a': distance, 'b': product}), 'colour', min(distance) FROM d GROUP BY case_id""")
 def nearest_product(t: Tables):
-    """Four vectors are the images of a project, the first vector of each label is a product's; projects divisible by 20 are asked for."""
-    cases = t.embeddings.where("floor(vec_id / 4) % 20 = 0").select(F.floor(F.col("vec_id") / 4).alias("case_id"), F.col("embedding").alias("vector"))
+    """Four vectors are the images of a project, the first vector of each label is a product's; all projects are asked for."""
+    cases = t.embeddings.select(F.floor(F.col("vec_id") / 4).alias("case_id"), F.col("embedding").alias("vector"))
     products = t.embeddings.groupBy(F.col("label").alias("product")).agg(F.min_by("embedding", "vec_id").alias("vector"))
-    named = cases.where("floor(case_id / 20) % 7 = 0").select("case_id", (F.floor(F.col("case_id") / 20) % 10).cast("int").alias("product")).distinct()
+    named = cases.where("case_id % 7 = 0").select("case_id", (F.col("case_id") % 10).cast("int").alias("product")).distinct()
     return L.nearest_products(cases, products, named)
 
 
