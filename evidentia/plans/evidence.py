@@ -209,7 +209,8 @@ def query_windows(t: Tables):
 
 @query("R25_budget_expansion", "SELECT l_orderkey AS query_id, l_linenumber * 1000000 + l_partkey AS id, sum(min(l_quantity)::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 90 AS kept FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey".replace("min(l_quantity)", "max(l_quantity)"))
 def budget_expansion(t: Tables):
-    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("query_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("id")).agg(F.max("l_quantity").cast("long").alias("tokens"))
+    rows = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_quantity").cast("long").alias("tokens"))
+    rows = rows.select(F.col("l_orderkey").alias("query_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("id"), "tokens")
     return G.expanded(rows.withColumn("position", F.col("id")), 90).select("query_id", "id", "kept")
 
 

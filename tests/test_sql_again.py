@@ -39,3 +39,10 @@ def test_units_end_before_other_letters(spark, both):
     frame = spark.createDataFrame([(i, s, "en", "src2", len(s)) for i, s in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got, want = both("D14_relation_tags", documents=frame)
     assert got == want and len({r[1] for r in got}) == 2
+
+
+def test_lines_with_equal_ids_stay_apart(spark, both):
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").limit(1).drop("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    keys = spark.createDataFrame([(7, 1, 1_000_005, 20.0), (7, 2, 5, 20.0), (7, 3, 5, 60.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double")
+    got, want = both("R25_budget_expansion", lineitem=lines.crossJoin(keys))
+    assert got == want and len(got) == 3
