@@ -46,3 +46,12 @@ def test_lines_with_equal_ids_stay_apart(spark, both):
     keys = spark.createDataFrame([(7, 1, 1_000_005, 20.0), (7, 2, 5, 20.0), (7, 3, 5, 60.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double")
     got, want = both("R25_budget_expansion", lineitem=lines.crossJoin(keys))
     assert got == want and len(got) == 3
+
+
+def test_row_of_a_text_with_line_ends(spark, both):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("item_id % 20 = 0").orderBy("item_id").first()["text"]
+    words = item.split()[:6]
+    texts = [" ".join(words) + " x", f"{words[0]}\n{' '.join(words[1:])}\r\n'end' not\nonly", f"q\r{' '.join(words)}"]
+    frame = spark.createDataFrame([(i, s, "de", "src1", len(s)) for i, s in enumerate(texts, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got, want = both("R23_ordered_context", documents=frame)
+    assert want and got == want
