@@ -55,3 +55,28 @@ def test_row_of_a_text_with_line_ends(spark, both):
     frame = spark.createDataFrame([(i, s, "de", "src1", len(s)) for i, s in enumerate(texts, 1)], "doc_id long, text string, lang string, source string, n_chars long")
     got, want = both("R23_ordered_context", documents=frame)
     assert want and got == want
+
+
+def test_scores_of_many_queries_take_little_memory():
+    """A task holds a tile of scores, not those of all queries; ties go by id."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from evidentia.operators import retrieval
+
+    v = np.random.default_rng(1).integers(-2, 3, (20_000, 4)).astype(float)
+    v[::7] = v[1]
+    q = retrieval._unit(v[:2000])
+    tracemalloc.start()
+    got = {}
+    for batch in retrieval.tiles(pa.array(range(20_000)), v, pa.array(range(2000)), q, 5):
+        for r in batch.to_pylist():
+            got.setdefault(r["query_id"], []).append((-r["score"], r["id"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160e6  # all scores of the batch are 320 MB
+    for k in range(0, 2000, 100):
+        score = np.round(retrieval._unit(v) @ q[k], 9)
+        assert [i for _, i in sorted(got[k])] == [i for _, i in sorted(zip(-score, range(20_000), strict=True))[:5]]
