@@ -103,3 +103,26 @@ def test_rows_without_a_document_are_one(spark):
     rows = spark.createDataFrame([(None, "h", 1, cells), (2**60 + 1, "h", 1, cells), (None, "h", 2, cells)], "doc long, header string, row long, cells array<struct<col: string, value: string>>")
     got = sorted(((r.doc, r.row, "[ABOVE]" in r.text) for r in packing.row_chunks(rows).collect()), key=repr)
     assert got == [(2**60 + 1, 1, False), (None, 1, False), (None, 2, True)]
+
+
+def test_periods_of_lines_equal_a_plain_search():
+    import numpy as np
+
+    from evidentia.operators import greedy
+
+    def plain(h, n):
+        for s in range(len(h)):
+            for p in range(3, 41):
+                if s + 3 * p <= len(h) and h[s : s + p] == h[s + p : s + 2 * p] == h[s + 2 * p : s + 3 * p] and sum(n[s : s + p]) >= 240 and len(set(h)) < len(h) - 5:
+                    return p
+        return None
+
+    rng, seen = np.random.default_rng(3), set()
+    for _ in range(300):
+        block = list(rng.integers(0, 4, rng.integers(3, 9)))
+        h = [int(x) for x in [*rng.integers(0, 9, rng.integers(0, 8)), *block * int(rng.integers(1, 5)), *rng.integers(0, 9, 4)]]
+        n = [20 + 15 * x for x in h]
+        want = plain(h, n)
+        assert greedy._period(np.array(h), np.array(n)) == want
+        seen.add(want)
+    assert len(seen) > 3
