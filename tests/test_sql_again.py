@@ -126,3 +126,19 @@ def test_periods_of_lines_equal_a_plain_search():
         assert greedy._period(np.array(h), np.array(n)) == want
         seen.add(want)
     assert len(seen) > 3
+
+
+def test_alike_names_leave_few_candidates(spark, both, monkeypatch):
+    """Names over the automaton's bound that share all short grams: still the SQL's rows, also where several share a name or an id."""
+    from evidentia.operators import containment
+
+    monkeypatch.setattr(containment, "NAME_BYTES", 10)
+    customers = [(i, f"Customer#{i:09d}") for i in range(300)] + [(400, "Customer#000000399 x"), (401, "xCustomer#000000500"), (402, "short"), (403, "Customer#0000005"), (404, None), (405, "Customer#000000007"), (406, "Customer#000000399x"), (406, "none of these")]
+    suppliers = [(i, f"Supplier#{i:09d}") for i in range(200, 520)] + [(600, "Supplier#000000399"), (601, "Supplier#000000210"), (602, None)]
+    got, want = both("J06_fuzzy_catalogue", customer=spark.createDataFrame(customers, "c_custkey long, c_name string"), supplier=spark.createDataFrame(suppliers, "s_suppkey long, s_name string"))
+    assert got == want and {r[0] for r in got} == {"equal", "contained"}
+    names = spark.createDataFrame([(f"customer{i:09d}",) for i in range(500)], "name string")
+    sizes = []
+    monkeypatch.setattr(containment, "_grams", lambda text, n, f=containment._grams: (sizes.append(n), f(text, n))[1])
+    assert containment.contained(names, "name", "name", names.withColumnRenamed("name", "n"), "n").count() == 500
+    assert min(sizes) == 16
