@@ -1,6 +1,9 @@
 """What tasks do and hold as tables grow: pairs in blocks, and tasks of a stated number of rows."""
 
-from evidentia.operators import relations, spread
+from pyspark.sql import functions as F
+
+from evidentia import plans
+from evidentia.operators import packing, relations, spread
 
 
 def plan(df):
@@ -39,3 +42,18 @@ def test_scope_notes_are_written_out_in_blocks(spark, monkeypatch):
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert "Generate explode(r" in plan(out)
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def dealt(spark, name):
+    """Whether a query's work is dealt out by a stated number of rows."""
+    return "REPARTITION_BY_NUM" in plan(plans.QUERIES[name](spark, FOLDER))
+
+
+def test_lines_are_dealt_out_by_rows(spark):
+    assert dealt(spark, "F25_source_compaction") and dealt(spark, "R03_rule_bonuses")
+    text = "[TABLE id=x]\n[COLUMNS] A=p | B=q | C=r\n[ROW source=s;row:1] A1='1' | C1='2'\n[COLUMNS] D=z"
+    rows = spark.createDataFrame([(text,), ("[COLUMNS] A=p",), ("",), (None,)], "t string")
+    assert [r[0] for r in rows.select(packing.narrowed(F.col("t"))).collect()] == ["[TABLE id=x]\n[COLUMNS] A=p | C=r\n[ROW] A1='1' | C1='2'\n[COLUMNS] D=z", "[COLUMNS] A=p", "", None]
