@@ -129,17 +129,21 @@ def wide_facts(cells: DataFrame) -> DataFrame:
     each column whose label names a metric, with the period that their row has in the period's column.
 
     A later row with a period's label in that column begins a further section and holds no facts; the first header's columns stay. Rows
-    without a period and cells without a number give none; a blank is no zero. cells: doc, row, col, value.
+    without a period and cells without a number give none; a blank is no zero. cells: doc, row, col, value, a place once.
+
+    All of it is windows within a document, so cells are dealt out once; labels are read where they head a column, periods in the
+    period's column, and numbers in the columns of a metric.
     """
-    marked = cells.where(F.trim(F.coalesce("value", F.lit(""))) != "").select("doc", "row", "col", "value", (role(F.col("value")) == "period").alias("is_period"))
-    head = marked.where("is_period").groupBy("doc").agg(F.min(F.struct("row", "col")).alias("h")).select("doc", F.col("h.row").alias("head"), F.col("h.col").alias("at"))
-    metrics = marked.join(head, "doc").where("row = head").select("doc", "col", known_metric(F.col("value")).alias("metric"), F.col("value").alias("label")).where("metric is not null")
-    below = marked.join(head, "doc").where("row > head")
-    periods = below.where("col = at").select("doc", "row", F.coalesce("is_period", F.lit(False)).alias("again"), V.period(F.col("value")).alias("period"))
-    section = (F.count_if("again").over(Window.partitionBy("doc").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)) + 1).alias("section")
-    dated = periods.select("doc", "row", "again", "period", section).where("not again and period is not null")
-    values = below.select("doc", "row", "col", V.number(F.col("value")).alias("value")).where("value is not null")
-    return values.join(metrics, ["doc", "col"]).join(dated, ["doc", "row"]).select("doc", "section", "row", "col", "metric", "label", "period", "value")
+    value, by = F.col("value"), lambda *k: Window.partitionBy("doc", *k)
+    filled = cells.where((F.trim(F.coalesce("value", F.lit(""))) != "") & F.col("doc").isNotNull() & F.col("row").isNotNull() & F.col("col").isNotNull())
+    marked = filled.select("doc", "row", "col", "value", normalised_label(value).isin(*PERIOD_LABELS).alias("is_period"))
+    marked = marked.withColumn("h", F.min(F.when(F.col("is_period"), F.struct("row", "col"))).over(by())).where("row >= h.row")
+    below, at = F.col("row") > F.col("h.row"), F.col("col") == F.col("h.col")
+    marked = marked.withColumn("m", F.max(F.when(~below, F.struct(known_metric(value).alias("metric"), value.alias("label")))).over(by("col")))
+    marked = marked.withColumn("section", F.count_if(below & at & F.col("is_period")).over(by().orderBy("row").rangeBetween(Window.unboundedPreceding, Window.currentRow)) + 1)
+    marked = marked.withColumn("p", F.max(F.when(below & at, F.struct("is_period", V.period(value).alias("period")))).over(by("row")))
+    facts = marked.where(below & F.col("m.metric").isNotNull() & ~F.col("p.is_period") & F.col("p.period").isNotNull())
+    return facts.select("doc", "section", "row", "col", "m.metric", "m.label", "p.period", V.number(value).alias("value")).where("value is not null")
 
 
 def sections(cells: DataFrame) -> DataFrame:

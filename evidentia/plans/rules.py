@@ -85,14 +85,14 @@ def wide_facts(t: Tables):
     """Each customer's orders as a wide table whose columns stand in another order by customer: a month, a thickness, a remark and a price.
     Some rows repeat the header, some have no month, some no price."""
     k, swap = F.col("o_orderkey"), F.col("doc") % 2 == 1
-    r = t.orders.withColumn("row", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).withColumn("doc", F.col("o_custkey"))
+    r = spread(t.orders, t.orders, "o_custkey", each=100_000).withColumn("row", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).withColumn("doc", F.col("o_custkey"))
     month = F.when(k % 9 == 4, "月 份").when(k % 5 == 0, "合计").otherwise(F.date_format("o_orderdate", "yyyy-MM"))
     thick, note, price = (k % 1000).cast("string"), F.when(k % 2 == 0, "7 days").otherwise("12"), F.when(k % 4 == 1, F.lit(" ")).otherwise((k % 77).cast("string"))
-    cells = lambda df, *values: _cells(df, *((i, v) for i, v in enumerate(values, 1)))
-    body = cells(r, month, F.when(swap, note).otherwise(thick), F.when(swap, thick).otherwise(note), price)
-    top = r.where("row = 1").withColumn("row", F.lit(0))
-    head = cells(top, F.lit("月份"), F.when(swap, "备注").otherwise("板厚"), F.when(swap, "板厚").otherwise("备注"), F.lit("单价"))
-    return H.wide_facts(head.union(body))
+    cells = lambda row, *values: [F.struct(row.alias("row"), F.lit(i).alias("col"), v.alias("value")) for i, v in enumerate(values, 1)]
+    body = cells(F.col("row"), month, F.when(swap, note).otherwise(thick), F.when(swap, thick).otherwise(note), price)
+    head = cells(F.lit(0), F.lit("月份"), F.when(swap, "备注").otherwise("板厚"), F.when(swap, "板厚").otherwise("备注"), F.lit("单价"))
+    # a document's rows stay in the task that numbered them
+    return H.wide_facts(r.select("doc", F.explode(F.when(F.col("row") == 1, F.array(*head, *body)).otherwise(F.array(*body))).alias("c")).select("doc", "c.*"))
 
 
 @query("D32_header_inference", f"WITH r AS (SELECT doc, row, f, p, row_number() OVER (PARTITION BY doc ORDER BY row) AS n FROM ({_SHEET})), k AS (SELECT *, CASE f WHEN 'R' THEN 0 WHEN 'A' THEN 1 END AS tier FROM r WHERE n <= 30), b AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY tier, row) AS i FROM k WHERE tier IS NOT NULL) SELECT doc, row, CASE f WHEN 'R' THEN '厚度|宽度' ELSE '备注|x' || p END AS labels FROM b WHERE i = 1")

@@ -57,3 +57,7 @@ def test_lines_are_dealt_out_by_rows(spark):
     text = "[TABLE id=x]\n[COLUMNS] A=p | B=q | C=r\n[ROW source=s;row:1] A1='1' | C1='2'\n[COLUMNS] D=z"
     rows = spark.createDataFrame([(text,), ("[COLUMNS] A=p",), ("",), (None,)], "t string")
     assert [r[0] for r in rows.select(packing.narrowed(F.col("t"))).collect()] == ["[TABLE id=x]\n[COLUMNS] A=p | C=r\n[ROW] A1='1' | C1='2'\n[COLUMNS] D=z", "[COLUMNS] A=p", "", None]
+
+
+def test_wide_facts_read_their_table_once(spark):
+    assert plan(plans.QUERIES["D07_wide_facts"](spark, FOLDER)).count("FileScan") == 1
