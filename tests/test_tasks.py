@@ -68,3 +68,7 @@ def test_xml_is_dealt_out_by_rows(spark):
     assert dealt(spark, "S11_xml_scan")
     docs = spark.createDataFrame([(1, "<t><r k='1'>x</r><r><a>1</a><a>2</a></r></t>"), (2, "<t>"), (3, None)], "id int, x string")
     assert [tuple(r) for r in markup.xml_scan(docs, "id", "x").collect()] == [(1, "t/r", 1, "@k", "1"), (1, "t/r", 1, "#text", "x"), (1, "t/r", 2, "a", "1 | 2"), (1, "t/r/a", 1, "#text", "1"), (1, "t/r/a", 2, "#text", "2")]
+
+
+def test_row_facts_are_dealt_out_by_rows(spark):
+    assert dealt(spark, "D12_row_facts")
