@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .spread import spread
 
 #: A number with its sign, thousands and percent sign, not inside a word; spellings of percent; claims that only evidence may make;
 #: words that say that a positive number is a loss; what ends a sentence (fixed values).
@@ -201,10 +202,12 @@ def coverage_contract(aspects: DataFrame, claims: DataFrame, answers: DataFrame,
 CITATION = ("evidence_id", "document_name", "source_page", "sheet_name", "source_range", "section_heading")
 
 
-def citations(requests: DataFrame, references: DataFrame, answer: str = "answer") -> DataFrame:
+def citations(requests: DataFrame, references: DataFrame, answer: str = "answer", like: DataFrame | None = None) -> DataFrame:
     """D26. Each answer's references in order of its requests, distinct by the six fields of ``CITATION`` (nulls are equal), the first of
-    equals. requests: answer, evidence_id, position; references: evidence_id, ordinal and the other five. Adds ``n``, from 1."""
+    equals. requests: answer, evidence_id, position; references: evidence_id, ordinal and the other five. Adds ``n``, from 1.
+    They are dealt out by answer once, in tasks by the rows of ``like`` (a table with as many rows as requests) if it is given."""
     rows = requests.join(references, "evidence_id")
+    rows = spread(rows, like, answer, each=200_000) if like is not None else rows
     w = Window.partitionBy(answer, *CITATION).orderBy("position", "ordinal")
     one = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return one.withColumn("n", F.row_number().over(Window.partitionBy(answer).orderBy("position", "ordinal"))).select(answer, "n", *CITATION)

@@ -241,10 +241,10 @@ def citation_contract(t: Tables):
 @query("D26_citations", """WITH q AS (SELECT l_suppkey AS answer, l_partkey AS evidence_id, min(l_orderkey * 1000000 + l_partkey) AS position FROM lineitem GROUP BY ALL), f AS (SELECT p_partkey AS evidence_id, o AS ordinal, p_brand AS document_name, CASE WHEN o < 3 THEN p_size % 5 END AS source_page, CASE WHEN o = 3 THEN 's' || p_size % 2 END AS sheet_name, NULL::VARCHAR AS source_range, p_type AS section_heading FROM part, (SELECT unnest([1, 2, 3]) AS o)),
  j AS (SELECT *, row_number() OVER (PARTITION BY answer, evidence_id, document_name, source_page, sheet_name, source_range, section_heading ORDER BY position, ordinal) AS k FROM q JOIN f USING (evidence_id)) SELECT answer, row_number() OVER (PARTITION BY answer ORDER BY position, ordinal) AS n, evidence_id, document_name, source_page, sheet_name, source_range, section_heading FROM j WHERE k = 1""")
 def citation_rows(t: Tables):
-    requests = t.lineitem.groupBy(F.col("l_suppkey").alias("answer"), F.col("l_partkey").alias("evidence_id")).agg(F.min(F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("position"))
+    requests = spread(t.lineitem, t.lineitem, "l_partkey").groupBy(F.col("l_suppkey").alias("answer"), F.col("l_partkey").alias("evidence_id")).agg(F.min(F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("position"))
     o = F.col("ordinal")
     references = t.part.select("*", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("ordinal")).select(F.col("p_partkey").alias("evidence_id"), "ordinal", F.col("p_brand").alias("document_name"), F.when(o < 3, F.col("p_size") % 5).alias("source_page"), F.when(o == 3, F.concat(F.lit("s"), (F.col("p_size") % 2).cast("string"))).alias("sheet_name"), F.lit(None).cast("string").alias("source_range"), F.col("p_type").alias("section_heading"))
-    return A.citations(requests, references)
+    return A.citations(requests, references, like=t.lineitem)
 
 
 @query("D33_source_locations", """WITH r AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), j AS (SELECT l_orderkey, p_size AS page, p_brand AS sheet, p_type AS heading, min(i) AS i FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS i FROM r) JOIN part ON l_partkey = p_partkey WHERE p_size <= 12 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY i) AS n FROM j)

@@ -72,3 +72,7 @@ def test_xml_is_dealt_out_by_rows(spark):
 
 def test_row_facts_are_dealt_out_by_rows(spark):
     assert dealt(spark, "D12_row_facts")
+
+
+def test_citations_are_dealt_out_by_rows(spark):
+    assert dealt(spark, "D26_citations")
