@@ -111,12 +111,12 @@ def first_fit(items: DataFrame, keys: list[str], order: list[str], id: str, size
 
 
 def violations(packed: DataFrame, known: DataFrame, id: str, digest: str, group: str) -> DataFrame:
-    """D27. (id, reason): packed rows that are unknown, differ from their digest, or are part of a group that isn't whole."""
+    """D27. (id, reason): packed rows that are unknown, differ from their digest, or are part of a group that isn't whole. Ids are known once."""
     k = known.select(F.col(id).alias("_id"), F.col(digest).alias("_digest"), F.col(group).alias("_group"))
     rows = packed.join(k, F.col(id) == F.col("_id"), "left")
     size = known.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("whole"))
     part = packed.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("held")).join(size, "_g").where("held < whole").select("_g")
-    broken = rows.join(part, F.col(group) == F.col("_g"), "left_semi").select(id, F.lit("group_incomplete").alias("reason"))
+    broken = packed.join(part, F.col(group) == F.col("_g"), "left_semi").select(id, F.lit("group_incomplete").alias("reason"))
     unknown = rows.where("_id is null").select(id, F.lit("unknown_id").alias("reason"))
     changed = rows.where(F.col("_digest") != F.col(digest)).select(id, F.lit("digest_differs").alias("reason"))
     return unknown.union(changed).union(broken)

@@ -11,6 +11,7 @@ from ..operators import evidence as E
 from ..operators import greedy as G
 from ..operators import memory as M
 from ..operators.ranks import ranked_within
+from ..operators.spread import spread
 from .registry import Tables, query
 
 
@@ -381,7 +382,7 @@ def extractive_fallback(t: Tables):
 
 @query("D27_pack_violations", "SELECT o_orderkey AS id, 'group_incomplete' AS reason FROM orders WHERE o_orderkey % 5 <> 0 AND o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING sum((o_orderkey % 5 <> 0)::INT) BETWEEN 1 AND count(*) - 1) UNION ALL SELECT o_orderkey, 'digest_differs' FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 11 = 0")
 def pack_violations(t: Tables):
-    known = t.orders.select(F.col("o_orderkey").alias("id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("digest"), F.col("o_custkey").alias("grp"))
+    known = spread(t.orders, t.orders, "o_orderkey", each=200_000).select(F.col("o_orderkey").alias("id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("digest"), F.col("o_custkey").alias("grp"))
     packed = known.where("id % 5 <> 0").withColumn("digest", F.when(F.col("id") % 11 == 0, F.lit("x")).otherwise(F.col("digest")))
     return E.violations(packed, known, "id", "digest", "grp")
 

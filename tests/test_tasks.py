@@ -76,3 +76,7 @@ def test_row_facts_are_dealt_out_by_rows(spark):
 
 def test_citations_are_dealt_out_by_rows(spark):
     assert dealt(spark, "D26_citations")
+
+
+def test_violations_are_dealt_out_by_rows(spark):
+    assert dealt(spark, "D27_pack_violations")
