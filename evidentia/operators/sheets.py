@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from .spread import spread
 
 #: Header labels by role, as they stand when normalised (fixed values).
 PERIOD_LABELS = ("period", "月份", "期间", "报告期间", "日期", "date", "month")
@@ -88,27 +89,26 @@ DATA_CELL = r"(?i)^-?\d+(?:,\d{3})*(?:\.\d+)?(?:e[+-]?\d+)?\s*(?:%|mm|cm|m|kg|g|
 UNIT_HINT = r"(?i)unit|单位|毫米|厘米|千克|平方米|万元|(?<![A-Za-z])(?:mm|cm|m|kg|g|kWh|MWh|megawatthours|tons?|barrels?|dollars?|cents?|USD|EUR|CNY|hours?|days?)(?![A-Za-z])"
 
 
-def table_contexts(cells: DataFrame, merges: DataFrame, most: int = 3, longest: int = 220) -> DataFrame:
+def table_contexts(cells: DataFrame, merges: DataFrame, most: int = 3, longest: int = 220, like: DataFrame | None = None) -> DataFrame:
     """W08. (doc, row, col, section, headers): of each cell of a data row the full-width heading above it, and the last ``most`` header cells
     of its column, joined by `` / ``.
 
     A row with a number is data, others are headers. A merged header stands over all of its columns; one over a table's whole width begins a
     section, which ends headers that name a unit. Header cells longer than ``longest`` are left out. cells: doc, row, col (from 1),
     value; merges: doc, row, col, end (ranges within a row). A table's width is its last column or merge. Each column's marks are folded in
-    order of rows; a table's columns are apart, and tables are.
+    order of rows; a table's columns are apart, and tables are. Cells and merges are dealt out by document once, in tasks by the rows of
+    ``like`` if it is given.
     """
     filled = cells.select("doc", "row", "col", F.trim(F.coalesce("value", F.lit(""))).alias("value")).where("value <> ''")
-    data = filled.groupBy("doc", "row").agg(F.bool_or(F.col("value").rlike(DATA_CELL)).alias("data"))
-    ranges = merges.groupBy("doc", "row", "col").agg(F.max("end").alias("end"))
-    marked = filled.join(data, ["doc", "row"]).join(ranges, ["doc", "row", "col"], "left").withColumn("end", F.greatest(F.coalesce("end", "col"), "col"))
-    width = marked.groupBy("doc").agg(F.max("end").alias("width"))
-    marked = marked.join(width, "doc")
+    rows = filled.withColumn("end", F.col("col")).unionByName(merges.select("doc", "row", "col", "end").withColumn("value", F.lit(None).cast("string"))).where("doc is not null and row is not null")
+    rows = spread(rows, like, "doc", each=200_000) if like is not None else rows
+    by = lambda *k: Window.partitionBy("doc", *k)
+    marked = rows.withColumn("end", F.greatest(F.max("end").over(by("row", "col")), "col")).where("value is not null")
+    marked = marked.withColumn("data", F.bool_or(F.col("value").rlike(DATA_CELL)).over(by("row"))).withColumn("width", F.max("end").over(by()))
     whole = (F.col("col") == 1) & (F.col("end") == F.col("width")) & (F.col("width") > 1)
-    heads = marked.where(~F.col("data") & (F.length("value") <= longest)).withColumn("whole", whole)
-    over = heads.where("not whole").select("doc", F.explode(F.sequence("col", "end")).alias("over"), "row", F.col("col").alias("at"), F.lit("header").alias("kind"), "value")
-    ends = heads.where("whole").select("doc", F.explode(F.sequence(F.lit(1), "width")).alias("over"), "row", F.col("col").alias("at"), F.lit("section").alias("kind"), "value")
-    asks = marked.where("data").select("doc", F.col("col").alias("over"), "row", F.col("col").alias("at"), F.lit("data").alias("kind"), "value")
-    marks = over.union(ends).union(asks).groupBy("doc", "over").agg(F.array_sort(F.collect_list(F.struct("row", "at", "kind", "value"))).alias("marks"))
+    marked = marked.where(F.col("data") | (F.length("value") <= longest)).withColumn("kind", F.when(F.col("data"), "data").when(whole, "section").otherwise("header"))
+    to = F.when(F.col("kind") == "data", F.col("col")).when(F.col("kind") == "section", F.col("width")).otherwise(F.col("end"))
+    marks = marked.select("doc", F.explode(F.sequence("col", to)).alias("over"), "row", F.col("col").alias("at"), "kind", "value").groupBy("doc", "over").agg(F.array_sort(F.collect_list(F.struct("row", "at", "kind", "value"))).alias("marks"))
     empty = F.array().cast("array<string>")
     begin = F.struct(F.lit("").alias("section"), empty.alias("headers"), F.array().cast("array<struct<row:bigint,section:string,headers:string>>").alias("out"))
 

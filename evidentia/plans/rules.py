@@ -72,10 +72,10 @@ _GRID = "SELECT l_orderkey AS doc, l_linenumber AS row, min(l_suppkey) % 3 + 1 A
  SELECT k.doc, k.row, k.col, s0 AS section, array_to_string(h0, ' / ') AS headers FROM k JOIN f ON f.doc = k.doc AND f.i = k.i AND f.c = k.col WHERE data""")
 def header_context(t: Tables):
     """Each order as a sheet of a cell a line: large quantities are data, other lines headers over up to three columns, some with a unit."""
-    g = t.lineitem.groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("row")).agg((F.min("l_suppkey") % 3 + 1).alias("col"), F.min("l_partkey").alias("p"), F.max("l_quantity").alias("q"), F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"))
+    g = spread(t.lineitem, t.lineitem, "l_orderkey").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("row")).agg((F.min("l_suppkey") % 3 + 1).alias("col"), F.min("l_partkey").alias("p"), F.max("l_quantity").alias("q"), F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"))
     value = F.when(F.col("q") > 22, F.concat(F.col("q").cast("long"), F.lit(" mm"))).when(F.col("p") % 4 == 0, F.concat(F.lit("宽 "), "f", F.lit(" kg"))).otherwise(F.concat("f", "s"))
     merges = g.where("q <= 22").select("doc", "row", "col", (F.col("col") + F.col("p") % 3).alias("end"))
-    return H.table_contexts(g.select("doc", "row", "col", value.alias("value")), merges)
+    return H.table_contexts(g.select("doc", "row", "col", value.alias("value")), merges, like=t.lineitem)
 
 
 @query("D07_wide_facts", """WITH r AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row, o_orderkey AS k, o_orderdate AS d FROM orders), x AS (SELECT *, k % 9 = 4 AS again, sum((k % 9 = 4)::INT) OVER (PARTITION BY doc ORDER BY row) + 1 AS section FROM r)

@@ -80,3 +80,7 @@ def test_citations_are_dealt_out_by_rows(spark):
 
 def test_violations_are_dealt_out_by_rows(spark):
     assert dealt(spark, "D27_pack_violations")
+
+
+def test_header_contexts_read_cells_and_merges_once(spark):
+    assert plan(plans.QUERIES["W08_header_context"](spark, FOLDER)).count("FileScan") == 2
