@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from evidentia import plans
-from evidentia.operators import packing, relations, spread
+from evidentia.operators import greedy, packing, relations, spread
 from evidentia.sources import markup
 
 
@@ -84,3 +84,10 @@ def test_violations_are_dealt_out_by_rows(spark):
 
 def test_header_contexts_read_cells_and_merges_once(spark):
     assert plan(plans.QUERIES["W08_header_context"](spark, FOLDER)).count("FileScan") == 2
+
+
+def test_windows_are_handed_on_before_a_batch_ends(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a bc. def " * (30 * i)) for i in range(9)] + [(9, None)], "doc_id long, text string").coalesce(1)
+    whole = [tuple(r) for r in greedy.windows(docs, 40, 8).collect()]
+    monkeypatch.setattr(greedy, "HELD", 100)
+    assert [tuple(r) for r in greedy.windows(docs, 40, 8).collect()] == whole and len(whole) > 20
