@@ -1,9 +1,13 @@
 """What tasks do and hold as tables grow: pairs in blocks, and tasks of a stated number of rows."""
 
+import math
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from evidentia import plans
-from evidentia.operators import greedy, packing, relations, spread
+from evidentia.operators import greedy, packing, relations, retrieval, spread
 from evidentia.sources import markup
 
 
@@ -91,3 +95,19 @@ def test_windows_are_handed_on_before_a_batch_ends(spark, monkeypatch):
     whole = [tuple(r) for r in greedy.windows(docs, 40, 8).collect()]
     monkeypatch.setattr(greedy, "HELD", 100)
     assert [tuple(r) for r in greedy.windows(docs, 40, 8).collect()] == whole and len(whole) > 20
+
+
+def test_places_of_terms_are_counted_in_the_vocabulary(spark, monkeypatch):
+    names, write = [], retrieval.workspace.written
+    monkeypatch.setattr(retrieval.workspace, "written", lambda df, name: names.append(name) or write(df, name))
+    texts = ["aa aaa xaax there he 岩棉板 岩棉岩棉 岩", "HE/aa 岩 棉 岩棉", "a-a-a", "", None, "other he"]
+    windows = spark.createDataFrame(list(enumerate(texts)), "window_id int, text string")
+    queries = spark.createDataFrame([(1, "aa he"), (2, "岩棉板 a-a-a the")], "query_id int, text string")
+    out = {(r.query_id, r.window_id): r.score for r in retrieval.window_scores(queries, windows).collect()}
+    own = {0: {"aa", "he", "岩棉", "棉板", "岩棉板"}, 1: {"岩棉"}, 2: {"a-a-a"}, 5: {"he"}}
+    df, want = Counter(t for terms in own.values() for t in terms), {}
+    for q, terms in ((1, {"aa", "he"}), (2, {"岩棉板", "岩棉", "棉板", "a-a-a"})):
+        for w, held in own.items():
+            parts = [math.log(1 + 7 / (df[t] + 1)) * (1 + c / (c + 1.5)) for t in terms & held for c in [texts[w].lower().count(t)]]
+            want |= {(q, w): round(sum(parts), 9)} if parts else {}
+    assert out == pytest.approx(want) and "tokens" in names
