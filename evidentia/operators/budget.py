@@ -1,15 +1,22 @@
 """A question's evidence within the budgets of two prompts: what leaves, in which order, and what stays whatever it costs (R14).
 
 Every step of the relaxation is a place in one order of leaving per question, so running sums tell who leaves; no step is a loop over
-rows. Only the choice of representatives and of the last holders of requirements goes in rounds, for all questions at once.
+rows. Only the choice of representatives and of the last holders of requirements goes in rounds, for all questions at once. Questions of
+up to ``WHOLE`` rows are fitted in blocks of whole questions, after one shuffle; larger ones by joins and aggregates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
 from ..sources import workspace
+from . import fitting
 from .catalog import sized_broadcast
 from .greedy import _running, set_cover
 from .ranks import ranked_within
@@ -18,14 +25,17 @@ from .ranks import ranked_within
 STEPS = ("group", "cell", "conflict", "source")
 #: Places of representatives are below this, places of other rows above.
 REST = 1 << 40
+#: Rows of a question that a task holds at once; larger questions are many tasks' work.
+WHOLE = 1 << 16
 
 
-def fit(rows: DataFrame, audit: int, final: int, members: DataFrame | None = None) -> DataFrame:
+def fit(rows: DataFrame, audit: int, final: int, members: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """R14. (query_id, id, kept, step, reduced, members_left) for every row. A question whose rows fit both budgets keeps all of them.
 
     rows: query_id, id (unique in a question), group (rows of one leave together; null: the row alone), source, document, score,
     tokens (in the audit prompt), final_tokens (in the final one), requirements (array), factual, listed (a list that was asked for),
     mandatory (of a file that was asked for), conflict (one side of a conflict), reduced_tokens (of a shorter text, null if there is none; one that saves nothing counts as none).
+    carry: columns of ``rows`` that the result has too.
     Nulls count as 0, none and false. members: query_id, id, place, tokens of the members of lists, each a part of its row's tokens.
 
     Order: representatives that cover the requirements, picked by what they add, then by score. Of each source (each file, if it is
@@ -40,7 +50,42 @@ def fit(rows: DataFrame, audit: int, final: int, members: DataFrame | None = Non
     flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     asked = F.coalesce("requirements", F.array().cast("array<string>"))
-    all_ = rows.select(F.struct("query_id").alias("q"), "id", "group", "source", "document", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), number("tokens"), number("final_tokens"), F.array_distinct(F.array_compact(asked)).alias("requirements"), flag("factual"), flag("listed"), flag("mandatory"), flag("conflict"), F.col("reduced_tokens").cast("long").alias("reduced_tokens"))
+    held = [F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), number("tokens"), number("final_tokens"), F.array_distinct(F.array_compact(asked)).alias("requirements"), flag("factual"), flag("listed"), flag("mandatory"), flag("conflict"), F.col("reduced_tokens").cast("long").alias("reduced_tokens")]
+    all_ = rows.select("query_id", "id", "group", "source", "document", *held, *(F.col(c).alias(f"_carry_{c}") for c in carry))
+    large = workspace.written(rows.groupBy("query_id").count().where(F.col("count") > WHOLE).select(F.struct("query_id").alias("_q")), "large")
+    if large.isEmpty():
+        out = _in_blocks(all_, audit, final)
+    else:
+        of = lambda how: all_.join(sized_broadcast(large), F.struct("query_id") == F.col("_q"), how)
+        out = _in_blocks(of("left_anti"), audit, final).unionByName(_by_joins(of("left_semi"), audit, final))
+    if members is None:
+        out = out.withColumn("members_left", F.lit(None).cast("long"))
+    else:
+        out = workspace.written(out, "evicted")
+        partial = _listed(out.withColumn("q", F.struct("query_id")), audit, final, members)
+        out = out.join(partial, (F.struct("query_id") == F.col("_mq")) & (F.col("id") == F.col("_mid")), "left")
+    return out.select("query_id", "id", F.col("step").isNull().alias("kept"), "step", "reduced", "members_left", *(F.col(f"_carry_{c}").alias(c) for c in carry))
+
+
+def _in_blocks(all_: DataFrame, audit: int, final: int) -> DataFrame:
+    """``all_`` with step and reduced. Rows are dealt out by question and sorted by id; tasks take blocks of whole questions."""
+    asked = all_.select(F.row_number().over(Window.partitionBy("query_id").orderBy("id")).alias("n"), "*")
+    names = [c for c in all_.columns if c in ("query_id", "id", "tokens", "final_tokens", "reduced_tokens", "conflict") or c.startswith("_carry_")]
+    schema = D.StructType([*(all_.schema[c] for c in names), D.StructField("step", D.StringType()), D.StructField("reduced", D.BooleanType())])
+    steps = pa.array([*STEPS, None], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in fitting.blocks(batches):
+            step, reduced = fitting.evicted(table, audit, final)
+            done = table.select(names).append_column("step", steps.take(pa.array(np.where(step < 0, len(STEPS), step))))
+            yield from done.append_column("reduced", pa.array(reduced)).to_batches()
+
+    return asked.mapInArrow(run, schema)
+
+
+def _by_joins(all_: DataFrame, audit: int, final: int) -> DataFrame:
+    """``all_`` with step and reduced, for questions of any size."""
+    all_ = all_.withColumn("q", F.struct("query_id"))
     totals = all_.groupBy(F.col("q").alias("_q")).agg(F.sum("tokens").alias("total"), F.sum("final_tokens").alias("final_total"))
     over = workspace.written(totals.where((F.col("total") > audit) | (F.col("final_total") > final)), "over")
     held = all_.join(sized_broadcast(over), F.col("q") == F.col("_q"), "left_semi")
@@ -50,12 +95,12 @@ def fit(rows: DataFrame, audit: int, final: int, members: DataFrame | None = Non
     gone = workspace.written(_leaving(units, placed, over, audit, final), "leaving")
     out = placed.join(gone.withColumnRenamed("q", "_q").withColumnRenamed("unit", "_unit"), (F.col("q") == F.col("_q")) & (F.col("unit") == F.col("_unit")), "left")
     out = workspace.written(out.select("q", "id", "tokens", "final_tokens", "reduced_tokens", "conflict", "step"), "evicted")
-    shorter, partial = _shortened(out, audit, final, members)
+    shorter = _shortened(out, audit, final)
     changes = out.select(F.col("q").alias("_q"), F.col("id").alias("_id"), "step").where("step is not null")
     keys = lambda a, b: (F.col("q") == F.col(a)) & (F.col("id") == F.col(b))
-    done = all_.select("q", "id").join(changes, keys("_q", "_id"), "left").join(shorter, keys("_sq", "_sid"), "left")
-    done = done.join(partial, keys("_mq", "_mid"), "left") if partial is not None else done.withColumn("members_left", F.lit(None).cast("long"))
-    return done.select("q.query_id", "id", F.col("step").isNull().alias("kept"), "step", F.col("_sid").isNotNull().alias("reduced"), "members_left")
+    done = all_.join(changes, keys("_q", "_id"), "left").join(shorter, keys("_sq", "_sid"), "left")
+    carried = [c for c in all_.columns if c.startswith("_carry_")]
+    return done.select("query_id", "id", "tokens", "final_tokens", "reduced_tokens", "conflict", *carried, "step", F.col("_sid").isNotNull().alias("reduced"))
 
 
 def _placed(ranked: DataFrame) -> DataFrame:
@@ -134,30 +179,36 @@ def _until(events: DataFrame, order: list[str], excess: DataFrame) -> DataFrame:
     return _running(workspace.written(ranked, "events"), "q", "i", "saved").where("before < excess")
 
 
-def _shortened(out: DataFrame, audit: int, final: int, members: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """(_sq, _sid) of the rows that take their reduced text, and (_mq, _mid, members_left) of lists that lose members."""
+def _shortened(out: DataFrame, audit: int, final: int) -> DataFrame:
+    """(_sq, _sid) of the rows that take their reduced text."""
     kept = out.where("step is null")
     sums = kept.groupBy("q").agg(F.sum("tokens").alias("a"), F.sum("final_tokens").alias("f"))
     saved = F.col("tokens") - F.col("reduced_tokens")
     shorter = _until(kept.where((saved > 0) & ~F.col("conflict")).select("q", "id", "tokens", saved.alias("saved")), ["-tokens", "id"], _excess(sums, audit, final))
-    shorter = workspace.written(shorter.select(F.col("q").alias("_sq"), F.col("id").alias("_sid"), "saved"), "shorter")
-    if members is None:
-        return shorter, None
-    less = shorter.groupBy("_sq").agg(F.sum("saved").alias("less"))
-    sums = sums.join(less, F.col("q") == F.col("_sq"), "left").select("q", *((F.col(c) - F.coalesce("less", F.lit(0))).alias(c) for c in ("a", "f")))
-    whole = kept.join(shorter, (F.col("q") == F.col("_sq")) & (F.col("id") == F.col("_sid")), "left_anti").select("q", "id")
+    return workspace.written(shorter.select(F.col("q").alias("_sq"), F.col("id").alias("_sid")), "shorter")
+
+
+def _listed(out: DataFrame, audit: int, final: int, members: DataFrame) -> DataFrame:
+    """(_mq, _mid, members_left) of lists that lose members. out: q, id, step, reduced and the tokens of rows."""
+    kept = out.where("step is null")
+    less = F.coalesce(F.sum(F.when(F.col("reduced"), F.col("tokens") - F.col("reduced_tokens"))), F.lit(0))
+    sums = kept.groupBy("q").agg((F.sum("tokens") - less).alias("a"), (F.sum("final_tokens") - less).alias("f"))
+    whole = kept.where("not reduced").select("q", "id")
     own = members.select(F.struct("query_id").alias("q"), "id", "place", F.coalesce("tokens", F.lit(0)).cast("long").alias("saved")).join(whole, ["q", "id"])
     own = ranked_within(own.select(F.struct("q", "id").alias("list"), "place", "saved"), ["list"], ["place"], "k", "all")
     long_ = _running(workspace.written(own, "members"), "list", "k", "saved").withColumn("length", F.col("before") + F.col("saved")).drop("before")
     events = long_.where("k > 1").select("list.q", F.col("list.id").alias("id"), "k", "all", "length", "saved")
     cut = _until(events, ["-length", "id", "-k"], _excess(sums, audit, final))
     partial = cut.groupBy(F.col("q").alias("_mq"), F.col("id").alias("_mid")).agg((F.max("all") - F.count("*")).alias("members_left"))
-    return shorter, workspace.written(partial, "partial")
+    return workspace.written(partial, "partial")
 
 
 def requirement_coverage(rows: DataFrame, fitted: DataFrame) -> DataFrame:
-    """R14. (query_id, requirement, offered, kept, covered): how many rows hold each requirement, and how many of them stay."""
-    held = rows.select("query_id", "id", F.explode(F.array_distinct(F.array_compact("requirements"))).alias("requirement"))
+    """R14. (query_id, requirement, offered, kept, covered): how many rows hold each requirement, and how many of them stay.
+
+    fitted: the result of ``fit``; if it carries the requirements, ``rows`` aren't read again."""
     stays: Column = F.col("kept").cast("int")
-    out = held.join(fitted.select("query_id", "id", "kept"), ["query_id", "id"]).groupBy("query_id", "requirement")
+    held = lambda df, *also: df.select("query_id", "id", *also, F.explode(F.array_distinct(F.array_compact("requirements"))).alias("requirement"))
+    both = held(fitted, "kept") if "requirements" in fitted.columns else held(rows).join(fitted.select("query_id", "id", "kept"), ["query_id", "id"])
+    out = both.groupBy("query_id", "requirement")
     return out.agg(F.count("*").alias("offered"), F.sum(stays).alias("kept")).withColumn("covered", F.col("kept") > 0)

@@ -165,7 +165,8 @@ def group_eviction(t: Tables):
 def offered_evidence(t: Tables):
     """Orders as questions with their lines as evidence: odd lines of a part's parity leave together, some of these groups are sides of a conflict."""
     id_, p, s = F.col("l_linenumber") * 1000000 + F.col("l_partkey"), F.col("part"), F.col("supplier")
-    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("query_id"), id_.alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
+    # dealt out by question once, which its rows' grouping and fitting share
+    rows = t.lineitem.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("query_id"), id_.alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
     rows = rows.agg(F.min("l_suppkey").alias("supplier"), F.max("l_quantity").cast("int").alias("tokens"), F.min("l_discount").alias("score"), F.min("l_returnflag").alias("source"))
     grouped = F.col("line") % 2 == 1
     asked = F.array(F.concat(F.lit("p"), (p % 4).cast("string")), F.when(s % 3 > 0, F.concat(F.lit("s"), (s % 3).cast("string"))))
@@ -187,7 +188,7 @@ def requirement_coverage(t: Tables):
     from ..operators.budget import requirement_coverage as coverage
 
     rows = offered_evidence(t)
-    return coverage(rows, fit(rows, 90, 98))
+    return coverage(rows, fit(rows, 90, 98, carry=("requirements",)))
 
 
 @query("R15_set_cover", """WITH RECURSIVE s AS (SELECT l_suppkey % 10 AS q, l_orderkey AS e, list(DISTINCT l_partkey % 40) AS rs FROM lineitem GROUP BY ALL), f AS (SELECT DISTINCT q, 0 AS position, 0::BIGINT AS e, 0 AS newly, []::BIGINT[] AS done FROM s
