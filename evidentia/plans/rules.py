@@ -157,7 +157,8 @@ def table_row_chunks(t: Tables):
     cell = lambda c, v: F.struct(F.lit(c).alias("col"), v.cast("string").alias("value"))
     cells = F.array(cell("A", F.col("p")), cell("B", F.col("u")), cell("C", F.col("f")), cell("D", F.col("s")), cell("E", F.col("q")), cell("F", F.concat("f", "s")))
     rows = _lines(t).select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("row"), F.concat(F.lit("[TABLE id="), F.col("l_orderkey").cast("string"), F.lit("]\n[COLUMNS] A=part | B=supplier")).alias("header"), cells.alias("cells"))
-    return K.row_chunks(rows, 44)
+    # lines are dealt out by order, their table
+    return K.row_chunks(rows, 44, dealt=True)
 
 
 def _documents(t: Tables):

@@ -111,3 +111,67 @@ def test_places_of_terms_are_counted_in_the_vocabulary(spark, monkeypatch):
             parts = [math.log(1 + 7 / (df[t] + 1)) * (1 + c / (c + 1.5)) for t in terms & held for c in [texts[w].lower().count(t)]]
             want |= {(q, w): round(sum(parts), 9)} if parts else {}
     assert out == pytest.approx(want) and "tokens" in names
+
+
+def plain_chunks(rows, budget):
+    """D02 a row at a time."""
+    import re
+
+    out, tables = [], {}
+    for doc, header, row, cells in sorted(rows, key=lambda r: r[2]):
+        above = tables.setdefault(doc, {})
+        shown = {c: f"{c}{row}='{v}'" for c, v in cells if v is not None}
+        first = list(shown)[:2] if len(shown) > 2 else []
+        text = lambda group, first=first, shown=shown, header=header: f"{header}\n[ROW] " + " | ".join(shown[c] for c in dict.fromkeys([*first, *group]))
+        groups = [[]]
+        for c in shown:
+            if groups[-1] and greedy.estimate(text([*groups[-1], c])) > budget:
+                groups.append([])
+            groups[-1].append(c)
+        for n, group in enumerate(filter(None, groups), 1):
+            body = text(group)
+            near = [above[c] for c in dict.fromkeys([*first, *group]) if c in above]
+            full = body + "\n[ABOVE] " + " | ".join(near) if near else body
+            body = full if greedy.estimate(full) <= budget else body
+            out.append((doc, row, n, body, greedy.estimate(body), greedy.estimate(body) > budget))
+        above.update({c: shown[c] for c, v in cells if v and len(v) <= 100 and not re.fullmatch(r"[\d.,/ -]+", v)})
+    return out
+
+
+@pytest.mark.parametrize("dealt", [False, True])
+def test_row_chunks_equal_a_plain_loop(spark, monkeypatch, dealt):
+    """Tables over several batches, columns named twice, odd signs, long headers and rows without cells."""
+    import random
+
+    import pyarrow as pa
+
+    from evidentia.operators import rowchunks
+
+    types = pa.schema([("doc", pa.int64()), ("header", pa.string()), ("row", pa.int64()), ("cells", pa.list_(pa.struct([("col", pa.string()), ("value", pa.string())])))])
+    rng = random.Random(8)
+    words = ["", "x", "岩棉板 a", "12", "1,200.5", "٣٤", "a.b-c/d%e", "a..b.", ".a", "é_1", "long word " * 9, "y" * 101, "\u00a0\u2003q", "😀 z", "a\nb", "%", "it's | x", None]
+    rows = []
+    for doc in [None, *range(12)]:
+        for row in rng.sample(range(1, 10**6), rng.choice((1, 3, 40, 400))):
+            n = rng.choice((0, 1, 2, 3, 5, 9))
+            names = [rng.choice("ABC") for _ in range(n)] if rng.random() < 0.2 else rng.sample(["A", "B", "C", "岩", "E9", "F", "", "a.b", "H", "I"], n)
+            rows.append((doc, rng.choice(("[T]", f"[TABLE id={doc}]\n[COLUMNS] A=x", "标题-1", "", "h/")), row, [(c, rng.choice(words)) for c in names]))
+    conf = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
+    monkeypatch.setattr(rowchunks, "HELD", 500)
+    try:
+        frame = spark.createDataFrame(rows, "doc long, header string, row long, cells array<struct<col: string, value: string>>")
+        for budget in (9, 30, 44, 384):
+            got = sorted((tuple(r) for r in packing.row_chunks(frame.repartition(3, "doc") if dealt else frame, budget, dealt).collect()), key=repr)
+            assert got == sorted(plain_chunks(rows, budget), key=repr)
+            # texts are handed on in small parts
+            ordered = pa.Table.from_pylist([{"doc": d, "header": h, "row": r, "cells": [{"col": c, "value": v} for c, v in cells]} for d, h, r, cells in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))], schema=types)
+            parts = list(rowchunks.chunked(ordered.to_batches(max_chunksize=50), budget))
+            assert max(p.num_rows for p in parts) < 50 and sorted((tuple(r.values()) for p in parts for r in p.to_pylist()), key=repr) == got
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", conf)
+
+
+def test_row_chunks_deal_lines_out_once(spark):
+    text = plan(plans.QUERIES["D02_table_row_chunks"](spark, "/root/testdata/sf0.001"))
+    assert "MapInArrow" in text and text.count("Exchange ") == 1
