@@ -49,6 +49,24 @@ def test_scope_notes_are_written_out_in_blocks(spark, monkeypatch):
     assert "Generate explode(r" in plan(out)
 
 
+@pytest.mark.parametrize("held", [100, 30, 0])
+def test_pairs_with_a_side_that_tasks_hold(spark, monkeypatch, held):
+    """By a join where the side is small, in blocks where it isn't: the same pairs, also of rows that are equal or without a value."""
+    monkeypatch.setattr(spread, "HELD", held)
+    left = [((i % 3, [f"x{i % 2}"]), i % 50) for i in range(90)] + [(None, 1), ((0, ["x0"]), None), ((9, []), 2)]
+    right = [((i % 3, [f"x{i % 2}"]), f"q{i}") for i in range(31)] + [(None, "q"), ((1, ["x1"]), None), ((1, ["x1"]), None), ((8, []), "r")]
+    kind = "p struct<n: int, w: array<string>>, "
+    out = spread.matched(spark.createDataFrame(left, kind + "a long"), spark.createDataFrame(right, kind + "b string"), "p", "a", "b")
+    assert Counter(map(tuple, out.collect())) == Counter((a, b) for k, a in left for m, b in right if k is not None and k == m)
+    assert ("Generate explode" in plan(out)) == (held < 100)
+    assert spread.matched(spark.createDataFrame(left, kind + "a long"), spark.createDataFrame([], kind + "b string"), "p", "a", "b").count() == 0
+
+
+def test_questions_that_ask_once_are_joined(spark):
+    out = plans.QUERIES["J19_node_assets"](spark, FOLDER)
+    assert "_k" in plan(out)  # a join by a number of what they ask, whose pairs are written without a list
+
+
 FOLDER = "/root/testdata/sf0.001"
 
 
